@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules, sharding, urls, warc
+from . import decontam, jaccard, lines, rules, sharding, urls, warc
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+OP1_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, 1 + len(string_split(coalesce(text, ''), chr(10))))) AS i FROM t),
+s AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM l),
+p AS (SELECT r, doc_id, i, k, row_number() OVER (PARTITION BY r ORDER BY i) AS pos FROM s WHERE k <> ''),
+w AS (SELECT r, doc_id, i, pos, k AS a, lead(k, 1) OVER o AS b, lead(k, 2) OVER o AS c FROM p WINDOW o AS (PARTITION BY r ORDER BY pos)),
+f AS (SELECT *, c IS NOT NULL AND (doc_id > min(doc_id) OVER (PARTITION BY a, b, c) OR pos > min(pos) OVER (PARTITION BY r, a, b, c)) AS later FROM w),
+g AS (SELECT r, i, bool_or(later) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone FROM f),
+u AS (SELECT s.r, string_agg(line, chr(10) ORDER BY s.i) FILTER (WHERE NOT coalesce(gone, false)) AS text,
+             count(gone)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_removed FROM s LEFT JOIN g USING (r, i) GROUP BY s.r)
+SELECT doc_id, CASE WHEN n_removed = 0 THEN t.text ELSE coalesce(u.text, '') END AS text, n_lines, n_removed FROM t JOIN u USING (r)
+"""
+
+
 def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.ledger(table(spark, sf_dir, "documents"))
     base = ~rules.passes(rules.BASE)
@@ -42,6 +60,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def op5_edit_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, distance, ends_at: every benchmark item found in a document."""
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rules_frame(spark, (*urls.LISTED, *urls.UNWANTED)))
 
@@ -58,6 +81,10 @@ FROM j WHERE k = 1
 """
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.NearDuplicates(table(spark, sf_dir, "documents"), width=4, threshold=85).clusters().select("doc_id", "n_shingles", "component_id", "class_rep")
+
+
 def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_key")
@@ -77,5 +104,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
        CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM d
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_rule_ledger, op6_url_rules, op9_minimax_shards, op10_warc_bundles)}
-ORACLE_SQL: dict[str, str] = {"op3_rule_ledger": OP3_SQL, "op6_url_rules": OP6_SQL, "op10_warc_bundles": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op3_rule_ledger, op5_edit_decontam, op6_url_rules, op7_parity_join, op9_minimax_shards, op10_warc_bundles)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_rule_ledger": OP3_SQL, "op6_url_rules": OP6_SQL, "op10_warc_bundles": OP10_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, lines, rules, sharding, urls, warc
+from . import decontam, jaccard, lines, packing, rules, sharding, urls, warc
 from .common import table
 
 
@@ -29,6 +29,17 @@ SELECT doc_id, CASE WHEN n_removed = 0 THEN t.text ELSE coalesce(u.text, '') END
 """
 
 
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_pack_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+
+
 def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.ledger(table(spark, sf_dir, "documents"))
     base = ~rules.passes(rules.BASE)
@@ -104,5 +115,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
        CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM d
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op3_rule_ledger, op5_edit_decontam, op6_url_rules, op7_parity_join, op9_minimax_shards, op10_warc_bundles)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_pack_curve, op3_rule_ledger, op5_edit_decontam, op6_url_rules, op7_parity_join, op9_minimax_shards, op10_warc_bundles)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_rule_ledger": OP3_SQL, "op6_url_rules": OP6_SQL, "op10_warc_bundles": OP10_SQL}

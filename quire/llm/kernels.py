@@ -127,3 +127,24 @@ def shingles(w: Words, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def run_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of width items of h that start at each place where one fits."""
+    if len(h) < width:
+        return np.zeros(0, np.uint64)
+    up, down = _power(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[:-1], out=sums[1:])
+    n = len(h) - width + 1
+    return mix((sums[width:] - sums[:-width]) * down[:n])
+
+
+def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
+    """The least of each run of width items, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        v = np.minimum(v[:-step], v[step:])
+        have += step
+    return v

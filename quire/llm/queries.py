@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, lines, packing, rules, sharding, urls, warc
+from . import decontam, jaccard, lines, packing, quality, rules, sharding, suffixes, urls, warc
 from .common import table
 
 
@@ -71,6 +71,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def op4_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start_word, n_words, source_doc_id: every passage of 50 words or more that occurs again."""
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_edit_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, distance, ends_at: every benchmark item found in a document."""
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -96,6 +101,12 @@ def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.NearDuplicates(table(spark, sf_dir, "documents"), width=4, threshold=85).clusters().select("doc_id", "n_shingles", "component_id", "class_rep")
 
 
+def op8_factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_key")
@@ -115,5 +126,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
        CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM d
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_pack_curve, op3_rule_ledger, op5_edit_decontam, op6_url_rules, op7_parity_join, op9_minimax_shards, op10_warc_bundles)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_pack_curve, op3_rule_ledger, op4_sparse_suffixes, op5_edit_decontam, op6_url_rules, op7_parity_join, op8_factor_quality, op9_minimax_shards, op10_warc_bundles)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_rule_ledger": OP3_SQL, "op6_url_rules": OP6_SQL, "op10_warc_bundles": OP10_SQL}

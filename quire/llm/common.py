@@ -64,3 +64,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def words(text) -> F.Column:
     """The words of a text as an array; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+
+
+def pinned(value) -> F.Column:
+    """value, in a column that Catalyst neither copies into the expressions above nor filters through.
+
+    For intermediate arrays that lambdas read again and again: inlined there, they would be computed anew for each
+    element. An expression that isn't deterministic stays where it is.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)

@@ -15,10 +15,15 @@ strangers may share, are hardly ever filed. A set joins its own band and, if a l
 there, the next. No linked pair is lost.
 
 Join. Equal sets are one class, whatever number of documents holds it. Blocks found in one class only drop out
-in an aggregation. In each other block every class is first compared with the smallest one: as many pairs as
-members. Linked classes form components; only blocks that still hold several components go on, and there
-classes of different components are compared, after splitting blocks with many members by a second shared
-block. So a group of n near copies costs about n comparisons. Pairs are verified on the texts, exactly.
+in an aggregation. In each other block every class is compared with one pivot, the class whose blocks are the
+most shared: as many pairs as members. Linked classes form components, and only blocks that still hold several
+components go on. There the pivot P is known to each member A by their difference A xor P, and
+
+    A xor B = (A xor P) xor (B xor P)
+
+so two members link only if their differences overlap: by at least |A xor P| - D, and by at least one unless
+both link with P. The D + 1 rarest elements of the differences are the next round's blocks. A group of n near
+copies thus costs about n comparisons in each of a few rounds. Pairs are verified on the texts, exactly.
 
 Null texts are empty. Null ids count as the largest id. Rows that repeat an id and text are one document.
 An empty table gives an empty result. Other columns are ignored, and passed on by `keep_first`.
@@ -31,20 +36,21 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from . import kernels
 from .common import materialise, small
 from .components import components
 
-#: Members of a block above which it is split by a second shared block.
-SPLIT_ABOVE = 48
 #: Blocks for each block in which linked sets may differ at most.
 SPARE = 1.4
 _NO_ID = (1 << 63) - 1
 SETS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("twin", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
+COMPARED = pa.schema([("a", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_()), ("n", pa.int64()), ("delta", pa.list_(pa.int64()))])
+
 
 def differ(a: int, b: int, threshold: int) -> int:
     """In how many shingles linked sets of these sizes differ at most."""
@@ -111,8 +117,11 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, threshold: int, seed:
             )
 
 
-def _linked(batches: Iterator[pa.RecordBatch], width: int, threshold: int) -> Iterator[pa.RecordBatch]:
-    """a, b of the rows (a, b, text of a, text of b) whose sets link; compares the words themselves."""
+def _compared(batches: Iterator[pa.RecordBatch], width: int, threshold: int) -> Iterator[pa.RecordBatch]:
+    """a, pivot, linked, n (size of a's set), delta (hashes of the shingles that only one of the two has).
+
+    The rows are (a, pivot, text of a, text of pivot). Sets are compared by the words themselves.
+    """
 
     def whole(text: str) -> set[bytes]:
         w = text.encode().lower().split()
@@ -120,14 +129,16 @@ def _linked(batches: Iterator[pa.RecordBatch], width: int, threshold: int) -> It
 
     last, kept = None, set()
     for batch in batches:
-        ok = []
+        linked, n, delta = [], [], []
         for one, two in zip(batch.column(2), batch.column(3), strict=True):
             if (text := two.as_py()) != last:
                 last, kept = text, whole(text)
             own = whole(one.as_py())
             both = len(own & kept)
-            ok.append(both > 0 and 100 * both >= threshold * (len(own) + len(kept) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            linked.append(both > 0 and 100 * both >= threshold * (len(own) + len(kept) - both))
+            n.append(len(own))
+            delta.append([xxh3_64_intdigest(x) - (1 << 63) for x in own ^ kept])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], schema=COMPARED)
 
 
 class NearDuplicates:
@@ -160,43 +171,58 @@ class NearDuplicates:
         one = materialise(reps.groupBy("cid", "id").agg(F.min("text_hash").alias("text_hash")), "reps")
         return materialise(self.rows.join(small(one), ["id", "text_hash"]).groupBy("cid").agg(F.first("text").alias("text")), "rep-texts")
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that link."""
+    def _compare(self, pairs: DataFrame) -> DataFrame:
+        """COMPARED for the pairs (a, pivot) of classes."""
         pairs = materialise(pairs.distinct(), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        wanted = pairs.select(F.explode(F.array("a", "pivot")).alias("cid")).distinct()
         texts = self._texts(wanted.join(self.classes, "cid").select("cid", "rep"))
-        sides = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
-        check = partial(_linked, width=self.width, threshold=self.threshold)
-        return materialise(sides.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
+        sides = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("pivot"), F.col("text").alias("tp")), "pivot")
+        check = partial(_compared, width=self.width, threshold=self.threshold)
+        return materialise(sides.select("a", "pivot", "ta", "tp").mapInArrow(check, "a long, pivot long, linked boolean, n long, delta array<long>"), "compared")
 
     def links(self) -> DataFrame:
         """a, b: links between classes, enough to connect all that are connected."""
         filed = self.sets.filter(F.size("keys") > 0).select("cid", F.explode("keys").alias("key"))
-        shared = filed.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).filter("first < last").drop("last")
-        members = materialise(filed.join(materialise(shared, "shared-blocks"), "key").distinct(), "members")
-        links = self._verify(members.filter("cid <> first").select(F.col("cid").alias("a"), F.col("first").alias("b")))
-        labels = components(links)
-        labelled = members.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        rest = materialise(self._mixed(labelled), "mixed-blocks")
-        if rest.isEmpty():
-            return links
-        few = self._across(rest.filter(F.col("n") <= SPLIT_ABOVE))
-        crowd = rest.filter(F.col("n") > SPLIT_ABOVE)
-        keys = self.sets.select("cid", "keys").join(small(crowd.select("cid").distinct()), "cid", "left_semi").dropDuplicates(["cid"]).select("cid", F.explode("keys").alias("other"))
-        second = crowd.select("key", "cid", "label").join(keys, "cid").filter("key < other").select(F.xxhash64("key", "other").alias("key"), "cid", "label").distinct()
-        return links.unionByName(self._verify(few.unionByName(self._across(self._mixed(second)))))
-
-    @staticmethod
-    def _mixed(members: DataFrame) -> DataFrame:
-        """key, cid, label, n: members of blocks that hold several components."""
-        mixed = members.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("n")).filter("l1 < l2").select("key", "n")
-        return members.join(mixed, "key")
+        shared = filed.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).filter("first < last").select("key")
+        blocks = materialise(filed.join(materialise(shared, "shared-blocks"), "key").distinct(), "blocks")
+        links = labels = None
+        while True:
+            pairs = self._stars(blocks)
+            compared = self._compare(pairs)
+            found = compared.filter("linked").select("a", F.col("pivot").alias("b"))
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+            blocks = materialise(self._next(compared, labels), "blocks")
+            if blocks.isEmpty():
+                return links
 
     @staticmethod
-    def _across(members: DataFrame) -> DataFrame:
-        """Pairs of classes of different components that share a block."""
-        other = members.select("key", F.col("cid").alias("b"), F.col("label").alias("l2"))
-        return members.select("key", F.col("cid").alias("a"), "label").join(other, "key").filter("a < b AND label <> l2").select("a", "b").distinct()
+    def _stars(blocks: DataFrame) -> DataFrame:
+        """a, pivot: each member of a block with the one whose blocks have the most members."""
+        size = blocks.groupBy("key").agg(F.count("*").alias("n"))
+        weight = blocks.join(size, "key").groupBy("cid").agg(F.sum("n").alias("weight"))
+        weighed = materialise(blocks.join(weight, "cid"), "weighed")
+        best = weighed.groupBy("key").agg(F.max("weight").alias("weight"))
+        pivot = weighed.join(best, ["key", "weight"]).groupBy("key").agg(F.min("cid").alias("pivot"))
+        return weighed.select("key", "cid").join(pivot, "key").filter("cid <> pivot").select(F.col("cid").alias("a"), "pivot")
+
+    def _next(self, compared: DataFrame, labels: DataFrame) -> DataFrame:
+        """key, cid: blocks of the next round, by the rarest elements of the differences from the pivots.
+
+        Only pivots whose members are in several components go on, and of their blocks those that hold several.
+        """
+        of = lambda c: F.coalesce(c, F.col("a"))
+        named = compared.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", of("label"))
+        mixed = named.groupBy("pivot").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("k")).filter("l1 < l2").select("pivot")
+        # Of a pair, one at least isn't linked with the pivot: members linked with it are all in one component.
+        each = named.join(mixed, "pivot").select("pivot", "a", "n", "label", F.explode("delta").alias("element"))
+        many = each.groupBy("pivot", "element").agg(F.count("*").alias("times"))
+        rank = F.row_number().over(Window.partitionBy("pivot", "a").orderBy("times", "element"))
+        most = F.floor(F.lit(100 - self.threshold) * (F.col("n") + F.floor(F.lit(100) * F.col("n") / self.threshold)) / F.lit(100 + self.threshold))
+        kept = each.join(many, ["pivot", "element"]).withColumn("rank", rank).filter(F.col("rank") <= most + 2).filter("times > 1")
+        kept = materialise(kept.select(F.xxhash64("pivot", "element").alias("key"), F.col("a").alias("cid"), "label"), "elements")
+        several = kept.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 < l2").select("key")
+        return kept.join(several, "key").select("key", "cid").distinct()
 
     def clusters(self) -> DataFrame:
         """doc_id, n_shingles, component_id, class_rep: one row for each row of the documents."""

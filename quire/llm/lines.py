@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, pinned
 
 WINDOW = 3
 _BLANK = " \t\r\x0b\x0c"
@@ -38,7 +38,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     aggregated before anything meets; the windows of a line that stands everywhere are spread by the join's
     skew handling, and only windows found twice or more reach it.
     """
-    lines = docs.select("key", "row", F.filter(F.transform(_lines("text"), _trimmed), lambda x: x != "").alias("l"))
+    lines = docs.select("key", "row", pinned(F.filter(F.transform(_lines("text"), _trimmed), lambda x: x != "")).alias("l"))
     of = lambda i, *seed: F.xxhash64(*map(F.lit, seed), *(F.get("l", i + k) for k in range(window)))
     starts = F.sequence(F.lit(0), F.size("l") - window)
     places = F.transform(starts, lambda i: F.struct(i.alias("at"), of(i).alias("h1"), of(i, 7).alias("h2")))
@@ -59,12 +59,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     marks = materialise(repeats(rows.select("key", "row", F.col(text).alias("text")), window), "line-marks")
     n, places = marks.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
     rows = rows.join(F.broadcast(marks) if n <= BROADCAST_DOCS and places <= BROADCAST_PLACES else marks, ["key", "row"], "left")
-    rows = rows.withColumn("l", _lines(text))
-    rows = rows.withColumn("shown", F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: _trimmed(F.get("l", i)) != ""))
+    rows = rows.withColumn("l", pinned(_lines(text)))
+    rows = rows.withColumn("shown", pinned(F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: _trimmed(F.get("l", i)) != "")))
     covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.slice("shown", p + 1, window))))
-    rows = rows.withColumn("gone", F.when(F.col("places").isNotNull(), covered))
+    rows = rows.withColumn("gone", pinned(F.when(F.col("places").isNotNull(), covered)))
     left = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.col("gone"))
-    cleaned = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get("l", i)), "\n"))
-    numbers = F.size("shown").cast("long"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    cleaned = pinned(F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get("l", i)), "\n")))
+    numbers = pinned(F.size("shown").cast("long")), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
     out = rows.select(*(cleaned.alias(c) if c == text else F.col(c) for c in own), *numbers)
     return out.toDF(*docs.columns, "n_lines", "n_removed")

@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, pinned
 
 #: Words of a window in which repetition is counted.
 WINDOW = 5
@@ -64,12 +64,12 @@ def _removed(text: str, pattern: str) -> Column:
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and MEASURES of every row.
 
-    Each intermediate array is a column of its own that later steps use more than once, so Catalyst keeps
-    it instead of computing it anew inside the lambdas. Only texts with a repeated window pay for sorting.
+    Intermediate arrays are pinned, so that no filter on the result computes them anew inside the lambdas.
+    Only texts with a repeated window pay for sorting.
     """
     doc = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    doc = doc.withColumn("_w", F.array_remove(F.split("_t", SPACE + "+"), ""))
-    doc = doc.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    doc = doc.withColumn("_w", pinned(F.array_remove(F.split("_t", SPACE + "+"), "")))
+    doc = doc.withColumn("_l", pinned(F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
     doc = doc.select(
         id_col,
         F.size("_w").cast("long").alias("n_words"),
@@ -78,16 +78,13 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         _removed("_t", r"\p{Lu}+").alias("n_capitals"),
-        F.when(
-            F.size("_w") > WINDOW,
-            F.transform(F.sequence(F.lit(0), F.size("_w") - WINDOW), lambda i: F.xxhash64(*(F.get("_w", i + k) for k in range(WINDOW)))),
-        ).alias("_h"),
+        pinned(F.when(F.size("_w") > WINDOW, F.transform(F.sequence(F.lit(0), F.size("_w") - WINDOW), lambda i: F.xxhash64(*(F.get("_w", i + k) for k in range(WINDOW)))))).alias("_h"),
     )
     repeats = F.size("_h") > F.size(F.array_distinct("_h"))
-    doc = doc.withColumn("_s", F.when(repeats, F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    doc = doc.withColumn("_s", pinned(F.when(repeats, F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))))
     same = lambda e, at: F.coalesce(F.get("_s", at)["h"] == e["h"], F.lit(False))
     found = F.filter("_s", lambda e, k: same(e, k - 1) | same(e, k + 1))
-    doc = doc.withColumn("_p", F.sort_array(F.transform(found, lambda e: e["i"])))
+    doc = doc.withColumn("_p", pinned(F.sort_array(F.transform(found, lambda e: e["i"]))))
     steps = F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda k: F.least(F.lit(WINDOW), F.get("_p", k) - F.get("_p", k - 1)))
     covered = F.aggregate(steps, F.lit(WINDOW), lambda a, x: a + x)
     return doc.withColumn("n_repeat_words", F.when(F.col("_p").isNull(), 0).otherwise(covered).cast("long")).select(id_col, *MEASURES)

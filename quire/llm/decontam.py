@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small
+from .common import map_arrow, materialise, small
 
 RATE = 0.06
 #: Characters of items that one automaton holds; more items are matched in several passes over the texts.
@@ -148,7 +148,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str =
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), FOUND, strict=True)], schema=FOUND)
 
-        part = rows.mapInArrow(search, "doc_id long, item_id long, distance int, ends_at int")
+        part = map_arrow(rows, search, "doc_id long, item_id long, distance int, ends_at int")
         out = part if out is None else out.unionByName(part)
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "ends_at")).alias("b"))
     return best.select("doc_id", "item_id", "b.distance", "b.ends_at")

@@ -21,9 +21,10 @@ components go on. There the pivot P is known to each member A by their differenc
 
     A xor B = (A xor P) xor (B xor P)
 
-so two members link only if their differences overlap: by at least |A xor P| - D, and by at least one unless
-both link with P. The D + 1 rarest elements of the differences are the next round's blocks. A group of n near
-copies thus costs about n comparisons in each of a few rounds. Pairs are verified on the texts, exactly.
+so two members link only if their differences, of sizes x and y, overlap in (x + y - D) / 2 elements, and in at
+least one unless both link with P. The rarest elements of the differences, as many as that leaves, are the next
+round's blocks, apart for each class of sizes. A group of n near copies thus costs about n comparisons in each
+of a few rounds. Pairs are verified on the texts, exactly.
 
 Null texts are empty. Null ids count as the largest id. Rows that repeat an id and text are one document.
 An empty table gives an empty result. Other columns are ignored, and passed on by `keep_first`.
@@ -41,9 +42,12 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import kernels
-from .common import materialise, small
+from .common import map_arrow, materialise, small
 from .components import components
 
+#: Pairs for each member of the remaining blocks up to which all are compared, rather than stars: a bound that
+#: keeps the comparisons in proportion to the members.
+PAIRS_EACH = 8
 #: Blocks for each block in which linked sets may differ at most.
 SPARE = 1.4
 _NO_ID = (1 << 63) - 1
@@ -158,7 +162,7 @@ class NearDuplicates:
         share one, which a second hash shows, all are hashed anew."""
         for seed in range(8):
             sketch = partial(_sketch, width=self.width, threshold=self.threshold, seed=seed)
-            sets = materialise(self.rows.mapInArrow(sketch, "id long, text_hash long, n long, cid long, twin long, keys array<long>"), "sets")
+            sets = materialise(map_arrow(self.rows, sketch, "id long, text_hash long, n long, cid long, twin long, keys array<long>"), "sets")
             of = sets.filter("n > 0").groupBy("cid").agg(F.min("id").alias("rep"), F.count("*").alias("docs"), F.min("twin").alias("t1"), F.max("twin").alias("t2"))
             classes = materialise(of, "classes")
             if classes.filter("t1 <> t2").isEmpty():
@@ -178,23 +182,44 @@ class NearDuplicates:
         texts = self._texts(wanted.join(self.classes, "cid").select("cid", "rep"))
         sides = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("pivot"), F.col("text").alias("tp")), "pivot")
         check = partial(_compared, width=self.width, threshold=self.threshold)
-        return materialise(sides.select("a", "pivot", "ta", "tp").mapInArrow(check, "a long, pivot long, linked boolean, n long, delta array<long>"), "compared")
+        return materialise(map_arrow(sides.select("a", "pivot", "ta", "tp"), check, "a long, pivot long, linked boolean, n long, delta array<long>"), "compared")
 
-    def links(self) -> DataFrame:
-        """a, b: links between classes, enough to connect all that are connected."""
+    def components(self) -> DataFrame:
+        """node, label: the component of every class that links with another."""
         filed = self.sets.filter(F.size("keys") > 0).select("cid", F.explode("keys").alias("key"))
         shared = filed.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).filter("first < last").select("key")
         blocks = materialise(filed.join(materialise(shared, "shared-blocks"), "key").distinct(), "blocks")
         links = labels = None
         while True:
-            pairs = self._stars(blocks)
-            compared = self._compare(pairs)
+            compared = self._compare(self._stars(blocks))
             found = compared.filter("linked").select("a", F.col("pivot").alias("b"))
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
+            if links is None:
+                links, labels = found, components(found)
+            elif not self._across(found, labels).isEmpty():
+                links = links.unionByName(found)
+                labels = components(links)
             blocks = materialise(self._next(compared, labels), "blocks")
-            if blocks.isEmpty():
-                return links
+            size = blocks.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("own"))
+            rows, pairs = size.agg(F.sum("n"), F.sum(F.expr("own * n"))).first()
+            if not rows:
+                return labels
+            if pairs <= PAIRS_EACH * rows:
+                found = self._compare(self._pairs(blocks)).filter("linked").select("a", F.col("pivot").alias("b"))
+                return components(links.unionByName(found)) if not self._across(found, labels).isEmpty() else labels
+            blocks = blocks.select("key", "cid").distinct()
+
+    @staticmethod
+    def _pairs(blocks: DataFrame) -> DataFrame:
+        """a, pivot: members of a block that are in different components, one of them of the block's own class."""
+        other = blocks.filter("own").select("key", F.col("cid").alias("pivot"), F.col("label").alias("other"))
+        found = blocks.join(other, "key").filter("label <> other")
+        return found.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("pivot"))
+
+    @staticmethod
+    def _across(links: DataFrame, labels: DataFrame) -> DataFrame:
+        """The links between two components."""
+        side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        return links.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
 
     @staticmethod
     def _stars(blocks: DataFrame) -> DataFrame:
@@ -211,22 +236,27 @@ class NearDuplicates:
 
         Only pivots whose members are in several components go on, and of their blocks those that hold several.
         """
-        of = lambda c: F.coalesce(c, F.col("a"))
-        named = compared.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", of("label"))
-        mixed = named.groupBy("pivot").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("k")).filter("l1 < l2").select("pivot")
+        most = F.floor(F.lit(100 - self.threshold) * (F.col("n") + F.floor(F.lit(100) * F.col("n") / self.threshold)) / F.lit(100 + self.threshold))
+        named = compared.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+        mixed = named.groupBy("pivot").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.max(most).alias("d")).filter("l1 < l2").select("pivot", "d")
         # Of a pair, one at least isn't linked with the pivot: members linked with it are all in one component.
-        each = named.join(mixed, "pivot").select("pivot", "a", "n", "label", F.explode("delta").alias("element"))
+        each = named.join(mixed, "pivot").select("pivot", "a", "label", "d", F.size("delta").alias("size"), F.explode("delta").alias("element"))
         many = each.groupBy("pivot", "element").agg(F.count("*").alias("times"))
         rank = F.row_number().over(Window.partitionBy("pivot", "a").orderBy("times", "element"))
-        most = F.floor(F.lit(100 - self.threshold) * (F.col("n") + F.floor(F.lit(100) * F.col("n") / self.threshold)) / F.lit(100 + self.threshold))
-        kept = each.join(many, ["pivot", "element"]).withColumn("rank", rank).filter(F.col("rank") <= most + 2).filter("times > 1")
-        kept = materialise(kept.select(F.xxhash64("pivot", "element").alias("key"), F.col("a").alias("cid"), "label"), "elements")
-        several = kept.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 < l2").select("key")
-        return kept.join(several, "key").select("key", "cid").distinct()
+        kept = each.join(many, ["pivot", "element"]).withColumn("rank", rank).filter(F.col("rank") <= F.col("d") + 1).filter("times > 1")
+        # The smaller of two differences, of sizes x <= y, is filed under its size class by (d + x - y) / 2 + 1 elements or
+        # more, the larger by (d + y - x) / 2 + 1, under each class where a smaller one may be.
+        kept = kept.withColumn("step", F.greatest(F.lit(1).cast("long"), F.expr("d div 8"))).withColumn("low", F.expr("greatest(0, size - d) div step"))
+        high = F.expr("least(size div step, (size + d - 2 * (rank - 1)) div step)")
+        kept = kept.withColumn("class", F.explode(F.sequence("low", high)))
+        kept = kept.select(F.xxhash64("pivot", "class", "element").alias("key"), F.col("a").alias("cid"), "label", F.expr("class = size div step").alias("own"))
+        kept = materialise(kept, "elements")
+        several = kept.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.bool_or("own").alias("any_own")).filter("l1 < l2 AND any_own").select("key")
+        return kept.join(several, "key").select("key", "cid", "own", "label").distinct()
 
     def clusters(self) -> DataFrame:
         """doc_id, n_shingles, component_id, class_rep: one row for each row of the documents."""
-        labels = components(self.links())
+        labels = self.components()
         lone = self.classes.join(labels, self.classes.cid == labels.node, "left").withColumn("label", F.coalesce("label", "cid"))
         least = lone.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("k"), F.max("docs").alias("d")).filter("k > 1 OR d > 1")
         of = materialise(lone.join(least, "label").select("cid", "component", "rep"), "component-of")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import materialise
+from .common import map_arrow, materialise
 
 CAPACITY, END_ID = 2048, 1
 #: Dimensions of the curve and bits of each.
@@ -132,7 +132,7 @@ def tokenise(docs: DataFrame, tokenizer: str, dimensions: int = DIMENSIONS, id_c
                     points.append(table[got].mean(0))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.array(points, pa.list_(pa.float32()))], schema=TOKENS)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, n long, ids binary, point array<float>")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), encode, "doc_id long, n long, ids binary, point array<float>")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, dimensions: int = DIMENSIONS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, dimensions:
 
     parts = dealt.select("range", "doc_id", "n", "ids", "key").repartition("range").sortWithinPartitions("range", "key", "doc_id", "n", "ids")
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, ids binary"
-    return parts.select("range", "doc_id", "n", "ids").mapInArrow(cut, schema)
+    return map_arrow(parts.select("range", "doc_id", "n", "ids"), cut, schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

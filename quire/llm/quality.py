@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col:
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out("id"))
     known = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_train)
     rows = _prepared(docs, id_col, text_col, metadata_col).join(F.broadcast(known), "id")  # at most max_train rows
-    got = rows.select("id", "text", "extra", "label").dropDuplicates(["id"]).select("text", "extra", "label").mapInArrow(_featured, "index binary, value binary, label int").toArrow()
+    got = map_arrow(rows.select("id", "text", "extra", "label").dropDuplicates(["id"]).select("text", "extra", "label"), _featured, "index binary, value binary, label int").toArrow()
     y = got.column("label").to_numpy().astype(np.float32)
     if not len(y) or y.min() == y.max():
         return None
@@ -210,4 +210,4 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores(m, features(data, offsets, extra[a:b])))], names=["id", "score"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return map_arrow(rows, run, f"id {kind}, score double").withColumnRenamed("id", id_col)

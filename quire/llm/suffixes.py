@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import materialise, small
+from .common import map_arrow, materialise, small
 
 MIN_WORDS, GRAM = 50, 12
 _NO_ID = (1 << 63) - 1
@@ -136,23 +136,24 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, id_co
         raise ValueError("gram: at most min_words")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("text_hash"), "text")
     sparse = partial(_sparse, min_words=min_words, gram=gram)
-    texts = materialise(rows.mapInArrow(sparse, "id long, text_hash long, n long, grams array<long>, places array<int>"), "suffixes")
+    texts = materialise(map_arrow(rows, sparse, "id long, text_hash long, n long, grams array<long>, places array<int>"), "suffixes")
     suffixes = texts.select("text_hash", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("s.grams", "text_hash", "s.places")
     ordered = suffixes.repartitionByRange("grams", "text_hash", "places").sortWithinPartitions("grams", "text_hash", "places")
-    kept = ordered.mapInArrow(_compare, "text_hash long, place int").groupBy("text_hash").agg(F.collect_set("place").alias("places"))
+    kept = map_arrow(ordered, _compare, "text_hash long, place int").groupBy("text_hash").agg(F.collect_set("place").alias("places"))
     kept = materialise(kept, "kept-suffixes")
     same = texts.filter(F.col("n") >= min_words).groupBy("text_hash").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"))
     same = materialise(same, "text-classes")
     tag = F.col("text_hash").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tag")
     seeds = materialise(kept.join(same, "text_hash").select(F.col("first").alias("id"), "text_hash", "places"), "seeds")
     held = rows.join(seeds, ["id", "text_hash"])
-    windows = materialise(held.select("id", tag, "places", "text").mapInArrow(partial(_extend, min_words=min_words, gram=gram), "window long, id long, tag int, at int"), "windows")
+    windows = materialise(map_arrow(held.select("id", tag, "places", "text"), partial(_extend, min_words=min_words, gram=gram), "window long, id long, tag int, at int"), "windows")
     again = windows.groupBy("window").agg(F.min("id").alias("source"), F.count("*").alias("k")).filter("k > 1").drop("k")
     alike = same.filter("copies > 1")
     hits = materialise(windows.join(again, "window").select("id", "tag", "at", "source").distinct(), "hits")
     opening = hits.filter("at = 0").select(F.col("id").alias("first"), "tag", "source")
     alike = materialise(alike.withColumn("tag", tag).join(opening, ["first", "tag"], "left").select("text_hash", "tag", "first", "n", F.least("first", "source").alias("source")), "copies")
-    spans = hits.groupBy("id", "tag").agg(F.collect_list(F.struct("at", "source")).alias("hits")).join(small(alike.select(F.col("first").alias("id"), "tag")), ["id", "tag"], "left_anti").select("id", "hits").mapInArrow(partial(_merge, min_words=min_words), "id long, start long, n_words long, source long")
+    runs = hits.groupBy("id", "tag").agg(F.collect_list(F.struct("at", "source")).alias("hits")).join(small(alike.select(F.col("first").alias("id"), "tag")), ["id", "tag"], "left_anti").select("id", "hits")
+    spans = map_arrow(runs, partial(_merge, min_words=min_words), "id long, start long, n_words long, source long")
     whole = texts.select("id", "text_hash").join(small(alike), "text_hash").select("id", F.lit(0).cast("long").alias("start"), F.col("n").alias("n_words"), "source")
     spans = spans.unionByName(whole)
     null = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, small
+from .common import map_arrow, materialise, shared_dir, small
 
 MIN_REVISIT = 100
 #: Uncompressed bytes after which a frame ends, and compressed bytes after which a bundle ends.
@@ -158,7 +158,7 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         if bundle:
             bundle.close()
 
-    return materialise(plan.mapInArrow(write, _ddl(INDEX)), "warc-index")
+    return materialise(map_arrow(plan, write, _ddl(INDEX)), "warc-index")
 
 
 def read_bundles(index: DataFrame, folder: str) -> DataFrame:
@@ -193,7 +193,7 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
         if file:
             file.close()
 
-    return frames.repartitionByRange("bundle", "frame").sortWithinPartitions("bundle", "frame").mapInArrow(read, _ddl(RECORD))
+    return map_arrow(frames.repartitionByRange("bundle", "frame").sortWithinPartitions("bundle", "frame"), read, _ddl(RECORD))
 
 
 def fetch(index: DataFrame, folder: str, page_id: int) -> tuple[dict[str, str], bytes]:

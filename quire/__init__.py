@@ -1,0 +1 @@
+"""A Spark-native engine for searching, analysing and maintaining a corpus of long documents."""

@@ -239,6 +239,7 @@ class NearDuplicates:
         most = F.floor(F.lit(100 - self.threshold) * (F.col("n") + F.floor(F.lit(100) * F.col("n") / self.threshold)) / F.lit(100 + self.threshold))
         named = compared.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
         mixed = named.groupBy("pivot").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.max(most).alias("d")).filter("l1 < l2").select("pivot", "d")
+        mixed = small(materialise(mixed, "mixed"))
         # Of a pair, one at least isn't linked with the pivot: members linked with it are all in one component.
         each = named.join(mixed, "pivot").select("pivot", "a", "label", "d", F.size("delta").alias("size"), F.explode("delta").alias("element"))
         many = each.groupBy("pivot", "element").agg(F.count("*").alias("times"))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .common import map_arrow
 
 WORD_BINS, STEPS, RANK = 1 << 15, 16, 8
 #: Bound of the training sample, and how it is walked.

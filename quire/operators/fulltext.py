@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import reduce
+from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +90,10 @@ class Query:
         return ("leaf", len(self.leaves) - 1)
 
 
+def _back(i: int):
+    return lambda p: p - i
+
+
 def _leaf(index: DataFrame, leaf: tuple[tuple[str, ...], bool]) -> DataFrame:
     """id, tf, of: documents with the term, a term of the prefix, or the phrase."""
     terms, prefix = leaf
@@ -99,7 +104,7 @@ def _leaf(index: DataFrame, leaf: tuple[tuple[str, ...], bool]) -> DataFrame:
         return index.filter(hit).groupBy("id").agg(F.sum("tf").alias("tf"))
     wanted = reduce(Column.__or__, (F.col("term") == t for t in set(terms)))
     places = index.filter(wanted).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("m")).filter(F.size("m") == len(set(terms)))
-    starts = reduce(F.array_intersect, (F.transform(F.element_at("m", F.lit(t)), lambda p, i=i: p - i) for i, t in enumerate(terms)))
+    starts = reduce(F.array_intersect, (F.transform(F.element_at("m", F.lit(t)), _back(i)) for i, t in enumerate(terms)))
     return places.select("id", F.size(starts).cast("long").alias("tf")).filter("tf > 0")
 
 
@@ -205,12 +210,8 @@ def fold(text: str) -> list[str]:
 
 
 def stemmed_postings(docs: DataFrame, id_col: str = "id", text_cols: tuple[str, ...] = ("title", "content")) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def stems(text: pd.Series) -> pd.Series:
-        from functools import lru_cache
-
         known = lru_cache(100_000)(stem)
         split = re.compile(r"[^\w]+|_")
         return text.map(lambda t: [known(x) for x in split.split("".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))) if x])
@@ -229,8 +230,6 @@ def snippet(text: str, terms: list[str], n: int = 32) -> str:
 
 
 def with_snippets(rows: DataFrame, terms: list[str], text_col: str = "content") -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cut(text: pd.Series) -> pd.Series:
         return text.map(lambda t: snippet(t or "", terms))

@@ -57,19 +57,19 @@ def shortest_path(spark: SparkSession, start: str = "detected") -> DataFrame:
 def stuck(pipelines: DataFrame, now: str, timeouts: dict[str, int] | None = None) -> DataFrame:
     """Pipelines older in their state than twice its timeout."""
     limit = F.element_at(F.create_map(*(F.lit(x) for kv in (timeouts or TIMEOUTS).items() for x in kv)), F.col("state"))
-    age = F.to_timestamp(F.lit(now)).cast("long") - F.col("updated_at").cast("long")
+    age = F.to_timestamp(F.lit(now)).cast("long") - F.col("updated_at").cast("timestamp").cast("long")
     return pipelines.withColumn("age_seconds", age).filter(F.col("age_seconds") > limit * 2).select("id", "state", "age_seconds")
 
 
 def stale_reset(pipelines: DataFrame, now: str, seconds: int = 600) -> DataFrame:
     """All pipelines; those in processing untouched for too long go back to detected without retries."""
-    old = (F.col("state") == "processing") & (F.to_timestamp(F.lit(now)).cast("long") - F.col("updated_at").cast("long") > seconds)
+    old = (F.col("state") == "processing") & (F.to_timestamp(F.lit(now)).cast("long") - F.col("updated_at").cast("timestamp").cast("long") > seconds)
     return pipelines.select("id", F.when(old, "detected").otherwise(F.col("state")).alias("state"), F.when(old, 0).otherwise(F.col("retry_count")).cast("long").alias("retry_count"))
 
 
 def state_durations(history: DataFrame) -> DataFrame:
     """pipeline_id, state, seconds: how long each state held before the next transition."""
-    return history.filter(F.col("from_state").isNotNull()).select("pipeline_id", F.col("from_state").alias("state"), (F.col("created_at").cast("double") - F.col("since").cast("double")).alias("seconds"))
+    return history.filter(F.col("from_state").isNotNull()).select("pipeline_id", F.col("from_state").alias("state"), (F.col("created_at").cast("timestamp").cast("double") - F.col("since").cast("timestamp").cast("double")).alias("seconds"))
 
 
 def duration_percentiles(history: DataFrame) -> DataFrame:

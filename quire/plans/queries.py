@@ -177,7 +177,7 @@ def fts_rebuild_stats(lib):
 
 @query()
 def bm25_stemmed(lib):
-    return X.bm25(X.stemmed_postings(lib.chapters.select("id", "title", "content")), "license", 10).select("id", F.round("score", 3).alias("score"))
+    return X.bm25(X.stemmed_postings(lib.chapters.select("id", "title", "content")), " ".join(X.fold("licenses")), 10).select("id", F.round("score", 3).alias("score"))
 
 
 _FUSE = f"""{_hits("term = 'the'")}, {SCORED}, kw AS (SELECT id AS chapter_id, row_number() OVER (ORDER BY score DESC, id) AS pos FROM (SELECT * FROM ranked ORDER BY score DESC, id LIMIT 30)),

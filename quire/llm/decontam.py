@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise, small
 
-RATE = 0.06
+RATE = 0.08
 #: Characters of items that one automaton holds; more items are matched in several passes over the texts.
 CHUNK_CHARS = 4_000_000
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("ends_at", pa.int32())])

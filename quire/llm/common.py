@@ -47,7 +47,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     at = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}-{name}"
     df.write.parquet(at)
     _written.append(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of materialise() that nothing will read again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _written.remove(df.stored_at)
 
 
 def release(spark: SparkSession) -> None:

@@ -42,12 +42,14 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from . import kernels
-from .common import map_arrow, materialise, small
+from .common import discard, map_arrow, materialise, small
 from .components import components
 
 #: Pairs for each member of the remaining blocks up to which all are compared, rather than stars: a bound that
 #: keeps the comparisons in proportion to the members.
 PAIRS_EACH = 8
+#: Keys (of 8 bytes) of shared blocks up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 #: Blocks for each block in which linked sets may differ at most.
 SPARE = 1.4
 _NO_ID = (1 << 63) - 1
@@ -155,10 +157,10 @@ class NearDuplicates:
         self.spark: SparkSession = docs.sparkSession
         ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id")
         self.rows = docs.select(ident, F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("text_hash"), "text")
-        self.sets, self.classes = self._sets()
+        self.filed, self.sets, self.classes = self._sets()
 
-    def _sets(self) -> tuple[DataFrame, DataFrame]:
-        """One row for each document, and one for each distinct set. A set is known by a 64-bit hash; if two sets
+    def _sets(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """One row for each document, with and without the filed keys, and one for each distinct set. A set is known by a 64-bit hash; if two sets
         share one, which a second hash shows, all are hashed anew."""
         for seed in range(8):
             sketch = partial(_sketch, width=self.width, threshold=self.threshold, seed=seed)
@@ -166,7 +168,7 @@ class NearDuplicates:
             of = sets.filter("n > 0").groupBy("cid").agg(F.min("id").alias("rep"), F.count("*").alias("docs"), F.min("twin").alias("t1"), F.max("twin").alias("t2"))
             classes = materialise(of, "classes")
             if classes.filter("t1 <> t2").isEmpty():
-                return sets, classes.drop("t1", "t2")
+                return sets, materialise(sets.drop("twin", "keys"), "documents"), classes.drop("t1", "t2")
         raise RuntimeError("set hashes keep colliding")
 
     def _texts(self, classes: DataFrame) -> DataFrame:
@@ -186,9 +188,10 @@ class NearDuplicates:
 
     def components(self) -> DataFrame:
         """node, label: the component of every class that links with another."""
-        filed = self.sets.filter(F.size("keys") > 0).select("cid", F.explode("keys").alias("key"))
+        filed = self.filed.filter(F.size("keys") > 0).select("cid", F.explode("keys").alias("key"))
         shared = filed.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).filter("first < last").select("key")
-        blocks = materialise(filed.join(materialise(shared, "shared-blocks"), "key").distinct(), "blocks")
+        blocks = materialise(filed.join(small(materialise(shared, "shared-blocks"), BROADCAST_KEYS), "key").distinct(), "blocks")
+        discard(self.filed)
         links = labels = None
         while True:
             compared = self._compare(self._stars(blocks))
@@ -256,18 +259,21 @@ class NearDuplicates:
         return kept.join(several, "key").select("key", "cid", "own", "label").distinct()
 
     def clusters(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, class_rep: one row for each row of the documents."""
+        """doc_id, n_shingles, component_id, class_rep, text_hash: one row for each row of the documents."""
         labels = self.components()
         lone = self.classes.join(labels, self.classes.cid == labels.node, "left").withColumn("label", F.coalesce("label", "cid"))
         least = lone.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("k"), F.max("docs").alias("d")).filter("k > 1 OR d > 1")
         of = materialise(lone.join(least, "label").select("cid", "component", "rep"), "component-of")
-        out = self.sets.select("id", "n", "cid").join(small(of), "cid", "left")
+        out = self.sets.join(small(of), "cid", "left")
         null = lambda c: F.when(c != _NO_ID, c)
-        return out.select(null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("component", "id")).alias("component_id"), null(F.coalesce("rep", "id")).alias("class_rep"))
+        return out.select(
+            null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("component", "id")).alias("component_id"), null(F.coalesce("rep", "id")).alias("class_rep"), "text_hash"
+        )
 
 
 def keep_first(docs: DataFrame, width: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the document with the smallest id of each component; documents without words all stay."""
     found = NearDuplicates(docs, width, threshold, id_col, text_col).clusters()
-    dropped = materialise(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    return docs.join(small(dropped), F.col(id_col).cast("long").eqNullSafe(F.col("_dropped")), "left_anti")
+    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_dropped")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_hash"))
+    return docs.join(small(materialise(dropped, "dropped")), same, "left_anti")

@@ -105,7 +105,7 @@ def test_packing_round_trip(spark, texts):
             assert r.offset == at
             at += r.length
         assert at == 256 or s == len(seq) - 1
-    assert packing.sequences(pieces).filter("n = 256").count() == len(seq) - 1 or at == 256
+    assert packing.sequences(pieces).filter("n = 256").count() == sum(r.length for parts in by.values() for r in parts) // 256
 
 
 def test_packing_other_vocabulary_and_empty(spark):
@@ -329,7 +329,7 @@ def test_near_duplicates_edges(spark):
     got = jaccard.NearDuplicates(docs, 5, 80).clusters().collect()
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, 9), (1, 1), (2, 2), (4, 2), (4, 2), (9, 9)]
     kept = jaccard.keep_first(docs, 5, 80)
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 2, 9] or sorted((r.doc_id or -1) for r in kept.collect()) == [1, 2, 9]
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, ""), (1, ""), (2, "A B C D E F"), (9, "a b")]
     assert kept.columns == docs.columns
     assert jaccard.NearDuplicates(frame(spark, []), 4, 85).clusters().count() == 0
 

@@ -12,6 +12,7 @@ import pytest
 from quire.functions import text as T
 from quire.functions import vectors as V
 from quire.operators import auditing, chunking, evaluation, fulltext, governance, integrity, learning, search
+from quire.plans import queries_more  # noqa: F401
 from quire.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"

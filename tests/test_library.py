@@ -249,3 +249,32 @@ def test_tools(spark):
         with pytest.raises(InputError):
             bad()
     t.refresh()
+
+
+def test_maintenance(spark):
+    from quire.operators import maintenance as M
+
+    p = spark.createDataFrame([(1, "pending_approval", 5, "h1"), (2, "complete", 5, "h2")], "id long, state string, priority int, content_hash string")
+    after, report = M.batch_decide(p, p, "approve")
+    assert {r.id: r.state for r in after.collect()} == {1: "approved", 2: "complete"} and {r.id: r.outcome for r in report.collect()} == {1: "approve", 2: "skipped"}
+    assert {r.state for r in M.batch_decide(p, p, "reject", dry_run=True)[0].collect()} == {"pending_approval", "complete"}
+    again = M.prepare_reingest(p, p.filter("id = 2")).collect()
+    assert sorted((r.id, r.state, r.priority, r.content_hash) for r in again) == [(-2, "detected", 3, "h2"), (1, "pending_approval", 5, "h1"), (2, "archived", 5, "archived:2:h2")]
+    text = "\n\n".join(f"## Part {c}\n" + "words and more " * 60 for c in "abcd")
+    assert [t for t, _ in M.sections(text, threshold=100)] == ["Part a", "Part b", "Part c", "Part d"] and M.sections("short") == [("", "short")]
+    assert [t for t, _ in M.sections("\n\n".join(["plain text " * 300] * 4), threshold=100)] == ["Part 1", "Part 2", "Part 3", "Part 4"]
+    lost = spark.createDataFrame([(1, "/x/a.pdf", False), (2, "/x/b.pdf", True)], "id long, source_path string, live_copy boolean")
+    assert [r.value for r in M.lost_manifest(lost).collect()] == ["- [ ] again: /x/b.pdf", "- gone: /x/a.pdf"]
+
+
+def test_empty_tables(spark):
+    """Every grouped operator gives its empty or zero result on no rows."""
+    from quire.operators import analytics, integrity
+
+    c = spark.createDataFrame([], "id long, book_id string, chapter_number int, title string, content string, word_count long, content_hash string")
+    roll = analytics.book_rollup(c, spark.createDataFrame([], "chapter_id long"))
+    assert roll.count() == 0 and tuple(analytics.totals(roll).first()) == (0, 0, 0, 0, 0.0)
+    for f in (auditing.extraction_quality, auditing.chapter_audit, auditing.title_hygiene, learning.bold_terms, learning.extractive_summary, chunking.chunks, integrity.null_hashes, fulltext.postings):
+        assert f(c).count() == 0
+    p = spark.createDataFrame([], "id long, state string, updated_at timestamp, confidence double")
+    assert governance.health(p, "2024-01-31").first().status == "idle" and governance.approval_stats(p).first().total == 0

@@ -20,7 +20,7 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Rows (of a few fixed-width columns) up to which a side may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
 #: Rows of an Arrow batch at most.
-ARROW_ROWS, ROWS_SETTING = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS, ROWS_SETTING = 256, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Folders that hold the written intermediate tables of this session, oldest first.
 _written: list[str] = []
 

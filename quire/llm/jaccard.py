@@ -22,8 +22,8 @@ components go on. There the pivot P is known to each member A by their differenc
     A xor B = (A xor P) xor (B xor P)
 
 so two members link only if their differences, of sizes x and y, overlap in (x + y - D) / 2 elements, and in at
-least one unless both link with P. The rarest elements of the differences, as many as that leaves, are the next
-round's blocks, apart for each class of sizes. A group of n near copies thus costs about n comparisons in each
+least one unless both link with P. The first elements of the differences in one order, as many as that leaves,
+are the next round's blocks, apart for each class of sizes. A group of n near copies thus costs about n comparisons in each
 of a few rounds. Pairs are verified on the texts, exactly.
 
 Null texts are empty. Null ids count as the largest id. Rows that repeat an id and text are one document.
@@ -37,7 +37,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -47,7 +47,7 @@ from .components import components
 
 #: Pairs for each member of the remaining blocks up to which all are compared, rather than stars: a bound that
 #: keeps the comparisons in proportion to the members.
-PAIRS_EACH = 8
+PAIRS_EACH = 64
 #: Keys (of 8 bytes) of shared blocks up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Blocks for each block in which linked sets may differ at most.
@@ -55,7 +55,7 @@ SPARE = 1.4
 _NO_ID = (1 << 63) - 1
 SETS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("twin", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
-COMPARED = pa.schema([("a", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_()), ("n", pa.int64()), ("delta", pa.list_(pa.int64()))])
+COMPARED = pa.schema([("a", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_()), ("n", pa.int64()), ("size", pa.int64()), ("delta", pa.list_(pa.int64()))])
 
 
 def differ(a: int, b: int, threshold: int) -> int:
@@ -124,9 +124,11 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, threshold: int, seed:
 
 
 def _compared(batches: Iterator[pa.RecordBatch], width: int, threshold: int) -> Iterator[pa.RecordBatch]:
-    """a, pivot, linked, n (size of a's set), delta (hashes of the shingles that only one of the two has).
+    """a, pivot, linked, n (size of a's set), size (of the difference), delta (hashes of its first elements).
 
-    The rows are (a, pivot, text of a, text of pivot). Sets are compared by the words themselves.
+    The rows are (a, pivot, text of a, text of pivot). Sets are compared by the words themselves. In the order of
+    a difference what only a has comes first, then what only the pivot has, each by its hash: an order that all
+    differences from the pivot share. What the pivot alone has stands in many of them, so it comes last.
     """
 
     def whole(text: str) -> set[bytes]:
@@ -135,7 +137,7 @@ def _compared(batches: Iterator[pa.RecordBatch], width: int, threshold: int) ->
 
     last, kept = None, set()
     for batch in batches:
-        linked, n, delta = [], [], []
+        linked, n, size, delta = [], [], [], []
         for one, two in zip(batch.column(2), batch.column(3), strict=True):
             if (text := two.as_py()) != last:
                 last, kept = text, whole(text)
@@ -143,8 +145,10 @@ def _compared(batches: Iterator[pa.RecordBatch], width: int, threshold: int) ->
             both = len(own & kept)
             linked.append(both > 0 and 100 * both >= threshold * (len(own) + len(kept) - both))
             n.append(len(own))
-            delta.append([xxh3_64_intdigest(x) - (1 << 63) for x in own ^ kept])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], schema=COMPARED)
+            size.append(len(own) + len(kept) - 2 * both)
+            ordered = [x for part in (own - kept, kept - own) for x in sorted(xxh3_64_intdigest(e) - (1 << 63) for e in part)]
+            delta.append(ordered[: differ(len(own), 100 * len(own) // threshold, threshold) + 1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], schema=COMPARED)
 
 
 class NearDuplicates:
@@ -184,7 +188,7 @@ class NearDuplicates:
         texts = self._texts(wanted.join(self.classes, "cid").select("cid", "rep"))
         sides = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("pivot"), F.col("text").alias("tp")), "pivot")
         check = partial(_compared, width=self.width, threshold=self.threshold)
-        return materialise(map_arrow(sides.select("a", "pivot", "ta", "tp"), check, "a long, pivot long, linked boolean, n long, delta array<long>"), "compared")
+        return materialise(map_arrow(sides.select("a", "pivot", "ta", "tp"), check, "a long, pivot long, linked boolean, n long, size long, delta array<long>"), "compared")
 
     def components(self) -> DataFrame:
         """node, label: the component of every class that links with another."""
@@ -207,16 +211,26 @@ class NearDuplicates:
             if not rows:
                 return labels
             if pairs <= PAIRS_EACH * rows:
-                found = self._compare(self._pairs(blocks)).filter("linked").select("a", F.col("pivot").alias("b"))
+                found = self._compare(self._pairs(blocks, compared)).filter("linked").select("a", F.col("pivot").alias("b"))
                 return components(links.unionByName(found)) if not self._across(found, labels).isEmpty() else labels
             blocks = blocks.select("key", "cid").distinct()
 
-    @staticmethod
-    def _pairs(blocks: DataFrame) -> DataFrame:
-        """a, pivot: members of a block that are in different components, one of them of the block's own class."""
-        other = blocks.filter("own").select("key", F.col("cid").alias("pivot"), F.col("label").alias("other"))
-        found = blocks.join(other, "key").filter("label <> other")
-        return found.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("pivot"))
+    def _pairs(self, blocks: DataFrame, compared: DataFrame) -> DataFrame:
+        """a, pivot: members of a block that are in different components, one of them of the block's own class.
+
+        Where both differences from the block's pivot are known in full, only pairs go on that link by their count.
+        """
+        other = blocks.filter("own").select("key", F.col("cid").alias("b"), F.col("label").alias("other"), F.col("n").alias("n2"), F.col("size").alias("size2"), F.col("rank").alias("rank2"))
+        d = lambda one, two: f"({100 - self.threshold} * ({one} + {two})) div {100 + self.threshold}"
+        # Where two differences first meet, enough of both must follow for the overlap that a link needs.
+        enough = F.expr(f"2 * (1 + least(size - rank, size2 - rank2)) >= size + size2 - {d('n', 'n2')}")
+        found = blocks.join(other, "key").filter((F.col("label") != F.col("other")) & enough)
+        found = found.select(F.greatest("cid", "b").alias("a"), F.least("cid", "b").alias("b"), "via").distinct()
+        side = lambda c: compared.select(F.col("a").alias(c), F.col("pivot").alias("via"), *(F.col(x).alias(f"{c}_{x}") for x in ("n", "size", "delta")))
+        both = found.join(side("a"), ["a", "via"]).join(side("b"), ["b", "via"])
+        known = (F.size("a_delta") == F.col("a_size")) & (F.size("b_delta") == F.col("b_size"))
+        apart = F.col("a_size") + F.col("b_size") - 2 * F.size(F.array_intersect("a_delta", "b_delta"))
+        return both.filter(~known | (apart <= F.expr(d("a_n", "b_n")))).select("a", F.col("b").alias("pivot"))
 
     @staticmethod
     def _across(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -235,28 +249,28 @@ class NearDuplicates:
         return weighed.select("key", "cid").join(pivot, "key").filter("cid <> pivot").select(F.col("cid").alias("a"), "pivot")
 
     def _next(self, compared: DataFrame, labels: DataFrame) -> DataFrame:
-        """key, cid: blocks of the next round, by the rarest elements of the differences from the pivots.
+        """key, cid, via (the pivot), own, label, n, size, rank: blocks of the next round, by the first elements of the differences.
 
         Only pivots whose members are in several components go on, and of their blocks those that hold several.
         """
         most = F.floor(F.lit(100 - self.threshold) * (F.col("n") + F.floor(F.lit(100) * F.col("n") / self.threshold)) / F.lit(100 + self.threshold))
-        named = compared.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-        mixed = named.groupBy("pivot").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.max(most).alias("d")).filter("l1 < l2").select("pivot", "d")
+        named = compared.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a")).withColumn("d", most)
+        mixed = named.groupBy("pivot").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("d").alias("widest")).filter("l1 < l2").select("pivot", "widest")
         mixed = small(materialise(mixed, "mixed"))
         # Of a pair, one at least isn't linked with the pivot: members linked with it are all in one component.
-        each = named.join(mixed, "pivot").select("pivot", "a", "label", "d", F.size("delta").alias("size"), F.explode("delta").alias("element"))
-        many = each.groupBy("pivot", "element").agg(F.count("*").alias("times"))
-        rank = F.row_number().over(Window.partitionBy("pivot", "a").orderBy("times", "element"))
-        kept = each.join(many, ["pivot", "element"]).withColumn("rank", rank).filter(F.col("rank") <= F.col("d") + 1).filter("times > 1")
+        each = named.join(mixed, "pivot").select("pivot", "a", "label", "n", "d", "widest", "size", F.posexplode("delta").alias("rank", "element"))
+        each = materialise(each.withColumn("rank", F.col("rank").cast("long") + 1), "elements")
+        many = each.groupBy("pivot", "element").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 < l2").select("pivot", "element")
+        kept = each.join(many, ["pivot", "element"])
         # The smaller of two differences, of sizes x <= y, is filed under its size class by (d + x - y) / 2 + 1 elements or
         # more, the larger by (d + y - x) / 2 + 1, under each class where a smaller one may be.
-        kept = kept.withColumn("step", F.greatest(F.lit(1).cast("long"), F.expr("d div 8"))).withColumn("low", F.expr("greatest(0, size - d) div step"))
+        kept = kept.withColumn("step", F.greatest(F.lit(1).cast("long"), F.expr("widest div 8"))).withColumn("low", F.expr("greatest(0, size - d) div step"))
         high = F.expr("least(size div step, (size + d - 2 * (rank - 1)) div step)")
-        kept = kept.withColumn("class", F.explode(F.sequence("low", high)))
-        kept = kept.select(F.xxhash64("pivot", "class", "element").alias("key"), F.col("a").alias("cid"), "label", F.expr("class = size div step").alias("own"))
-        kept = materialise(kept, "elements")
+        kept = kept.withColumn("class", F.explode(F.when(F.col("rank") <= F.col("d") + 1, F.sequence("low", F.greatest("low", high)))))
+        kept = kept.select(F.xxhash64("pivot", "class", "element").alias("key"), F.col("a").alias("cid"), F.col("pivot").alias("via"), "label", F.expr("class = size div step").alias("own"), "n", "size", "rank")
+        kept = materialise(kept, "filed-elements")
         several = kept.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.bool_or("own").alias("any_own")).filter("l1 < l2 AND any_own").select("key")
-        return kept.join(several, "key").select("key", "cid", "own", "label").distinct()
+        return kept.join(several, "key")
 
     def clusters(self) -> DataFrame:
         """doc_id, n_shingles, component_id, class_rep, text_hash: one row for each row of the documents."""

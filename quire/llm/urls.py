@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import small
 
-RULE_SCHEMA = "rule_id long, name string, pattern string, action string, rank long, tokens array<string>"
 #: What separates the tokens of a url.
 SEPARATOR = "[^a-z0-9]+"
 
@@ -39,10 +38,10 @@ class UrlRule(NamedTuple):
 def host_rule(host: str, path: str, action: str) -> UrlRule:
     """Fits the host, its subdomains, and paths that start with path. The longest rule wins."""
     name = host + path
-    whole = re.split(SEPARATOR, name.lower()) if not name or re.match(SEPARATOR, name[-1].lower()) else re.split(SEPARATOR, name.lower())[:-1]
-    if not path:
-        whole = re.split(SEPARATOR, host)
-    return UrlRule(name, r"^(?:[^/]*\.)?" + re.escape(name).replace("/", "/") + ("(?:/|$)" if not path else ""), action, len(name), tuple(t for t in whole if t))
+    tokens = re.split(SEPARATOR, name.lower())
+    if path and not re.search(SEPARATOR + "$", path.lower()):
+        tokens.pop()  # the path may go on within this token
+    return UrlRule(name, r"^(?:[^/]*\.)?" + re.escape(name) + ("" if path else "(?:/|$)"), action, len(name), tuple(t for t in tokens if t))
 
 
 def word_rule(word: str, action: str = "block") -> UrlRule:
@@ -57,7 +56,9 @@ UNWANTED = tuple(map(word_rule, ("adult", "adult-x", "bets", "betting", "casino"
 
 
 def rules_frame(spark: SparkSession, rules: Iterable[UrlRule]) -> DataFrame:
-    return spark.createDataFrame([(i, r.name, r.pattern, r.action, r.rank, list(r.tokens)) for i, r in enumerate(rules)], RULE_SCHEMA)
+    """rule_id, name, pattern, action, rank, tokens. Long lists come as a table with these columns."""
+    rows = [F.struct(F.lit(i).cast("long").alias("rule_id"), F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern"), F.lit(r.action).alias("action"), F.lit(r.rank).cast("long").alias("rank"), F.array(*map(F.lit, r.tokens)).cast("array<string>").alias("tokens")) for i, r in enumerate(rules)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def host_of(url: str) -> Column:

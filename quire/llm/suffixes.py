@@ -86,7 +86,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep[1:] |= same
         keep[:-1] |= same
         if first and len(rows):
-            keep[0], first = True, False
+            # A lone row is held, not emitted: it is still the first one in the next batch.
+            keep[0], first = True, len(rows) < 2
         # The last two rows wait for what follows; the older one is there for comparison only.
         done = rows[: max(0, len(rows) - 1)][keep[: max(0, len(rows) - 1)]]
         held = rows[-2:] if len(rows) > 1 else rows

@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("quire.llm")
@@ -194,6 +195,26 @@ def test_repeated_passages_edges(spark):
     assert suffixes.repeats(frame(spark, [])).count() == 0
 
 
+def kept_suffixes(*ranges, batch):
+    """What _compare keeps of sorted ranges, each read in batches of so many rows."""
+    out = set()
+    for rows in ranges:
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a : a + batch])], names=["grams", "text_hash", "places"]) for a in range(0, len(rows), batch)]
+        out |= {(t, p) for b in suffixes._compare(iter(parts)) for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    return out
+
+
+def test_suffix_that_opens_a_range_is_kept_however_many_copies_it_has():
+    before, after = [(1, 1, 0), (7, 2, 5)], [(7, 3, 4)] * 300 + [(8, 4, 0), (9, 5, 0)]
+    assert {(2, 5), (3, 4)} <= kept_suffixes(before, after, batch=256)
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(12), rng.randrange(6), rng.randrange(2)) for _ in range(30) for _ in range(rng.choice((1, 1, 9))))
+    alike = {(t, p) for g, t, p in rows if any(g == h and (t, p) != (u, q) for h, u, q in rows)}
+    for cut in (c for c in range(1, len(rows)) if rows[c] != rows[c - 1]):
+        for batch in (1, 3, 4, 256):
+            assert alike <= kept_suffixes(rows[:cut], rows[cut:], batch=batch)
+
+
 # -- op 5 --------------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -216,6 +217,16 @@ def mmr_diverse(lib):
     return S.mmr(lib.search_rows.select("id", "embedding").join(F.broadcast(found), "id").withColumn("query_id", F.lit(0).cast("long")), 0.7, 10)  # thirty rows
 
 
+def _blocks(queries: DataFrame, rows: int = 1000) -> Iterator[list[tuple[int, list[float]]]]:
+    """All queries (id, embedding) in order of id, at most so many at a time; one empty block if there are none."""
+    block = queries.select("id", "embedding").orderBy("id").limit(rows).collect()
+    yield [(r[0], list(r[1])) for r in block]
+    while len(block) == rows:
+        block = queries.filter(F.col("id") > block[-1][0]).select("id", "embedding").orderBy("id").limit(rows).collect()
+        if block:
+            yield [(r[0], list(r[1])) for r in block]
+
+
 @query(
     "SELECT count(*) AS n, round(avg(coalesce((place <= 5)::INT::DOUBLE, 0)), 6) AS hit_at_k, round(avg(coalesce(1.0 / place, 0)), 6) AS mrr FROM qs LEFT JOIN f USING (qid)",
     "qs AS (SELECT id AS qid, label, embedding FROM chunks WHERE id % 25 = 0), rk AS (SELECT qid, c.id, c.label = qs.label AS hit, row_number() OVER (PARTITION BY qid ORDER BY list_cosine_similarity(c.embedding, qs.embedding) DESC, c.id) AS place FROM qs JOIN chunks c ON c.id <> qid), f AS (SELECT qid, min(place) AS place FROM rk WHERE hit AND place <= 50 GROUP BY qid)",
@@ -224,8 +235,7 @@ def eval_hit_mrr(lib):
     from pyspark.sql import Window
 
     q = lib.chunks.filter("id % 25 = 0").select("id", "embedding", "label")
-    queries = [(r[0], list(r[1])) for r in q.select("id", "embedding").orderBy("id").limit(1000).collect()]  # a gold set, bounded
-    near = V.score_queries(lib.chunks, queries, "id", "embedding", -2.0).filter("id <> query_id")
+    near = reduce(DataFrame.unionAll, (V.nearest(lib.chunks, block, "id", "embedding", 50) for block in _blocks(q)))
     place = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).filter("place <= 50")
     ranked = place.join(lib.chunks.select("id", F.col("label").alias("target")), "id").select("query_id", "target", "place")
     gold = q.select(F.col("id").alias("query_id"), F.col("label").alias("target"))

@@ -50,6 +50,33 @@ def test_query_equals_sql(spark, duck, name):
         assert got == want
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("n", [1, 1000, 2100])
+def test_every_gold_query_is_ranked(spark, tmp_path, n):
+    """More gold queries than one block holds, exactly one block, and one query that has only itself."""
+    rng = np.random.default_rng(5)
+    rows = [(25 * i, [float(x) for x in rng.normal(size=8).astype(np.float32)], int(rng.integers(40))) for i in range(n)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path if t == 'embeddings' else DATA}/{t}.parquet{'/*.parquet' if t == 'embeddings' else ''}'")
+    r = c.execute(ORACLE_SQL["eval_hit_mrr"])
+    want = dict(zip((d[0] for d in r.description), r.fetchone(), strict=True))
+    assert want["n"] == n and QUERIES["eval_hit_mrr"](spark, str(tmp_path)).first().asDict() == want
+
+
+def test_nearest_is_brute_force(spark):
+    """Ties (copies, vectors of length 0) by id, over slices and partitions; a vector is not its own neighbour."""
+    vectors = [(i, [float(i % 7), float(i % 5), 1.0] if i % 11 else [0.0, 0.0, 0.0]) for i in range(300)]
+    df = spark.createDataFrame(vectors, "id long, v array<float>").repartition(3)
+    rows = V.nearest(df, vectors[::20], "id", "v", 10, rows=16).collect()
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-300)
+    for q, v in vectors[::20]:
+        want = sorted((-round(float(unit(v) @ unit(x)), 12), i) for i, x in vectors if i != q)[:10]
+        assert sorted((-r.similarity, r.id) for r in rows if r.query_id == q)[:10] == want
+    assert V.nearest(df, [], "id", "v", 10).count() == 0
+
+
 def one(spark, column, *values):
     return [r[0] for r in spark.createDataFrame([(v,) for v in values], "x string").select(column).collect()]
 

@@ -11,7 +11,7 @@ from ..operators import fulltext as X
 from ..operators import governance as G
 from ..operators import learning as L
 from ..operators import maintenance as M
-from .queries import query
+from .queries import _TOK, query
 
 
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN source_path ELSE '/lib/' || substr(source_path, 5) END AS path FROM pipelines")
@@ -138,12 +138,29 @@ def related_concepts(lib):
     return lib.chapters.select("id", "title", first.alias("r")).filter("r = 1").orderBy("id").limit(20).select("id", "title")
 
 
+def renewed(chapters):
+    """The texts after one document has got another one."""
+    return chapters.select("id", "title", F.when(F.col("id") == 3, "a renewed text of the document").otherwise(F.col("content")).alias("content"))
+
+
+def synced(chapters):
+    """One document is replaced in the index: its postings go, new ones come."""
+    index = X.postings(chapters.select("id", "title", "content"))
+    fresh = X.postings(renewed(chapters).filter("id = 3"))
+    return index.join(fresh.select("id").distinct(), "id", "left_anti").unionByName(fresh)
+
+
 @query("SELECT count(DISTINCT id) AS documents FROM chapters")
 def fts_sync(lib):
-    """One document is replaced in the index: its postings go, new ones come."""
-    index = X.postings(lib.chapters.select("id", "title", "content"))
-    fresh = X.postings(lib.chapters.filter("id = 3").select("id", "title", "content"))
-    return index.join(fresh.select("id").distinct(), "id", "left_anti").unionByName(fresh).agg(F.count_distinct("id").alias("documents"))
+    """Documents all of whose words are in the index after the sync, and no others."""
+    own = renewed(lib.chapters).select("id", F.size(X.tokens(F.concat_ws(" ", "title", "content"))).alias("n"))
+    return X.lengths(synced(lib.chapters)).join(own, "id").filter("dl = n").agg(F.count("*").alias("documents"))
+
+
+@query("SELECT term, count(*) AS documents, sum(tf)::BIGINT AS tf FROM post GROUP BY term", _TOK.replace("content), '", "CASE WHEN id = 3 THEN 'a renewed text of the document' ELSE content END), '"))
+def fts_sync_terms(lib):
+    """The whole index after the sync, by term."""
+    return synced(lib.chapters).groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("tf"))
 
 
 @query("SELECT id, CASE WHEN q = 1 AND t = 0 THEN 'approved' ELSE 'rejected' END AS decision FROM (SELECT doc_id AS id, quality AS q, toxic AS t FROM labels) WHERE id % 5 = 0")
@@ -152,14 +169,28 @@ def spot_check_writeback(lib):
     return rows.select(F.col("doc_id").alias("id"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "approved").otherwise("rejected").alias("decision"))
 
 
-@query("SELECT count(DISTINCT chapter_id) AS chapters FROM (SELECT id AS chapter_id FROM chapters WHERE word_count > 0)")
-def staged_rechunk(lib):
-    """Chunks of all chapters, with the vectors of stored chunks of equal hash."""
+def rechunked(chapters):
+    """chapter_id, chunks, last, words, reused: chunks of all chapters, with the vectors of stored chunks of equal hash (those of even chapters)."""
     from ..operators.integrity import reuse_vectors
 
-    fresh = C.chunks(lib.chapters.select("id", "content"))
+    fresh = C.chunks(chapters.select("id", "content"))
     stored = fresh.filter("chapter_id % 2 = 0").select("chapter_id", "content_hash", F.col("chunk_index").alias("id"), F.lit(1.0).alias("embedding"))
-    return reuse_vectors(fresh, stored).agg(F.count_distinct("chapter_id").alias("chapters"))
+    each = reuse_vectors(fresh, stored).groupBy("chapter_id")
+    return each.agg(F.count("*").alias("chunks"), F.max("chunk_index").alias("last"), F.sum("word_count").alias("words"), F.count("embedding").alias("reused"))
+
+
+@query("SELECT count(DISTINCT chapter_id) AS chapters FROM (SELECT id AS chapter_id FROM chapters WHERE word_count > 0)")
+def staged_rechunk(lib):
+    """Chapters whose chunks are numbered without a gap, hold no fewer words than the text and have all the vectors stored for them."""
+    own = lib.chapters.select(F.col("id").alias("chapter_id"), F.col("word_count").alias("own"))
+    whole = (F.col("chunks") == F.col("last") + 1) & (F.col("words") >= F.col("own")) & (F.col("reused") == F.when(F.col("chapter_id") % 2 == 0, F.col("chunks")).otherwise(0))
+    return rechunked(lib.chapters).join(own, "chapter_id").filter(whole).agg(F.count("*").alias("chapters"))
+
+
+@query()
+def staged_rechunk_chapters(lib):
+    """What the re-chunk makes, by chapter; SQL cannot express the fold over sentences."""
+    return rechunked(lib.chapters).drop("last")
 
 
 @query("SELECT book_type, count(*) AS n, count(*) FILTER (WHERE decision = 'approved') AS correct, round(count(*) FILTER (WHERE decision = 'approved') / count(*), 4) AS accuracy FROM feedback GROUP BY book_type")

@@ -77,6 +77,44 @@ def test_nearest_is_brute_force(spark):
     assert V.nearest(df, [], "id", "v", 10).count() == 0
 
 
+class Shelf:
+    """A library of these chapters only."""
+
+    def __init__(self, spark, texts):
+        rows = [(i, f"title {i}", t, len((t or "").split())) for i, t in texts.items()]
+        self.chapters = spark.createDataFrame(rows, "id long, title string, content string, word_count int")
+
+
+def test_rechunk_keeps_every_chunk_and_vector(spark, monkeypatch):
+    para = lambda i, n: " ".join(f"Sentence {i} {k} of this text." for k in range(n))
+    texts = {1: "\n\n".join(para(i, 40) for i in range(9)), 2: "\n\n".join(para(i, 60) for i in range(7)), 4: "\n\n".join([para(0, 90)] * 6), 5: para(5, 700), 6: para(6, 700), 7: "word", 8: "", 9: None}
+    parts = {i: chunking.chunk(t or "") for i, t in texts.items()}
+    assert all(s in " ".join(parts[i]) for i, t in texts.items() for s in (t or "").replace("\n\n", " ").split(". "))
+    want = {(i, len(p), sum(len(x.split()) for x in p), len(p) if i % 2 == 0 else 0) for i, p in parts.items() if p}
+    shelf = Shelf(spark, texts)
+    got = queries_more.staged_rechunk_chapters(shelf).select("chapter_id", "chunks", "words", "reused").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want and queries_more.staged_rechunk(shelf).first().chapters == 6
+    made, reuse = chunking.chunks, integrity.reuse_vectors
+    for lost in ("chunk_index <> 1", "NOT (chapter_id = 5 AND chunk_index > 1)"):
+        monkeypatch.setattr(chunking, "chunks", lambda d, lost=lost: made(d).filter(lost))
+        assert queries_more.staged_rechunk(shelf).first().chapters < 6
+    monkeypatch.setattr(chunking, "chunks", made)
+    monkeypatch.setattr(integrity, "reuse_vectors", lambda f, s: reuse(f, s.filter("id > 0")))
+    assert queries_more.staged_rechunk(shelf).first().chapters < 6
+
+
+def test_sync_replaces_all_postings_of_a_document(spark, monkeypatch):
+    texts = {1: "the cat and the dog", 2: "a dog", 3: "the old text old", 4: "cat"}
+    shelf = Shelf(spark, texts)
+    words = [(i, w) for i, t in (texts | {3: "a renewed text of the document"}).items() for w in f"title {i} {t}".split()]
+    want = {(w, len({i for i, x in words if x == w}), sum(x == w for _, x in words)) for _, w in words}
+    got = queries_more.fts_sync_terms(shelf).select("term", "documents", "tf").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want and queries_more.fts_sync(shelf).first().documents == 4
+    made = fulltext.postings
+    monkeypatch.setattr(fulltext, "postings", lambda d: made(d).filter("term <> 'dog' AND term <> 'renewed'"))
+    assert queries_more.fts_sync(shelf).first().documents == 1
+
+
 def one(spark, column, *values):
     return [r[0] for r in spark.createDataFrame([(v,) for v in values], "x string").select(column).collect()]
 

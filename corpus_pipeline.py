@@ -13,40 +13,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import decontam, jaccard, lines, packing, rules
-from quire.llm.common import release, shared_dir, table
+from quire.llm.common import remove, shared_dir, table, tables
 from quire.llm.queries import tokenizer_path
 
+#: The stages' intermediate tables; a stage deletes those of the one before, whose result is stored by then.
+SCOPE = "pipeline"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break a rule of the strict policy go."""
-    release(spark)
-    return rules.keep(docs)
+    with tables(spark, SCOPE):
+        return rules.keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line windows are cut from the texts; documents of which no word is left go."""
-    release(spark)
-    cleaned = lines.dedup(docs)
+    with tables(spark, SCOPE):
+        cleaned = lines.dedup(docs)
     kept = cleaned.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by a Jaccard similarity of 0.8 or more on five-word shingles, the smallest id stays."""
-    release(spark)
-    return jaccard.keep_first(docs, width=5, threshold=80)
+    with tables(spark, SCOPE):
+        return jaccard.keep_first(docs, width=5, threshold=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item within its error budget go."""
-    release(spark)
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+    with tables(spark, SCOPE):
+        return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
-    release(spark)
-    return packing.pack(docs, tokenizer_path()).drop("ids")
+    """The pieces of the packed sequences, with their ids; packing.sequences() puts them together."""
+    with tables(spark, SCOPE):
+        return packing.pack(docs, tokenizer_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -62,9 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces that STAGES make of all documents."""
-    docs, at = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/quire-pipeline-{uuid.uuid4().hex}"
+    """The pieces that STAGES make of all documents. The result of a stage is deleted when the next one's is stored."""
+    docs, at, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/quire-pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
-    return docs
+        if before:
+            remove(spark, before)
+        before = f"{at}/{name}"
+    with tables(spark, SCOPE):
+        return docs

@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,9 @@ SPACE = r"[\x20\x09-\x0D]"
 BROADCAST_ROWS = 200_000
 #: Rows of an Arrow batch at most.
 ARROW_ROWS, ROWS_SETTING = 256, "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Folders that hold the written intermediate tables of this session, oldest first.
-_written: list[str] = []
+#: For each scope the folders of its intermediate tables, and the scope that tables now go to.
+_written: dict[str | None, list[str]] = {None: []}
+_scope: list[str | None] = [None]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: the session's spark.checkpoint.dir.
 
-    Where the setting is absent (tests, a laptop) a folder of this machine is set once.
+    Where the setting is absent (tests, a laptop) a folder of this machine is set once; a cluster must have it.
     """
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -46,25 +50,41 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}-{name}"
     df.write.parquet(at)
-    _written.append(at)
+    _written[_scope[-1]].append(at)
     out = spark.read.schema(df.schema).parquet(at)
     out.stored_at = at
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of materialise() that nothing will read again."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    _written.remove(df.stored_at)
+def remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that materialise() has written; for callers that have stored their results."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+def discard(df: DataFrame) -> None:
+    """Delete a table of materialise() that nothing will read again."""
+    remove(df.sparkSession, df.stored_at)
+    for written in _written.values():
+        if df.stored_at in written:
+            written.remove(df.stored_at)
+
+
+def release(spark: SparkSession, scope: str | None = None) -> None:
+    """Delete the tables of one scope; for callers that have stored their results."""
+    while written := _written.get(scope):
+        remove(spark, written.pop())
+
+
+@contextmanager
+def tables(spark: SparkSession, scope: str) -> Iterator[None]:
+    """Inside, materialise() writes tables of this scope; those from before, whose readers must be done, are deleted."""
+    release(spark, scope)
+    _written.setdefault(scope, [])
+    _scope.append(scope)
+    try:
+        yield
+    finally:
+        _scope.pop()
 
 
 def ship(spark: SparkSession) -> None:

@@ -21,19 +21,28 @@ components go on. There the pivot P is known to each member A by their differenc
 
     A xor B = (A xor P) xor (B xor P)
 
-so two members link only if their differences, of sizes x and y, overlap in (x + y - D) / 2 elements, and in at
-least one unless both link with P. The first elements of the differences in one order, as many as that leaves,
-are the next round's blocks, apart for each class of sizes. A group of n near copies thus costs about n comparisons in each
-of a few rounds. Pairs are verified on the texts, exactly.
-
-Null texts are empty. Null ids count as the largest id. Rows that repeat an id and text are one document.
-An empty table gives an empty result. Other columns are ignored, and passed on by `keep_first`.
+so two members link only if their differences, of sizes x and y, share (x + y - D) / 2 elements, and at least one
+unless both link with P. Each difference is put into one order, in which elements found in one component alone come
+first and of the others the rarest: so what all members share with each other against P comes last. Of two lists
+with that many elements in common the first few share one; as many as the sizes leave are the next round's blocks,
+apart for each class of sizes. Near copies that only resemble each other by their common source have nothing in
+common there and meet no more.
+
+Rounds. In round r the pairs of the remaining blocks that positions leave are compared directly if they are at most 2**r
+times the blocks' members; else each block is compared with a pivot again, and the pivots drop out. So the work of a
+round is bounded by its members and doubles at most, and a block of n members takes about log2(n) rounds. Pairs are
+verified on the texts, exactly.
+
+Null texts are empty. Null ids rank behind all others. An empty table gives an empty result. Other columns are
+ignored, and passed on by `keep_first`. Rows that repeat an id and text are one document, of which `keep_first` keeps
+one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +54,15 @@ from . import kernels
 from .common import discard, map_arrow, materialise, small
 from .components import components
 
-#: Pairs for each member of the remaining blocks up to which all are compared, rather than stars: a bound that
-#: keeps the comparisons in proportion to the members.
-PAIRS_EACH = 64
+#: Pairs in the remaining blocks for each of their members, in the first round, up to which positions are compared.
+LISTED = 8
 #: Keys (of 8 bytes) of shared blocks up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Blocks for each block in which linked sets may differ at most.
 SPARE = 1.4
-_NO_ID = (1 << 63) - 1
 SETS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("twin", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
-COMPARED = pa.schema([("a", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_()), ("n", pa.int64()), ("size", pa.int64()), ("delta", pa.list_(pa.int64()))])
+COMPARED = pa.schema([("a", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_()), ("n", pa.int64()), ("delta", pa.list_(pa.int64()))])
 
 
 def differ(a: int, b: int, threshold: int) -> int:
@@ -124,11 +131,9 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, threshold: int, seed:
 
 
 def _compared(batches: Iterator[pa.RecordBatch], width: int, threshold: int) -> Iterator[pa.RecordBatch]:
-    """a, pivot, linked, n (size of a's set), size (of the difference), delta (hashes of its first elements).
+    """a, pivot, linked, n (size of a's set), delta (hashes of the elements that only one of the two has).
 
-    The rows are (a, pivot, text of a, text of pivot). Sets are compared by the words themselves. In the order of
-    a difference what only a has comes first, then what only the pivot has, each by its hash: an order that all
-    differences from the pivot share. What the pivot alone has stands in many of them, so it comes last.
+    The rows are (a, pivot, text of a, text of pivot). Sets are compared by the words themselves.
     """
 
     def whole(text: str) -> set[bytes]:
@@ -137,7 +142,7 @@ def _compared(batches: Iterator[pa.RecordBatch], width: int, threshold: int) ->
 
     last, kept = None, set()
     for batch in batches:
-        linked, n, size, delta = [], [], [], []
+        linked, n, delta = [], [], []
         for one, two in zip(batch.column(2), batch.column(3), strict=True):
             if (text := two.as_py()) != last:
                 last, kept = text, whole(text)
@@ -145,10 +150,8 @@ def _compared(batches: Iterator[pa.RecordBatch], width: int, threshold: int) ->
             both = len(own & kept)
             linked.append(both > 0 and 100 * both >= threshold * (len(own) + len(kept) - both))
             n.append(len(own))
-            size.append(len(own) + len(kept) - 2 * both)
-            ordered = [x for part in (own - kept, kept - own) for x in sorted(xxh3_64_intdigest(e) - (1 << 63) for e in part)]
-            delta.append(ordered[: differ(len(own), 100 * len(own) // threshold, threshold) + 1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], schema=COMPARED)
+            delta.append([xxh3_64_intdigest(e) - (1 << 63) for e in own ^ kept])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], schema=COMPARED)
 
 
 class NearDuplicates:
@@ -159,46 +162,52 @@ class NearDuplicates:
             raise ValueError("threshold: a percentage")
         self.width, self.threshold = width, threshold
         self.spark: SparkSession = docs.sparkSession
-        ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id")
-        self.rows = docs.select(ident, F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("text_hash"), "text")
+        self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("text_hash"), "text")
         self.filed, self.sets, self.classes = self._sets()
+        self._labels: DataFrame | None = None
 
     def _sets(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """One row for each document, with and without the filed keys, and one for each distinct set. A set is known by a 64-bit hash; if two sets
-        share one, which a second hash shows, all are hashed anew."""
+        """One row for each document, with and without the filed keys, and one for each distinct set: its first document,
+        and how many there are. A set is known by a 64-bit hash; if two sets share one, which a second hash shows, all
+        are hashed anew."""
         for seed in range(8):
             sketch = partial(_sketch, width=self.width, threshold=self.threshold, seed=seed)
             sets = materialise(map_arrow(self.rows, sketch, "id long, text_hash long, n long, cid long, twin long, keys array<long>"), "sets")
-            of = sets.filter("n > 0").groupBy("cid").agg(F.min("id").alias("rep"), F.count("*").alias("docs"), F.min("twin").alias("t1"), F.max("twin").alias("t2"))
-            classes = materialise(of, "classes")
+            first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
+            of = sets.filter("n > 0").groupBy("cid").agg(first, F.count("*").alias("docs"), F.min("twin").alias("t1"), F.max("twin").alias("t2"))
+            classes = materialise(of.select("cid", F.col("first.id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), "docs", "t1", "t2"), "classes")
             if classes.filter("t1 <> t2").isEmpty():
                 return sets, materialise(sets.drop("twin", "keys"), "documents"), classes.drop("t1", "t2")
         raise RuntimeError("set hashes keep colliding")
 
     def _texts(self, classes: DataFrame) -> DataFrame:
-        """cid, text of these classes: the text of a document with the smallest id."""
-        reps = classes.join(self.sets.filter("n > 0").select("cid", "id", "text_hash"), "cid").filter("id = rep")
-        one = materialise(reps.groupBy("cid", "id").agg(F.min("text_hash").alias("text_hash")), "reps")
-        return materialise(self.rows.join(small(one), ["id", "text_hash"]).groupBy("cid").agg(F.first("text").alias("text")), "rep-texts")
+        """cid, text of these classes: the text of the first document."""
+        one = small(materialise(classes.select("cid", "rep", "rep_hash"), "reps"))
+        found = self.rows.join(one, self.rows.id.eqNullSafe(one.rep) & (self.rows.text_hash == one.rep_hash))
+        return materialise(found.groupBy("cid").agg(F.first("text").alias("text")), "rep-texts")
 
     def _compare(self, pairs: DataFrame) -> DataFrame:
-        """COMPARED for the pairs (a, pivot) of classes."""
-        pairs = materialise(pairs.distinct(), "pairs")
+        """COMPARED for the pairs (a, pivot) of classes, a stored table."""
         wanted = pairs.select(F.explode(F.array("a", "pivot")).alias("cid")).distinct()
-        texts = self._texts(wanted.join(self.classes, "cid").select("cid", "rep"))
+        texts = self._texts(wanted.join(self.classes, "cid"))
         sides = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("pivot"), F.col("text").alias("tp")), "pivot")
         check = partial(_compared, width=self.width, threshold=self.threshold)
-        return materialise(map_arrow(sides.select("a", "pivot", "ta", "tp"), check, "a long, pivot long, linked boolean, n long, size long, delta array<long>"), "compared")
+        return materialise(map_arrow(sides.select("a", "pivot", "ta", "tp"), check, "a long, pivot long, linked boolean, n long, delta array<long>"), "compared")
 
     def components(self) -> DataFrame:
         """node, label: the component of every class that links with another."""
+        if self._labels is None:
+            self._labels = self._components()
+        return self._labels
+
+    def _components(self) -> DataFrame:
         filed = self.filed.filter(F.size("keys") > 0).select("cid", F.explode("keys").alias("key"))
         shared = filed.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).filter("first < last").select("key")
         blocks = materialise(filed.join(small(materialise(shared, "shared-blocks"), BROADCAST_KEYS), "key").distinct(), "blocks")
         discard(self.filed)
         links = labels = None
-        while True:
-            compared = self._compare(self._stars(blocks))
+        for level in count(1):
+            compared = self._compare(materialise(self._stars(blocks).distinct(), "pairs"))
             found = compared.filter("linked").select("a", F.col("pivot").alias("b"))
             if links is None:
                 links, labels = found, components(found)
@@ -210,27 +219,22 @@ class NearDuplicates:
             rows, pairs = size.agg(F.sum("n"), F.sum(F.expr("own * n"))).first()
             if not rows:
                 return labels
-            if pairs <= PAIRS_EACH * rows:
-                found = self._compare(self._pairs(blocks, compared)).filter("linked").select("a", F.col("pivot").alias("b"))
-                return components(links.unionByName(found)) if not self._across(found, labels).isEmpty() else labels
+            if pairs <= LISTED * rows << level:
+                listed = materialise(self._pairs(blocks), "listed-pairs")
+                if listed.count() <= rows << level:
+                    found = self._compare(listed).filter("linked").select("a", F.col("pivot").alias("b"))
+                    return components(links.unionByName(found)) if not self._across(found, labels).isEmpty() else labels
             blocks = blocks.select("key", "cid").distinct()
 
-    def _pairs(self, blocks: DataFrame, compared: DataFrame) -> DataFrame:
-        """a, pivot: members of a block that are in different components, one of them of the block's own class.
-
-        Where both differences from the block's pivot are known in full, only pairs go on that link by their count.
-        """
+    def _pairs(self, blocks: DataFrame) -> DataFrame:
+        """a, pivot: members of a block that are in different components, one of them of the block's own class."""
         other = blocks.filter("own").select("key", F.col("cid").alias("b"), F.col("label").alias("other"), F.col("n").alias("n2"), F.col("size").alias("size2"), F.col("rank").alias("rank2"))
         d = lambda one, two: f"({100 - self.threshold} * ({one} + {two})) div {100 + self.threshold}"
         # Where two differences first meet, enough of both must follow for the overlap that a link needs.
         enough = F.expr(f"2 * (1 + least(size - rank, size2 - rank2)) >= size + size2 - {d('n', 'n2')}")
         found = blocks.join(other, "key").filter((F.col("label") != F.col("other")) & enough)
-        found = found.select(F.greatest("cid", "b").alias("a"), F.least("cid", "b").alias("b"), "via").distinct()
-        side = lambda c: compared.select(F.col("a").alias(c), F.col("pivot").alias("via"), *(F.col(x).alias(f"{c}_{x}") for x in ("n", "size", "delta")))
-        both = found.join(side("a"), ["a", "via"]).join(side("b"), ["b", "via"])
-        known = (F.size("a_delta") == F.col("a_size")) & (F.size("b_delta") == F.col("b_size"))
-        apart = F.col("a_size") + F.col("b_size") - 2 * F.size(F.array_intersect("a_delta", "b_delta"))
-        return both.filter(~known | (apart <= F.expr(d("a_n", "b_n")))).select("a", F.col("b").alias("pivot"))
+        found = found.select(F.greatest("cid", "b").alias("a"), F.least("cid", "b").alias("b"))
+        return found.select("a", F.col("b").alias("pivot")).distinct()
 
     @staticmethod
     def _across(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -258,10 +262,14 @@ class NearDuplicates:
         mixed = named.groupBy("pivot").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("d").alias("widest")).filter("l1 < l2").select("pivot", "widest")
         mixed = small(materialise(mixed, "mixed"))
         # Of a pair, one at least isn't linked with the pivot: members linked with it are all in one component.
-        each = named.join(mixed, "pivot").select("pivot", "a", "label", "n", "d", "widest", "size", F.posexplode("delta").alias("rank", "element"))
-        each = materialise(each.withColumn("rank", F.col("rank").cast("long") + 1), "elements")
-        many = each.groupBy("pivot", "element").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 < l2").select("pivot", "element")
-        kept = each.join(many, ["pivot", "element"])
+        named = named.join(mixed, "pivot").select("pivot", "a", "label", "n", "d", "widest", F.size("delta").cast("long").alias("size"), "delta")
+        each = lambda: named.select("pivot", "a", "label", F.explode("delta").alias("element"))
+        many = each().groupBy("pivot", "element").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("times")).filter("l1 < l2").select("pivot", "element", "times")
+        many = small(materialise(many, "shared-elements"), BROADCAST_KEYS)
+        # Elements of one component alone come first in the order, then the others, the rarest first.
+        found = each().join(many, ["pivot", "element"]).groupBy("pivot", "a").agg(F.sort_array(F.collect_list(F.struct("times", "element"))).alias("found"))
+        kept = found.join(named.drop("delta"), ["pivot", "a"]).select("pivot", "a", "label", "n", "d", "widest", "size", (F.col("size") - F.size("found")).alias("alone"), F.posexplode("found").alias("rank", "e"))
+        kept = kept.withColumn("rank", F.col("alone") + F.col("rank") + 1).withColumn("element", F.col("e.element"))
         # The smaller of two differences, of sizes x <= y, is filed under its size class by (d + x - y) / 2 + 1 elements or
         # more, the larger by (d + y - x) / 2 + 1, under each class where a smaller one may be.
         kept = kept.withColumn("step", F.greatest(F.lit(1).cast("long"), F.expr("widest div 8"))).withColumn("low", F.expr("greatest(0, size - d) div step"))
@@ -272,22 +280,36 @@ class NearDuplicates:
         several = kept.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.bool_or("own").alias("any_own")).filter("l1 < l2 AND any_own").select("key")
         return kept.join(several, "key")
 
-    def clusters(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, class_rep, text_hash: one row for each row of the documents."""
+    def _placed(self) -> DataFrame:
+        """id, text_hash, n, rep, component, first_id, first_hash (of the component's first document), copies: one row for
+        each row of the documents; rep and the following are null where a document is alone."""
         labels = self.components()
         lone = self.classes.join(labels, self.classes.cid == labels.node, "left").withColumn("label", F.coalesce("label", "cid"))
-        least = lone.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("k"), F.max("docs").alias("d")).filter("k > 1 OR d > 1")
-        of = materialise(lone.join(least, "label").select("cid", "component", "rep"), "component-of")
-        out = self.sets.join(small(of), "cid", "left")
-        null = lambda c: F.when(c != _NO_ID, c)
-        return out.select(
-            null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("component", "id")).alias("component_id"), null(F.coalesce("rep", "id")).alias("class_rep"), "text_hash"
-        )
+        first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_hash")).alias("first")
+        least = lone.groupBy("label").agg(first, F.count("*").alias("k"), F.max("docs").alias("d")).filter("k > 1 OR d > 1")
+        of = lone.join(least, "label").select("cid", "rep", F.col("first.rep").alias("first_id"), F.col("first.rep_hash").alias("first_hash"), F.col("docs").alias("copies"))
+        return self.sets.join(small(materialise(of, "component-of")), "cid", "left")
+
+    def clusters(self) -> DataFrame:
+        """doc_id, n_shingles, component_id, class_rep, text_hash: one row for each row of the documents. The latter ids
+        are null for documents without id that are in no component with one."""
+        return self._placed().select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("first_id", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_rep"), "text_hash")
 
 
 def keep_first(docs: DataFrame, width: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the document with the smallest id of each component; documents without words all stay."""
-    found = NearDuplicates(docs, width, threshold, id_col, text_col).clusters()
-    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_dropped")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_hash"))
-    return docs.join(small(materialise(dropped, "dropped")), same, "left_anti")
+    """One row of each component, that of the smallest id (of several texts with that id, or without any, the one with
+    the least hash); documents without words all stay."""
+    placed = NearDuplicates(docs, width, threshold, id_col, text_col)._placed()
+    alike = placed.filter(F.col("first_hash").isNotNull()).select("id", "text_hash", (F.col("id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).alias("first"))
+    alike = materialise(alike.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "first").agg(F.count("*").alias("n")).filter("NOT first OR n > 1"), "alike")
+    of = lambda t: F.col(id_col).cast("long").eqNullSafe(t["_id"]) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == t["_hash"])
+    listed = small(alike.select("_id", "_hash"))
+    out = docs.join(listed, of(listed), "left_anti")
+    again = alike.filter("first").select("_id", "_hash")
+    if again.isEmpty():
+        return out
+    again = small(again)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.join(again, of(again), "left_semi").toDF(*names)
+    own = [names[docs.columns.index(c)] for c in (id_col, text_col)]
+    return out.unionByName(rows.dropDuplicates(own).toDF(*docs.columns))

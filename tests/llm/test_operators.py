@@ -324,10 +324,10 @@ def test_near_duplicates_are_brute_force(spark, texts, width, threshold):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(list(enumerate(texts)), width, threshold)
 
 
-@pytest.mark.parametrize("each", [64, 0])
-def test_near_duplicates_around_the_threshold(spark, monkeypatch, each):
+@pytest.mark.parametrize("listed", [8, 0])
+def test_near_duplicates_around_the_threshold(spark, monkeypatch, listed):
     """A family whose members are as similar as the threshold, a chain, and strangers that share a passage; with every round by pivots, too."""
-    monkeypatch.setattr(jaccard, "PAIRS_EACH", each)
+    monkeypatch.setattr(jaccard, "LISTED", listed)
     rng = random.Random(11)
     base, passage = [f"w{rng.randrange(999)}" for _ in range(120)], [f"p{i}" for i in range(60)]
     docs = []

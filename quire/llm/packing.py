@@ -75,7 +75,17 @@ def encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], int]:
         fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         probes = ["", " a", "it's  12\n\n\tnaïve café 你好\U0001f600 x  ", "a" * 40, "   .;:--__", "The1st\r\nLINE", *special, *(f"x {s}y" for s in special)]
         if [fast.encode(p, allowed_special="all") for p in probes] == plain(probes):
-            return (lambda texts: [fast.encode(t, allowed_special="all") for t in texts]), size
+
+            def quick(texts: list[str]) -> list[list[int]]:
+                out = []
+                for t in texts:
+                    try:
+                        out.append(fast.encode(t, allowed_special="all"))
+                    except ValueError:  # its regular expressions give up on runs of very many spaces
+                        out.append(own.encode(t, add_special_tokens=False).ids)
+                return out
+
+            return quick, size
     return plain, size
 
 

@@ -26,7 +26,7 @@ from .common import map_arrow, materialise, small
 RATE = 0.08
 #: Characters of items that one automaton holds; more items are matched in several passes over the texts.
 CHUNK_CHARS = 4_000_000
-FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("ends_at", pa.int32())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("ends_at", pa.int32())])
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -124,19 +124,17 @@ class Matcher:
 
 
 def _chunks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in groups of about CHUNK_CHARS characters; the driver holds one group at a time."""
+    """The items in groups of about CHUNK_CHARS characters: a pass over the texts for each."""
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = 1 + size // CHUNK_CHARS
     for i in range(parts):
         yield [(r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i).collect()]
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, distance, ends_at: each item found in each document, with its least distance.
-
-    items: item_id long, text. ends_at counts characters of the normalised text.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _found(docs: DataFrame, items: DataFrame, rate: float, id_col: str, text_col: str) -> DataFrame:
+    """FOUND: every item found in every row. tag: a hash of the row's text, which tells rows with equal or no ids apart."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     spark, out = docs.sparkSession, None
     for chunk in _chunks(items.select(F.col("item_id").cast("long").alias("item_id"), "text")):
         shipped = spark.sparkContext.broadcast(chunk)
@@ -144,17 +142,28 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str =
         def search(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shipped.value, rate)
             for batch in batches:
-                got = [(i, item, *x) for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for item, x in matcher.find(text.as_py()).items()]
+                ids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                got = [(i, tag, item, *x) for i, tag, text in zip(ids, tags, batch.column(2), strict=True) for item, x in matcher.find(text.as_py()).items()]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), FOUND, strict=True)], schema=FOUND)
 
-        part = map_arrow(rows, search, "doc_id long, item_id long, distance int, ends_at int")
+        part = map_arrow(rows, search, "doc_id long, tag long, item_id long, distance int, ends_at int")
         out = part if out is None else out.unionByName(part)
-    best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "ends_at")).alias("b"))
+    return out
+
+
+def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, distance, ends_at: each item found in each document, with its least distance.
+
+    items: item_id long, text. ends_at counts characters of the normalised text.
+    """
+    best = _found(docs, items, rate, id_col, text_col).groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "ends_at")).alias("b"))
     return best.select("doc_id", "item_id", "b.distance", "b.ends_at")
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents in which no item was found, with all their columns. Null ids are found by their null."""
-    found = materialise(matches(docs, items, rate, id_col, text_col).select(F.col("doc_id").alias("_leaked")).distinct(), "leaks")
-    return docs.join(small(found), F.col(id_col).cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+    """The documents in which no item was found, with all their columns. Rows are judged by id and text: one that shares
+    its id, or has none, stays if its own text holds nothing."""
+    found = materialise(_found(docs, items, rate, id_col, text_col).select(F.col("doc_id").alias("_leaked"), F.col("tag").alias("_tag")).distinct(), "leaks")
+    own = F.col(id_col).cast("long").eqNullSafe(F.col("_leaked")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_tag"))
+    return docs.join(small(found), own, "left_anti")

@@ -35,6 +35,8 @@ MIN_REVISIT = 100
 #: Uncompressed bytes after which a frame ends, and compressed bytes after which a bundle ends.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 256 << 20
 LEVEL = 3
+#: Frames that a task reads back at most.
+FRAMES_EACH = 128
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEK_MAGIC = 0x184D2A5E, 0x8F92EAB1
 
@@ -164,8 +166,9 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
 def read_bundles(index: DataFrame, folder: str) -> DataFrame:
     """Read every indexed record back from its bundle, frame by frame, and check its digest and place.
 
-    Frames are dealt to tasks by range of their place, so one large bundle is read by many.
+    Frames are dealt to tasks by range of their place, FRAMES_EACH or less to a task, so one large bundle is read by many.
     """
+    spark = index.sparkSession
     frames = index.groupBy("bundle", "frame").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +196,10 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
         if file:
             file.close()
 
-    return map_arrow(frames.repartitionByRange("bundle", "frame").sortWithinPartitions("bundle", "frame"), read, _ddl(RECORD))
+    # The number is given, since adaptive execution would merge partitions by the size of the index, not of what it points to.
+    n = index.select("bundle", "frame").distinct().count()
+    tasks = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // FRAMES_EACH))))
+    return map_arrow(frames.repartitionByRange(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame"), read, _ddl(RECORD))
 
 
 def fetch(index: DataFrame, folder: str, page_id: int) -> tuple[dict[str, str], bytes]:

@@ -71,6 +71,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rule, n_failed, n_only, seen_with: what each rule of the strict policy costs, from the ledger's bits alone."""
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")), rules.STRICT)
+
+
+ABLATIONS_SQL = (
+    OP3_SQL.rsplit("SELECT doc_id", 1)[0]
+    + ", e AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(rules.RULES))
+    + """) AS v(rule, bit))
+SELECT rule, coalesce(sum(CASE WHEN fail_bits & bit <> 0 THEN 1 ELSE 0 END), 0)::BIGINT AS n_failed, coalesce(sum(CASE WHEN fail_bits = bit THEN 1 ELSE 0 END), 0)::BIGINT AS n_only,
+       coalesce(bit_or(fail_bits) FILTER (WHERE fail_bits & bit <> 0), 0)::BIGINT AS seen_with FROM b, e GROUP BY rule
+"""
+)
+
+
 def op4_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start_word, n_words, source_doc_id: every passage of 50 words or more that occurs again."""
     return suffixes.repeats(table(spark, sf_dir, "documents"))
@@ -82,7 +98,8 @@ def op5_edit_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), urls.rules_frame(spark, (*urls.LISTED, *urls.UNWANTED)))
+    judged = urls.judge(table(spark, sf_dir, "pages"), urls.rules_frame(spark, (*urls.LISTED, *urls.OWN)))
+    return judged.withColumn("version", F.lit(urls.VERSION))
 
 
 _HOST = r"translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -91,8 +108,8 @@ WITH u AS (SELECT page_id, {_HOST} AS host, regexp_extract(coalesce(url, ''), '^
 r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS v(h, p, action)),
 j AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(h) + length(p) DESC NULLS LAST) AS k
       FROM u LEFT JOIN r ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p))
-SELECT page_id, host, path, h || p AS rule, coalesce(action, CASE WHEN regexp_matches(host || path,
-       '(?i)(?:^|[^a-z0-9])(?:{"|".join(x.name.removeprefix("word:") for x in urls.UNWANTED)})(?:[^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, h || p AS rule, coalesce(action, CASE WHEN {" OR ".join(f"regexp_matches(host || path, '{x.pattern}')" for x in urls.OWN)} THEN 'block' ELSE 'allow' END) AS verdict,
+       '{urls.VERSION}' AS version
 FROM j WHERE k = 1
 """
 
@@ -126,5 +143,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
        CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM d
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_pack_curve, op3_rule_ledger, op4_sparse_suffixes, op5_edit_decontam, op6_url_rules, op7_parity_join, op8_factor_quality, op9_minimax_shards, op10_warc_bundles)}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_rule_ledger": OP3_SQL, "op6_url_rules": OP6_SQL, "op10_warc_bundles": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_pack_curve, op3_rule_ledger, rule_ablations, op4_sparse_suffixes, op5_edit_decontam, op6_url_rules, op7_parity_join, op8_factor_quality, op9_minimax_shards, op10_warc_bundles)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_rule_ledger": OP3_SQL, "rule_ablations": ABLATIONS_SQL, "op6_url_rules": OP6_SQL, "op10_warc_bundles": OP10_SQL}

@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import materialise, small
 
 #: What separates the tokens of a url.
 SEPARATOR = "[^a-z0-9]+"
@@ -51,8 +51,27 @@ def word_rule(word: str, action: str = "block") -> UrlRule:
 
 #: The named rules of the contract: host, path, action.
 LISTED = (host_rule("com", "/", "allow"), host_rule("example.com", "/en/", "block"), host_rule("www.example.com", "/en/", "allow"), host_rule("net", "/es/", "block"), host_rule("net", "/fr/", "block"))
-#: Words that mark a site as unwanted wherever no listed rule speaks.
-UNWANTED = tuple(map(word_rule, ("adult", "adult-x", "bets", "betting", "casino", "escort", "free-bets", "jackpot", "payday-loans", "poker", "porn", "sex", "slots", "viagra", "warez", "xxx")))
+#: Version of the method's own rules below; a change of any gets a new one.
+VERSION = "2"
+#: Words that mark a site as unwanted wherever no listed rule speaks: gambling, adult content, drugs, loans, piracy.
+WORDS = (
+    "bets", "betting", "bingo", "casino", "free-bets", "jackpot", "lottery", "poker", "roulette", "slots",
+    "adult", "adult-x", "camgirls", "escort", "escorts", "hentai", "milf", "nude", "nudes", "porn", "porno", "sex", "sexy", "xxx",
+    "cialis", "pills", "viagra", "cheap-meds", "cash-advance", "payday", "payday-loan", "payday-loans",
+    "crack", "cracked", "keygen", "nulled", "torrent", "torrents", "warez", "forex-signals", "replica-watches",
+)
+#: Endings of downloads, which hold no text.
+DOWNLOADS = ("apk", "bin", "deb", "dmg", "exe", "iso", "jar", "msi", "rar", "rpm", "tar", "torrent", "zip")
+#: Shapes of hosts that are rarely sites for readers. Only the last but one holds a literal token.
+SHAPES = (
+    UrlRule("shape:address", r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?:/|$)", "block", 0, ()),
+    UrlRule("shape:login", r"^[^/]*@", "block", 0, ()),
+    UrlRule("shape:digits", r"^[^/]*[0-9]{8}", "block", 0, ()),
+    UrlRule("shape:punycode", r"(?i)^(?:[^/]*[^a-z0-9/])?xn--", "block", 0, ("xn",)),
+    UrlRule("shape:hyphens", r"^(?:[^/-]*-){4}", "block", 0, ()),
+)
+#: The rules of the method's own verdict.
+OWN = (*map(word_rule, WORDS), *(UrlRule(f"download:{x}", rf"(?i)\.{x}$", "block", 0, (x,)) for x in DOWNLOADS), *SHAPES)
 
 
 def rules_frame(spark: SparkSession, rules: Iterable[UrlRule]) -> DataFrame:
@@ -92,7 +111,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     parts = F.array_union(F.array(F.lit("")), F.split(F.lower(F.concat("_host", "_path")), SEPARATOR))
     tokens = urls.select("_id", "_host", "_path", F.posexplode(parts).alias("_pos", "token"))
     filed = file_rules(rules, tokens.select("token")).join(rules, "rule_id").select("token", "rule_id", "pattern", "rank", "action")
-    near = tokens.join(small(filed), "token", "left")
+    near = tokens.join(small(materialise(filed, "filed-rules")), "token", "left")
     fits = F.expr("concat(_host, _path) RLIKE pattern")
     best = near.groupBy("_id", "_host", "_path").agg(
         F.count(F.when(F.col("_pos") == 0, 1)).alias("_hits"),

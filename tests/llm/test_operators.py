@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("quire.llm")
 from quire.llm import decontam, jaccard, lines, packing, quality, queries, rules, sharding, suffixes, urls, warc  # noqa: E402
@@ -109,6 +110,24 @@ def test_packing_round_trip(spark, texts):
     assert packing.sequences(pieces).filter("n = 256").count() == sum(r.length for parts in by.values() for r in parts) // 256
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 300_000, "a" * 1_000_000, "!" * 300_000, "word " * 50_000 + " " * 200_000 + "x"])
+def test_packing_of_long_runs(text):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    run, _ = packing.encoder(path)
+    assert run([text, "a b"]) == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in (text, "a b")]
+
+
+def test_neighbours_on_the_curve_are_alike(spark):
+    """Documents of eight vocabularies, mixed: along the curve the next document is of the same one far more often than by chance."""
+    rng = random.Random(4)
+    docs = [" ".join(f"{'abcdefgh'[i % 8]}{rng.randrange(12)}" for _ in range(80)) for i in range(400)]
+    pieces = packing.pack(frame(spark, docs), queries.tokenizer_path()).collect()
+    order = [r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+    assert sorted(order) == list(range(400)) and sum(a % 8 == b % 8 for a, b in zip(order, order[1:])) > 200
+
+
 def test_packing_other_vocabulary_and_empty(spark):
     import public_tokenizers
 
@@ -269,6 +288,15 @@ def test_decontamination_in_chunks_and_empty(spark, monkeypatch):
     assert decontam.matches(frame(spark, []), items).count() == 0 and decontam.clean(docs, items.limit(0)).count() == 9
 
 
+def test_clean_drops_only_the_rows_that_leak(spark):
+    """Rows that share an id, or have none, are judged by their own texts; items without id or with a repeated one count."""
+    item = "the quick brown fox jumps over the lazy dog again and again"
+    items = spark.createDataFrame([(None, item), (7, "nothing like it at all in there"), (7, item.upper())], "item_id long, text string")
+    docs = frame(spark, [f"a {item} b", "clean text", f"c {item}", "clean too", None, None], [None, None, 3, 3, 3, None])
+    left = decontam.clean(docs, items).collect()
+    assert sorted(r.text or "" for r in left) == ["", "", "clean text", "clean too"] and left[0].__fields__ == docs.columns
+
+
 # -- op 6 --------------------------------------------------------------------------------------------------------
 
 
@@ -276,17 +304,24 @@ def test_url_verdicts(spark):
     cases = [
         ("http://a.com/x", "com/", "allow"), ("http://a.com", None, "allow"), ("https://EXAMPLE.com/en/1", "example.com/en/", "block"), ("https://www.example.com/en/1?q", "www.example.com/en/", "allow"),
         ("https://m.example.com/en", "com/", "allow"), ("http://x.net/es/", "net/es/", "block"), ("http://x.net/es", None, "allow"), ("http://xnet/es/", None, "allow"), ("http://net/fr/a#b", "net/fr/", "block"),
-        ("http://free-bets.example.org/fr/2", None, "block"), ("http://freebets.org/", None, "allow"), ("no scheme", None, "allow"), (None, None, "allow"), ("", None, "allow"), ("x://", None, "allow"), ("http://A.Net/ES/1", None, "allow"),
+        ("http://free-bets.example.org/fr/2", None, "block"), ("http://freebets.org/", None, "allow"), ("http://10.0.0.7:80/a", None, "block"), ("http://u@a.org/", None, "block"), ("http://a.org/Setup.EXE", None, "block"), ("http://a.org/setup.exe.html", None, "allow"), ("http://a.org/en?f=x.exe", None, "allow"),
+        ("http://xn--80ak6aa92e.org/", None, "block"), ("http://a-b-c-d-e.org/", None, "block"), ("http://a-b.org/c-d-e-f", None, "allow"), ("http://x12345678.org/", None, "block"), ("http://a.org/12345678", None, "allow"),
+        ("no scheme", None, "allow"), (None, None, "allow"), ("", None, "allow"), ("x://", None, "allow"), ("http://A.Net/ES/1", None, "allow"),
     ]
     rows = [(i, u, "h", "t") for i, (u, _, _) in enumerate(cases)]
     pages = spark.createDataFrame([*rows, rows[2], rows[12]], "page_id long, url string, host string, token string")
-    got = urls.judge(pages, urls.rules_frame(spark, (*urls.LISTED, *urls.UNWANTED))).collect()
+    got = urls.judge(pages, urls.rules_frame(spark, (*urls.LISTED, *urls.OWN))).collect()
     assert len(got) == len(cases) + 2
     assert {(r.page_id, r.rule, r.verdict) for r in got} == {(i, rule, v) for i, (_, rule, v) in enumerate(cases)}
     assert {r.page_id: (r.host, r.path) for r in got}[3] == ("www.example.com", "/en/1")
     assert urls.judge(pages.limit(0), urls.rules_frame(spark, urls.LISTED)).count() == 0
 
 
+def test_url_columns_with_the_names_used_inside(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/casino", 5, "h", 7, "t")], "page_id long, url string, _id int, _host string, rule_id int, token string")
+    assert [tuple(r) for r in urls.judge(pages, urls.rules_frame(spark, urls.OWN)).collect()] == [(1, "a.org", "/casino", None, "block")]
+
+
 def test_rules_are_filed_under_their_rarest_token(spark):
     pages = [("com",)] * 9 + [("example",)] * 3 + [("en",)] * 5
     filed = urls.file_rules(urls.rules_frame(spark, urls.LISTED), spark.createDataFrame(pages, "token string"))
@@ -420,7 +455,7 @@ def test_cuts_without_all_groups_are_exact(spark, seed):
     keys = sorted(rng.sample(range(-(10**6), 10**9 if seed == 2 else 10**6), n))
     groups = spark.createDataFrame(list(zip(keys, sizes)), "key long, size long")
     ends = sharding.cuts(groups, 16, ranges=32, near=40)
-    shard = [sum(k > e for e in ends) for k in keys]
+    shard = [sum(k > e for (e,) in ends) for k in keys]
     load = Counter()
     for s, z in zip(shard, sizes):
         load[s] += z
@@ -451,6 +486,26 @@ def test_shards_edges(spark):
     assert len(got) == 4 and len({(r.shard, r.slot) for r in got}) == 4
 
 
+@pytest.mark.parametrize("share", [0.3, 0.5, 0.97])
+def test_shards_with_a_dominant_group(spark, share):
+    """60,000 groups and one of a large share of all bytes, at default parameters; ids at both ends of the range, and none."""
+    n = 60_000
+    small = n * 7
+    ids = F.when(F.col("id") == 0, -(1 << 63)).when(F.col("id") == 1, (1 << 63) - 1).when(F.col("id") % 5 != 2, F.col("id"))
+    docs = spark.range(n).select(ids.alias("doc_id"), F.format_string("%06d", "id").alias("text"))
+    big = "x" * 9999
+    copies = int(share / (1 - share) * small / 10_000)
+    docs = docs.unionByName(spark.range(copies).select((F.col("id") + 30_000).alias("doc_id"), F.lit(big).alias("text")))
+    got = sharding.shard(docs, 16).toPandas()
+    assert len(got) == n + copies and got.groupby("text_crc32").shard.nunique().max() == 1
+    for _, rows in got.groupby("shard"):
+        assert sorted(rows.slot) == list(range(len(rows)))
+    order = got.groupby("text_crc32", as_index=False).agg({"size": "sum", "shard": "first"})
+    load = got.groupby("shard")["size"].sum()
+    total = small + copies * 10_000
+    assert load.sum() == total and load.max() <= max(copies * 10_000 + 7, -(-total // 16) + 7) and len(order) == n + 1
+
+
 # -- op 10 -------------------------------------------------------------------------------------------------------
 
 

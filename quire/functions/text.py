@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,11 +53,20 @@ def contains_any(text: Column, keywords: list[str]) -> Column:
     return text.rlike("|".join(re.escape(k) for k in keywords))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once for each row however often it stands in the expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def topics(text: Column) -> Column:
-    """The topics of the text in declared order; General if there is none."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    found = F.array_compact(F.array(*(F.when(contains_any(lower, k), F.lit(t)) for t, k in TOPICS.items())))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("General")))
+    """The topics of the text in declared order; General if there is none. Keywords are searched as plain substrings."""
+
+    def found(lower: Column) -> Column:
+        holds = lambda keywords: reduce(Column.__or__, (F.contains(lower, F.lit(k)) for k in keywords))
+        return F.array_compact(F.array(*(F.when(holds(k), F.lit(t)) for t, k in TOPICS.items())))
+
+    general = lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.lit("General")))
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda t: once(found(t), general))
 
 
 def paragraphs(text: Column) -> Column:

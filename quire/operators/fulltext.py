@@ -1,13 +1,18 @@
-"""Full-text search: a boolean query language over postings, ranked by BM25."""
+"""Full-text search: a boolean query language over postings, ranked by BM25.
+
+Postings are either computed (`postings`, `stemmed_postings`) or read from a stored `Index`, whose files are
+dealt by a hash of the term and sorted by term, so that a query reads the row groups of its terms only.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -25,6 +30,7 @@ def postings(docs: DataFrame, id_col: str = "id", text_cols: tuple[str, ...] = (
 
 
 def lengths(index: DataFrame) -> DataFrame:
+    """id, dl: the number of tokens of each document."""
     return index.groupBy("id").agg(F.sum("tf").alias("dl"))
 
 
@@ -43,6 +49,11 @@ def escape(query: str) -> str:
     return " ".join(out)
 
 
+def plain(text: str) -> list[str]:
+    """The tokens of a query's word, as `tokens` makes them."""
+    return [t for t in re.split(r"[^\w]+|_", text.lower()) if t]
+
+
 class Query:
     """A parsed query: terms (with prefix flag), phrases, and the operators between them.
 
@@ -50,7 +61,8 @@ class Query:
     is a phrase. Operators without operands raise ValueError.
     """
 
-    def __init__(self, query: str):
+    def __init__(self, query: str, analyse: Callable[[str], list[str]] | None = None):
+        self.analyse = analyse or plain
         self.parts = re.findall(r'"([^"]*)"(\*?)|(AND|OR|NOT)\b|(\S+)', escape(query))
         self.leaves: list[tuple[tuple[str, ...], bool]] = []
         self.at = 0
@@ -85,7 +97,7 @@ class Query:
         self.at += 1
         word = bare or quoted
         prefix = bool(star) or bare.endswith("*")
-        found = tuple(t for t in re.split(r"[^\w]+|_", word.lower()) if t)
+        found = tuple(self.analyse(word))
         self.leaves.append((found, prefix))
         return ("leaf", len(self.leaves) - 1)
 
@@ -94,27 +106,33 @@ def _back(i: int):
     return lambda p: p - i
 
 
+def _holds(index: DataFrame, term: str) -> Column:
+    """The rows of a term; in a stored index only those of its files."""
+    own = F.col("term") == term
+    return own & (F.col("bucket") == bucket(F.lit(term))) if "bucket" in index.columns else own
+
+
 def _leaf(index: DataFrame, leaf: tuple[tuple[str, ...], bool]) -> DataFrame:
     """id, tf, of: documents with the term, a term of the prefix, or the phrase."""
     terms, prefix = leaf
     if not terms:
         return index.select("id", "tf").filter(F.lit(False))
     if len(terms) == 1:
-        hit = F.col("term").startswith(terms[0]) if prefix else F.col("term") == terms[0]
-        return index.filter(hit).groupBy("id").agg(F.sum("tf").alias("tf"))
-    wanted = reduce(Column.__or__, (F.col("term") == t for t in set(terms)))
+        if not prefix:
+            return index.filter(_holds(index, terms[0])).select("id", "tf")
+        return index.filter(F.col("term").startswith(terms[0])).groupBy("id").agg(F.sum("tf").alias("tf"))
+    wanted = reduce(Column.__or__, (_holds(index, t) for t in set(terms)))
     places = index.filter(wanted).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("m")).filter(F.size("m") == len(set(terms)))
     starts = reduce(F.array_intersect, (F.transform(F.element_at("m", F.lit(t)), _back(i)) for i, t in enumerate(terms)))
     return places.select("id", F.size(starts).cast("long").alias("tf")).filter("tf > 0")
 
 
-def match(index: DataFrame, query: str) -> DataFrame:
-    """id of the documents that the query matches: semi and anti joins of the terms' postings."""
-    q = Query(query)
+def _matching(q: Query, hit: Callable[[int], DataFrame]) -> DataFrame:
+    """id of the documents that the query matches: semi and anti joins of the leaves' documents."""
 
     def of(node) -> DataFrame:
         if node[0] == "leaf":
-            return _leaf(index, q.leaves[node[1]]).select("id")
+            return hit(node[1]).select("id")
         left, right = of(node[1]), of(node[2])
         if node[0] == "or":
             return left.unionByName(right).distinct()
@@ -123,22 +141,86 @@ def match(index: DataFrame, query: str) -> DataFrame:
     return of(q.tree)
 
 
-def bm25(index: DataFrame, query: str, limit: int | None = None, where: DataFrame | None = None) -> DataFrame:
-    """id, score of the matching documents, best first. where: ids to keep (a book's chapters)."""
-    q = Query(query)
-    size = lengths(index)
-    stats = size.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    parts = [_leaf(index, leaf).withColumn("leaf", F.lit(i)) for i, leaf in enumerate(q.leaves)]
-    hits = reduce(DataFrame.unionByName, parts)
-    df = hits.groupBy("leaf").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    scored = hits.join(F.broadcast(df), "leaf").join(size, "id").join(F.broadcast(stats)).groupBy("id").agg(F.sum(part).alias("score")).join(match(index, query), "id", "left_semi")
+def match(index: DataFrame, query: str, analyse: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """id of the documents that the query matches."""
+    q = Query(query, analyse)
+    return _matching(q, lambda i: _leaf(index, q.leaves[i]))
+
+
+def _condition(node) -> Column:
+    """Whether a document with these leaves (a column `hit` for each, true or null) matches."""
+    if node[0] == "leaf":
+        return F.coalesce(F.col(f"hit{node[1]}"), F.lit(False))
+    left, right = _condition(node[1]), _condition(node[2])
+    return left | right if node[0] == "or" else left & right if node[0] == "and" else left & ~right
+
+
+def bm25(index: DataFrame, query: str, limit: int | None = None, where: DataFrame | None = None, analyse: Callable[[str], list[str]] | None = None, size: DataFrame | None = None, stats: tuple[int, float] | None = None) -> DataFrame:
+    """id, score of the matching documents, best first. where: ids to keep (a book's chapters).
+
+    size (id, dl) and stats (documents, mean length) come from a stored index; else they are computed. The documents
+    of all leaves meet in one aggregation, which both scores them and tells which leaves they hold.
+    """
+    q = Query(query, analyse)
+    size = lengths(index) if size is None else size
+    if stats is None:
+        stats = size.agg(F.count("*"), F.avg("dl")).first()
+    n, mean = F.lit(stats[0]), F.lit(float(stats[1] or 1.0))
+    hits = reduce(DataFrame.unionByName, (_leaf(index, leaf).withColumn("leaf", F.lit(i)) for i, leaf in enumerate(q.leaves)))
+    df = hits.groupBy("leaf").agg(F.count("*").alias("df"))  # a row a leaf
+    idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
+    held = [F.bool_or(F.when(F.col("leaf") == i, True)).alias(f"hit{i}") for i in range(len(q.leaves))]
+    scored = hits.join(F.broadcast(df), "leaf").join(size, "id").groupBy("id").agg(F.sum(part).alias("score"), *held).filter(_condition(q.tree)).select("id", "score")
     if where is not None:
         scored = scored.join(where, "id", "left_semi")
     return scored if limit is None else scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
+# -- a stored index ------------------------------------------------------------------------------------------------
+
+#: Files of terms in a stored index.
+BUCKETS = 64
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+class Index:
+    """A stored index: postings by bucket and term, lengths, and the two numbers that BM25 needs of all documents."""
+
+    def __init__(self, spark: SparkSession, at: str, stemmed: bool = False):
+        self.spark, self.at, self.analyse = spark, at, fold if stemmed else plain
+        self.postings = spark.read.parquet(f"{at}/postings")
+        self.lengths = spark.read.parquet(f"{at}/lengths")
+        n, mean = self.lengths.agg(F.count("*"), F.avg("dl")).first()
+        self.stats = (n, float(mean or 1.0))
+
+    @classmethod
+    def build(cls, docs: DataFrame, at: str, stemmed: bool = False, id_col: str = "id", text_cols: tuple[str, ...] = ("title", "content")) -> Index:
+        """Write the index of docs to the folder at. A frequent term is spread over several files by its documents."""
+        made = (stemmed_postings if stemmed else postings)(docs, id_col, text_cols).withColumn("bucket", bucket(F.col("term")))
+        made.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
+        lengths(docs.sparkSession.read.parquet(f"{at}/postings")).write.mode("overwrite").parquet(f"{at}/lengths")
+        return cls(docs.sparkSession, at, stemmed)
+
+    def search(self, query: str, limit: int | None = None, where: DataFrame | None = None) -> DataFrame:
+        return bm25(self.postings, query, limit, where, self.analyse, self.lengths, self.stats)
+
+    def match(self, query: str) -> DataFrame:
+        return match(self.postings, query, self.analyse)
+
+    def sync(self, docs: DataFrame, at: str, id_col: str = "id", text_cols: tuple[str, ...] = ("title", "content")) -> Index:
+        """The index with these documents replaced, in another folder; texts of other documents aren't read."""
+        stemmed = self.analyse is fold
+        fresh = (stemmed_postings if stemmed else postings)(docs, id_col, text_cols)
+        made = self.postings.drop("bucket").join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_anti").unionByName(fresh).withColumn("bucket", bucket(F.col("term")))
+        made.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
+        lengths(self.spark.read.parquet(f"{at}/postings")).write.mode("overwrite").parquet(f"{at}/lengths")
+        return Index(self.spark, at, stemmed)
+
+
 # -- Porter's published algorithm ----------------------------------------------------------------------------
 
 _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]

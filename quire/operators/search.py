@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import numpy as np
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
+log = logging.getLogger(__name__)
+#: Results that a reranking model may be shown.
+RERANKED = 200
+
 
 def top_chunks(rows: DataFrame, vector: list[float], k: int, least: float = 0.0, where: Column | None = None) -> DataFrame:
     """rows with similarity: the k most similar of at least `least`, ties by id. Filters before scoring."""
@@ -59,9 +64,9 @@ def title_boost(rows: DataFrame, query: str, boost: float = 0.15, title: str = "
 def multi_term(rows: DataFrame, terms: list[tuple[str, list[float]]], k: int, least: float) -> DataFrame:
     """Each term's best chapters; a chapter found by several terms belongs to the first."""
     queries = [(i, v) for i, (_, v) in enumerate(terms)]
-    scored = V.score_queries(rows, queries, "id", "embedding", least)
+    near = V.nearest(rows, queries, "id", "embedding", k, own=True).filter(F.col("similarity") >= least)  # k rows a term and partition
     top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    kept = scored.withColumn("_r", top).filter(F.col("_r") <= k).join(rows.drop("embedding"), "id")
+    kept = near.withColumn("_r", top).filter(F.col("_r") <= k).join(rows.drop("embedding"), "id")
     best = best_per(kept, "query_id", "chapter_id")
     first = F.row_number().over(Window.partitionBy("chapter_id").orderBy("query_id"))
     return best.withColumn("_f", first).filter("_f = 1").drop("_f", "_r")
@@ -110,22 +115,36 @@ def mmr(candidates: DataFrame, weight: float = 0.7, limit: int = 10) -> DataFram
     return few.groupBy("query_id").applyInPandas(order, "query_id long, id long, place long")
 
 
-def rerank(results: DataFrame, model: Callable[[DataFrame], DataFrame] | None, limit: int) -> DataFrame:
-    """A model's order where there is one and it works, else the given order, cut to limit."""
-    if model:
-        try:
-            return model(results).limit(limit)
-        except Exception:
-            pass
-    return results.orderBy(F.desc("similarity"), "id").limit(limit)
+def rerank(results: DataFrame, model: Callable[[list[dict]], list[float]] | None, limit: int, text_col: str = "content") -> DataFrame:
+    """The few results that a search returns, ordered by a model's scores, cut to limit. A model that fails, or returns
+    another number of scores, leaves the given order; results come to the driver, where the model is called once."""
+    given = results.orderBy(F.desc("similarity"), "id")
+    if model is None:
+        return given.limit(limit)
+    rows = given.limit(RERANKED).collect()
+    try:
+        scores = [float(x) for x in model([r.asDict() for r in rows])]
+    except Exception as e:
+        log.warning("the reranking model failed: %s", e)
+        return given.limit(limit)
+    if len(scores) != len(rows):
+        log.warning("the reranking model returned %d scores for %d results", len(scores), len(rows))
+        return given.limit(limit)
+    order = sorted(range(len(rows)), key=lambda i: (-scores[i], i))[:limit]
+    return results.sparkSession.createDataFrame([rows[i] for i in order], results.schema)
+
+
+#: Rows of a block of vectors in `similar_pairs`.
+BLOCK_ROWS = 4096
 
 
-def similar_pairs(rows: DataFrame, least: float, blocks: int = 16) -> DataFrame:
+def similar_pairs(rows: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """a, b, similarity: pairs of chunks of different books, exactly, by blocks of matrix products.
 
-    Every vector is copied to `blocks` block pairs, each a bounded matrix product: an exact all-pairs query has
-    quadratic output in the worst case, but each task holds two blocks of the vectors only.
+    The blocks grow in number with the counted vectors, so a task holds two blocks of about block_rows vectors,
+    whatever the table. The work is quadratic by definition: every pair is judged, in products of whole blocks.
     """
+    blocks = max(1, -(-rows.filter(F.col("embedding").isNotNull()).count() // block_rows))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     part = rows.filter(F.col("embedding").isNotNull()).select("id", "book_id", "embedding", block.alias("b"))
     pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j")))

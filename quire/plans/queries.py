@@ -142,32 +142,32 @@ _BMOUT = "SELECT id, round(score, 3) AS score FROM ranked"
 
 @query(f"{_BMOUT} WHERE id IN (SELECT id FROM hits WHERE leaf = 0) AND id IN (SELECT id FROM hits WHERE leaf = 1)", _hits("term = 'the'", "term = 'haon'"))
 def bm25_and(lib):
-    return X.bm25(_index(lib), "the haon").select("id", F.round("score", 3).alias("score"))
+    return lib.index().search("the haon").select("id", F.round("score", 3).alias("score"))
 
 
 @query(_BMOUT, _hits("term = 'haon'", "term = 'onsh'"))
 def bm25_or(lib):
-    return X.bm25(_index(lib), "haon OR onsh").select("id", F.round("score", 3).alias("score"))
+    return lib.index().search("haon OR onsh").select("id", F.round("score", 3).alias("score"))
 
 
 @query(f"{_BMOUT} WHERE id IN (SELECT id FROM hits WHERE leaf = 0) AND id NOT IN (SELECT id FROM hits WHERE leaf = 1)", _hits("term = 'haon'", "term = 'was'"))
 def bm25_not(lib):
-    return X.bm25(_index(lib), "haon NOT was").select("id", F.round("score", 3).alias("score"))
+    return lib.index().search("haon NOT was").select("id", F.round("score", 3).alias("score"))
 
 
 @query(_BMOUT, _hits("starts_with(term, 'haon')"))
 def bm25_prefix(lib):
-    return X.bm25(_index(lib), "haon*").select("id", F.round("score", 3).alias("score"))
+    return lib.index().search("haon*").select("id", F.round("score", 3).alias("score"))
 
 
 @query(r"SELECT id FROM (SELECT id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(title || ' ' || content), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM chapters) WHERE contains(t, ' of the ')")
 def bm25_phrase(lib):
-    return X.match(_index(lib), '"of the"')
+    return lib.index().match('"of the"')
 
 
 @query(f"{_BMOUT} WHERE id IN (SELECT id FROM chapters WHERE book_id = 'src1')", _hits("term = 'the'"))
 def bm25_book_filter(lib):
-    return X.bm25(_index(lib), "the", where=lib.chapters.filter("book_id = 'src1'").select("id")).select("id", F.round("score", 3).alias("score"))
+    return lib.index().search("the", where=lib.chapters.filter("book_id = 'src1'").select("id")).select("id", F.round("score", 3).alias("score"))
 
 
 @query("SELECT count(*) AS documents, sum(dl)::BIGINT AS tokens, (SELECT count(*) FROM post) AS postings, (SELECT count(DISTINCT term) FROM post) AS terms FROM dl", _TOK)
@@ -178,7 +178,7 @@ def fts_rebuild_stats(lib):
 
 @query()
 def bm25_stemmed(lib):
-    return X.bm25(X.stemmed_postings(lib.chapters.select("id", "title", "content")), " ".join(X.fold("licenses")), 10).select("id", F.round("score", 3).alias("score"))
+    return lib.index(stemmed=True).search("licenses", 10).select("id", F.round("score", 3).alias("score"))
 
 
 _FUSE = f"""{_hits("term = 'the'")}, {SCORED}, kw AS (SELECT id AS chapter_id, row_number() OVER (ORDER BY score DESC, id) AS pos FROM (SELECT * FROM ranked ORDER BY score DESC, id LIMIT 30)),
@@ -187,7 +187,7 @@ fused AS (SELECT chapter_id, coalesce(1.0 / (60 + kw.pos), 0) + coalesce(1.0 / (
 
 
 def _arms(lib: Library) -> tuple[DataFrame, DataFrame]:
-    kw = X.bm25(_index(lib), "the", 30).withColumnRenamed("id", "chapter_id")
+    kw = lib.index().search("the", 30).withColumnRenamed("id", "chapter_id")
     sm = S.best_per(S.top_chunks(lib.search_rows, _vector(lib), 30, 0.2), "chapter_id")
     return S.ranked(kw, "score"), S.ranked(sm, "similarity")
 

@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.fulltext import Index
 
 NOW = "2024-01-31 00:00:00"
 STATE_OF_EVENT = {"signup": "detected", "view": "hashing", "click": "processing", "purchase": "complete", "error": "needs_retry"}
 
 
+#: Stored indexes of this process, by application and contents.
+_indexes: dict[tuple[str, str], Index] = {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, which spark.checkpoint.dir names; a temporary one on a single machine only."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    at = "file://" + tempfile.mkdtemp(prefix="quire-work-")
+    spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
+def files_stamp(spark: SparkSession, path: str) -> str:
+    """Paths, lengths and times of the files of a table: another stamp means other contents."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [fs.getFileStatus(at)] if fs.getFileStatus(at).isFile() else list(fs.listStatus(at))
+    return ";".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
+
+
 class Library:
     """Books, chapters, chunks and pipeline records of one data folder."""
 
@@ -25,11 +52,23 @@ class Library:
     @cached_property
     def chapters(self) -> DataFrame:
         d = self.table("documents")
-        number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-        return d.select(
-            F.col("doc_id").alias("id"), F.col("source").alias("book_id"), number.alias("chapter_number"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+        own = d.select(
+            F.col("doc_id").alias("id"), F.col("source").alias("book_id"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
             F.col("text").alias("content"), T.word_count(F.col("text")).alias("word_count"), F.sha2("text", 256).alias("content_hash"), "lang",
         )
+        # The number comes last: what is computed from the text is computed before rows move by book.
+        number = F.row_number().over(Window.partitionBy("book_id").orderBy("id"))
+        return own.select("id", "book_id", number.alias("chapter_number"), "title", "content", "word_count", "content_hash", "lang")
+
+    def index(self, stemmed: bool = False) -> Index:
+        """The stored full-text index of the chapters; built when it is first asked for, and anew when the texts' files have changed."""
+        stamp = files_stamp(self.spark, f"{self.folder}/documents.parquet")
+        key = hashlib.sha256(f"{self.folder}|{stemmed}|{stamp}".encode()).hexdigest()[:24]
+        if (held := _indexes.get((self.spark.sparkContext.applicationId, key))) is None:
+            d = self.table("documents")
+            texts = d.select(F.col("doc_id").alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), F.col("text").alias("content"))
+            held = _indexes[self.spark.sparkContext.applicationId, key] = Index.build(texts, f"{work_folder(self.spark)}/quire-index-{key}-{uuid.uuid4().hex}", stemmed)
+        return held
 
     @cached_property
     def books(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,62 +15,70 @@ from ..sources.store import Store
 
 
 def detect_files(spark: SparkSession, folder: str, store: Store, checkpoint: str, table: str = "pipelines", per_batch: int = 100) -> StreamingQuery:
-    """New .epub and .pdf files become pipelines in state detected, once for each content, however often they arrive."""
+    """New .epub and .pdf files become pipelines in state detected, once for each content, however often they arrive.
+
+    A batch appends its new rows; only hashes of the stored ones are read. `Store.compact` merges the parts.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{epub,pdf}").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     hashed = files.select(F.col("path").alias("source_path"), F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("created_at"))
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         fresh = batch.dropDuplicates(["content_hash"]).withColumn("state", F.lit("detected"))
-        if store.versions(table):
-            old = store.read(table)
-            fresh = fresh.join(old.select("content_hash"), "content_hash", "left_anti")
-            if not fresh.isEmpty():
-                store.write(table, old.unionByName(fresh, allowMissingColumns=True))
-        elif not fresh.isEmpty():
-            store.write(table, fresh)
+        if store.exists(table):
+            fresh = fresh.join(store.read(table).select("content_hash"), "content_hash", "left_anti")
+        if not fresh.isEmpty():
+            store.append(table, fresh, f"{run}-{number:09d}")
 
     return hashed.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class StateMachine(StatefulProcessor):
-    """One pipeline: legal transitions advance it, others are reported; silence for twice the timeout is reported, too."""
+    """One pipeline: legal transitions advance it, others are reported; silence for twice the timeout of its state, times
+    pace, is reported, too. Each arrival ends the timer that ran before it."""
 
-    def __init__(self, timers: bool = False):
-        self.timers = timers
+    def __init__(self, timers: bool = False, pace: float = 1.0):
+        self.timers, self.pace = timers, pace
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "state string, since double")
+        self.state = handle.getValueState("state", "state string, since double, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        now, since = self.state.get() if self.state.exists() else (None, None)
+        now, since, _ = self.state.get() if self.state.exists() else (None, None, None)
         out = []
         for e in events.itertuples():
             legal = now is None or e.to_state in TRANSITIONS.get(now, ())
             out.append((key[0], now, e.to_state, bool(legal), float(e.ts - since) if since is not None and legal else None))
             if legal:
                 now, since = e.to_state, float(e.ts)
-        self.state.update((now, since))
-        if self.timers and now in TIMEOUTS:
-            self.handle.registerTimer(int(timers.getCurrentProcessingTimeInMs()) + 2000 * TIMEOUTS[now])
+        due = None
+        if self.timers:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            if now in TIMEOUTS:
+                due = int(timers.getCurrentProcessingTimeInMs()) + int(2000 * TIMEOUTS[now] * self.pace)
+                self.handle.registerTimer(due)
+        self.state.update((now, since, due))
         yield pd.DataFrame(out, columns=["pipeline_id", "from_state", "to_state", "legal", "seconds"])
 
     def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        now, _ = self.state.get() if self.state.exists() else (None, None)
-        yield pd.DataFrame([(key[0], now, "stuck", False, None)], columns=["pipeline_id", "from_state", "to_state", "legal", "seconds"])
+        now, _, due = self.state.get() if self.state.exists() else (None, None, None)
+        stuck = [(key[0], now, "stuck", False, None)] if due is not None and expired.getExpiryTimeInMs() >= due else []
+        yield pd.DataFrame(stuck, columns=["pipeline_id", "from_state", "to_state", "legal", "seconds"])
 
     def close(self) -> None:
         pass
 
 
-def track_states(events: DataFrame, timers: bool = False) -> DataFrame:
+def track_states(events: DataFrame, timers: bool = False, pace: float = 1.0) -> DataFrame:
     """pipeline_id, from_state, to_state, legal, seconds. events: a stream of pipeline_id, event_id, ts (seconds), to_state.
 
     Keys are dealt by pipeline; the state of each is two values in the state store.
     """
     schema = "pipeline_id long, from_state string, to_state string, legal boolean, seconds double"
-    return events.groupBy("pipeline_id").transformWithStateInPandas(StateMachine(timers), schema, "Append", "ProcessingTime" if timers else "None")
+    return events.groupBy("pipeline_id").transformWithStateInPandas(StateMachine(timers, pace), schema, "Append", "ProcessingTime" if timers else "None")
 
 
 def failure_rate(events: DataFrame, late: str = "1 hour", size: str = "24 hours", slide: str = "1 hour") -> DataFrame:

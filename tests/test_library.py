@@ -167,7 +167,7 @@ def test_vectors_and_fusion(spark):
     b = spark.createDataFrame([(2, 1), (3, 2)], "chapter_id long, pos int")
     fused = search.rrf(a, b).orderBy(T.F.desc("rrf_score")).collect()
     assert fused[0].chapter_id == 2 and fused[0].sources == "fts,semantic"
-    assert {r.query_id for r in V.score_queries(rows, [(5, [1.0, 0.0])], "id", "embedding", 0.5).collect()} == {5}
+    assert {r.query_id for r in V.nearest(rows, [(5, [1.0, 0.0])], "id", "embedding", 2, own=True).collect()} == {5}
     pairs = search.similar_pairs(spark.createDataFrame([(i, f"b{i % 2}", [float(i % 3), 1.0]) for i in range(20)], "id long, book_id string, embedding array<float>"), 0.99)
     assert pairs.count() == sum(1 for i in range(20) for j in range(i) if i % 2 != j % 2 and i % 3 == j % 3)
 
@@ -301,6 +301,67 @@ def test_state_machine_and_windows(spark, tmp_path):
     assert [r.n for r in ingest.daily_approvals(log).collect()] == [1]
 
 
+def test_only_a_silent_pipeline_is_stuck(spark, tmp_path):
+    """Pipeline 1 moves on before its timer, to a final state; pipeline 2 stays. A timer that an arrival has ended reports nothing."""
+    import time
+
+    from quire.streaming import ingest
+
+    schema = "pipeline_id long, event_id long, ts double, to_state string"
+    put = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    put("a", [(1, 1, 1.0, "approved"), (2, 2, 1.0, "approved")])
+    stream = spark.readStream.schema(schema).json(f"{tmp_path}/in")
+    q = ingest.track_states(stream, timers=True, pace=0.1).writeStream.format("memory").queryName("stuck").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        wait = lambda f, s: next((True for _ in range(s * 2) if f() or time.sleep(0.5)), False)
+        assert wait(lambda: spark.table("stuck").count() >= 2, 60)
+        put("b", [(1, 3, 2.0, "embedding"), (1, 4, 3.0, "complete")])
+        assert wait(lambda: spark.table("stuck").filter("to_state = 'complete'").count() == 1, 60)
+        assert wait(lambda: spark.table("stuck").filter("to_state = 'stuck'").count() > 0, 60)
+        time.sleep(4)
+        assert [(r.pipeline_id, r.from_state) for r in spark.table("stuck").filter("to_state = 'stuck'").collect()] == [(2, "approved")]
+    finally:
+        q.stop()
+
+
+def test_appended_parts_and_compaction(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s")
+    one = lambda i: spark.createDataFrame([(i,)], "id long")
+    for tag, i in (("x-1", 1), ("x-2", 2), ("x-2", 9)):
+        s.append("t", one(i), tag)
+    assert sorted(r.id for r in s.read("t").collect()) == [1, 2] and s.compact("t") == 1 and not s.appended("t")
+    s.append("t", one(3), "x-3")
+    assert sorted(r.id for r in s.read("t").collect()) == [1, 2, 3] and sorted(r.id for r in s.read("t", 1).collect()) == [1, 2]
+    s.write("t", one(7))
+    assert [r.id for r in s.read("t").collect()] == [7]
+
+
+def test_rerank_falls_back(spark):
+    rows = spark.createDataFrame([(1, 0.9, "a"), (2, 0.8, "b"), (3, 0.7, "c")], "id long, similarity double, content string")
+    ids = lambda model: [r.id for r in search.rerank(rows, model, 2).collect()]
+
+    def broken(_):
+        raise RuntimeError("no service")
+
+    assert ids(None) == ids(broken) == ids(lambda r: [1.0]) == [1, 2] and ids(lambda r: [x["id"] for x in r]) == [3, 2]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_stored_index_is_the_computed_one(spark):
+    from quire.operators import fulltext as X
+    from quire.sources.library import Library
+
+    lib = Library(spark, DATA)
+    texts = lib.chapters.select("id", "title", "content")
+    for stemmed, make in ((False, X.postings), (True, X.stemmed_postings)):
+        key = lambda df: sorted((r.id, r.term, r.tf) for r in df.select("id", "term", "tf").collect())
+        assert key(lib.index(stemmed).postings) == key(make(texts)) and lib.index(stemmed) is lib.index(stemmed)
+    for q in ("the haon", "haon OR onsh", "haon NOT was", "haon*", '"of the"', "the NOT (", "nothinglikeit"):
+        a, b = lib.index().search(q), X.bm25(X.postings(texts), q)
+        assert {(r.id, round(r.score, 9)) for r in a.collect()} == {(r.id, round(r.score, 9)) for r in b.collect()}
+        assert {r.id for r in lib.index().match(q).collect()} == {r.id for r in a.collect()}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_tools(spark):
     from quire.api import InputError, Tools

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import analytics, auditing, fulltext, governance, learning, search
+from .operators import analytics, auditing, excerpts, fulltext, governance, integrity, learning, maintenance, search, services
+from .operators.embedding import Embedder, HashEmbedder
+from .sources import reports
 from .sources.library import NOW, Library
-
-Embedder = Callable[[str], list[float]]
+from .sources.store import Store
 
 
 class InputError(ValueError):
@@ -30,11 +29,12 @@ def clamp(value, low, high):
 
 
 class Tools:
-    """embed: turns a query into a vector; without it, semantic methods take vectors only."""
+    """embedder: turns texts into vectors like those stored; without it, semantic methods take vectors only, and excerpts
+    are chosen by hashed words. store: where reading marks, bookmarks, titles and decisions are kept; without it the
+    methods that write raise InputError."""
 
-    def __init__(self, spark: SparkSession, folder: str, embed: Embedder | None = None):
-        self.lib, self.embed = Library(spark, folder), embed
-        self._index: DataFrame | None = None
+    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None, store: Store | None = None):
+        self.spark, self.lib, self.embedder, self.store = spark, Library(spark, folder), embedder, store
 
     # -- books and chapters
 
@@ -62,41 +62,59 @@ class Tools:
 
     # -- search
 
-    def index(self) -> DataFrame:
-        if self._index is None:
-            self._index = fulltext.postings(self.lib.chapters.select("id", "title", "content")).persist()
-        return self._index
-
-    def refresh(self) -> None:
-        if self._index is not None:
-            self._index.unpersist()
-            self._index = None
-
     def text_search(self, query: str, limit: int = 10, book_id: str | None = None) -> DataFrame:
+        """Stemmed full-text search with snippets; the stored index follows the texts' files."""
         where = self.lib.chapters.filter(F.col("book_id") == book_id).select("id") if book_id else None
-        found = fulltext.bm25(self.index(), check_query(query), clamp(limit, 1, 50), where)
+        index = self.lib.index(stemmed=True)
+        found = index.search(check_query(query), clamp(limit, 1, 50), where)
         rows = self.lib.chapters.select("id", "book_id", "chapter_number", "title", "content").join(F.broadcast(found), "id")  # at most 50 rows
-        terms = [t for leaf, _ in fulltext.Query(query).leaves for t in leaf]
+        terms = [t for leaf, _ in fulltext.Query(query, index.analyse).leaves for t in leaf]
         return fulltext.with_snippets(rows, terms).drop("content").orderBy(F.desc("score"), "id")
 
     def _vector(self, query: str | list[float]) -> list[float]:
         if isinstance(query, str):
-            if self.embed is None:
+            if self.embedder is None:
                 raise InputError("no embedder is set: give a vector")
-            return self.embed(check_query(query))
+            return [float(x) for x in self.embedder([check_query(query)])[0]]
         return query
 
+    def _named(self, found: DataFrame) -> DataFrame:
+        """Search results (few) with the numbers, titles and texts of their chapters."""
+        c = self.lib.chapters.select(F.col("id").alias("chapter_id"), "chapter_number", F.col("title").alias("chapter_title"), "content")
+        return c.join(F.broadcast(found), "chapter_id")
+
+    def relevant_excerpts(self, found: DataFrame, query: str | list[float], max_chars: int = 500) -> DataFrame:
+        """Search results with the paragraph of each chapter that is most like the query."""
+        embedder = self.embedder or HashEmbedder()
+        vector = self._vector(query) if self.embedder else embedder([query])[0] if isinstance(query, str) else query
+        return excerpts.relevant_excerpts(self._named(found), vector, embedder, max_chars).drop("content")
+
+    def semantic_context(self, query: str, vector: list[float] | None = None) -> str:
+        """Numbered blocks of text for a prompt: the three best chapters of at least 0.4."""
+        found = search.search_chapters(self.lib.search_rows, vector or self._vector(query), 3, 0.4)
+        return excerpts.rag_context(query, self.relevant_excerpts(found, query))
+
     def semantic_search(self, query: str | list[float], limit: int = 5, min_similarity: float = 0.3) -> DataFrame:
         return search.search_chapters(self.lib.search_rows, self._vector(query), clamp(limit, 1, 20), clamp(min_similarity, 0.0, 1.0))
 
     def search_all_books(self, query: str | list[float], max_per_book: int = 5, min_similarity: float = 0.3) -> DataFrame:
         return search.per_book(self.lib.search_rows, self._vector(query), clamp(max_per_book, 1, 20), min_similarity)
 
-    def hybrid_search(self, words: str, vector: list[float], limit: int = 10, min_similarity: float = 0.2) -> DataFrame:
+    def hybrid_search(self, words: str, vector: list[float], limit: int = 10, min_similarity: float = 0.2, diverse: bool = False, weight: float = 0.7) -> tuple[DataFrame, dict[str, int]]:
+        """(results with excerpts, how many came from each list). diverse: chapters that repeat better ones come later."""
         n = clamp(limit, 1, 20)
-        kw = fulltext.bm25(self.index(), check_query(words), min(50, 3 * n)).withColumnRenamed("id", "chapter_id")
-        sm = search.best_per(search.top_chunks(self.lib.search_rows, vector, 3 * n, min_similarity), "chapter_id")
-        return search.rrf(search.ranked(kw, "score"), search.ranked(sm, "similarity")).orderBy(F.desc("rrf_score"), "chapter_id").limit(n)
+        kw = search.ranked(self.lib.index(stemmed=True).search(check_query(words), min(50, 3 * n)).withColumnRenamed("id", "chapter_id"), "score")
+        best = search.best_per(search.top_chunks(self.lib.search_rows, vector, 3 * n, min_similarity), "chapter_id")
+        fused = search.rrf(kw, search.ranked(best, "similarity")).orderBy(F.desc("rrf_score"), "chapter_id").limit(5 * n)
+        rows = fused.collect()  # at most 100
+        stats = {"fts": sum(r.fts_pos is not None for r in rows), "semantic": sum(r.semantic_pos is not None for r in rows), "both": sum(r.fts_pos is not None and r.semantic_pos is not None for r in rows)}
+        kept = self.spark.createDataFrame(rows, fused.schema)
+        if diverse:
+            own = self.lib.search_rows.join(F.broadcast(kept.select("chapter_id", "rrf_score")), "chapter_id").filter("embedding IS NOT NULL")
+            first = search.best_per(own.withColumn("similarity", F.col("rrf_score")), "chapter_id").select(F.lit(0).cast("long").alias("query_id"), F.col("chapter_id").alias("id"), "similarity", "embedding")
+            kept = search.mmr(first, weight, n).select(F.col("id").alias("chapter_id"), "place").join(kept, "chapter_id")
+            return self.relevant_excerpts(kept, words).orderBy("place"), stats
+        return self.relevant_excerpts(kept.orderBy(F.desc("rrf_score"), "chapter_id").limit(n), words).orderBy(F.desc("rrf_score"), "chapter_id"), stats
 
     def find_related_content(self, chapter_id: int, limit: int = 5) -> DataFrame:
         row = self.lib.search_rows.filter((F.col("chapter_id") == chapter_id) & F.col("embedding").isNotNull()).orderBy("id").select("embedding", "book_id").first()
@@ -138,12 +156,115 @@ class Tools:
             raise InputError("severity: all, warning or bad")
         return rows.filter(F.col("severity").isin(*wanted[severity]))
 
+    def library_doctor(self, book_types: DataFrame, profiles: DataFrame, valid: tuple[str, ...]) -> DataFrame:
+        """category, n, fixable of the integrity checks. book_types: id, book_type. profiles: id, book_type."""
+        c = self.lib.chapters
+        return services.findings({
+            "orphaned_chunks": (integrity.orphan_chunks(self.lib.chunks.select("id", "chapter_id"), c.select("id")), F.lit(True)),
+            "null_content_hash": (integrity.null_hashes(c.select("id", "content", "content_hash")), F.col("content").isNotNull()),
+            "null_book_type": (services.null_types(book_types, profiles, valid), F.col("fixable")),
+        })
+
+    def audit_report(self, kind: str, folder: str | None = None, severity: str = "all") -> str | None:
+        """The chapter audit as a text table (kind "table"), or written as CSV or JSON below folder."""
+        rows = self.audit_chapter_quality(severity)
+        if kind == "table":
+            return reports.text_table(rows)
+        reports.write_report(rows, folder, kind)
+        return None
+
+    # -- marks, kept in the store
+
+    def _kept(self) -> Store:
+        if self.store is None:
+            raise InputError("no store is set")
+        return self.store
+
+    def _chapter(self, book_id: str, chapter_number: int) -> DataFrame:
+        if not 1 <= chapter_number <= 1000:
+            raise InputError("chapter numbers are 1 to 1000")
+        row = self.lib.chapters.filter((F.col("book_id") == book_id) & (F.col("chapter_number") == chapter_number)).select("book_id", "chapter_number", F.col("id").alias("chapter_id"))
+        if row.isEmpty():
+            raise LookupError(f"{book_id} has no chapter {chapter_number}")
+        return row
+
+    def mark(self, book_id: str, chapter_number: int, status: str, now: str = NOW) -> int:
+        """Set the reading status of a chapter: unread, reading or read. The new version of the table."""
+        if status not in ("unread", "reading", "read"):
+            raise InputError("status: unread, reading or read")
+        row = self._chapter(book_id, chapter_number).select("book_id", "chapter_number", "chapter_id", F.lit(status).alias("status"), F.to_timestamp(F.lit(now)).alias("updated_at"))
+        return self._kept().upsert("reading_marks", row, "book_id", "chapter_number")
+
+    def add_bookmark(self, book_id: str, chapter_number: int, note: str = "", now: str = NOW) -> int:
+        """One bookmark a chapter: a second one replaces its note."""
+        if len(note) > 1000:
+            raise InputError("a note has at most 1000 characters")
+        row = self._chapter(book_id, chapter_number).select("book_id", "chapter_number", "chapter_id", F.lit(note).alias("note"), F.to_timestamp(F.lit(now)).alias("created_at"))
+        return self._kept().upsert("bookmarks", row, "book_id", "chapter_number")
+
+    def remove_bookmark(self, book_id: str, chapter_number: int) -> int:
+        return self._kept().delete("bookmarks", (F.col("book_id") == book_id) & (F.col("chapter_number") == chapter_number))
+
+    def bookmarks(self, book_id: str | None = None) -> DataFrame:
+        rows = self._kept().read("bookmarks")
+        return (rows if book_id is None else rows.filter(F.col("book_id") == book_id)).orderBy(F.desc("created_at"), "book_id", "chapter_number")
+
+    def reading_marks(self) -> DataFrame:
+        return self._kept().read("reading_marks")
+
+    def update_title(self, book: str, chapter_number: int, new_title: str) -> int:
+        """A chapter's new title, kept apart from the texts; several books of that name are an error."""
+        found, near = services.resolve_book(self.lib.books.select("id", "title"), book)
+        one = found.first()
+        if one is None:
+            raise LookupError(f"no book {book!r}; near it: {', '.join(r.title for r in near.collect())}")
+        row = self._chapter(one.id, chapter_number).select("book_id", "chapter_number", F.lit(new_title).alias("new_title"))
+        return self._kept().upsert("titles", row, "book_id", "chapter_number")
+
+    def chapters(self) -> DataFrame:
+        """The chapters with the titles set by update_title."""
+        c = self.lib.chapters
+        return services.retitle(c, self.store.read("titles")) if self.store and self.store.exists("titles") else c
+
+    # -- approvals, kept in the store
+
+    def decide(self, requests: DataFrame, pipelines: DataFrame, thresholds: DataFrame, mode: str = "supervised", now: str = NOW, **policy) -> DataFrame:
+        """Approve, reject, retry or roll back: the outcomes of all requests. Audit rows are stored before the new states."""
+        store, decided = self._kept(), services.decisions(pipelines, requests, thresholds, mode, **policy)
+        version = store.write("decisions", decided)
+        decided = store.read("decisions", version)
+        store.append("audit", services.audit_rows(decided, now), f"{version:09d}")
+        store.write("pipelines", services.apply_decisions(pipelines, decided))
+        return decided
+
+    def audit_log(self, **conditions) -> DataFrame:
+        rows = self._kept().read("audit").withColumn("id", F.xxhash64("pipeline_id", "action", "performed_at"))
+        return services.audit_trail(rows, **conditions)
+
     # -- texts
 
     def get_summary(self, chapter_id: int) -> str:
         row = learning.extractive_summary(self.lib.chapters.filter(F.col("id") == chapter_id)).first()
         return row.summary if row else ""
 
+    def summarize_book(self, book_id: str, chapters: int = 50) -> str:
+        """Markdown: the summary of each of the first chapters of a book."""
+        own = self.lib.chapters.filter(F.col("book_id") == book_id)
+        sums = learning.extractive_summary(own.filter(F.col("chapter_number") <= clamp(chapters, 1, 1000)), 3)
+        rows = own.select("id", "chapter_number", "title").join(sums, "id").orderBy("chapter_number").collect()  # at most 1000
+        return "\n\n".join(f"## {r.chapter_number}. {r.title}\n\n{r.summary}" for r in rows)
+
+    def get_chapter_sections(self, chapter_id: int, threshold: int = 5000) -> DataFrame:
+        return maintenance.split_sections(self.lib.chapters.filter(F.col("id") == chapter_id).select("id", "content"), threshold)
+
+    def language_counts(self, chapter_id: int) -> DataFrame:
+        return services.language_counts(learning.code_blocks(self.lib.chapters.filter(F.col("id") == chapter_id)))
+
+    def export(self, book_id: str | None = None) -> DataFrame:
+        """Chapters in order of book and number, the first of each book marked as its header."""
+        rows = self.lib.chapters if book_id is None else self.lib.chapters.filter(F.col("book_id") == book_id)
+        return rows.select("book_id", "chapter_number", "title", "content", (F.col("chapter_number") == 1).alias("header")).orderBy("book_id", "chapter_number")
+
     def extract_code_examples(self, chapter_id: int, language: str = "") -> DataFrame:
         rows = learning.code_blocks(self.lib.chapters.filter(F.col("id") == chapter_id))
         return rows.filter(F.col("language") == language.lower()) if language else rows

@@ -10,7 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .excerpts import token_split, words_as_tokens
+
 TARGET, LEAST, SINGLE, HUGE = 500, 100, 600, 1000
+#: Tokens of a chunk at most.
+MAX_TOKENS = 8000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -68,14 +72,14 @@ def chunk(text: str, target: int = TARGET, least: int = LEAST) -> list[str]:
     return out
 
 
-def chunks(docs: DataFrame, target: int = TARGET, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """chapter_id, chunk_index, content, word_count, content_hash."""
+def chunks(docs: DataFrame, target: int = TARGET, id_col: str = "id", text_col: str = "content", max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """chapter_id, chunk_index, content, word_count, content_hash. A chunk of more than max_tokens tokens is split at sentences."""
 
     def run(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, index, text = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for k, c in enumerate(chunk(t.as_py() or "", target)):
+                for k, c in enumerate(p for c in chunk(t.as_py() or "", target) for p in (token_split(c, max_tokens) if len(words_as_tokens(c)) > max_tokens else [c])):
                     ids.append(i)
                     index.append(k)
                     text.append(c)

@@ -44,7 +44,7 @@ class StateMachine(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", "state string, since double, due long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         now, since, _ = self.state.get() if self.state.exists() else (None, None, None)
         out = []
@@ -58,14 +58,14 @@ class StateMachine(StatefulProcessor):
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
             if now in TIMEOUTS:
-                due = int(timers.getCurrentProcessingTimeInMs()) + int(2000 * TIMEOUTS[now] * self.pace)
+                due = int(timerValues.getCurrentProcessingTimeInMs()) + int(2000 * TIMEOUTS[now] * self.pace)
                 self.handle.registerTimer(due)
         self.state.update((now, since, due))
         yield pd.DataFrame(out, columns=["pipeline_id", "from_state", "to_state", "legal", "seconds"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, _, due = self.state.get() if self.state.exists() else (None, None, None)
-        stuck = [(key[0], now, "stuck", False, None)] if due is not None and expired.getExpiryTimeInMs() >= due else []
+        stuck = [(key[0], now, "stuck", False, None)] if due is not None and expiredTimerInfo.getExpiryTimeInMs() >= due else []
         yield pd.DataFrame(stuck, columns=["pipeline_id", "from_state", "to_state", "legal", "seconds"])
 
     def close(self) -> None:

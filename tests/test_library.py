@@ -12,7 +12,7 @@ import pytest
 from quire.functions import text as T
 from quire.functions import vectors as V
 from quire.operators import auditing, chunking, evaluation, fulltext, governance, integrity, learning, search
-from quire.plans import queries_more  # noqa: F401
+from quire.plans import queries_more, queries_services  # noqa: F401
 from quire.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -325,6 +325,8 @@ def test_only_a_silent_pipeline_is_stuck(spark, tmp_path):
 
 
 def test_appended_parts_and_compaction(spark, tmp_path):
+    from quire.sources.store import Store
+
     s = Store(spark, f"file://{tmp_path}/s")
     one = lambda i: spark.createDataFrame([(i,)], "id long")
     for tag, i in (("x-1", 1), ("x-2", 2), ("x-2", 9)):
@@ -363,18 +365,119 @@ def test_stored_index_is_the_computed_one(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-def test_tools(spark):
+def test_tools(spark, tmp_path):
     from quire.api import InputError, Tools
+    from quire.sources.store import Store
 
-    t = Tools(spark, DATA, embed=lambda q: [1.0] + [0.0] * 63)
+    one = [1.0] + [0.0] * 63
+    t = Tools(spark, DATA, embedder=lambda texts: [one for _ in texts], store=Store(spark, f"file://{tmp_path}/s"))
     assert t.list_books().count() == 20 and t.get_chapter("src1", 1, 50)
     assert t.text_search("the", 5).count() == 5 and t.semantic_search("anything", 5, 0.0).count() >= 1
-    assert t.hybrid_search("the", [1.0] + [0.0] * 63, 5).count() == 5
+    # The index is stemmed: another form of the word finds the same chapters.
+    assert {r.id for r in t.text_search("licenses", 50).collect()} == {r.id for r in t.text_search("licensed", 50).collect()} != set()
+    found, stats = t.hybrid_search("the", one, 5)
+    rows = found.collect()
+    assert len(rows) == 5 and all(r.excerpt for r in rows) and stats["fts"] > 0
+    diverse = t.hybrid_search("the", one, 5, diverse=True)[0].collect()
+    assert 0 < len(diverse) <= 5 and [r.place for r in diverse] == sorted(r.place for r in diverse)
+    assert t.semantic_context("the license", one).startswith(("Relevant context", "No relevant context"))
     assert t.create_study_guide(0).startswith("# ") and t.health().count() == 1 and t.find_related_content(0, 3).count() >= 0
-    for bad in (lambda: t.text_search("x"), lambda: t.get_chapter("src1", 0), lambda: t.audit_chapter_quality("odd"), lambda: Tools(spark, DATA).semantic_search("words")):
+    assert t.summarize_book("src1", 3).count("## ") >= 3 and t.audit_report("table").startswith("book_id")
+    t.audit_report("csv", f"file://{tmp_path}/r")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/r").count() == 20
+    t.mark("src1", 1, "reading")
+    t.mark("src1", 1, "read")
+    t.add_bookmark("src1", 2, "a")
+    t.add_bookmark("src1", 2, "b")
+    assert [r.status for r in t.reading_marks().collect()] == ["read"] and [r.note for r in t.bookmarks("src1").collect()] == ["b"]
+    t.remove_bookmark("src1", 2)
+    assert t.bookmarks().count() == 0
+    t.update_title("book-src1", 1, "Anew")
+    assert t.chapters().filter("title = 'Anew'").count() == 1 and t.chapters().count() == t.lib.chapters.count()
+    p = spark.createDataFrame([(1, "pending_approval", "x", 0.9, True, False), (2, "complete", "x", 0.9, True, False), (3, "hashing", None, None, True, False)], "id long, state string, book_type string, confidence double, valid boolean, needs_review boolean")
+    r = spark.createDataFrame([(1, "approve", "auto:full", "a"), (2, "rollback", "me", "b"), (3, "approve", "me", "c"), (9, "reject", "me", "d")], "id long, action string, actor string, reason string")
+    out = {x.id: (x.success, x.error, x.after_state) for x in t.decide(r, p, spark.createDataFrame([("x", 0.8)], "book_type string, threshold double"), "full").collect()}
+    assert out == {1: (True, None, "approved"), 2: (True, None, "archived"), 3: (False, "not_pending", "hashing"), 9: (False, "not_found", None)}
+    assert sorted((x.pipeline_id, x.action) for x in t.audit_log().collect()) == [(1, "approved"), (2, "rollback")] and t.audit_log(actor="me").count() == 1
+    assert {x.id: x.state for x in t.store.read("pipelines").collect()} == {1: "approved", 2: "archived", 3: "hashing"}
+    for bad in (lambda: t.text_search("x"), lambda: t.get_chapter("src1", 0), lambda: t.audit_chapter_quality("odd"), lambda: Tools(spark, DATA).semantic_search("words"), lambda: t.mark("src1", 1, "odd"), lambda: Tools(spark, DATA).bookmarks()):
         with pytest.raises(InputError):
             bad()
-    t.refresh()
+
+
+def test_excerpts():
+    from quire.operators import excerpts as P
+    from quire.operators.embedding import HashEmbedder
+
+    long = "x" * 60
+    assert P.excerpt_paragraphs(f"# One\n\n{long}\n\nshort\n\n{long}\n## Two\n{long}\n\nend") == [f"# One\n{long}", f"short {long}", f"## Two\n{long} end"]
+    assert P.excerpt_paragraphs("") == [] and P.excerpt_paragraphs("tiny") == ["tiny"] and P.excerpt_paragraphs("# a\n\n# b") == ["# b"]
+    e = HashEmbedder()
+    text = "\n\n".join(["alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", "the quick brown fox jumps over the lazy dog near the river bank", "z " * 400])
+    assert P.best_excerpt(e(["quick fox river"])[0], text, e).startswith("the quick")
+
+    def broken(_):
+        raise RuntimeError
+
+    assert P.best_excerpt(e(["quick"])[0], text, broken).startswith("alpha") and P.best_excerpt([0.0] * 64, text, e).startswith("alpha")
+    assert P.best_excerpt(e(["q"])[0], " ", e) == "[No content]" and P.best_excerpt(e(["z"])[0], "z " * 400, e, 10) == "z z z z z..."
+
+
+def test_token_split():
+    from quire.operators import excerpts as P
+
+    text = "One two. Three four five. " + "w " * 50 + "end. Last one."
+    for most in (1, 3, 5, 20, 1000):
+        parts = P.token_split(text, most)
+        assert all(len(P.words_as_tokens(p)) <= most + len(P._SENTENCE.split(p)) for p in parts)
+        if most == 1000:
+            assert parts == [text]
+    assert P.token_split("a b. c d. e f.", 4) == ["a b. c d.", "e f."] and P.token_split("", 5) == [""]
+    assert "".join(P.words_as_tokens(text + "  ")) == text + "  "
+
+
+def test_embedding_calls(spark):
+    from quire.operators import embedding as B
+
+    assert [list(r) for r in B.calls(["a" * 40] * 5, tokens=25)] == [[0, 1], [2, 3], [4]] and [list(r) for r in B.calls(["a"] * 5, most=2)] == [[0, 1], [2, 3], [4]]
+    assert [list(r) for r in B.calls(["a" * 4000, "b"], tokens=10)] == [[0], [1]] and not list(B.calls([]))
+    seen = []
+
+    def picky(texts):
+        seen.append(len(texts))
+        if "bad" in texts:
+            raise ValueError("no")
+        return [[1.0] for _ in texts]
+
+    assert B.embed_texts(["a", "bad", "c"], picky) == [([1.0], None), (None, "ValueError: no"), ([1.0], None)] and seen == [3, 1, 1, 1]
+    rows = B.embed(spark.createDataFrame([(1, "some words"), (2, None), (3, " ")], "id long, content string"), B.HashEmbedder(8)).collect()
+    assert {r.id: (r.embedding is None, r.error) for r in rows} == {1: (False, None), 2: (True, "empty text"), 3: (True, "empty text")}
+    v = B.HashEmbedder()
+    assert v(["a b"]) == v(["b  a"]) and abs(sum(x * x for x in v(["a b c"])[0]) - 1) < 1e-9 and v([""]) == [[0.0] * 64]
+
+
+def test_services_edges(spark):
+    from quire.operators import services as S
+    from quire.sources import reports as R
+
+    empty = spark.createDataFrame([], "id long, content_hash string, text string")
+    known = spark.createDataFrame([], "content_hash string, book_type string, confidence double")
+    assert S.classify(empty, known, S.KeywordClassifier(())).count() == 0
+    rows = spark.createDataFrame([(1, "h", "Data"), (2, "h", "Data"), (3, "g", None)], empty.schema)
+    assert sorted((r.id, r.book_type, r.source) for r in S.classify(rows, known, S.KeywordClassifier((("t", ("data",)),))).collect()) == [(1, "t", "primary"), (2, "t", "primary"), (3, "unknown", "none")]
+    a = S.analogy(spark.createDataFrame([("Docker image",), ("git",), ("x",)], "concept string"), spark.createDataFrame([(2, "docker", "d"), (1, "image", "i"), (3, "digit", "g")], "place int, key string, analogy string"))
+    assert sorted(((r.concept, r.analogy) for r in a.collect()), key=str) == [("Docker image", "i"), ("git", "g"), ("x", None)]
+    with pytest.raises(ValueError):
+        R.evaluated_rows({}, "books")
+    assert R.text_table(spark.createDataFrame([(1, None), (22, "b")], "a int, b string")).splitlines() == ["a   b", "--  -", "1", "22  b"]
+
+
+def test_strategy_files(spark, tmp_path):
+    from quire.sources import reports as R
+
+    (tmp_path / "fast.json").write_text('{"chunk": 500}')
+    (tmp_path / "slow.json").write_text('{"name": "careful", "chunk": 100}')
+    assert {(r.name, r.chunk) for r in R.strategies(spark, str(tmp_path)).collect()} == {("fast", 500), ("careful", 100)}
 
 
 def test_maintenance(spark):

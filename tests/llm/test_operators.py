@@ -200,8 +200,10 @@ def brute_spans(rows, size):
     return sorted((i, a, b - a, f) for a, b, f, i in out)
 
 
-@pytest.mark.parametrize(("size", "gram"), [(50, 12), (8, 3), (5, 5)])
-def test_repeated_passages_are_brute_force(spark, texts, size, gram):
+@pytest.mark.parametrize(("size", "gram", "hot"), [(50, 12, 20_000), (8, 3, 20_000), (5, 5, 20_000), (8, 3, 2), (5, 5, 30)])
+def test_repeated_passages_are_brute_force(spark, monkeypatch, texts, size, gram, hot):
+    """Also where suffixes that begin alike count as very many."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
     got = suffixes.repeats(frame(spark, texts), size, gram)
     assert sorted(map(tuple, got.collect())) == brute_spans(list(enumerate(texts)), size)
 
@@ -214,12 +216,36 @@ def test_repeated_passages_edges(spark):
     assert suffixes.repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("size", "hot"), [(50, 20_000), (8, 20_000), (8, 2)])
+def test_later_passages_are_removed(spark, monkeypatch, texts, size, hot):
+    """Words of windows that occurred before, by id and place, go; equal long texts stay once."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    got = suffixes.remove(frame(spark, texts), size, min(12, size // 2))
+    seen, longs, want = set(), set(), {}
+    for i, t in enumerate(texts):
+        w = (t or "").encode().split()
+        gone = [False] * len(w)
+        if len(w) >= size and tuple(w) in longs and t in texts[:i]:
+            gone = [True] * len(w)
+        for a in range(len(w) - size + 1):
+            k = tuple(w[a : a + size])
+            if k in seen:
+                gone[a : a + size] = [True] * size
+            seen.add(k)
+        longs.add(tuple(w))
+        want[i] = ([x for x, g in zip(w, gone) if not g], sum(gone))
+    assert {r.doc_id: ((r.text or "").encode().split(), r.n_removed) for r in got.collect()} == want
+    assert got.columns == [*frame(spark, texts).columns, "n_removed"]
+    for r in got.filter("n_removed = 0").collect():
+        assert r.text == texts[r.doc_id]
+
+
 def kept_suffixes(*ranges, batch):
     """What _compare keeps of sorted ranges, each read in batches of so many rows."""
     out = set()
     for rows in ranges:
         parts = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a : a + batch])], names=["grams", "text_hash", "places"]) for a in range(0, len(rows), batch)]
-        out |= {(t, p) for b in suffixes._compare(iter(parts)) for t, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        out |= {(t, p) for b in suffixes._compare(iter(parts)) for t, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())}
     return out
 
 

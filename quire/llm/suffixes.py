@@ -8,8 +8,8 @@ k words and then word by word by what follows them, and neighbours tell how far
 neighbours that all share r words is all suffixes that do. In the same way classes of equal words before the suffix
 tell how far it matches to the left. A passage repeats where one class to the left and one run to the right have two
 suffixes in common and both lengths and k make MIN_WORDS: every pair of equal passages is found, not only
-those of neighbours, since runs and classes hold all suffixes. Matches compare hashes of single words, fifty or more of
-them in a row.
+those of neighbours, since runs and classes hold all suffixes. Matches compare hashes of single words (of 32 bits,
+the first k together by 64), fifty or more of them in a row.
 
 Suffixes that begin alike lie in one task, unless more than HOT do: those are matched by hashes (of 128 bits) of
 the windows around them, aggregated before they move.
@@ -37,7 +37,10 @@ MIN_WORDS, GRAM = 50, 12
 #: Suffixes with the same first words up to which they are matched in one task.
 HOT = 20_000
 #: Suffixes of which a task holds the words around at a time, but for those that begin alike.
-HELD = 10_000
+HELD = 4_000
+#: Suffixes, and suffixes with the words around them, of a partition, and the most partitions of a sort: tasks stay small
+#: at any size of the shuffles' partitions that the session sets.
+SORTED_EACH, AROUND_EACH, MOST_PARTS = 200_000, 20_000, 20_000
 TEXTS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("grams", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
 KEPT = pa.schema([("gram", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32())])
 AROUND = pa.schema([("gram", pa.int64()), ("follows", pa.binary()), ("before", pa.binary()), ("id", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32())])
@@ -107,7 +110,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _around(batches: Iterator[pa.RecordBatch], reach: int, gram: int) -> Iterator[pa.RecordBatch]:
     """AROUND of the rows (id, text_hash, places, text): the hashes of up to reach words after the first ones of each
-    suffix, and of those before it, nearest first; eight bytes a word, so that their order as bytes is one word by word."""
+    suffix, and of those before it, nearest first; four bytes a word, so that their order as bytes is one word by word."""
     for batch in batches:
         for a, b, data, offsets in kernels.slices(batch.column(3)):
             w = kernels.find_words(data, offsets)
@@ -115,7 +118,7 @@ def _around(batches: Iterator[pa.RecordBatch], reach: int, gram: int) -> Iterato
             out: list[list] = [[] for _ in AROUND]
             for i in range(len(w)):
                 own = h[w.of[i] : w.of[i + 1]]
-                big, hashed = own.astype(">u8"), kernels.signed(kernels.run_hashes(own, gram))
+                big, hashed = (own >> np.uint64(32)).astype(">u4"), kernels.signed(kernels.run_hashes(own, gram))
                 for p in sorted(batch.column(2)[a + i].as_py()):
                     row = (int(hashed[p]), big[p + gram : p + gram + reach].tobytes(), big[max(0, p - reach) : p][::-1].tobytes(), batch.column(0)[a + i].as_py(), batch.column(1)[a + i].as_py(), p)
                     for column, value in zip(out, row, strict=True):
@@ -126,8 +129,8 @@ def _around(batches: Iterator[pa.RecordBatch], reach: int, gram: int) -> Iterato
 def _words(cells: list[bytes], reach: int) -> np.ndarray:
     """A row of numbers for each cell: equal words have equal ones, and places behind the end have one of their own."""
     n = len(cells)
-    size = np.array([len(c) // 8 for c in cells])
-    _, number = np.unique(np.frombuffer(b"".join(cells), ">u8"), return_inverse=True)
+    size = np.array([len(c) // 4 for c in cells])
+    _, number = np.unique(np.frombuffer(b"".join(cells), ">u4"), return_inverse=True)
     out = np.repeat((np.arange(n) + len(number))[:, None], max(1, reach), 1)
     out[np.arange(max(1, reach)) < size[:, None]] = number
     return out[:, :reach]
@@ -211,9 +214,9 @@ def _windows(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.Recor
         gram = batch.column(0).to_numpy().view(np.uint64)
         sums = []
         for column in (1, 2):
-            size = np.array([len(c) // 8 for c in batch.column(column).to_pylist()], int)
+            size = np.array([len(c) // 4 for c in batch.column(column).to_pylist()], int)
             m = np.zeros((len(batch), reach), np.uint64)
-            m[np.arange(reach) < size[:, None]] = np.frombuffer(b"".join(batch.column(column).to_pylist()), ">u8")
+            m[np.arange(reach) < size[:, None]] = np.frombuffer(b"".join(batch.column(column).to_pylist()), ">u4")
             sums.append((size, m))
         row, words = np.nonzero((np.arange(reach + 1) <= sums[1][0][:, None]) & (reach - np.arange(reach + 1) <= sums[0][0][:, None]))
         keys = []
@@ -264,7 +267,9 @@ def _found(docs: DataFrame, min_words: int, gram: int, id_col: str, text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("text_hash"), "text")
     texts = materialise(map_arrow(rows, partial(_sparse, min_words=min_words, gram=gram), "id long, text_hash long, n long, grams array<long>, places array<int>"), "suffixes")
     suffixes = texts.select("text_hash", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("s.grams", "text_hash", "s.places")
-    ordered = suffixes.repartitionByRange("grams", "text_hash", "places").sortWithinPartitions("grams", "text_hash", "places")
+    parts = lambda n, each: max(1, min(MOST_PARTS, -(-n // each)))
+    n = texts.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    ordered = suffixes.repartitionByRange(parts(n, SORTED_EACH), "grams", "text_hash", "places").sortWithinPartitions("grams", "text_hash", "places")
     kept = materialise(map_arrow(ordered, _compare, _ddl(KEPT)), "kept-suffixes")
     hot = materialise(kept.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("gram"), "hot-grams")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"].alias("first")
@@ -278,7 +283,7 @@ def _found(docs: DataFrame, min_words: int, gram: int, id_col: str, text_col: st
     else:
         around, listed = materialise(around, "around"), small(hot)
         cold, runs = around.join(listed, "gram", "left_anti").select(around.columns), _hot_spans(around.join(listed, "gram").select(around.columns), reach)
-    matched = map_arrow(cold.repartition("gram").sortWithinPartitions("gram", "follows"), partial(_match, reach=reach), _ddl(FOUND))
+    matched = map_arrow(cold.repartition(parts(kept.count(), AROUND_EACH), "gram").sortWithinPartitions("gram", "follows"), partial(_match, reach=reach), _ddl(FOUND))
     runs = matched if runs is None else matched.unionByName(runs)
     of = runs.distinct().groupBy("id", "text_hash").agg(F.collect_list(F.struct("later", "start", "last", "source")).alias("runs"))
     return map_arrow(of.select("id", "text_hash", "runs"), partial(_merge, min_words=min_words), _ddl(SPANS)), texts.select("id", "text_hash"), same

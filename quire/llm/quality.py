@@ -6,7 +6,7 @@ in the number of features, as half the sum over the dimensions f of (sum_i v_if
 Features: words, hashed into WORD_BINS bins, weighted by log(1 + count) and scaled to length 1 for each text;
 each structure statistic and the metadata column, cut into STEPS steps of which one is 1. Statistics read the
 whole text. The model is trained on the driver from at most MAX_TRAIN labelled rows, those with the smallest
-hash of the id; its size is fixed. Scoring is one pass without an exchange.
+hash of the id, as far as their features fit into MAX_BYTES; its size is fixed. Scoring is one pass without an exchange.
 
 Null and empty texts have the features of no words and get the score that the model gives those. Null labels are
 skipped; of several labels of a document the largest counts; null ids have no label and are not held out.
@@ -25,11 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import map_arrow
+from .common import map_arrow, materialise
 
 WORD_BINS, STEPS, RANK = 1 << 15, 16, 8
 #: Bound of the training sample, and how it is walked.
 MAX_TRAIN, EPOCHS, BATCH, RATE, DECAY = 10_000, 6, 128, 0.05, 1e-5
+MAX_BYTES = 256 << 20
 THRESHOLD = 0.7
 STATISTICS = ("words", "word_bytes", "capitals", "digits", "symbols", "points", "other_bytes", "lines", "words_a_line", "distinct_words", "repeated_runs", "repeated_lines", "short_words", "metadata")
 SIZE = WORD_BINS + STEPS * len(STATISTICS)
@@ -171,21 +172,31 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, metadata_col: str) ->
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """index, value (binary), label of the rows (text, extra, label)."""
+    """index, value (binary), label, place of the rows (text, extra, label, place)."""
     for batch in batches:
         extra = batch.column(1).to_numpy(zero_copy_only=False)
         for a, b, data, offsets in kernels.slices(batch.column(0)):
             x = features(data, offsets, extra[a:b])
             cells = [[v[s:e].tobytes() for s, e in zip(x.of, x.of[1:])] for v in (x.index, x.value)]
-            yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.binary()), pa.array(cells[1], pa.binary()), batch.column(2).slice(a, b - a)], names=["index", "value", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.binary()), pa.array(cells[1], pa.binary()), batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a)], names=["index", "value", "label", "place"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata_col: str = "n_chars") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata_col: str = "n_chars") -> Model | None:
     """A model from at most max_train labelled rows that are not held out; None if there are none with both labels."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out("id"))
     known = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_train)
     rows = _prepared(docs, id_col, text_col, metadata_col).join(F.broadcast(known), "id")  # at most max_train rows
-    got = map_arrow(rows.select("id", "text", "extra", "label").dropDuplicates(["id"]).select("text", "extra", "label"), _featured, "index binary, value binary, label int").toArrow()
+    one = rows.select("id", "text", "extra", "label").dropDuplicates(["id"]).withColumn("place", F.xxhash64("id"))
+    held = materialise(map_arrow(one.select("text", "extra", "label", "place"), _featured, "index binary, value binary, label int, place long"), "training-rows")
+    sizes = sorted((r[0], r[1]) for r in held.select("place", F.octet_length("index") + F.octet_length("value")).collect())  # at most max_train pairs
+    last, total = None, 0
+    for place, size in sizes:
+        total += size
+        if total > max_bytes and last is not None:
+            held = held.filter(F.col("place") <= last)
+            break
+        last = place
+    got = held.select("index", "value", "label").toArrow()  # at most max_bytes, but for one text
     y = got.column("label").to_numpy().astype(np.float32)
     if not len(y) or y.min() == y.max():
         return None

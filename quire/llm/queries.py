@@ -92,6 +92,17 @@ def op4_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents"))
 
 
+_WORDS4 = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+OP4_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS4} AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t WHERE len(w) >= 50)),
+c AS (SELECT k, min(doc_id) AS src FROM win GROUP BY k HAVING count(*) > 1),
+h AS (SELECT r, doc_id, i, src, lag(i) OVER (PARTITION BY r ORDER BY i) AS prev FROM win JOIN c USING (k)),
+g AS (SELECT *, sum(CASE WHEN i <= prev + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM h)
+SELECT doc_id, (min(i) - 1)::BIGINT AS start_word, (max(i) + 50 - min(i))::BIGINT AS n_words, arg_min(src, i) AS source_doc_id FROM g GROUP BY r, doc_id, run
+"""
+
+
 def op5_edit_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, distance, ends_at: every benchmark item found in a document."""
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -118,6 +129,19 @@ def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.NearDuplicates(table(spark, sf_dir, "documents"), width=4, threshold=85).clusters().select("doc_id", "n_shingles", "component_id", "class_rep")
 
 
+OP7_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, {_WORDS4.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS kind FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS id, doc_id AS root FROM t UNION SELECT e.b, root FROM reach JOIN e ON e.a = reach.id)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.root AS component_id,
+       CASE WHEN kind IS NULL THEN t.doc_id ELSE min(t.doc_id) OVER (PARTITION BY kind) END AS class_rep FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) m ON m.id = t.doc_id
+"""
+
+
 def op8_factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -144,4 +168,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_pack_curve, op3_rule_ledger, rule_ablations, op4_sparse_suffixes, op5_edit_decontam, op6_url_rules, op7_parity_join, op8_factor_quality, op9_minimax_shards, op10_warc_bundles)}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_rule_ledger": OP3_SQL, "rule_ablations": ABLATIONS_SQL, "op6_url_rules": OP6_SQL, "op10_warc_bundles": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_rule_ledger": OP3_SQL, "rule_ablations": ABLATIONS_SQL, "op4_sparse_suffixes": OP4_SQL, "op6_url_rules": OP6_SQL, "op7_parity_join": OP7_SQL, "op10_warc_bundles": OP10_SQL}

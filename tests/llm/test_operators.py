@@ -240,6 +240,45 @@ def test_later_passages_are_removed(spark, monkeypatch, texts, size, hot):
         assert r.text == texts[r.doc_id]
 
 
+def test_texts_longer_than_a_slice(spark):
+    """Every kernel on a text of more than its slice, beside short ones."""
+    from quire.llm import kernels
+
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(160_000))
+    assert len(long) > kernels.SLICE_BYTES
+    docs = frame(spark, [long, "a b c d e", long + " tail", "x " * 60, None])
+    assert {r.doc_id: r.component_id for r in jaccard.NearDuplicates(docs, 5, 80).clusters().collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
+    spans = {(r.doc_id, r.start_word, r.n_words, r.source_doc_id) for r in suffixes.repeats(docs).collect()}
+    assert spans == {(0, 0, 160_000, 0), (2, 0, 160_000, 0), (3, 0, 60, 3)}
+    assert {r.doc_id: r.n_removed for r in suffixes.remove(docs).collect()} == {0: 0, 1: 0, 2: 160_000, 3: 59, 4: 0}
+    assert quality.score(docs, None).count() == 5
+
+
+def test_sets_are_hashed_anew_after_a_collision(spark, monkeypatch):
+    """The first hash of a set is the same for all: the second shows it, and another seed is taken."""
+    real = jaccard._sketch
+
+    def colliding(batches, width, threshold, seed):
+        for b in real(batches, width, threshold, seed):
+            yield b if seed else b.set_column(3, "cid", pa.array([None if x is None else 7 for x in b.column(3).to_pylist()], pa.int64()))
+
+    monkeypatch.setattr(jaccard, "_sketch", colliding)
+    got = jaccard.NearDuplicates(frame(spark, ["a b c d e f", "g h i j k l", "a b c d e f", None]), 5, 80).clusters().collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 1), (2, 0), (3, 3)]
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Rows that share id and text, rows without id, and the largest id there is."""
+    t, u = "a b c d e f g", "h i j k l m n"
+    docs = frame(spark, [t, t, t, u, u, None, None, "x y", "x y"], [4, 4, None, None, None, 1, 1, (1 << 63) - 1, 9])
+    left = jaccard.keep_first(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in left.collect()) == [(False, 1, ""), (False, 1, ""), (False, 4, t), (False, 9, "x y"), (True, 0, u)]
+    ids = {(r.doc_id, r.component_id) for r in jaccard.NearDuplicates(docs.filter("doc_id > 9")).clusters().collect()}
+    assert ids == {((1 << 63) - 1, (1 << 63) - 1)}
+
+
 def kept_suffixes(*ranges, batch):
     """What _compare keeps of sorted ranges, each read in batches of so many rows."""
     out = set()
@@ -448,6 +487,20 @@ def test_quality_is_learnt_and_held_out_rows_are_not(spark, texts):
     assert quality.score(docs.drop("n_chars"), model).count() == len(got)
 
 
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_quality_of_held_out_documents(spark):
+    """Ranks and verdicts for labelled documents that the model never saw."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    rows = quality.score(docs, model).join(labels, "doc_id").filter(quality.held_out("doc_id")).select("score", "quality").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    right = sum((r.score >= quality.THRESHOLD) == (r.quality == 1) for r in rows) / len(rows)
+    assert len(rows) > 800 and auc > 0.99 and right > 0.97
+    few = quality.fit(docs, labels, max_bytes=50_000)
+    assert few is not None and not (few.weight == model.weight).all()
+
+
 # -- op 9 --------------------------------------------------------------------------------------------------------
 
 

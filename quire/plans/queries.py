@@ -741,7 +741,7 @@ def token_estimate(lib):
     return lib.chapters.select("id", T.token_estimate(F.col("content")).alias("tokens"), "word_count")
 
 
-@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE event_type = 'error'", raw=True)
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events", raw=True)
 def json_payload(lib):
     body = T.json_object(F.concat(F.lit("```json\n"), "props", F.lit("\n```")))
-    return lib.table("events").filter("event_type = 'error'").select("event_id", F.from_json(body, "k int")["k"].alias("k"))
+    return lib.table("events").select("event_id", F.from_json(body, "k int")["k"].alias("k"))

@@ -69,10 +69,10 @@ def reingest(lib):
     return M.prepare_reingest(p, p.filter("id % 4 = 0"))
 
 
-@query("SELECT id, CASE WHEN state = 'hashing' THEN 'approve' ELSE 'skipped' END AS outcome, false AS dry_run FROM pipelines WHERE id % 2 = 0")
+@query("SELECT id, CASE WHEN state = 'hashing' THEN 'approve' ELSE 'skipped' END AS outcome, false AS dry_run FROM pipelines")
 def batch_approve(lib):
     p = lib.pipelines.select("id", F.when(F.col("state") == "hashing", "pending_approval").otherwise(F.col("state")).alias("state"))
-    return M.batch_decide(p, p.filter("id % 2 = 0"), "approve")[1]
+    return M.batch_decide(p, p, "approve")[1]
 
 
 @query("SELECT book_id, sha256('Title: ' || any_value(b.title) || chr(10) || 'Author: ' || any_value(author) || chr(10) || 'Contents:' || chr(10) || string_agg(c.title, chr(10) ORDER BY chapter_number) || chr(10) || 'Excerpt:' || chr(10) || arg_min(left(content, 2000), chapter_number)) AS h FROM chapters c JOIN books b ON b.id = book_id GROUP BY book_id")
@@ -163,9 +163,9 @@ def fts_sync_terms(lib):
     return synced(lib.chapters).groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("tf"))
 
 
-@query("SELECT id, CASE WHEN q = 1 AND t = 0 THEN 'approved' ELSE 'rejected' END AS decision FROM (SELECT doc_id AS id, quality AS q, toxic AS t FROM labels) WHERE id % 5 = 0")
+@query("SELECT id, CASE WHEN q = 1 AND t = 0 THEN 'approved' ELSE 'rejected' END AS decision FROM (SELECT doc_id AS id, quality AS q, toxic AS t FROM labels)")
 def spot_check_writeback(lib):
-    rows = lib.table("labels").filter("doc_id % 5 = 0")
+    rows = lib.table("labels")
     return rows.select(F.col("doc_id").alias("id"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "approved").otherwise("rejected").alias("decision"))
 
 

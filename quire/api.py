@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import analytics, auditing, excerpts, fulltext, governance, integrity, learning, maintenance, search, services
 from .operators.embedding import Embedder, HashEmbedder
-from .sources import reports
+from .sources import export, reports
 from .sources.library import NOW, Library
 from .sources.store import Store
 
@@ -260,10 +260,10 @@ class Tools:
     def language_counts(self, chapter_id: int) -> DataFrame:
         return services.language_counts(learning.code_blocks(self.lib.chapters.filter(F.col("id") == chapter_id)))
 
-    def export(self, book_id: str | None = None) -> DataFrame:
-        """Chapters in order of book and number, the first of each book marked as its header."""
-        rows = self.lib.chapters if book_id is None else self.lib.chapters.filter(F.col("book_id") == book_id)
-        return rows.select("book_id", "chapter_number", "title", "content", (F.col("chapter_number") == 1).alias("header")).orderBy("book_id", "chapter_number")
+    def export_rows(self, book_id: str | None = None) -> DataFrame:
+        """Chapters in order of book and number, the first of each book marked as its header; for sources.export."""
+        rows = self.chapters() if book_id is None else self.chapters().filter(F.col("book_id") == book_id)
+        return export.ordered(rows, self.lib.books)
 
     def extract_code_examples(self, chapter_id: int, language: str = "") -> DataFrame:
         rows = learning.code_blocks(self.lib.chapters.filter(F.col("id") == chapter_id))

@@ -211,7 +211,13 @@ def hybrid_overlap_stats(lib):
     return both.join(kw.agg(F.count("*").alias("fts"))).join(sm.agg(F.count("*").alias("semantic")))
 
 
-@query()
+@query(
+    "SELECT 0::BIGINT AS query_id, chosen[i] AS id, i AS place FROM (SELECT chosen, unnest(range(1, 11)) AS i FROM m WHERE k = 10)",
+    f"""{SCORED}, cand AS (SELECT s.id, similarity, c.embedding, row_number() OVER (ORDER BY similarity DESC, s.id) AS pos FROM (SELECT * FROM scored WHERE similarity >= 0.1 ORDER BY similarity DESC, id LIMIT 30) s JOIN chunks c ON c.id = s.id),
+near AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.embedding, b.embedding) AS s FROM cand a, cand b),
+m(k, chosen) AS (SELECT 1, [id] FROM cand WHERE pos = 1 UNION ALL SELECT k + 1, list_append(any_value(chosen), arg_max(id, (value, -pos)))
+  FROM (SELECT k, chosen, c.id, pos, 0.7 * similarity - 0.3 * max(s) AS value FROM m JOIN cand c ON NOT list_contains(chosen, c.id) JOIN near ON near.a = c.id AND list_contains(chosen, near.b) WHERE k < 10 GROUP BY k, chosen, c.id, pos, similarity) GROUP BY k)""",
+)
 def mmr_diverse(lib):
     found = S.top_chunks(lib.search_rows, _vector(lib), 30, 0.1).select("id", "similarity")
     return S.mmr(lib.search_rows.select("id", "embedding").join(F.broadcast(found), "id").withColumn("query_id", F.lit(0).cast("long")), 0.7, 10)  # thirty rows

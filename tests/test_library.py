@@ -405,6 +405,52 @@ def test_tools(spark, tmp_path):
             bad()
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_commands(spark, tmp_path):
+    from quire.__main__ import run
+
+    go = lambda *a: run(spark, ["--data", DATA, "--store", f"file://{tmp_path}/s", *a])
+    assert go("books").count("Book src") == 20 and go("stats").startswith("books") and go("toc", "src1").startswith("chapter_number")
+    assert len(go("search", "the", "--limit", "3").splitlines()) == 5 and go("study", "0").startswith("# ")
+    assert go("mark", "src1", "1", "read") == "version 1" and go("retitle", "book-src1", "1", "Anew") == "version 1"
+    assert go("export", f"file://{tmp_path}/e").startswith("written") and any("Anew" in f.read_text() for f in (tmp_path / "e").glob("part-*"))
+    assert run(spark, ["--data", DATA, "--csv", f"file://{tmp_path}/c", "audit", "bad"]).startswith("written")
+
+
+def test_pdf(spark, tmp_path):
+    import zlib
+
+    from quire.sources import pdf
+
+    shown = b"BT " + b" ".join(b"(word%d and \\(more\\)) Tj" % i for i in range(60)) + b" [(sp) -20 (lit)] TJ ET"
+    body = lambda data: b"<< /Length 1 >>\nstream\n" + data + b"\nendstream\n"
+    head = b"%PDF-1.4\n/Title (One \\(1\\)) /Title (\\376\\377\\000T\\000w\\000o)\n"
+    for name, data in (("a.pdf", head + body(zlib.compress(shown))), ("b.pdf", body(shown)), ("scan.pdf", b"%PDF" + body(b"\x00\x01"))):
+        (tmp_path / name).write_bytes(data)
+    got = {os.path.basename(r.path): (r.words, r.titles) for r in pdf.words_and_titles(pdf.files(spark, str(tmp_path))).collect()}
+    assert got == {"a.pdf": (181, ["One (1)", "Two"]), "b.pdf": (181, []), "scan.pdf": (None, [])}
+    assert pdf.simple_text(body(shown)).endswith("split")
+
+    def broken(_):
+        raise OSError
+
+    assert {r.words for r in pdf.words_and_titles(pdf.files(spark, str(tmp_path)), broken).collect()} == {None}
+
+
+def test_chunks_lose_nothing():
+    """Every sentence is in some chunk, chunks follow the text, and only a long sentence makes one too long."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(60):
+        paras = [" ".join(f"s{p}x{k} " + "w " * rng.choice((3, 20, 90)) + "end." for k in range(rng.randrange(1, 40))) for p in range(rng.randrange(1, 12))]
+        out = chunking.chunk("\n\n".join(paras))
+        marks = [w for p in paras for w in p.split() if w[:1] == "s"]
+        at = {m: [i for i, c in enumerate(out) if m in c.split()] for m in marks}
+        assert all(at.values()) and [at[m][0] for m in marks] == sorted(at[m][0] for m in marks)
+        assert all(len(v) <= 3 for v in at.values()) and all(len(c.split()) <= chunking.HUGE + 100 for c in out)
+
+
 def test_excerpts():
     from quire.operators import excerpts as P
     from quire.operators.embedding import HashEmbedder

@@ -187,6 +187,19 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+#: Postings of a file of a bucket, and postings that a document is expected to have.
+FILE_POSTINGS, DOC_POSTINGS = 5_000_000, 200
+
+
+def _store(made: DataFrame, docs: DataFrame, at: str) -> None:
+    """Write postings and lengths. Files of a bucket are split by document, as many as the counted documents ask for, so that
+    no term, however frequent, is one task's."""
+    splits = max(1, docs.count() * DOC_POSTINGS // (BUCKETS * FILE_POSTINGS))
+    dealt = made.withColumn("bucket", bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(splits)))
+    dealt.sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
+    lengths(docs.sparkSession.read.parquet(f"{at}/postings")).write.mode("overwrite").parquet(f"{at}/lengths")
+
+
 class Index:
     """A stored index: postings by bucket and term, lengths, and the two numbers that BM25 needs of all documents."""
 
@@ -200,9 +213,7 @@ class Index:
     @classmethod
     def build(cls, docs: DataFrame, at: str, stemmed: bool = False, id_col: str = "id", text_cols: tuple[str, ...] = ("title", "content")) -> Index:
         """Write the index of docs to the folder at. A frequent term is spread over several files by its documents."""
-        made = (stemmed_postings if stemmed else postings)(docs, id_col, text_cols).withColumn("bucket", bucket(F.col("term")))
-        made.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
-        lengths(docs.sparkSession.read.parquet(f"{at}/postings")).write.mode("overwrite").parquet(f"{at}/lengths")
+        _store((stemmed_postings if stemmed else postings)(docs, id_col, text_cols), docs, at)
         return cls(docs.sparkSession, at, stemmed)
 
     def search(self, query: str, limit: int | None = None, where: DataFrame | None = None) -> DataFrame:
@@ -215,9 +226,8 @@ class Index:
         """The index with these documents replaced, in another folder; texts of other documents aren't read."""
         stemmed = self.analyse is fold
         fresh = (stemmed_postings if stemmed else postings)(docs, id_col, text_cols)
-        made = self.postings.drop("bucket").join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_anti").unionByName(fresh).withColumn("bucket", bucket(F.col("term")))
-        made.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
-        lengths(self.spark.read.parquet(f"{at}/postings")).write.mode("overwrite").parquet(f"{at}/lengths")
+        made = self.postings.drop("bucket").join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_anti").unionByName(fresh)
+        _store(made, self.lengths, at)
         return Index(self.spark, at, stemmed)
 
 

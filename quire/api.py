@@ -57,8 +57,7 @@ class Tools:
         return row.t
 
     def search_titles(self, query: str, limit: int = 10) -> DataFrame:
-        like = f"%{T.like_escape(check_query(query))}%"
-        return self.lib.books.filter(F.col("title").ilike(like)).orderBy("title").limit(clamp(limit, 1, 50))
+        return services.search_titles(self.lib.books, check_query(query), ("title", "author"), clamp(limit, 1, 50))
 
     # -- search
 
@@ -66,7 +65,10 @@ class Tools:
         """Stemmed full-text search with snippets; the stored index follows the texts' files."""
         where = self.lib.chapters.filter(F.col("book_id") == book_id).select("id") if book_id else None
         index = self.lib.index(stemmed=True)
-        found = index.search(check_query(query), clamp(limit, 1, 50), where)
+        try:
+            found = index.search(check_query(query), clamp(limit, 1, 50), where)
+        except ValueError as e:
+            raise InputError(str(e)) from e
         rows = self.lib.chapters.select("id", "book_id", "chapter_number", "title", "content").join(F.broadcast(found), "id")  # at most 50 rows
         terms = [t for leaf, _ in fulltext.Query(query, index.analyse).leaves for t in leaf]
         return fulltext.with_snippets(rows, terms).drop("content").orderBy(F.desc("score"), "id")

@@ -180,6 +180,43 @@ def find_chapter_paths(chapters: DataFrame, files: DataFrame) -> DataFrame:
     return own.unionByName(near).withColumn("_r", best).filter("_r = 1").select("id", "path", "is_folder")
 
 
+def search_titles(rows: DataFrame, text: str, columns: Sequence[str] = ("title",), limit: int = 10, order: str = "title") -> DataFrame:
+    """Rows one of whose columns holds the text, whatever its case; % and _ stand for themselves."""
+    like = f"%{T.like_escape(text)}%"
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.col(c).ilike(like), F.lit(False))
+    return rows.filter(hit).orderBy(order, "id").limit(limit)
+
+
+def reading_totals(reading: DataFrame, status: str = "read") -> DataFrame:
+    """n_read, books: chapters of that status, and books with any mark."""
+    return reading.agg(F.count_if(F.col("status") == status).alias("n_read"), F.count_distinct("book_id").alias("books"))
+
+
+def done_on(history: DataFrame, day: str, state: str = "complete") -> DataFrame:
+    """n: transitions into the state on that day, for a daily cap."""
+    return history.filter((F.col("to_state") == state) & (F.to_date("created_at") == F.to_date(F.lit(day)))).agg(F.count("*").alias("n"))
+
+
+def count_states(pipelines: DataFrame, states: Sequence[str] | None = None, terminal: Sequence[str] = ()) -> DataFrame:
+    """state, n, terminal of the pipelines, of those states only if any are named."""
+    rows = pipelines if states is None else pipelines.filter(F.col("state").isin(*states))
+    return rows.groupBy("state").agg(F.count("*").alias("n")).withColumn("terminal", F.col("state").isin(*terminal) if terminal else F.lit(False))
+
+
+def spot_check_results(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, decision: what a spot check of labelled rows writes back. Good ones that aren't toxic are approved."""
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    return labels.select(F.col(id_col).alias("id"), F.when(good, "approved").otherwise("rejected").alias("decision"))
+
+
+def related_concepts(chapters: DataFrame, limit: int = 20) -> DataFrame:
+    """id, title: the first chapters by id, one of each title whatever its case."""
+    first = F.row_number().over(Window.partitionBy(F.lower("title")).orderBy("id"))
+    return chapters.select("id", "title", first.alias("_r")).filter("_r = 1").orderBy("id").limit(limit).select("id", "title")
+
+
 def resolve_book(books: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """(the book, suggestions). An id is taken as it is; else dashes are spaces and the first title by name that holds the
     words wins; without any, up to three titles that hold the first word are suggested."""

@@ -19,6 +19,7 @@ from ..operators import governance as G
 from ..operators import integrity as I
 from ..operators import learning as L
 from ..operators import search as S
+from ..operators import services as W
 from ..sources.library import NOW, Library
 from .views import sql
 
@@ -329,7 +330,7 @@ def library_status(lib):
 
 @query("SELECT count(*) FILTER (WHERE status = 'read') AS n_read, count(DISTINCT book_id) AS books FROM reading")
 def reading_totals(lib):
-    return lib.reading.agg(F.count_if(F.col("status") == "read").alias("n_read"), F.count_distinct("book_id").alias("books"))
+    return W.reading_totals(lib.reading)
 
 
 @query("SELECT book_id, t.n AS chapters, r AS n_read, g AS n_reading, round(r * 100.0 / t.n, 1) AS percent FROM (SELECT book_id, count(*) FILTER (WHERE status = 'read') AS r, count(*) FILTER (WHERE status = 'reading') AS g FROM reading GROUP BY book_id) JOIN (SELECT book_id, count(*) AS n FROM chapters GROUP BY book_id) t USING (book_id)")
@@ -365,18 +366,17 @@ def catalog(lib):
 
 @query("SELECT id, title FROM books WHERE title ILIKE '%SRC1%' OR author ILIKE '%SRC1%' ORDER BY title LIMIT 10")
 def search_titles_books(lib):
-    hit = F.col("title").ilike("%SRC1%") | F.col("author").ilike("%SRC1%")
-    return lib.books.filter(hit).orderBy("title").limit(10).select("id", "title")
+    return W.search_titles(lib.books, "SRC1", ("title", "author")).select("id", "title")
 
 
 @query("SELECT id, title FROM chapters WHERE title ILIKE '%th of%' ORDER BY id LIMIT 20")
 def search_titles_chapters(lib):
-    return lib.chapters.filter(F.col("title").ilike("%th of%")).orderBy("id").limit(20).select("id", "title")
+    return W.search_titles(lib.chapters.select("id", "title"), "th of", limit=20, order="id")
 
 
 @query("SELECT id, title FROM books WHERE contains(lower(title), replace('book-src1', '-', ' ')) ORDER BY title LIMIT 5")
 def slug_resolve(lib):
-    return lib.books.filter(F.contains(F.lower("title"), F.lit("book-src1".replace("-", " ")))).orderBy("title").limit(5).select("id", "title")
+    return W.search_titles(lib.books, "book-src1".replace("-", " "), limit=5).select("id", "title")
 
 
 @query("SELECT book_id, chapter_number, title, lag(book_id) OVER (ORDER BY book_id, chapter_number) IS DISTINCT FROM book_id AS header FROM chapters")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,6 +10,7 @@ from ..operators import fulltext as X
 from ..operators import governance as G
 from ..operators import learning as L
 from ..operators import maintenance as M
+from ..operators import services as W
 from .queries import _TOK, query
 
 
@@ -103,7 +103,7 @@ def staleness_marker(lib):
 
 @query("SELECT count(*) AS n FROM history WHERE to_state = 'complete' AND created_at::DATE = DATE '2024-01-15'")
 def daily_cap_count(lib):
-    return lib.history.filter((F.col("to_state") == "complete") & (F.to_date("created_at") == F.to_date(F.lit("2024-01-15")))).agg(F.count("*").alias("n"))
+    return W.done_on(lib.history, "2024-01-15")
 
 
 @query("SELECT book_id, arg_max(decision, id) AS decision FROM feedback GROUP BY book_id")
@@ -134,8 +134,7 @@ def best_paragraph(lib):
 
 @query("SELECT id, title FROM (SELECT id, title, row_number() OVER (PARTITION BY lower(title) ORDER BY id) AS r FROM chapters) WHERE r = 1 ORDER BY id LIMIT 20")
 def related_concepts(lib):
-    first = F.row_number().over(Window.partitionBy(F.lower("title")).orderBy("id"))
-    return lib.chapters.select("id", "title", first.alias("r")).filter("r = 1").orderBy("id").limit(20).select("id", "title")
+    return W.related_concepts(lib.chapters)
 
 
 def renewed(chapters):
@@ -165,8 +164,7 @@ def fts_sync_terms(lib):
 
 @query("SELECT id, CASE WHEN q = 1 AND t = 0 THEN 'approved' ELSE 'rejected' END AS decision FROM (SELECT doc_id AS id, quality AS q, toxic AS t FROM labels)")
 def spot_check_writeback(lib):
-    rows = lib.table("labels")
-    return rows.select(F.col("doc_id").alias("id"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "approved").otherwise("rejected").alias("decision"))
+    return W.spot_check_results(lib.table("labels"))
 
 
 def rechunked(chapters):
@@ -200,9 +198,9 @@ def accuracy_by_type(lib):
 
 @query("SELECT state, count(*) AS n FROM pipelines WHERE state IN ('complete', 'needs_retry') GROUP BY state")
 def in_list_counts(lib):
-    return lib.pipelines.filter(F.col("state").isin("complete", "needs_retry")).groupBy("state").agg(F.count("*").alias("n"))
+    return W.count_states(lib.pipelines, ("complete", "needs_retry")).drop("terminal")
 
 
 @query(f"SELECT state, count(*) AS n, bool_or(state IN {G.TERMINAL}) AS terminal FROM pipelines GROUP BY state")
 def terminal_states(lib):
-    return lib.pipelines.groupBy("state").agg(F.count("*").alias("n")).withColumn("terminal", F.col("state").isin(*G.TERMINAL))
+    return W.count_states(lib.pipelines, terminal=G.TERMINAL)

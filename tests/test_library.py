@@ -400,7 +400,7 @@ def test_tools(spark, tmp_path):
     assert out == {1: (True, None, "approved"), 2: (True, None, "archived"), 3: (False, "not_pending", "hashing"), 9: (False, "not_found", None)}
     assert sorted((x.pipeline_id, x.action) for x in t.audit_log().collect()) == [(1, "approved"), (2, "rollback")] and t.audit_log(actor="me").count() == 1
     assert {x.id: x.state for x in t.store.read("pipelines").collect()} == {1: "approved", 2: "archived", 3: "hashing"}
-    for bad in (lambda: t.text_search("x"), lambda: t.get_chapter("src1", 0), lambda: t.audit_chapter_quality("odd"), lambda: Tools(spark, DATA).semantic_search("words"), lambda: t.mark("src1", 1, "odd"), lambda: Tools(spark, DATA).bookmarks()):
+    for bad in (lambda: t.text_search("x"), lambda: t.text_search("AND OR"), lambda: t.get_chapter("src1", 0), lambda: t.audit_chapter_quality("odd"), lambda: Tools(spark, DATA).semantic_search("words"), lambda: t.mark("src1", 1, "odd"), lambda: Tools(spark, DATA).bookmarks()):
         with pytest.raises(InputError):
             bad()
 

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +26,29 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPLIT), lambda t: t != "")
 
 
-def postings(docs: DataFrame, id_col: str = "id", text_cols: tuple[str, ...] = ("title", "content")) -> DataFrame:
-    """id, term, tf, places: one row for each document and term. The index's only exchange is this aggregation."""
-    text = F.concat_ws(" ", *text_cols)
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(text)).alias("place", "term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, term, tf, places of the rows (id, words): the words of each row put together by term."""
+    for batch in batches:
+        words = batch.column(1)
+        size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        row, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+        place = np.arange(len(row)) - np.repeat(start, size)
+        coded = words.flatten().dictionary_encode()
+        key = row * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(key, kind="stable")
+        head = np.flatnonzero(np.diff(key[order], prepend=-1))
+        first, of = order[head], np.append(head, len(order)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(row[first])), coded.dictionary.take(coded.indices.take(pa.array(first))), pa.array(np.diff(of).astype(np.int64)), pa.ListArray.from_arrays(of, pa.array(place[order].astype(np.int32)))],
+            names=["id", "term", "tf", "places"],
+        )
+
+
+def postings(docs: DataFrame, id_col: str = "id", text_cols: tuple[str, ...] = ("title", "content"), words: Callable[[Column], Column] = tokens) -> DataFrame:
+    """id, term, tf, places: one row for each document and term. Documents are rows, with ids of their own: a row's words are
+    put together where it lies, without an exchange."""
+    rows = docs.select(F.col(id_col).alias("id"), words(F.concat_ws(" ", *text_cols)).alias("words"))
+    return rows.mapInArrow(_grouped, f"id {rows.schema['id'].dataType.simpleString()}, term string, tf long, places array<int>")
 
 
 def lengths(index: DataFrame) -> DataFrame:
@@ -109,7 +131,7 @@ def _back(i: int):
 def _holds(index: DataFrame, term: str) -> Column:
     """The rows of a term; in a stored index only those of its files."""
     own = F.col("term") == term
-    return own & (F.col("bucket") == bucket(F.lit(term))) if "bucket" in index.columns else own
+    return own & (F.col("bucket") == bucket(F.lit(term), index.buckets)) if "bucket" in index.columns else own
 
 
 def _leaf(index: DataFrame, leaf: tuple[tuple[str, ...], bool]) -> DataFrame:
@@ -179,25 +201,26 @@ def bm25(index: DataFrame, query: str, limit: int | None = None, where: DataFram
 
 # -- a stored index ------------------------------------------------------------------------------------------------
 
-#: Files of terms in a stored index.
-BUCKETS = 64
-
-
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+#: Postings of a bucket of terms, postings that a document is expected to have, the least and most buckets, the documents
+#: for each of which a bucket is split once more, and the most parts in all.
+BUCKET_POSTINGS, DOC_POSTINGS, LEAST_BUCKETS, MOST_BUCKETS, SPLIT_DOCS, MOST_PARTS = 5_000_000, 200, 16, 4096, 5_000_000, 100_000
 
 
-#: Postings of a file of a bucket, and postings that a document is expected to have.
-FILE_POSTINGS, DOC_POSTINGS = 5_000_000, 200
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def _store(made: DataFrame, docs: DataFrame, at: str) -> None:
-    """Write postings and lengths. Files of a bucket are split by document, as many as the counted documents ask for, so that
-    no term, however frequent, is one task's."""
-    splits = max(1, docs.count() * DOC_POSTINGS // (BUCKETS * FILE_POSTINGS))
-    dealt = made.withColumn("bucket", bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(splits)))
+    """Write postings, lengths and the numbers of the whole. The counted documents tell how many buckets of terms there are,
+    and into how many parts each is dealt by document, so that no term, however frequent, is one task's."""
+    spark, n = docs.sparkSession, docs.count()
+    buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, n * DOC_POSTINGS // BUCKET_POSTINGS))
+    splits = max(1, min(MOST_PARTS // buckets, n // SPLIT_DOCS))
+    dealt = made.withColumn("bucket", bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(splits)))
     dealt.sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
-    lengths(docs.sparkSession.read.parquet(f"{at}/postings")).write.mode("overwrite").parquet(f"{at}/lengths")
+    lengths(spark.read.parquet(f"{at}/postings")).write.mode("overwrite").parquet(f"{at}/lengths")
+    numbers = spark.read.parquet(f"{at}/lengths").agg(F.count("*").alias("documents"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("mean"), F.lit(buckets).alias("buckets"))
+    numbers.coalesce(1).write.mode("overwrite").parquet(f"{at}/numbers")
 
 
 class Index:
@@ -205,10 +228,10 @@ class Index:
 
     def __init__(self, spark: SparkSession, at: str, stemmed: bool = False):
         self.spark, self.at, self.analyse = spark, at, fold if stemmed else plain
+        n, mean, buckets = spark.read.parquet(f"{at}/numbers").first()
+        self.lengths, self.stats = spark.read.parquet(f"{at}/lengths"), (n, float(mean))
         self.postings = spark.read.parquet(f"{at}/postings")
-        self.lengths = spark.read.parquet(f"{at}/lengths")
-        n, mean = self.lengths.agg(F.count("*"), F.avg("dl")).first()
-        self.stats = (n, float(mean or 1.0))
+        self.postings.buckets = buckets
 
     @classmethod
     def build(cls, docs: DataFrame, at: str, stemmed: bool = False, id_col: str = "id", text_cols: tuple[str, ...] = ("title", "content")) -> Index:
@@ -308,8 +331,7 @@ def stemmed_postings(docs: DataFrame, id_col: str = "id", text_cols: tuple[str,
         split = re.compile(r"[^\w]+|_")
         return text.map(lambda t: [known(x) for x in split.split("".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))) if x])
 
-    text = F.concat_ws(" ", *text_cols)
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(stems(text)).alias("place", "term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
+    return postings(docs, id_col, text_cols, stems)
 
 
 def snippet(text: str, terms: list[str], n: int = 32) -> str:

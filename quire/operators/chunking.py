@@ -79,7 +79,7 @@ def chunks(docs: DataFrame, target: int = TARGET, id_col: str = "id", text_col:
         for batch in batches:
             ids, index, text = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for k, c in enumerate(p for c in chunk(t.as_py() or "", target) for p in (token_split(c, max_tokens) if len(words_as_tokens(c)) > max_tokens else [c])):
+                for k, c in enumerate(p for c in chunk(t.as_py() or "", target) for p in (token_split(c, max_tokens) if len(c) > max_tokens and len(words_as_tokens(c)) > max_tokens else [c])):
                     ids.append(i)
                     index.append(k)
                     text.append(c)

@@ -7,7 +7,8 @@ of the item to any stretch of the text there.
 
 Both sides are compared in lower case with every run of white space as one space. Items that are null or
 blank match nothing; items of a few characters (k = 0) match only as they are. Null texts hold nothing.
-Repeated rows give one result for each id and item. Other columns are ignored, and passed on by `clean`.
+Repeated rows give one result for each id and item, and items that share an id (or have none) are one item with
+several texts, of which the nearest counts. Other columns are ignored, and passed on by `clean`.
 Documents are judged one by one, so nothing but the results moves between executors.
 """
 
@@ -120,7 +121,11 @@ class Matcher:
                 distance, at = least_distance(self.masks[n], len(item), text[a:b])
                 if distance <= min(k, found.get(n, (k,))[0]):
                     found[n] = (distance, a + at)
-        return {self.items[n][0]: x for n, x in found.items()}
+        out: dict[int, tuple[int, int]] = {}
+        for n, x in found.items():  # of several texts with one item id the nearest counts
+            ident = self.items[n][0]
+            out[ident] = min(x, out.get(ident, x))
+        return out
 
 
 def _chunks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -128,7 +133,7 @@ def _chunks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = 1 + size // CHUNK_CHARS
     for i in range(parts):
-        yield [(r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i).collect()]
+        yield [(r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).collect()]
 
 
 def _found(docs: DataFrame, items: DataFrame, rate: float, id_col: str, text_col: str) -> DataFrame:
@@ -164,6 +169,8 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str =
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents in which no item was found, with all their columns. Rows are judged by id and text: one that shares
     its id, or has none, stays if its own text holds nothing."""
-    found = materialise(_found(docs, items, rate, id_col, text_col).select(F.col("doc_id").alias("_leaked"), F.col("tag").alias("_tag")).distinct(), "leaks")
-    own = F.col(id_col).cast("long").eqNullSafe(F.col("_leaked")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_tag"))
-    return docs.join(small(found), own, "left_anti")
+    found = small(materialise(_found(docs, items, rate, id_col, text_col).select("doc_id", "tag").distinct(), "leaks"))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    ident, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    own = ident.cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("tag"))
+    return docs.toDF(*names).join(found, own, "left_anti").toDF(*docs.columns)

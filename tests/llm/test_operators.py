@@ -362,6 +362,17 @@ def test_clean_drops_only_the_rows_that_leak(spark):
     assert sorted(r.text or "" for r in left) == ["", "", "clean text", "clean too"] and left[0].__fields__ == docs.columns
 
 
+def test_items_with_one_id_are_texts_of_one_item(spark):
+    """The nearest text counts, whichever comes first; columns with the names used inside pass."""
+    item = "the quick brown fox jumps over the lazy dog again and again"
+    texts = [(7, item), (7, item.replace("quick", "quack")), (None, item), (None, item.replace("lazy", "hazy"))]
+    docs = spark.createDataFrame([(1, f"a {item} b", "x", 2), (2, "nothing", "y", 3)], "doc_id long, text string, tag string, item_id int")
+    for rows in (texts, texts[::-1]):
+        items = spark.createDataFrame(rows, "item_id long, text string")
+        assert {(r.doc_id, r.item_id, r.distance) for r in decontam.matches(docs, items).collect()} == {(1, 7, 0), (1, None, 0)}
+        assert [tuple(r) for r in decontam.clean(docs, items).collect()] == [(2, "nothing", "y", 3)]
+
+
 # -- op 6 --------------------------------------------------------------------------------------------------------
 
 

@@ -28,10 +28,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line windows are cut from the texts; documents of which no word is left go."""
+    names = [*(f"_c{i}" for i in range(len(docs.columns))), "_lines", "_removed"]
+    text, size = (names[docs.columns.index(c)] for c in ("text", "n_chars"))
     with tables(spark, SCOPE):
-        cleaned = lines.dedup(docs)
-    kept = cleaned.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+        cleaned = lines.dedup(docs).toDF(*names)
+    kept = cleaned.filter((F.col("_removed") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    kept = kept.withColumn(size, F.when(F.col("_removed") == 0, F.col(size)).otherwise(F.length(text).cast("long")))
+    return kept.select(*names[:-2]).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,16 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:3]:
         out = stage(spark, docs, "")
         assert out.columns == docs.columns and out.count() == 1
+
+
+def test_stages_pass_columns_with_the_names_used_inside(spark, tmp_path):
+    """A column that an operator would add itself, or uses inside, is carried on; so are nulls in every column."""
+    text = "\n".join(f"line {i} of a text that is told once and then told again" for i in range(6))
+    names = ("n_removed", "n_lines", "_id", "_hash", "tag", "_leaked", "fail_bits", "label", "key")
+    rows = [(1, text, "en", "s", len(text), *range(9)), (2, text, None, None, None, *[None] * 9), (None, None, None, None, None, *[None] * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in names))
+    spark.createDataFrame([(None, None), (4, "an item that stands in no text of these")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert all(tuple(r) in rows for r in out.collect())

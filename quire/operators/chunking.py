@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.executors import map_arrow
 from .excerpts import token_split, words_as_tokens
 
 TARGET, LEAST, SINGLE, HUGE = 500, 100, 600, 1000
@@ -85,7 +86,7 @@ def chunks(docs: DataFrame, target: int = TARGET, id_col: str = "id", text_col:
                     text.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(index, pa.int32()), pa.array(text, pa.string())], names=["chapter_id", "chunk_index", "content"])
 
-    out = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(partial(run, target=target), "chapter_id long, chunk_index int, content string")
+    out = map_arrow(docs.select(F.col(id_col).cast("long"), text_col), partial(run, target=target), "chapter_id long, chunk_index int, content string")
     from ..functions.text import word_count
 
     return out.select("*", word_count(F.col("content")).alias("word_count"), F.sha2("content", 256).alias("content_hash"))

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.executors import map_arrow
 from .integrity import change_detection
 
 #: Turns texts into vectors of one length. It runs on executors; a service's client is made inside it.
@@ -91,7 +92,7 @@ def embed(rows: DataFrame, embedder: Embedder, id_col: str = "id", text_col: str
                 got[i] = x
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([v for v, _ in got], pa.list_(pa.float32())), pa.array([e for _, e in got], pa.string())], schema=_VECTORS)
 
-    return rows.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, embedding array<float>, error string")
+    return map_arrow(rows.select(F.col(id_col).cast("long").alias("id"), text_col), run, "id long, embedding array<float>, error string")
 
 
 def incremental(chapters: DataFrame, stored: DataFrame, embedder: Embedder, force: bool = False) -> DataFrame:

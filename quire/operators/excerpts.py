@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.executors import map_arrow, ship
 from .embedding import Embedder
 
 _HEADING = re.compile(r"#{1,6}\s+\S")
@@ -45,7 +46,7 @@ def paragraph_rows(docs: DataFrame, least: int = 50, id_col: str = "id", text_co
             ids, at, text = zip(*made, strict=True) if made else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(text, pa.string())], names=["id", "para", "paragraph"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, para int, paragraph string")
+    return map_arrow(docs.select(F.col(id_col).cast("long"), text_col), run, "id long, para int, paragraph string")
 
 
 def _cut(text: str, n: int) -> str:
@@ -71,6 +72,7 @@ def best_excerpt(vector: Sequence[float], text: str | None, embedder: Embedder,
 def relevant_excerpts(rows: DataFrame, vector: Sequence[float], embedder: Embedder, n: int = 500, text_col: str = "content") -> DataFrame:
     """rows with a column excerpt. For the results of a search: each text's paragraphs are embedded once, where the text lies."""
     query = [float(x) for x in vector]
+    ship(rows.sparkSession)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series) -> pd.Series:

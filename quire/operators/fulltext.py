@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.executors import map_arrow, ship
+
 K1, B = 1.2, 0.75
 _SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -48,7 +50,7 @@ def postings(docs: DataFrame, id_col: str = "id", text_cols: tuple[str, ...] = (
     """id, term, tf, places: one row for each document and term. Documents are rows, with ids of their own: a row's words are
     put together where it lies, without an exchange."""
     rows = docs.select(F.col(id_col).alias("id"), words(F.concat_ws(" ", *text_cols)).alias("words"))
-    return rows.mapInArrow(_grouped, f"id {rows.schema['id'].dataType.simpleString()}, term string, tf long, places array<int>")
+    return map_arrow(rows, _grouped, f"id {rows.schema['id'].dataType.simpleString()}, term string, tf long, places array<int>")
 
 
 def lengths(index: DataFrame) -> DataFrame:
@@ -325,6 +327,8 @@ def fold(text: str) -> list[str]:
 
 
 def stemmed_postings(docs: DataFrame, id_col: str = "id", text_cols: tuple[str, ...] = ("title", "content")) -> DataFrame:
+    ship(docs.sparkSession)
+
     @F.pandas_udf("array<string>")
     def stems(text: pd.Series) -> pd.Series:
         known = lru_cache(100_000)(stem)
@@ -344,6 +348,8 @@ def snippet(text: str, terms: list[str], n: int = 32) -> str:
 
 
 def with_snippets(rows: DataFrame, terms: list[str], text_col: str = "content") -> DataFrame:
+    ship(rows.sparkSession)
+
     @F.pandas_udf("string")
     def cut(text: pd.Series) -> pd.Series:
         return text.map(lambda t: snippet(t or "", terms))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.executors import map_arrow
 from .integrity import basename
 
 # The kinds of books that a classifier may name.
@@ -139,7 +140,7 @@ def split_sections(docs: DataFrame, threshold: int = 5000, id_col: str = "id", t
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["id", "section", "title", "tokens"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, section long, title string, tokens long")
+    return map_arrow(docs.select(F.col(id_col).cast("long"), text_col), run, "id long, section long, title string, tokens long")
 
 
 def lost_manifest(lost: DataFrame) -> DataFrame:

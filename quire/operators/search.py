@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.executors import ship
 
 log = logging.getLogger(__name__)
 #: Results that a reranking model may be shown.
@@ -111,6 +112,7 @@ def mmr(candidates: DataFrame, weight: float = 0.7, limit: int = 10) -> DataFram
         picks = mmr_order(group.similarity.to_numpy(), np.stack(group.embedding.to_numpy()).astype(float), weight, limit)
         return pd.DataFrame({"query_id": group.query_id.iloc[picks].to_numpy(), "id": group.id.iloc[picks].to_numpy(), "place": np.arange(1, len(picks) + 1)})
 
+    ship(candidates.sparkSession)
     few = candidates.filter(F.col("embedding").isNotNull()).select("query_id", "id", "similarity", "embedding")
     return few.groupBy("query_id").applyInPandas(order, "query_id long, id long, place long")
 
@@ -144,6 +146,7 @@ def similar_pairs(rows: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -
     The blocks grow in number with the counted vectors, so a task holds two blocks of about block_rows vectors,
     whatever the table. The work is quadratic by definition: every pair is judged, in products of whole blocks.
     """
+    ship(rows.sparkSession)
     blocks = max(1, -(-rows.filter(F.col("embedding").isNotNull()).count() // block_rows))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     part = rows.filter(F.col("embedding").isNotNull()).select("id", "book_id", "embedding", block.alias("b"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.executors import map_arrow
 from .governance import TRANSITIONS, auto_approval, calibration, threshold_sweep
 
 #: State that a request leads to.
@@ -122,7 +123,7 @@ def classify(rows: DataFrame, known: DataFrame, primary: Classifier, fallback: C
 
     cache = known.select("content_hash", "book_type", "confidence").withColumn("source", F.lit("cache"))
     fresh = rows.join(cache.select("content_hash"), "content_hash", "left_anti").groupBy("content_hash").agg(F.first("text").alias("text"))
-    made = fresh.select("content_hash", "text").mapInArrow(run, "content_hash string, book_type string, confidence double, source string")
+    made = map_arrow(fresh.select("content_hash", "text"), run, "content_hash string, book_type string, confidence double, source string")
     return rows.select("id", "content_hash").join(cache.unionByName(made), "content_hash").select("id", "book_type", "confidence", "source")
 
 

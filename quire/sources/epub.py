@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.executors import map_arrow
+
 FRONT_MATTER = re.compile(r"(?i)^(cover|title page|copyright|dedication|contents|table of contents|acknowledg\w*|about the author\w*|index|colophon)$")
 
 
@@ -137,7 +139,7 @@ def read_epubs(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "content_hash", "chapter_number", "title", "content", "error"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.sha2("content", 256).alias("content_hash"), "content").mapInArrow(run, "path string, content_hash string, chapter_number int, title string, content string, error string")
+    return map_arrow(files.select("path", F.sha2("content", 256).alias("content_hash"), "content"), run, "path string, content_hash string, chapter_number int, title string, content string, error string")
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.executors import map_arrow
+
 #: Words under which a file counts as scanned images: nothing is known of its text.
 LEAST_WORDS = 100
 #: Bytes that a stream of a page may become.
@@ -68,4 +70,4 @@ def words_and_titles(rows: DataFrame, extract: Callable[[bytes], str] = simple_t
                 titles.append(outline(data))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(titles, pa.list_(pa.string()))], names=["path", "words", "titles"])
 
-    return rows.select("path", "content").mapInArrow(run, "path string, words long, titles array<string>")
+    return map_arrow(rows.select("path", "content"), run, "path string, words long, titles array<string>")

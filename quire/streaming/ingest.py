@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..functions.executors import ship
 from ..operators.governance import TIMEOUTS, TRANSITIONS
 from ..sources.store import Store
 
@@ -77,6 +78,7 @@ def track_states(events: DataFrame, timers: bool = False, pace: float = 1.0) ->
 
     Keys are dealt by pipeline; the state of each is two values in the state store.
     """
+    ship(events.sparkSession)
     schema = "pipeline_id long, from_state string, to_state string, legal boolean, seconds double"
     return events.groupBy("pipeline_id").transformWithStateInPandas(StateMachine(timers, pace), schema, "Append", "ProcessingTime" if timers else "None")
 

@@ -553,3 +553,23 @@ def test_empty_tables(spark):
         assert f(c).count() == 0
     p = spark.createDataFrame([], "id long, state string, updated_at timestamp, confidence double")
     assert governance.health(p, "2024-01-31").first().status == "idle" and governance.approval_stats(p).first().total == 0
+
+
+def test_executors_without_the_package(tmp_path):
+    """The package is only on the driver's path: operators with Python code send it along."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from quire.operators import chunking, embedding, fulltext, search
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+d = s.createDataFrame([(1, "t", "some words of a text. and more of them")], "id long, title string, content string")
+print("rows", chunking.chunks(d).count(), fulltext.postings(d).count(), len(fulltext.stemmed_postings(d).collect()), embedding.embed(d, embedding.HashEmbedder(4)).filter("error IS NULL").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "rows 1 9 9 1" in done.stdout, done.stderr[-2000:]

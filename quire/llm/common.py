@@ -8,20 +8,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.executors import map_arrow  # noqa: F401
+
 #: White space of the word definition: space and the control characters from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 #: Rows (of a few fixed-width columns) up to which a side may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
-#: Rows of an Arrow batch at most.
-ARROW_ROWS, ROWS_SETTING = 256, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: For each scope the folders of its intermediate tables, and the scope that tables now go to.
 _written: dict[str | None, list[str]] = {None: []}
 _scope: list[str | None] = [None]
@@ -87,30 +85,6 @@ def tables(spark: SparkSession, scope: str) -> Iterator[None]:
         _scope.pop()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application: they need not have it installed."""
-    if getattr(ship, "sent", None) != (app := spark.sparkContext.applicationId):
-        package = Path(__file__).resolve().parent.parent
-        at = Path(tempfile.mkdtemp(prefix="quire-code-")) / f"{package.name}-code.zip"
-        with zipfile.ZipFile(at, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        spark.sparkContext.addPyFile(str(at))
-        ship.sent = app
-
-
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow, with the code sent along and batches of at most ARROW_ROWS rows: texts can be long.
-
-    The batch size is a setting of the session that is read when the plan runs; a smaller one is left alone.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    if int(spark.conf.get(ROWS_SETTING)) > ARROW_ROWS:
-        spark.conf.set(ROWS_SETTING, str(ARROW_ROWS))
-    return df.mapInArrow(run, schema)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows at most so many rows, else df for a shuffled join.
 

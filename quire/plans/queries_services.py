@@ -12,6 +12,7 @@ from ..operators import excerpts as P
 from ..operators import governance as G
 from ..operators import learning as L
 from ..operators import services as S
+from ..operators import templates as D
 from ..sources import reports as R
 from ..sources.library import NOW
 from .queries import ROLL, _AUD, query
@@ -282,3 +283,18 @@ def relevant_excerpts(lib):
 def token_limited_chunks(lib):
     """Chunks of all chapters, none of more than 300 tokens."""
     return C.chunks(lib.chapters.select("id", "content"), max_tokens=300).groupBy("chapter_id").agg(F.count("*").alias("n"), F.max("word_count").alias("most"))
+
+
+#: Phases of the kinds that `plan_documents` tells apart; the third kind has none.
+_PHASES = (("first", 1, "learn", 5), ("first", 2, "build | test", 12), ("second", 1, "write", 3))
+_PLANS = "kinds AS (SELECT item_id, text, CASE WHEN a + b = 0 THEN 'generic' WHEN a >= b THEN 'first' ELSE 'second' END AS kind FROM (SELECT item_id, text, contains(lower(text), 'the ')::INT AS a, contains(lower(text), ' de ')::INT AS b FROM benchmark)), ph AS (SELECT * FROM (VALUES " + ", ".join(map(str, _PHASES)) + """) AS v(kind, position, phase, days)),
+dated AS (SELECT item_id, position, phase, days, DATE '2024-03-01' + coalesce(sum(days + 1) OVER (PARTITION BY item_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS starts FROM kinds JOIN ph USING (kind)),
+body AS (SELECT item_id, '| Phase | Days | Starts | Ends |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || replace(phase, '|', '\\|') || ' | ' || days || ' | ' || starts || ' | ' || (starts + days::INT) || ' |', chr(10) ORDER BY position) AS body FROM dated GROUP BY item_id)"""
+
+
+@query("SELECT item_id, '# Plan: ' || coalesce(text, '') || chr(10) || chr(10) || 'Kind: ' || kind || chr(10) || chr(10) || coalesce(body, '') || chr(10) AS document FROM kinds LEFT JOIN body USING (item_id)", _PLANS)
+def plan_documents(lib):
+    """A plan for every benchmark text, taken as a goal."""
+    b = lib.table("benchmark")
+    goals = L.detect_kind(b, {"first": ("the ",), "second": (" de ",)}).select("item_id", F.col("text").alias("goal"), "kind")
+    return D.plans(goals, lib.spark.createDataFrame(_PHASES, "kind string, position int, phase string, days int"), "2024-03-01", "item_id")

@@ -8,6 +8,7 @@ import zipfile
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions import vectors as V
@@ -573,3 +574,17 @@ print("rows", chunking.chunks(d).count(), fulltext.postings(d).count(), len(full
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert "rows 1 9 9 1" in done.stdout, done.stderr[-2000:]
+
+
+def test_templates(spark):
+    from quire.operators import templates
+
+    rows = spark.createDataFrame([(1, "speed", None), (2, "{depth} | x", "deep")], "id long, topic string, depth string")
+    got = dict(map(tuple, templates.render(rows, "{topic}: {depth}, {topic}").collect()))
+    assert got == {1: "speed: , speed", 2: "{depth} | x: deep, {depth} | x"}
+    with pytest.raises(ValueError, match="hours, weeks"):
+        templates.render(rows.withColumnRenamed("topic", "goal"), "reading")
+    for text in templates.TEMPLATES.values():
+        assert "{" not in text.replace("\n", " ").format_map(type("", (dict,), {"__missing__": lambda s, k: "x"})())
+    assert dict(map(tuple, templates.table(rows, "id", {"T": "topic"}, "id").collect()))[2] == "| T |\n|---|\n| {depth} \\| x |"
+    assert templates.plans(rows.select("id", F.col("topic").alias("goal"), F.lit("none").alias("kind")), spark.createDataFrame([], "kind string, position int, phase string, days int"), "2024-01-01").count() == 2

@@ -111,17 +111,17 @@ def block_keys(shingles: np.ndarray, threshold: int) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, threshold: int, seed: int) -> Iterator[pa.RecordBatch]:
-    salt = kernels.mix(np.array([seed + 1], np.uint64))[0]
     for batch in batches:
         for a, b, data, offsets in kernels.slices(batch.column(2)):
             w = kernels.find_words(data, offsets, lower=True)
-            h, of = kernels.shingles(w, kernels.hash_words(w) ^ salt, width)
+            h, of = kernels.shingles(w, kernels.hash_words(w, 2 * seed), width)
+            other = kernels.shingles(w, kernels.hash_words(w, 2 * seed + 1), width)[0]
             n, cid, twin, keys = [], [], [], []
             for i in range(b - a):
-                own = np.unique(h[of[i] : of[i + 1]])
+                own, at = np.unique(h[of[i] : of[i + 1]], return_index=True)
                 n.append(len(own))
-                cid.append(int(kernels.mix(own ^ salt).sum(dtype=np.uint64).view(np.int64)) if len(own) else None)
-                twin.append(int(kernels.mix(own + salt).sum(dtype=np.uint64).view(np.int64)))
+                cid.append(int(kernels.mix(own).sum(dtype=np.uint64).view(np.int64)) if len(own) else None)
+                twin.append(int(kernels.mix(other[of[i] + at]).sum(dtype=np.uint64).view(np.int64)))
                 keys.append(kernels.signed(block_keys(own, threshold)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(twin, pa.int64()),
@@ -168,8 +168,8 @@ class NearDuplicates:
 
     def _sets(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """One row for each document, with and without the filed keys, and one for each distinct set: its first document,
-        and how many there are. A set is known by a 64-bit hash; if two sets share one, which a second hash shows, all
-        are hashed anew."""
+        and how many there are. A set is known by a 64-bit hash; if two sets share one, which a second hash shows (of
+        the words themselves, so that 128 independent bits would have to agree), all are hashed anew."""
         for seed in range(8):
             sketch = partial(_sketch, width=self.width, threshold=self.threshold, seed=seed)
             sets = materialise(map_arrow(self.rows, sketch, "id long, text_hash long, n long, cid long, twin long, keys array<long>"), "sets")

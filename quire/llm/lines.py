@@ -44,7 +44,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     places = F.transform(starts, lambda i: F.struct(i.alias("at"), of(i).alias("h1"), of(i, 7).alias("h2")))
     found = lines.filter(F.size("l") >= window).select("key", "row", F.explode(places).alias("w")).select("key", "row", "w.*")
     first = found.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    hits = found.join(first, ["h1", "h2"]).repartition("key", "row")
+    # Equal rows of one id, or of none, make equal marks: one of each goes on, so that no (key, row) outgrows a text.
+    hits = found.join(first, ["h1", "h2"]).distinct().repartition("key", "row")
     own = F.min("at").over(Window.partitionBy("key", "row", "h1", "h2"))
     later = hits.withColumn("own", own).filter((F.col("key") > F.col("first")) | (F.col("at") > F.col("own")))
     return later.groupBy("key", "row").agg(F.collect_set("at").alias("places"))

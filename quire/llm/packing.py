@@ -11,7 +11,8 @@ Texts are tokenised once, into a table of ids in the shared folder (two bytes an
 come from quantiles of the keys; the sums of their tokens, of which the driver holds a bounded number, give
 each range its place in the stream, so ranges are cut independently.
 
-Null texts are empty: such a document is the end id alone. Repeated rows are packed as often as they come.
+Null texts are empty: such a document is the end id alone. Repeated rows are packed as often as they come; however
+many rows share a key (one text, and one id or none), their range is dealt out by their places.
 An empty table gives no pieces. Other columns are ignored.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import erf
@@ -36,8 +38,10 @@ CAPACITY, END_ID = 2048, 1
 DIMENSIONS, BITS = 4, 8
 #: Ranges for each shuffle partition, and their greatest number (the driver holds two numbers for each).
 RANGES_EACH, MOST_RANGES = 8, 8192
+#: Bits of the id's hash in a key; with 32 bits of the curve the key is exact as a double, in which quantiles come.
+SPREAD_BITS = 21
 
-TOKENS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("point", pa.list_(pa.float32()))])
+TOKENS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("point", pa.list_(pa.float32())), ("place", pa.int64())])
 PIECES = pa.schema([(k, pa.int64()) for k in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32")] + [("ids", pa.binary())])
 
 
@@ -125,7 +129,8 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def tokenise(docs: DataFrame, tokenizer: str, dimensions: int = DIMENSIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n, ids (little-endian, of the width that the vocabulary needs), point: with the end id appended."""
+    """doc_id, n, ids (little-endian, of the width that the vocabulary needs), point, place (a number of the row): with
+    the end id appended."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, size = encoder(tokenizer)
@@ -140,9 +145,10 @@ def tokenise(docs: DataFrame, tokenizer: str, dimensions: int = DIMENSIONS, id_c
                     n.append(len(got))
                     packed.append(got.tobytes())
                     points.append(table[got].mean(0))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.array(points, pa.list_(pa.float32()))], schema=TOKENS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.array(points, pa.list_(pa.float32())), part.column(2)], schema=TOKENS)
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), encode, "doc_id long, n long, ids binary, point array<float>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    return map_arrow(rows, encode, "doc_id long, n long, ids binary, point array<float>, place long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, dimensions: int = DIMENSIONS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,20 +172,25 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, dimensions:
 
         return pd.Series(hilbert(clip((share * 2**bits).astype(np.int64), 0, 2**bits - 1), bits))
 
-    spread = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 31) - 1))
-    keyed = tokens.withColumn("key", F.shiftleft(on_curve("point"), 31).bitwiseOR(spread)).select("doc_id", "n", "ids", "key")
+    spread = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << SPREAD_BITS) - 1))
+    keyed = tokens.withColumn("key", F.shiftleft(on_curve("point"), SPREAD_BITS).bitwiseOR(spread)).select("doc_id", "n", "ids", "key", "place")
     ranges = min(MOST_RANGES, RANGES_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    edges = keyed.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    edges = np.array(sorted(set(edges)), np.int64)
+    points = Counter(keyed.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or [])
+    # A key of several ranges' rows (equal texts of one id, or of none) gets a range that is dealt out by the rows' places.
+    hot = {k for k, times in points.items() if times > 1}
+    edges = np.array(sorted({*points, *(k + 1 for k in hot)}), np.int64)
+    parts = np.array([1, *(points[k] + 1 if k in hot else 1 for k in edges.tolist())], np.int64)
+    before_it = np.concatenate([[0], np.cumsum(parts)])
 
     @F.pandas_udf("int")
-    def range_of(key):
+    def range_of(key, place):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(edges, key.to_numpy(), "right").astype(np.int32))
+        at = np.searchsorted(edges, key.to_numpy(), "right")
+        return pd.Series((before_it[at] + place.to_numpy() % parts[at]).astype(np.int32))
 
-    dealt = keyed.withColumn("range", range_of("key"))
-    sums = dict(map(tuple, dealt.groupBy("range").agg(F.sum("n")).collect()))  # at most MOST_RANGES rows
+    dealt = keyed.withColumn("range", range_of("key", "place"))
+    sums = dict(map(tuple, dealt.groupBy("range").agg(F.sum("n")).collect()))  # at most 2 * MOST_RANGES rows
     before, total = {}, 0
     for r in sorted(sums):
         before[r] = total
@@ -201,9 +212,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, dimensions:
                     start, at = start + length, at + length
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PIECES, strict=True)], schema=PIECES)
 
-    parts = dealt.select("range", "doc_id", "n", "ids", "key").repartition("range").sortWithinPartitions("range", "key", "doc_id", "n", "ids")
+    sorted_parts = dealt.select("range", "doc_id", "n", "ids", "key").repartition("range").sortWithinPartitions("range", "key", "doc_id", "n", "ids")
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long, ids binary"
-    return map_arrow(parts.select("range", "doc_id", "n", "ids"), cut, schema)
+    return map_arrow(sorted_parts.select("range", "doc_id", "n", "ids"), cut, schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -186,7 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_byte
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out("id"))
     known = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_train)
     rows = _prepared(docs, id_col, text_col, metadata_col).join(F.broadcast(known), "id")  # at most max_train rows
-    one = rows.select("id", "text", "extra", "label").dropDuplicates(["id"]).withColumn("place", F.xxhash64("id"))
+    # Of several texts of one id that with the least hash is taken: the model depends on the rows, not on their order.
+    least = F.min_by(F.struct("text", "extra"), F.struct(F.xxhash64("text"), "text", "extra"))
+    one = rows.groupBy("id", "label").agg(least.alias("t")).select("t.text", "t.extra", "label", F.xxhash64("id").alias("place"))
     held = materialise(map_arrow(one.select("text", "extra", "label", "place"), _featured, "index binary, value binary, label int, place long"), "training-rows")
     sizes = sorted((r[0], r[1]) for r in held.select("place", F.octet_length("index") + F.octet_length("value")).collect())  # at most max_train pairs
     last, total = None, 0

@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +79,8 @@ def test_line_dedup_edges(spark):
     got = lines.dedup(frame(spark, [same, same, same, None], [5, 5, None, 7])).collect()
     assert sorted((r.doc_id is None, r.text) for r in got if r.text is not None) == [(False, same), (False, same), (True, "")]
     assert lines.dedup(frame(spark, [])).count() == 0
+    many = lines.dedup(frame(spark, ["first\n" + same] + [same] * 500, [1] + [None] * 500)).collect()
+    assert Counter((r.text, r.n_removed) for r in many) == {("first\n" + same, 0): 1, ("", 4): 500}
 
 
 # -- op 2 --------------------------------------------------------------------------------------------------------
@@ -136,6 +139,24 @@ def test_packing_other_vocabulary_and_empty(spark):
     assert packing.pack(frame(spark, []), path).count() == 0
 
 
+def test_packing_of_one_text_without_ids_is_dealt_out(spark, monkeypatch):
+    """Equal rows without ids share a key, and still go to many ranges."""
+    seen = []
+    real = packing.map_arrow
+
+    def watch(df, run, schema):
+        if df.columns == ["range", "doc_id", "n", "ids"]:
+            seen.extend(r[1] for r in df.groupBy("range").count().collect())
+        return real(df, run, schema)
+
+    monkeypatch.setattr(packing, "map_arrow", watch)
+    texts = ["one text that comes again and again"] * 3000 + [f"another text {i}" for i in range(300)]
+    got = packing.pack(frame(spark, texts, [None] * 3000 + list(range(300))), queries.tokenizer_path()).collect()
+    assert sum(seen) == 3300 and max(seen) < 600
+    at = sorted((r.sequence_id * 2048 + r.offset, r.length) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(at, at[1:])) and at[0][0] == 0
+
+
 def test_curve_visits_every_cell_by_unit_steps():
     import numpy as np
 
@@ -255,6 +276,37 @@ def test_texts_longer_than_a_slice(spark):
     assert quality.score(docs, None).count() == 5
 
 
+def thue_morse(one, two, size):
+    return "".join((one, two)[bin(i).count("1") & 1] for i in range(size))
+
+
+@pytest.mark.parametrize("size", (16, 64, 2048))
+def test_crafted_words_do_not_collide(spark, size):
+    """Words that every polynomial modulo 2**64 takes for equal, from 1,024 letters on."""
+    x, y = thue_morse("a", "b", size), thue_morse("b", "a", size)
+    got = jaccard.NearDuplicates(frame(spark, [f"p q r {x}", f"p q r {y}", f"P q r {x}"]), 4, 85).clusters().collect()
+    assert sorted((r.doc_id, r.component_id, r.class_rep) for r in got) == [(0, 0, 0), (1, 1, 1), (2, 0, 0)]
+    assert {r.doc_id for r in jaccard.keep_first(frame(spark, [f"p q r s {x}", f"p q r s {y}"])).collect()} == {0, 1}
+    head, tail = " ".join(f"h{i}" for i in range(30)), " ".join(f"t{i}" for i in range(30))
+    docs = frame(spark, [f"{head} {x} {tail}", f"{head} {y} {tail}"])
+    assert suffixes.repeats(docs).isEmpty()
+    assert {r.doc_id: r.n_removed for r in suffixes.remove(docs).collect()} == {0: 0, 1: 0}
+
+
+def test_word_hashes_depend_on_the_bytes_alone():
+    from quire.llm import kernels
+
+    rng = random.Random(3)
+    words = list({"".join(rng.choice("abcé") for _ in range(rng.choice((1, 3, 7, 8, 9, 16, 17, 63, 64, 65, 300)))) for _ in range(3000)})
+    order = [rng.choice(words) for _ in range(6000)] + words
+    hashed = []
+    for seed in (0, 1):
+        _, _, data, offsets = next(kernels.slices(pa.array([" ".join(order)])))
+        hashed.append(kernels.hash_words(kernels.find_words(data, offsets), seed))
+        assert len(set(zip(order, hashed[-1].tolist()))) == len(words) == len(set(hashed[-1].tolist()))
+    assert not (hashed[0] == hashed[1]).any()
+
+
 def test_sets_are_hashed_anew_after_a_collision(spark, monkeypatch):
     """The first hash of a set is the same for all: the second shows it, and another seed is taken."""
     real = jaccard._sketch
@@ -499,6 +551,19 @@ def test_quality_is_learnt_and_held_out_rows_are_not(spark, texts):
 
 
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_quality_is_the_same_in_any_order(spark):
+    """Several texts of an id, in two orders: one model."""
+    rng = random.Random(4)
+    texts = [prose(rng, 30) if i % 2 else "junk ### " * 20 + str(i) for i in range(120)] * 2
+    texts = [f"{t} {i}" for i, t in enumerate(texts)]
+    rows = list(zip(texts, [i % 120 for i in range(240)]))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    models = []
+    for order in (rows, rows[::-1]):
+        models.append(quality.fit(frame(spark, [t for t, _ in order], [i for _, i in order]), labels))
+    assert all((np.asarray(a) == np.asarray(b)).all() for a, b in zip(*models))
+
+
 def test_quality_of_held_out_documents(spark):
     """Ranks and verdicts for labelled documents that the model never saw."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))

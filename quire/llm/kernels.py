@@ -80,11 +80,12 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         a = b
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words are the runs of bytes that aren't white space; no word crosses from text to text."""
+def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = _IS_SPACE) -> Words:
+    """Words are the runs of bytes that aren't breaks (a flag for each byte; white space by default); no word crosses
+    from text to text."""
     if lower:
         data = _LOWER[data]
-    word = ~_IS_SPACE[data]
+    word = ~breaks[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, lines, packing, quality, rules, sharding, suffixes, urls, warc
+from . import decontam, jaccard, licenses, lines, packing, quality, rules, sharding, suffixes, urls, warc
 from .common import table
 
 
@@ -167,5 +167,19 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
        CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM d
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_pack_curve, op3_rule_ledger, rule_ablations, op4_sparse_suffixes, op5_edit_decontam, op6_url_rules, op7_parity_join, op8_factor_quality, op9_minimax_shards, op10_warc_bundles)}
+
+def op11_license_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every document, and the places of the base phrases among the verified spans."""
+    found = licenses.Scan(table(spark, sf_dir, "documents")).labelled()
+    phrases = F.filter("spans", lambda s: s["template"] < len(licenses.PHRASES))
+    names = F.array(*(F.lit(t.label) for t in licenses.PHRASES))
+    base = F.array_sort(F.array_distinct(F.transform(phrases, lambda s: F.get(names, s["template"]))))
+    starts = F.transform(phrases, lambda s: s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size(phrases).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_pack_curve, op3_rule_ledger, rule_ablations, op4_sparse_suffixes, op5_edit_decontam, op6_url_rules, op7_parity_join, op8_factor_quality, op9_minimax_shards, op10_warc_bundles, op11_license_votes)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_rule_ledger": OP3_SQL, "rule_ablations": ABLATIONS_SQL, "op4_sparse_suffixes": OP4_SQL, "op6_url_rules": OP6_SQL, "op7_parity_join": OP7_SQL, "op10_warc_bundles": OP10_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, divergence, jaccard, licenses, lines, packing, quality, rules, sharding, suffixes, urls, warc
+from . import centroids, decontam, divergence, jaccard, licenses, lines, packing, quality, rules, sharding, suffixes, urls, warc
 from .common import table
 
 
@@ -205,5 +205,28 @@ SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_pack_curve, op3_rule_ledger, rule_ablations, op4_sparse_suffixes, op5_edit_decontam, op6_url_rules, op7_parity_join, op8_factor_quality, op9_minimax_shards, op10_warc_bundles, op11_license_votes, op12_source_divergence)}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_rule_ledger": OP3_SQL, "rule_ablations": ABLATIONS_SQL, "op4_sparse_suffixes": OP4_SQL, "op6_url_rules": OP6_SQL, "op7_parity_join": OP7_SQL, "op10_warc_bundles": OP10_SQL, "op12_source_divergence": OP12_SQL}
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after three rounds, with the inertias and the final centroid's hash."""
+    return centroids.report(centroids.cluster(table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
+def _op13_round(i: int) -> str:
+    return f"""
+a{i} AS (SELECT v.r, v.vec_id, v.q, c.k, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))::BIGINT AS d FROM v, c{i} c
+         QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c.k) = 1),
+s{i} AS (SELECT k, i, sum(q[i]) AS s, count(*) AS n FROM a{i}, range(1, 65) AS t(i) GROUP BY k, i),
+m{i} AS (SELECT k, list((s - (s % n + n) % n) // n ORDER BY i) AS q FROM s{i} GROUP BY k),
+c{i + 1} AS (SELECT c{i}.k, coalesce(m{i}.q, c{i}.q)::BIGINT[] AS q FROM c{i} LEFT JOIN m{i} USING (k)),"""
+
+
+OP13_SQL = f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT k - 1 AS k, q FROM (SELECT q, row_number() OVER (ORDER BY sha256('1:' || vec_id), q) AS k FROM v) WHERE k <= 16),{"".join(map(_op13_round, range(4)))}
+h AS (SELECT k, sha256(array_to_string(q, ',')) AS h FROM c3)
+SELECT vec_id, a3.k::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a3.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256 FROM a3 JOIN h USING (k)
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_pack_curve, op3_rule_ledger, rule_ablations, op4_sparse_suffixes, op5_edit_decontam, op6_url_rules, op7_parity_join, op8_factor_quality, op9_minimax_shards, op10_warc_bundles, op11_license_votes, op12_source_divergence, op13_delta_lloyd)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_rule_ledger": OP3_SQL, "rule_ablations": ABLATIONS_SQL, "op4_sparse_suffixes": OP4_SQL, "op6_url_rules": OP6_SQL, "op7_parity_join": OP7_SQL, "op10_warc_bundles": OP10_SQL, "op12_source_divergence": OP12_SQL, "op13_delta_lloyd": OP13_SQL}

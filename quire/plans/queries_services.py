@@ -265,11 +265,21 @@ def embedding_sink(lib):
     return B.store_vectors(stored, B.incremental(now, old, _Picky()), "hash-64", NOW).select("id", "embedding_model")
 
 
-@query(r"SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::INT AS para, p AS paragraph FROM (SELECT id, trim(unnest(string_split(t, chr(10) || chr(10))), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS p, unnest(range(1, 1 + len(string_split(t, chr(10) || chr(10))))) AS k FROM (SELECT id, replace(replace(content, '#', '-'), chr(10), chr(10) || chr(10)) AS t FROM chapters)) WHERE p <> ''")
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_TITLED = r"NOT contains(x.b, chr(10)) AND regexp_matches(x.b, '^#{1,6}\s+\S')"
+_FOLDED = rf"""bl AS (SELECT id, list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(regexp_replace(content, '(?m)^(\S+ \S+)$', '## \1', 'g'), chr(10), chr(10) || chr(10)), '(?m)^(#{{1,6}}\s)', chr(10) || chr(10) || '\1', 'g'), '\n\n+'),
+  lambda b: trim(b, {_WHITE})), lambda b: b <> '') AS b FROM chapters),
+fo AS (SELECT id, list_reduce(list_transform(b, lambda b: {{'b': b, 'c': '', 'o': []::VARCHAR[]}}), lambda a, x: {{'b': x.b,
+  'c': CASE WHEN {_TITLED} THEN x.b || chr(10) WHEN length(a.c || x.b) >= 50 THEN '' ELSE a.c || x.b || ' ' END,
+  'o': CASE WHEN NOT ({_TITLED}) AND length(a.c || x.b) >= 50 THEN list_append(a.o, a.c || x.b) ELSE a.o END}}, {{'b': '', 'c': '', 'o': []::VARCHAR[]}}) AS r FROM bl),
+pa AS (SELECT id, CASE WHEN trim(r.c, {_WHITE}) = '' THEN r.o WHEN len(r.o) = 0 THEN [trim(r.c, {_WHITE})] ELSE list_append(r.o[1:len(r.o) - 1], r.o[len(r.o)] || ' ' || trim(r.c, {_WHITE})) END AS p FROM fo)"""
+
+
+@query("SELECT id, unnest(range(0, len(p)))::INT AS para, unnest(p) AS paragraph FROM pa", _FOLDED)
 def paragraphs_for_excerpts(lib):
-    """Without headings and with every block long enough, so that SQL can split alike."""
-    text = F.replace(F.replace("content", F.lit("#"), F.lit("-")), F.lit("\n"), F.lit("\n\n"))
-    return P.paragraph_rows(lib.chapters.select("id", text.alias("content")), least=0)
+    """Every line is a block and lines of two words are titles: titles lead their paragraphs, short blocks are put together."""
+    text = F.replace(F.regexp_replace("content", r"(?md)^(\S+ \S+)$", "## $1"), F.lit("\n"), F.lit("\n\n"))
+    return P.paragraph_rows(lib.chapters.select("id", text.alias("content")))
 
 
 @query()

@@ -452,7 +452,26 @@ def test_chunks_lose_nothing():
         assert all(len(v) <= 3 for v in at.values()) and all(len(c.split()) <= chunking.HUGE + 100 for c in out)
 
 
-def test_excerpts():
+def best_of(text, vector, embedder, n):
+    """The excerpt of one text, by brute force."""
+    from quire.operators import excerpts as P
+
+    parts = P.excerpt_paragraphs(text or "")
+    if not parts:
+        return P.NO_CONTENT
+    scores = [0.0] * len(parts)
+    if len(parts) > 1:
+        try:
+            vectors = embedder(parts)
+            dot, size = (lambda a, b: sum(x * y for x, y in zip(a, b))), (lambda a: sum(x * x for x in a) ** 0.5)
+            scores = [round(dot(v, vector) / (size(v) * size(vector)), 12) if size(v) * size(vector) else 0.0 for v in vectors]
+        except RuntimeError:
+            pass
+    best = parts[scores.index(max(scores))]
+    return best if len(best) <= n else best[:n].strip() + "..."
+
+
+def test_excerpts(spark):
     from quire.operators import excerpts as P
     from quire.operators.embedding import HashEmbedder
 
@@ -460,14 +479,23 @@ def test_excerpts():
     assert P.excerpt_paragraphs(f"# One\n\n{long}\n\nshort\n\n{long}\n## Two\n{long}\n\nend") == [f"# One\n{long}", f"short {long}", f"## Two\n{long} end"]
     assert P.excerpt_paragraphs("") == [] and P.excerpt_paragraphs("tiny") == ["tiny"] and P.excerpt_paragraphs("# a\n\n# b") == ["# b"]
     e = HashEmbedder()
-    text = "\n\n".join(["alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", "the quick brown fox jumps over the lazy dog near the river bank", "z " * 400])
-    assert P.best_excerpt(e(["quick fox river"])[0], text, e).startswith("the quick")
 
-    def broken(_):
-        raise RuntimeError
+    class Broken(HashEmbedder):
+        def __call__(self, texts):
+            if any("broken" in t for t in texts):
+                raise RuntimeError
+            return super().__call__(texts)
 
-    assert P.best_excerpt(e(["quick"])[0], text, broken).startswith("alpha") and P.best_excerpt([0.0] * 64, text, e).startswith("alpha")
-    assert P.best_excerpt(e(["q"])[0], " ", e) == "[No content]" and P.best_excerpt(e(["z"])[0], "z " * 400, e, 10) == "z z z z z..."
+    text = "\n\n".join(["alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", "the quick brown fox jumps over the lazy dog near the river bank", "z " * 400])
+    texts = [text, f"{text}\n\nbroken " + "y " * 40, " ", None, "z " * 400, "one\n\ntwo", "same words here again and again and again, at length\n\n" * 3, f"# T\n\n{long}\n\n" * 4]
+    rows = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "id int, content string")
+    for words, n in ((["quick fox river"], 500), (["z"], 10), (["alpha"], 30)):
+        vector = e(words)[0]
+        got = P.relevant_excerpts(rows, vector, Broken(), n)
+        assert got.columns == ["id", "content", "excerpt"] and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {(r.content, r.excerpt) for r in got.collect()} == {(t, best_of(t, vector, Broken(), n)) for t in texts}
+    nothing = {r.content: r.excerpt for r in P.relevant_excerpts(rows, [0.0] * 64, e).collect()}
+    assert nothing[text].startswith("alpha") and nothing[None] == nothing[" "] == "[No content]" and nothing["z " * 400] == ("z " * 250).strip() + "..."
 
 
 def test_token_split():
@@ -480,6 +508,7 @@ def test_token_split():
         if most == 1000:
             assert parts == [text]
     assert P.token_split("a b. c d. e f.", 4) == ["a b. c d.", "e f."] and P.token_split("", 5) == [""]
+    assert P.token_split("a b c d e. f g.", 2) == ["a b", "f g."] and P.token_split("a b c d e. f g.", 2, whole=True) == ["a b", " c d", " e.", "f g."]
     assert "".join(P.words_as_tokens(text + "  ")) == text + "  "
 
 

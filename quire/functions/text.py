@@ -58,6 +58,18 @@ def once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def pinned(value: Column) -> Column:
+    """value, in a column that Catalyst doesn't copy into the expressions above: lambdas read it without computing it anew
+    for each element."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def first_of_each(items: Column, key: str) -> Column:
+    """Of an array of structs, of which `key` is the first field and the place the second: the first of each key, by key.
+    items must be a pinned column that is sorted."""
+    return F.filter(items, lambda x, i: (i == 0) | (x[key] != F.get(items, i - 1)[key]))
+
+
 def topics(text: Column) -> Column:
     """The topics of the text in declared order; General if there is none. Keywords are searched as plain substrings."""
 

@@ -14,30 +14,51 @@ def _any(text: Column, cues: tuple[str, ...]) -> Column:
     return T.contains_any(text, list(cues))
 
 
+# Cue words of a sentence and what they add to its score.
+SENTENCE_CUES = (
+    (1.0, (" is ", " are ", " means ", " refers to ")),
+    (1.5, ("in summary", "in conclusion", "importantly", "key ", "essential")),
+    (0.5, ("for example", "for instance", "such as")),
+    (0.5, ("function", "method", "class", "pattern", "approach")),
+)
+# Phrases that define a concept.
+DEFINING = ("is a ", "refers to", "allows you", "enables", "provides")
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, s: the sentences of each text as an array of (para, sent, sentence, score). All within the row."""
+    paras = docs.select(F.col(id_col).alias("id"), T.pinned(T.paragraphs(F.col(text_col))).alias("ps")).withColumn("n", T.pinned(F.size("ps")))
+
+    def score(para: Column, sent: Column, sentence: Column) -> Column:
+        size = F.length(sentence)
+        length = F.when(size.between(50, 200), 1.5).when(size.between(30, 250), 0.5).otherwise(-0.5)
+        first = (1 - para / F.greatest(F.col("n"), F.lit(1))) * 3 + F.when(sent == 0, 2.0).otherwise(0.0) + length
+        marked = lambda low: reduce(Column.__add__, (F.when(_any(low, cues), F.lit(v)).otherwise(0.0) for v, cues in SENTENCE_CUES), first)
+        return F.round(T.once(F.lower(sentence), marked), 6)
+
+    row = lambda i, j, x: F.struct(i.alias("para"), j.alias("sent"), x.alias("sentence"), score(i, j, x).alias("score"))
+    each = F.transform("ps", lambda p, i: F.transform(T.sentences(p, before_capital=True), lambda x, j: row(i, j, x)))
+    return paras.select("id", T.pinned(F.flatten(each)).alias("s"))
+
+
 def sentence_scores(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """id, para, sent, sentence, score: earlier, first, medium-long and marked sentences score higher."""
-    paras = docs.select(F.col(id_col).alias("id"), T.paragraphs(F.col(text_col)).alias("ps"))
-    paras = paras.select("id", F.size("ps").alias("n"), F.posexplode("ps").alias("para", "p"))
-    s = paras.select("id", "n", "para", F.posexplode(T.sentences(F.col("p"), before_capital=True)).alias("sent", "sentence"))
-    size, low = F.length("sentence"), F.lower("sentence")
-    length = F.when(size.between(50, 200), 1.5).when(size.between(30, 250), 0.5).otherwise(-0.5)
-    marks = ((1.0, (" is ", " are ", " means ", " refers to ")), (1.5, ("in summary", "in conclusion", "importantly", "key ", "essential")), (0.5, ("for example", "for instance", "such as")), (0.5, ("function", "method", "class", "pattern", "approach")))
-    score = (1 - F.col("para") / F.greatest(F.col("n"), F.lit(1))) * 3 + F.when(F.col("sent") == 0, 2.0).otherwise(0.0) + length
-    score = reduce(Column.__add__, (F.when(_any(low, cues), F.lit(v)).otherwise(0.0) for v, cues in marks), score)
-    return s.select("id", "para", "sent", "sentence", F.round(score, 6).alias("score"))
+    return _scored(docs, id_col, text_col).select("id", F.inline("s"))
 
 
 def extractive_summary(docs: DataFrame, most: int = 5, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """id, summary: the best sentences in the order of the text."""
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "para", "sent"))
-    kept = sentence_scores(docs, id_col, text_col).withColumn("r", rank).filter(F.col("r") <= most)
-    return kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "sent", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
+    """id, summary: the best sentences in the order of the text. Texts without sentences have no row."""
+    rank = F.transform("s", lambda x: F.struct((-x["score"]).alias("k"), x["para"].alias("para"), x["sent"].alias("sent"), x["sentence"].alias("sentence")))
+    best = _scored(docs, id_col, text_col).filter(F.size("s") > 0).select("id", T.pinned(F.slice(F.array_sort(rank), 1, most)).alias("best"))
+    told = F.array_sort(F.transform("best", lambda x: F.struct(x["para"], x["sent"], x["sentence"].alias("sentence"))))
+    return best.select("id", F.array_join(F.transform(told, lambda x: x["sentence"]), " ").alias("summary"))
 
 
 def bold_terms(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """id, term: terms between ** of 3 to 49 characters, once whatever their case, the first as written."""
-    t = docs.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(text_col, F.lit(r"\*\*([^*\n]{3,49})\*\*"), 1)).alias("at", "term"))
-    return t.groupBy("id", F.lower("term").alias("k")).agg(F.min_by("term", "at").alias("term")).select("id", "term")
+    found = F.transform(F.regexp_extract_all(text_col, F.lit(r"\*\*([^*\n]{3,49})\*\*"), 1), lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("at"), x.alias("term")))
+    t = docs.select(F.col(id_col).alias("id"), T.pinned(F.array_sort(found)).alias("t"))
+    return t.select("id", F.explode(T.first_of_each(F.col("t"), "k")).alias("x")).select("id", "x.term")
 
 
 def flashcards(terms: DataFrame) -> DataFrame:
@@ -47,8 +68,12 @@ def flashcards(terms: DataFrame) -> DataFrame:
 def code_blocks(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """id, language, code of fenced blocks; blocks with the same first 100 characters once."""
     found = F.regexp_extract_all(text_col, F.lit(r"(?s)```([A-Za-z0-9+#-]*\n.*?)```"), 1)
-    b = docs.select(F.col(id_col).alias("id"), F.posexplode(found).alias("at", "b")).select("id", "at", F.lower(F.substring_index("b", "\n", 1)).alias("language"), F.trim(F.expr("substring(b, locate('\n', b) + 1)")).alias("code"))
-    return b.withColumn("k", F.row_number().over(Window.partitionBy("id", F.substring("code", 1, 100)).orderBy("at"))).filter("k = 1").select("id", F.when(F.col("language") == "", "text").otherwise(F.col("language")).alias("language"), "code")
+    cut = lambda x: F.instr(x, F.lit("\n"))
+    named = F.transform(found, lambda x, i: F.struct(F.trim(F.substring(x, cut(x) + 1, F.length(x))).alias("code"), i.alias("at"), F.lower(F.substring(x, F.lit(1), cut(x) - 1)).alias("language")))
+    keyed = F.transform(named, lambda x: F.struct(F.substring(x["code"], 1, 100).alias("k"), x["at"].alias("at"), x["language"].alias("language"), x["code"].alias("code")))
+    b = docs.select(F.col(id_col).alias("id"), T.pinned(F.array_sort(keyed)).alias("b"))
+    b = b.select("id", F.explode(T.first_of_each(F.col("b"), "k")).alias("x"))
+    return b.select("id", F.when(F.col("x.language") == "", "text").otherwise(F.col("x.language")).alias("language"), "x.code")
 
 
 def vocabulary(docs: DataFrame, most: int = 8, id_col: str = "id", text_col: str = "content") -> DataFrame:
@@ -59,20 +84,23 @@ def vocabulary(docs: DataFrame, most: int = 8, id_col: str = "id", text_col: str
 
 
 def best_paragraph(docs: DataFrame, concept: str, least: int = 40, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """id, paragraph: of the prose paragraphs, the first with most of the concept's words and defining phrases."""
-    p = docs.select(F.col(id_col).alias("id"), F.posexplode(T.paragraphs(F.col(text_col))).alias("at", "p")).filter(F.length("p") >= least)
-    w, low = T.words(F.col("p")), F.lower("p")
-    shouting = F.size(F.filter(w, lambda x: (x == F.upper(x)) & (x != F.lower(x)))) / F.size(w)
-    score = reduce(Column.__add__, (F.when(F.contains(low, F.lit(c)), 10).otherwise(0) for c in dict.fromkeys(concept.lower().split())), F.lit(0))
-    score = score + F.when(_any(low, ("is a ", "refers to", "allows you", "enables", "provides")), 5).otherwise(0)
-    prose = p.filter((F.size(w) >= 5) & (shouting < 0.5)).withColumn("score", score)
-    return prose.groupBy("id").agg(F.max_by(F.struct(F.substring("p", 1, 500).alias("p"), "score"), F.struct("score", (-F.col("at")).alias("at"))).alias("b")).select("id", F.col("b.p").alias("paragraph"), F.col("b.score").alias("score"))
+    """id, paragraph, score: of the prose paragraphs, the first with most of the concept's words and defining phrases."""
+    asked = list(dict.fromkeys(concept.lower().split()))
+
+    def judged(p: Column, i: Column) -> Column:
+        shouting = lambda w: (F.size(w) >= 5) & (F.size(F.filter(w, lambda x: (x == F.upper(x)) & (x != F.lower(x)))) / F.size(w) < 0.5)
+        points = lambda low: reduce(Column.__add__, (F.when(F.contains(low, F.lit(c)), 10).otherwise(0) for c in asked), F.lit(0)) + F.when(_any(low, DEFINING), 5).otherwise(0)
+        return F.when(F.length(p) >= least, F.when(T.once(T.words(p), shouting), F.struct(T.once(F.lower(p), points).alias("score"), (-i).alias("at"), F.substring(p, 1, 500).alias("p"))))
+
+    best = docs.select(F.col(id_col).alias("id"), F.array_max(F.transform(T.paragraphs(F.col(text_col)), judged)).alias("b"))
+    return best.filter("b IS NOT NULL").select("id", F.col("b.p").alias("paragraph"), F.col("b.score").alias("score"))
 
 
 def cue_sentences(docs: DataFrame, cues: tuple[str, ...], id_col: str = "id", text_col: str = "content") -> DataFrame:
     """id, n, first: sentences that hold a cue word."""
-    s = docs.select(F.col(id_col).alias("id"), F.posexplode(T.sentences(F.col(text_col))).alias("at", "sentence")).filter(_any(F.lower("sentence"), cues))
-    return s.groupBy("id").agg(F.count("*").alias("n"), F.min_by("sentence", "at").alias("first"))
+    found = F.filter(T.sentences(F.col(text_col)), lambda x: _any(F.lower(x), cues))
+    s = docs.select(F.col(id_col).alias("id"), T.pinned(found).alias("s")).filter(F.size("s") > 0)
+    return s.select("id", F.size("s").cast("long").alias("n"), F.get("s", F.lit(0)).alias("first"))
 
 
 def detect_kind(goals: DataFrame, kinds: dict[str, tuple[str, ...]], text_col: str = "text", default: str = "generic") -> DataFrame:

@@ -101,10 +101,13 @@ class KeywordClassifier:
         raise LookupError("no type fits")
 
 
-def classify(rows: DataFrame, known: DataFrame, primary: Classifier, fallback: Classifier | None = None) -> DataFrame:
-    """id, book_type, confidence, source (cache, primary, fallback, none). rows: id, content_hash, text. known: content_hash,
-    book_type, confidence, one row a hash. A text is classified once for each hash that isn't known; where both classifiers
-    fail the type is unknown and the confidence 0."""
+def classify(rows: DataFrame, known: DataFrame, primary: Classifier, fallback: Classifier | None = None, sample: int = 40_000) -> DataFrame:
+    """id, book_type, confidence, source (cache, primary, fallback, none): one row for each row.
+
+    rows: id, content_hash, text. known: content_hash, book_type, confidence, one row a hash. The classifiers see the first
+    `sample` characters, which alone are moved, once for each hash that isn't known. A row without hash is never known; such
+    rows are told apart by the hashes of their samples. Where both classifiers fail the type is unknown and the confidence 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,12 +122,15 @@ def classify(rows: DataFrame, known: DataFrame, primary: Classifier, fallback: C
                         continue
                 else:
                     out.append((h, "unknown", 0.0, "none"))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.float64(), pa.string()), strict=True)] if out else [pa.array([], t) for t in (pa.string(), pa.string(), pa.float64(), pa.string())], names=["content_hash", "book_type", "confidence", "source"])
-
-    cache = known.select("content_hash", "book_type", "confidence").withColumn("source", F.lit("cache"))
-    fresh = rows.join(cache.select("content_hash"), "content_hash", "left_anti").groupBy("content_hash").agg(F.first("text").alias("text"))
-    made = map_arrow(fresh.select("content_hash", "text"), run, "content_hash string, book_type string, confidence double, source string")
-    return rows.select("id", "content_hash").join(cache.unionByName(made), "content_hash").select("id", "book_type", "confidence", "source")
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.float64(), pa.string()), strict=True)] if out else [pa.array([], t) for t in (pa.string(), pa.string(), pa.float64(), pa.string())], names=["_key", "book_type", "confidence", "source"])
+
+    text = F.substring(F.coalesce("text", F.lit("")), 1, sample)
+    own = F.coalesce("content_hash", F.concat(F.lit("sample "), F.sha2(text, 256)))
+    keyed = rows.select("id", "content_hash", own.alias("_key"), text.alias("_sample"))
+    cache = known.filter(F.col("content_hash").isNotNull()).select(F.col("content_hash").alias("_key"), "book_type", "confidence", F.lit("cache").alias("source"))
+    fresh = keyed.join(cache.select("_key"), "_key", "left_anti").groupBy("_key").agg(F.first("_sample").alias("_sample"))
+    made = map_arrow(fresh.select("_key", "_sample"), run, "_key string, book_type string, confidence double, source string")
+    return keyed.select("id", "_key").join(cache.unionByName(made), "_key").select("id", "book_type", "confidence", "source")
 
 
 def classification_sample(docs: DataFrame, n: int = 40_000, path: str = "source_path", text: str = "content") -> DataFrame:

@@ -541,6 +541,9 @@ def test_services_edges(spark):
     assert S.classify(empty, known, S.KeywordClassifier(())).count() == 0
     rows = spark.createDataFrame([(1, "h", "Data"), (2, "h", "Data"), (3, "g", None)], empty.schema)
     assert sorted((r.id, r.book_type, r.source) for r in S.classify(rows, known, S.KeywordClassifier((("t", ("data",)),))).collect()) == [(1, "t", "primary"), (2, "t", "primary"), (3, "unknown", "none")]
+    bare = spark.createDataFrame([(1, None, "data"), (2, None, "other"), (3, None, "data"), (4, "h", "x" * 50 + "data"), (None, None, None)], "id int, content_hash string, text string")
+    found = S.classify(bare, known, S.KeywordClassifier((("t", ("data",)),)), sample=50).collect()
+    assert sorted((r.id or 0, r.book_type) for r in found) == [(0, "unknown"), (1, "t"), (2, "unknown"), (3, "t"), (4, "unknown")]
     a = S.analogy(spark.createDataFrame([("Docker image",), ("git",), ("x",)], "concept string"), spark.createDataFrame([(2, "docker", "d"), (1, "image", "i"), (3, "digit", "g")], "place int, key string, analogy string"))
     assert sorted(((r.concept, r.analogy) for r in a.collect()), key=str) == [("Docker image", "i"), ("git", "g"), ("x", None)]
     with pytest.raises(ValueError):

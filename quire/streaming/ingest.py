@@ -29,7 +29,7 @@ def detect_files(spark: SparkSession, folder: str, store: Store, checkpoint: str
         if store.exists(table):
             fresh = fresh.join(store.read(table).select("content_hash"), "content_hash", "left_anti")
         if not fresh.isEmpty():
-            store.append(table, fresh, f"{run}-{number:09d}")
+            store.append(table, fresh, run, number)
 
     return hashed.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

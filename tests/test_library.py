@@ -339,6 +339,112 @@ def test_appended_parts_and_compaction(spark, tmp_path):
     assert [r.id for r in s.read("t").collect()] == [7]
 
 
+def ids_of(df):
+    return sorted(r.id for r in df.collect())
+
+
+def test_writers_that_meet(spark, tmp_path):
+    """Of two writers from one version one wins; appended rows are never lost, whoever compacts meanwhile."""
+    from quire.sources.store import Conflict, Store
+
+    s, other = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    s.write("t", rows(1, 2))
+    base = s.entry("t")["entry"]
+    assert other.write("t", rows(3), base=base) == 2
+    with pytest.raises(Conflict):
+        s.write("t", rows(4), base=base)
+    assert ids_of(s.read("t")) == [3] and s.vacuum("t", 0) == 0
+    seen = []
+
+    def change(old):
+        seen.append(ids_of(old))
+        if len(seen) == 1:
+            other.write("t", rows(5))
+        return old.unionByName(rows(6))
+
+    assert s.update("t", change) == 4 and seen == [[3], [5]] and ids_of(s.read("t")) == [5, 6]
+    s.append("t", rows(7), "a")
+    real = s._part
+
+    def meanwhile(name, df, partition_by=()):
+        part = real(name, df, partition_by)
+        s._part = real
+        other.append("t", rows(8), "b")
+        return part
+
+    s._part = meanwhile
+    s.compact("t")
+    assert ids_of(s.read("t")) == [5, 6, 7, 8] and len(s.appended("t")) == 1
+    s.append("t", rows(9), "a")
+    s.append("t", rows(9), "stream", 3)
+    s.compact("t")
+    for n in (2, 3):
+        s.append("t", rows(9), "stream", n)
+    assert ids_of(s.read("t")) == [5, 6, 7, 8, 9]
+
+
+@pytest.mark.parametrize("by_link", (True, False))
+def test_an_entry_is_published_once(spark, tmp_path, by_link):
+    from quire.sources.store import EMPTY, Store
+
+    s = Store(spark, f"file://{tmp_path}/s")
+    s._links = by_link  # False: the way of other file systems
+    assert s._publish("t", {**EMPTY, "entry": 1}) and not s._publish("t", {**EMPTY, "entry": 1, "version": 9}) and s.entry("t")["version"] == 0
+    assert s.entries("t") == [1] and not [n for n in s._names(f"{s.root}/t/_log") if "staged" in n]
+
+
+@pytest.mark.parametrize("step", ("_part", "_publish", "_forget", "after"))
+@pytest.mark.parametrize("work", ("compact", "append", "write", "upsert"))
+def test_a_crash_leaves_the_table_before_or_after(spark, tmp_path, step, work):
+    from quire.sources.store import Store
+
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    s = Store(spark, f"file://{tmp_path}/s")
+    s.write("t", rows(1, 2, 3))
+    s.append("t", rows(4), "x-1")
+    s.append("t", rows(5), "x-2")
+    crash = Store(spark, f"file://{tmp_path}/s")
+    real = getattr(crash, "_publish" if step == "after" else step)
+
+    def fail(*a, **b):
+        if step in ("_part", "after"):
+            real(*a, **b)  # done, and then the writer dies
+        raise SystemExit
+
+    setattr(crash, "_publish" if step == "after" else step, fail)
+    run = {"compact": lambda t: t.compact("t"), "append": lambda t: t.append("t", rows(6), "x-3"), "write": lambda t: t.write("t", rows(7)), "upsert": lambda t: t.upsert("t", rows(5, 6), "id")}[work]
+    with pytest.raises(SystemExit):
+        run(crash)
+    new = {"compact": [1, 2, 3, 4, 5], "append": [1, 2, 3, 4, 5, 6], "write": [7], "upsert": [1, 2, 3, 4, 5, 6]}[work]
+    assert ids_of(s.read("t")) == (new if step in ("_forget", "after") else [1, 2, 3, 4, 5])
+    s.vacuum("t", 0)
+    assert ids_of(s.read("t")) == (new if step in ("_forget", "after") else [1, 2, 3, 4, 5])
+    run(s)
+    assert ids_of(s.read("t")) == new
+
+
+def test_history_is_bounded(spark, tmp_path):
+    from quire.sources.store import HISTORY, Store
+
+    s = Store(spark, f"file://{tmp_path}/s")
+    for i in range(HISTORY + 6):
+        s.write("t", spark.createDataFrame([(i,)], "id long"))
+    assert len(s.entries("t")) == HISTORY and ids_of(s.read("t", s.versions("t")[0])) == [HISTORY + 4]
+    assert ids_of(s.read("t", entry=s.entries("t")[0])) == [6] and len(os.listdir(f"{tmp_path}/s/t")) <= HISTORY + 2
+
+
+def test_compare_and_set(spark, tmp_path):
+    from quire.sources.store import Store
+
+    s = Store(spark, f"file://{tmp_path}/s")
+    s.write("p", spark.createDataFrame([(1, "hashing", 5), (2, "hashing", 6), (3, "complete", 7), (4, None, 8)], "id long, state string, n int"))
+    moves = spark.createDataFrame([(1, "hashing", "classifying"), (2, "detected", "hashing"), (3, "complete", "archived"), (3, "complete", "failed"), (4, None, "detected"), (9, "a", "b")], "id long, expected string, target string")
+    got = sorted((r.id, r.target, r.moved) for r in s.transition("p", moves).collect())
+    assert got == [(1, "classifying", True), (2, "hashing", False), (3, "archived", False), (3, "failed", False), (4, "detected", True), (9, "b", False)]
+    assert sorted((r.id, r.state, r.n) for r in s.read("p").collect()) == [(1, "classifying", 5), (2, "hashing", 6), (3, "complete", 7), (4, "detected", 8)]
+
+
 def test_rerank_falls_back(spark):
     rows = spark.createDataFrame([(1, 0.9, "a"), (2, 0.8, "b"), (3, 0.7, "c")], "id long, similarity double, content string")
     ids = lambda model: [r.id for r in search.rerank(rows, model, 2).collect()]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import analytics, auditing, excerpts, fulltext, governance, integrity, learning, maintenance, search, services
+from .operators import analytics, auditing, excerpts, fulltext, governance, integrity, learning, maintenance, overlap, search, services
 from .operators.embedding import Embedder, HashEmbedder
 from .sources import export, reports
 from .sources.library import NOW, Library
@@ -128,7 +128,9 @@ class Tools:
         return search.topic_coverage(self.lib.search_rows, self._vector(query), clamp(min_similarity, 0.0, 1.0)).orderBy(F.desc("chapters"), "book_id").limit(clamp(limit, 1, 50))
 
     def find_duplicate_coverage(self, similarity_threshold: float = 0.7, max_results: int = 50) -> DataFrame:
-        return search.similar_pairs(self.lib.search_rows, clamp(similarity_threshold, 0.5, 0.95)).orderBy(F.desc("similarity"), "a", "b").limit(max_results)
+        """The best pairs of chapters of different books, by topic; topics with three pairs or more are marked."""
+        c = self.lib.chapters.select("id", "title")
+        return overlap.duplicate_coverage(self.lib.search_rows, c, clamp(similarity_threshold, 0.5, 0.95), clamp(max_results, 1, 1000)).orderBy(F.desc("overlap_count"), "topic", "place")
 
     # -- analytics
 

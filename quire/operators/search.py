@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.executors import ship
+from .overlap import similar_pairs  # noqa: F401
 
 log = logging.getLogger(__name__)
 #: Results that a reranking model may be shown.
@@ -134,36 +135,3 @@ def rerank(results: DataFrame, model: Callable[[list[dict]], list[float]] | None
         return given.limit(limit)
     order = sorted(range(len(rows)), key=lambda i: (-scores[i], i))[:limit]
     return results.sparkSession.createDataFrame([rows[i] for i in order], results.schema)
-
-
-#: Rows of a block of vectors in `similar_pairs`.
-BLOCK_ROWS = 4096
-
-
-def similar_pairs(rows: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """a, b, similarity: pairs of chunks of different books, exactly, by blocks of matrix products.
-
-    The blocks grow in number with the counted vectors, so a task holds two blocks of about block_rows vectors,
-    whatever the table. The work is quadratic by definition: every pair is judged, in products of whole blocks.
-    """
-    ship(rows.sparkSession)
-    blocks = max(1, -(-rows.filter(F.col("embedding").isNotNull()).count() // block_rows))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    part = rows.filter(F.col("embedding").isNotNull()).select("id", "book_id", "embedding", block.alias("b"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j")))
-    dealt = part.select("id", "book_id", "embedding", "b", F.explode(pairs).alias("p")).select("id", "book_id", "embedding", "b", "p.*")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group.i.iloc[0], group.j.iloc[0]
-        left, right = group[group.b == i], group[group.b == j]
-        unit = lambda g: (lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300))(np.stack(g.embedding.to_numpy()).astype(float)) if len(g) else np.zeros((0, 1))
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64"})
-        m = unit(left) @ unit(right).T
-        r, c = np.nonzero(m >= least)
-        out = pd.DataFrame({"a": left.id.to_numpy()[r], "b": right.id.to_numpy()[c], "similarity": m[r, c], "x": left.book_id.to_numpy()[r], "y": right.book_id.to_numpy()[c]})
-        out = out[(out.x != out.y) & ((out.a < out.b) if i == j else True)]
-        low, high = np.minimum(out.a, out.b), np.maximum(out.a, out.b)
-        return pd.DataFrame({"a": low, "b": high, "similarity": out.similarity})
-
-    return dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long, similarity double")

@@ -18,6 +18,7 @@ from ..operators import fulltext as X
 from ..operators import governance as G
 from ..operators import integrity as I
 from ..operators import learning as L
+from ..operators import overlap as O
 from ..operators import search as S
 from ..operators import services as W
 from ..sources.library import NOW, Library
@@ -274,6 +275,19 @@ def library_totals(lib):
 _TOPIC = "topics AS (SELECT id, book_id, word_count, unnest(CASE WHEN len(t) > 0 THEN t ELSE ['General'] END) AS topic FROM (SELECT id, book_id, word_count, list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower(content), {k!r})' for k in ks)} THEN {t!r} END" for t, ks in T.TOPICS.items()) + "], lambda x: x IS NOT NULL) AS t FROM chapters))"
 
 
+_PAIR_TOPIC = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, $${k}$$)' for k in words)} THEN '{topic}'" for topic, words in T.TOPICS.items()) + " ELSE 'General' END"
+
+
+@query(
+    "SELECT topic, count(*) OVER w AS overlap_count, count(*) OVER w >= 3 AS high_overlap, row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, a, b)::INT AS place, similarity, a, b FROM named WINDOW w AS (PARTITION BY topic) QUALIFY place <= 10",
+    "pairs AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.embedding, b.embedding), 3) AS similarity, a.chapter_id AS ca, b.chapter_id AS cb FROM search_rows a JOIN search_rows b ON a.id < b.id AND a.book_id <> b.book_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.35), "
+    f"best AS (SELECT * FROM pairs ORDER BY similarity DESC, a, b LIMIT 60), named AS (SELECT *, {_PAIR_TOPIC} AS topic FROM (SELECT best.*, lower(x.title || ' ' || y.title) AS t FROM best JOIN chapters x ON x.id = ca JOIN chapters y ON y.id = cb))",
+)
+def duplicate_topics(lib):
+    """The sixty best pairs of chunks of different books, by the topic of their chapters' titles."""
+    return O.duplicate_coverage(lib.search_rows, lib.chapters, 0.35, most=60).select("topic", "overlap_count", "high_overlap", "place", "similarity", "a", "b")
+
+
 @query("SELECT topic, count(*) AS chapters, sum(word_count)::BIGINT AS words, count(DISTINCT book_id) AS books FROM topics GROUP BY topic", _TOPIC)
 def topic_distribution(lib):
     return A.by_topic(lib.chapters, "content", F.count("*").alias("chapters"), F.sum("word_count").alias("words"), F.count_distinct("book_id").alias("books"))

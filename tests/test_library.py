@@ -445,6 +445,65 @@ def test_compare_and_set(spark, tmp_path):
     assert sorted((r.id, r.state, r.n) for r in s.read("p").collect()) == [(1, "classifying", 5), (2, "hashing", 6), (3, "complete", 7), (4, "detected", 8)]
 
 
+@pytest.mark.parametrize("least", (0.3, 0.7, 0.95, 1.0))
+def test_similar_pairs_are_brute_force(spark, least):
+    """Clusters, equal vectors, opposite ones, zeros and nulls; in cells and blocks of a few rows."""
+    import numpy as np
+
+    from quire.operators import overlap
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 8))
+    v = [(centres[i % 6] + rng.normal(scale=0.25, size=8)).astype(np.float32) for i in range(150)]
+    v += [v[0]] * 30 + [-v[1], np.zeros(8, np.float32)] + [2 * v[2]]
+    rows = [(i, f"b{i % 4}", f"t{i % 3}", x.tolist()) for i, x in enumerate(v)] + [(900, "b9", "t9", None)]
+    df = spark.createDataFrame(rows, "id long, book_id string, book_title string, embedding array<float>")
+    unit = np.array([x / max(np.linalg.norm(x), 1e-300) for x in np.array(v, float)])
+    m = unit @ unit.T
+    every = [(round(float(m[a, b]), 3), a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if a % 4 != b % 4 and a % 3 != b % 3 and m[a, b] >= least]
+    edge = {(a, b) for a in range(len(v)) for b in range(len(v)) if abs(m[a, b] - least) < 1e-9}
+    for pivots, block in ((None, 2048), (1, 16), (12, 16), (40, 7)):
+        got = {(r.a, r.b) for r in overlap.similar_pairs(df, least, block, ("book_id", "book_title"), pivots=pivots).collect()}
+        assert got - edge == {(a, b) for _, a, b in every} - edge
+        best = overlap.similar_pairs(df, least, block, ("book_id", "book_title"), limit=25, pivots=pivots).collect()
+        if least < 1:
+            assert [(round(r.similarity, 3), r.a, r.b) for r in best] == sorted(every, key=lambda x: (-x[0], x[1], x[2]))[:25]
+    assert overlap.similar_pairs(df.filter("id < 0"), least).isEmpty()
+    with pytest.raises(ValueError):
+        overlap.similar_pairs(df, 0.0)
+
+
+def test_far_cells_are_not_visited():
+    """Copies grow with the pairs that are left: of tight clusters no vector visits another."""
+    import numpy as np
+
+    from quire.operators import overlap
+
+    rng = np.random.default_rng(1)
+    unit = overlap._unit(np.repeat(np.eye(16), 50, 0) + rng.normal(scale=0.01, size=(800, 16)))
+    cells = object.__new__(overlap.Cells)
+    cells.pivots, cells.tau = overlap.far_apart(unit, 16), float(np.arccos(0.9))
+    angle = overlap._angles(unit, cells.pivots)
+    own = angle.argmin(1)
+    cells.n = np.bincount(own, minlength=16)
+    cells.low, cells.high = (np.array([f(angle[own == c], 0) for c in range(16)]) for f in (np.min, np.max))
+    assert len(cells.pivots) == 16 and sum(len(x) for x in cells.visits(unit)[1]) == 0
+    cells.tau = 1.7
+    assert sum(len(x) for x in cells.visits(unit)[1]) == sum(15 - c for c in own)
+
+
+def test_duplicate_coverage_by_topic(spark):
+    from quire.operators import overlap
+
+    titles = ["Python basics", "More python", "Docker", "python again", "Poems", "Kernel and shell"]
+    chapters = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "id long, title string")
+    rows = spark.createDataFrame([(10 * i, i, f"b{i}", f"t{i}", [1.0, 0.1 * (i % 3)]) for i in range(6)] + [(7, None, "b0", "t0", [0.0, 1.0])], "id long, chapter_id long, book_id string, book_title string, embedding array<float>")
+    got = overlap.duplicate_coverage(rows, chapters, 0.9, most=14, each=2).collect()
+    by = {r.topic: (r.overlap_count, r.high_overlap) for r in got}
+    assert sum(n for n, _ in by.values()) == 14 and by["Python"] == (max(n for n, _ in by.values()), True) and max(r.place for r in got) == 2
+    assert all(r.title_a == titles[r.chapter_a] and r.a == 10 * r.chapter_a for r in got)
+
+
 def test_rerank_falls_back(spark):
     rows = spark.createDataFrame([(1, 0.9, "a"), (2, 0.8, "b"), (3, 0.7, "c")], "id long, similarity double, content string")
     ids = lambda model: [r.id for r in search.rerank(rows, model, 2).collect()]

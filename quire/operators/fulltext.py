@@ -7,7 +7,9 @@ dealt by a hash of the term and sorted by term, so that a query reads the row gr
 from __future__ import annotations
 
 import re
+import time
 import unicodedata
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.executors import map_arrow, ship
+from ..sources.store import Store
 
 K1, B = 1.2, 0.75
 _SPLIT = r"[^\p{L}\p{N}]+"
@@ -130,23 +133,24 @@ def _back(i: int):
     return lambda p: p - i
 
 
-def _holds(index: DataFrame, term: str) -> Column:
-    """The rows of a term; in a stored index only those of its files."""
-    own = F.col("term") == term
-    return own & (F.col("bucket") == bucket(F.lit(term), index.buckets)) if "bucket" in index.columns else own
+def _rows(index: DataFrame | Index, terms: tuple[str, ...], prefix: bool = False) -> DataFrame:
+    """The postings of these terms, or of all that begin with the only one."""
+    return index.filter(_named(terms, prefix)) if isinstance(index, DataFrame) else index.rows(terms, prefix)
 
 
-def _leaf(index: DataFrame, leaf: tuple[tuple[str, ...], bool]) -> DataFrame:
-    """id, tf, of: documents with the term, a term of the prefix, or the phrase."""
+def _named(terms: tuple[str, ...], prefix: bool) -> Column:
+    return F.col("term").startswith(terms[0]) if prefix else reduce(Column.__or__, (F.col("term") == t for t in dict.fromkeys(terms)))
+
+
+def _leaf(index: DataFrame | Index, leaf: tuple[tuple[str, ...], bool]) -> DataFrame:
+    """id, tf: documents with the term, a term of the prefix, or the phrase."""
     terms, prefix = leaf
     if not terms:
-        return index.select("id", "tf").filter(F.lit(False))
+        return _rows(index, ("",)).select("id", "tf").filter(F.lit(False))
     if len(terms) == 1:
-        if not prefix:
-            return index.filter(_holds(index, terms[0])).select("id", "tf")
-        return index.filter(F.col("term").startswith(terms[0])).groupBy("id").agg(F.sum("tf").alias("tf"))
-    wanted = reduce(Column.__or__, (_holds(index, t) for t in set(terms)))
-    places = index.filter(wanted).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("m")).filter(F.size("m") == len(set(terms)))
+        found = _rows(index, terms, prefix)
+        return found.groupBy("id").agg(F.sum("tf").alias("tf")) if prefix else found.select("id", "tf")
+    places = _rows(index, terms).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("m")).filter(F.size("m") == len(set(terms)))
     starts = reduce(F.array_intersect, (F.transform(F.element_at("m", F.lit(t)), _back(i)) for i, t in enumerate(terms)))
     return places.select("id", F.size(starts).cast("long").alias("tf")).filter("tf > 0")
 
@@ -165,7 +169,7 @@ def _matching(q: Query, hit: Callable[[int], DataFrame]) -> DataFrame:
     return of(q.tree)
 
 
-def match(index: DataFrame, query: str, analyse: Callable[[str], list[str]] | None = None) -> DataFrame:
+def match(index: DataFrame | Index, query: str, analyse: Callable[[str], list[str]] | None = None) -> DataFrame:
     """id of the documents that the query matches."""
     q = Query(query, analyse)
     return _matching(q, lambda i: _leaf(index, q.leaves[i]))
@@ -179,7 +183,7 @@ def _condition(node) -> Column:
     return left | right if node[0] == "or" else left & right if node[0] == "and" else left & ~right
 
 
-def bm25(index: DataFrame, query: str, limit: int | None = None, where: DataFrame | None = None, analyse: Callable[[str], list[str]] | None = None, size: DataFrame | None = None, stats: tuple[int, float] | None = None) -> DataFrame:
+def bm25(index: DataFrame | Index, query: str, limit: int | None = None, where: DataFrame | None = None, analyse: Callable[[str], list[str]] | None = None, size: DataFrame | None = None, stats: tuple[int, float] | None = None) -> DataFrame:
     """id, score of the matching documents, best first. where: ids to keep (a book's chapters).
 
     size (id, dl) and stats (documents, mean length) come from a stored index; else they are computed. The documents
@@ -203,6 +207,7 @@ def bm25(index: DataFrame, query: str, limit: int | None = None, where: DataFram
 
 # -- a stored index ------------------------------------------------------------------------------------------------
 
+LOG_NAME = "index"
 #: Postings of a bucket of terms, postings that a document is expected to have, the least and most buckets, the documents
 #: for each of which a bucket is split once more, and the most parts in all.
 BUCKET_POSTINGS, DOC_POSTINGS, LEAST_BUCKETS, MOST_BUCKETS, SPLIT_DOCS, MOST_PARTS = 5_000_000, 200, 16, 4096, 5_000_000, 100_000
@@ -212,48 +217,161 @@ def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _store(made: DataFrame, docs: DataFrame, at: str) -> None:
-    """Write postings, lengths and the numbers of the whole. The counted documents tell how many buckets of terms there are,
-    and into how many parts each is dealt by document, so that no term, however frequent, is one task's."""
-    spark, n = docs.sparkSession, docs.count()
-    buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, n * DOC_POSTINGS // BUCKET_POSTINGS))
-    splits = max(1, min(MOST_PARTS // buckets, n // SPLIT_DOCS))
+def _store(made: DataFrame, documents: int, at: str) -> dict:
+    """Write postings and lengths, and tell their numbers. The counted documents tell how many buckets of terms there are,
+    and into how many parts each is dealt by document, so that no term, however frequent, is one task's. Lengths lie in the
+    order of ids, so that those of a few documents are found without reading all."""
+    spark = made.sparkSession
+    buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, documents * DOC_POSTINGS // BUCKET_POSTINGS))
+    splits = max(1, min(MOST_PARTS // buckets, documents // SPLIT_DOCS))
     dealt = made.withColumn("bucket", bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(splits)))
-    dealt.sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
-    lengths(spark.read.parquet(f"{at}/postings")).write.mode("overwrite").parquet(f"{at}/lengths")
-    numbers = spark.read.parquet(f"{at}/lengths").agg(F.count("*").alias("documents"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("mean"), F.lit(buckets).alias("buckets"))
-    numbers.coalesce(1).write.mode("overwrite").parquet(f"{at}/numbers")
+    dealt.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{at}/postings")
+    lengths(spark.read.schema(POSTINGS).parquet(f"{at}/postings")).repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{at}/lengths")
+    n, tokens = spark.read.schema("id long, dl long").parquet(f"{at}/lengths").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    return {"at": at, "buckets": buckets, "documents": n, "tokens": tokens, "replaced": 0}
+
+
+POSTINGS = "id long, term string, tf long, places array<int>, bucket int"
+#: A segment is merged with the one before it unless that is so many times larger; ids that are looked up one by one, and
+#: ids of replaced documents that are broadcast.
+TIERS, FEW_IDS, BROADCAST_IDS = 4, 1000, 200_000
 
 
 class Index:
-    """A stored index: postings by bucket and term, lengths, and the two numbers that BM25 needs of all documents."""
+    """A stored index in segments, each with postings by bucket and term, lengths, and the ids that it replaces in those before.
+
+    The first segment holds the documents that the index was built of. A sync adds a segment of the changed documents alone;
+    what earlier segments hold of them no longer counts. So a sync reads and writes as much as the changed documents have, and
+    of the rest only their lengths. A new segment is merged with the one before it while that is less than TIERS times its
+    size: there are about log(documents) segments, and each posting is rewritten about as often. Segments are listed in a log
+    (see sources.store) whose entries are published in one step: searches see the index before a sync or after it.
+    """
 
     def __init__(self, spark: SparkSession, at: str, stemmed: bool = False):
-        self.spark, self.at, self.analyse = spark, at, fold if stemmed else plain
-        n, mean, buckets = spark.read.parquet(f"{at}/numbers").first()
-        self.lengths, self.stats = spark.read.parquet(f"{at}/lengths"), (n, float(mean))
-        self.postings = spark.read.parquet(f"{at}/postings")
-        self.postings.buckets = buckets
+        self.spark, self.root, self.stemmed, self.analyse = spark, at.rstrip("/"), stemmed, fold if stemmed else plain
+        self.log = Store(spark, self.root)
+        self.entry = self.log.entry(LOG_NAME)
+        if not self.entry.get("segments"):
+            raise FileNotFoundError(f"no index at {at}")
 
     @classmethod
     def build(cls, docs: DataFrame, at: str, stemmed: bool = False, id_col: str = "id", text_cols: tuple[str, ...] = ("title", "content")) -> Index:
         """Write the index of docs to the folder at. A frequent term is spread over several files by its documents."""
-        _store((stemmed_postings if stemmed else postings)(docs, id_col, text_cols), docs, at)
+        made = (stemmed_postings if stemmed else postings)(docs, id_col, text_cols)
+        log, part = Store(docs.sparkSession, at), cls._part()
+        segment = _store(made, docs.count(), f"{at.rstrip('/')}/{LOG_NAME}/{part}")
+        log._commit(LOG_NAME, lambda e: {**e, "appended": [part], "segments": [segment]})
         return cls(docs.sparkSession, at, stemmed)
 
+    @staticmethod
+    def _part() -> str:
+        return f"d{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
+
+    @property
+    def segments(self) -> list[dict]:
+        return self.entry["segments"]
+
+    @property
+    def stats(self) -> tuple[int, float]:
+        """Documents, and their mean length."""
+        n = sum(s["documents"] for s in self.segments) - sum(s.get("gone", 0) for s in self.segments)
+        tokens = sum(s["tokens"] for s in self.segments) - sum(s.get("gone_tokens", 0) for s in self.segments)
+        return n, tokens / n if n else 1.0
+
+    def _live(self, k: int, rows: DataFrame, segments: list[dict] | None = None) -> DataFrame:
+        """The rows of segment k whose documents no later segment replaces."""
+        later = [s for s in (segments or self.segments)[k + 1 :] if s["replaced"]]
+        if not later:
+            return rows
+        dead = self.spark.read.schema("id long").parquet(*(f"{s['at']}/replaced" for s in later))
+        return rows.join(F.broadcast(dead) if sum(s["replaced"] for s in later) <= BROADCAST_IDS else dead, "id", "left_anti")
+
+    def _union(self, read: Callable[[dict], DataFrame], segments: list[dict] | None = None) -> DataFrame:
+        own = segments or self.segments
+        return reduce(DataFrame.unionByName, (self._live(k, read(s), own) for k, s in enumerate(own)))
+
+    def _postings(self, segment: dict) -> DataFrame:
+        return self.spark.read.schema(POSTINGS).parquet(f"{segment['at']}/postings")
+
+    def rows(self, terms: tuple[str, ...], prefix: bool = False) -> DataFrame:
+        """The postings of terms, or of those that begin with the only one; of exact terms only the files of their buckets."""
+
+        def read(s: dict) -> DataFrame:
+            own = self._postings(s)
+            if prefix:
+                return own.filter(_named(terms, True))
+            return own.filter(reduce(Column.__or__, ((F.col("term") == t) & (F.col("bucket") == bucket(F.lit(t), s["buckets"])) for t in dict.fromkeys(terms))))
+
+        return self._union(read).drop("bucket")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._union(self._postings).drop("bucket")
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self._union(lambda s: self.spark.read.schema("id long, dl long").parquet(f"{s['at']}/lengths"))
+
     def search(self, query: str, limit: int | None = None, where: DataFrame | None = None) -> DataFrame:
-        return bm25(self.postings, query, limit, where, self.analyse, self.lengths, self.stats)
+        return bm25(self, query, limit, where, self.analyse, self.lengths, self.stats)
 
     def match(self, query: str) -> DataFrame:
-        return match(self.postings, query, self.analyse)
-
-    def sync(self, docs: DataFrame, at: str, id_col: str = "id", text_cols: tuple[str, ...] = ("title", "content")) -> Index:
-        """The index with these documents replaced, in another folder; texts of other documents aren't read."""
-        stemmed = self.analyse is fold
-        fresh = (stemmed_postings if stemmed else postings)(docs, id_col, text_cols)
-        made = self.postings.drop("bucket").join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_anti").unionByName(fresh)
-        _store(made, self.lengths, at)
-        return Index(self.spark, at, stemmed)
+        return match(self, query, self.analyse)
+
+    def fork(self, at: str) -> Index:
+        """An index in another folder that begins with these segments; syncs of either leave the other alone."""
+        Store(self.spark, at)._commit(LOG_NAME, lambda e: {**e, "appended": [], "segments": self.segments})
+        return Index(self.spark, at, self.stemmed)
+
+    def sync(self, docs: DataFrame | None, id_col: str = "id", text_cols: tuple[str, ...] = ("title", "content"), delete: DataFrame | None = None) -> Index:
+        """The index after these documents are replaced or added, and those of delete (ids) taken out. Made anew if another
+        sync is published meanwhile."""
+        if docs is None:
+            docs = self.spark.createDataFrame([], "id long, title string, content string")
+            id_col, text_cols = "id", ("title", "content")
+        part = self._part()
+        at = f"{self.root}/{LOG_NAME}/{part}"
+        ids = docs.select(F.col(id_col).cast("long").alias("id"))
+        ids = ids if delete is None else ids.unionByName(delete.select(F.col(delete.columns[0]).cast("long").alias("id")))
+        ids.distinct().write.parquet(f"{at}/replaced")
+        changed = self.spark.read.schema("id long").parquet(f"{at}/replaced")
+        segment = _store((stemmed_postings if self.stemmed else postings)(docs, id_col, text_cols), docs.count(), at) | {"replaced": changed.count()}
+        while True:
+            now = Index(self.spark, self.root, self.stemmed)
+            few = [r[0] for r in changed.limit(FEW_IDS + 1).collect()]
+            old = now.lengths.filter(F.col("id").isin(few)) if len(few) <= FEW_IDS else now.lengths.join(changed, "id", "left_semi")
+            gone, tokens = old.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+            entry = {**now.entry, "entry": now.entry["entry"] + 1, "appended": [*now.entry["appended"], part], "segments": [*now.segments, segment | {"gone": gone, "gone_tokens": tokens}]}
+            if now.log._publish(LOG_NAME, entry):
+                break
+        return Index(self.spark, self.root, self.stemmed)._tidied()
+
+    def _tidied(self) -> Index:
+        """The index after its last segments are merged as far as TIERS asks; another writer's sync wins over a merge."""
+        size = lambda s: s["documents"] + s["replaced"] + 1
+        now = self
+        while len(now.segments) > 1 and size(now.segments[-2]) < TIERS * size(now.segments[-1]):
+            *before, one, two = now.segments
+            part = now._part()
+            at = f"{now.root}/{LOG_NAME}/{part}"
+            made = now._union(now._postings, [one, two]).drop("bucket")
+            merged = _store(made, one["documents"] + two["documents"], at)
+            dead = [s for s in (one, two) if s["replaced"]]
+            if before and dead:
+                now.spark.read.schema("id long").parquet(*(f"{s['at']}/replaced" for s in dead)).distinct().write.parquet(f"{at}/replaced")
+                merged["replaced"] = now.spark.read.schema("id long").parquet(f"{at}/replaced").count()
+            # What the two replace in each other is no longer stored; what they replace in others still counts.
+            for k in ("gone", "gone_tokens"):
+                inner = one["documents" if k == "gone" else "tokens"] + two["documents" if k == "gone" else "tokens"] - merged["documents" if k == "gone" else "tokens"]
+                merged[k] = one.get(k, 0) + two.get(k, 0) - inner
+            lost = {s["at"].rsplit("/", 1)[-1] for s in (one, two)}
+            entry = {**now.entry, "entry": now.entry["entry"] + 1, "appended": [p for p in now.entry["appended"] if p not in lost] + [part], "segments": [*before, merged]}
+            if not now.log._publish(LOG_NAME, entry):
+                now.log._drop(LOG_NAME, part)
+                break
+            now.log._forget(LOG_NAME)
+            now = Index(now.spark, now.root, now.stemmed)
+        return now
 
 
 # -- Porter's published algorithm ----------------------------------------------------------------------------

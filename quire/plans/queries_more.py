@@ -142,24 +142,23 @@ def renewed(chapters):
     return chapters.select("id", "title", F.when(F.col("id") == 3, "a renewed text of the document").otherwise(F.col("content")).alias("content"))
 
 
-def synced(chapters):
-    """One document is replaced in the index: its postings go, new ones come."""
-    index = X.postings(chapters.select("id", "title", "content"))
-    fresh = X.postings(renewed(chapters).filter("id = 3"))
-    return index.join(fresh.select("id").distinct(), "id", "left_anti").unionByName(fresh)
+def synced(lib):
+    """The stored index, in a fork of its own, after one document is replaced: a segment of that document is added."""
+    index = lib.index()
+    return index.fork(f"{index.root}-sync").sync(renewed(lib.chapters).filter("id = 3"))
 
 
 @query("SELECT count(DISTINCT id) AS documents FROM chapters")
 def fts_sync(lib):
     """Documents all of whose words are in the index after the sync, and no others."""
     own = renewed(lib.chapters).select("id", F.size(X.tokens(F.concat_ws(" ", "title", "content"))).alias("n"))
-    return X.lengths(synced(lib.chapters)).join(own, "id").filter("dl = n").agg(F.count("*").alias("documents"))
+    return synced(lib).lengths.join(own, "id").filter("dl = n").agg(F.count("*").alias("documents"))
 
 
 @query("SELECT term, count(*) AS documents, sum(tf)::BIGINT AS tf FROM post GROUP BY term", _TOK.replace("content), '", "CASE WHEN id = 3 THEN 'a renewed text of the document' ELSE content END), '"))
 def fts_sync_terms(lib):
     """The whole index after the sync, by term."""
-    return synced(lib.chapters).groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("tf"))
+    return synced(lib).postings.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("tf"))
 
 
 @query("SELECT id, CASE WHEN q = 1 AND t = 0 THEN 'approved' ELSE 'rejected' END AS decision FROM (SELECT doc_id AS id, quality AS q, toxic AS t FROM labels)")

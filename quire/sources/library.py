@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +17,8 @@ NOW = "2024-01-31 00:00:00"
 STATE_OF_EVENT = {"signup": "detected", "view": "hashing", "click": "processing", "purchase": "complete", "error": "needs_retry"}
 
 
+#: Raised when indexes are stored in another way, so that older ones are not taken for new.
+INDEX_FORMAT = 2
 #: Stored indexes of this process, by application and contents.
 _indexes: dict[tuple[str, str], Index] = {}
 
@@ -27,7 +29,7 @@ def work_folder(spark: SparkSession) -> str:
         return at.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    at = "file://" + tempfile.mkdtemp(prefix="quire-work-")
+    at = f"file://{tempfile.gettempdir()}/quire-work-{os.getuid()}"  # the same for later sessions, which find what this one stores
     spark.conf.set("spark.checkpoint.dir", at)
     return at
 
@@ -61,13 +63,19 @@ class Library:
         return own.select("id", "book_id", number.alias("chapter_number"), "title", "content", "word_count", "content_hash", "lang")
 
     def index(self, stemmed: bool = False) -> Index:
-        """The stored full-text index of the chapters; built when it is first asked for, and anew when the texts' files have changed."""
+        """The stored full-text index of the chapters; built when it is first asked for, and anew when the texts' files have
+        changed. It lies in the work folder under a name of its own, where later sessions find it."""
         stamp = files_stamp(self.spark, f"{self.folder}/documents.parquet")
-        key = hashlib.sha256(f"{self.folder}|{stemmed}|{stamp}".encode()).hexdigest()[:24]
+        key = hashlib.sha256(f"{INDEX_FORMAT}|{self.folder}|{stemmed}|{stamp}".encode()).hexdigest()[:24]
         if (held := _indexes.get((self.spark.sparkContext.applicationId, key))) is None:
-            d = self.table("documents")
-            texts = d.select(F.col("doc_id").alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), F.col("text").alias("content"))
-            held = _indexes[self.spark.sparkContext.applicationId, key] = Index.build(texts, f"{work_folder(self.spark)}/quire-index-{key}-{uuid.uuid4().hex}", stemmed)
+            at = f"{work_folder(self.spark)}/quire-index-{key}"
+            try:
+                held = Index(self.spark, at, stemmed)
+            except FileNotFoundError:
+                d = self.table("documents")
+                texts = d.select(F.col("doc_id").alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), F.col("text").alias("content"))
+                held = Index.build(texts, at, stemmed)
+            _indexes[self.spark.sparkContext.applicationId, key] = held
         return held
 
     @cached_property

@@ -3,6 +3,7 @@
 import io
 import math
 import os
+import tempfile
 import zipfile
 
 import duckdb
@@ -85,6 +86,9 @@ class Shelf:
         rows = [(i, f"title {i}", t, len((t or "").split())) for i, t in texts.items()]
         self.chapters = spark.createDataFrame(rows, "id long, title string, content string, word_count int")
 
+    def index(self):
+        return fulltext.Index.build(self.chapters, "file://" + tempfile.mkdtemp())
+
 
 def test_rechunk_keeps_every_chunk_and_vector(spark, monkeypatch):
     para = lambda i, n: " ".join(f"Sentence {i} {k} of this text." for k in range(n))
@@ -112,7 +116,7 @@ def test_sync_replaces_all_postings_of_a_document(spark, monkeypatch):
     got = queries_more.fts_sync_terms(shelf).select("term", "documents", "tf").collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want and queries_more.fts_sync(shelf).first().documents == 4
     made = fulltext.postings
-    monkeypatch.setattr(fulltext, "postings", lambda d: made(d).filter("term <> 'dog' AND term <> 'renewed'"))
+    monkeypatch.setattr(fulltext, "postings", lambda d, *names: made(d, *names).filter("term <> 'dog' AND term <> 'renewed'"))
     assert queries_more.fts_sync(shelf).first().documents == 1
 
 
@@ -530,6 +534,61 @@ def test_stored_index_is_the_computed_one(spark):
         assert {r.id for r in lib.index().match(q).collect()} == {r.id for r in a.collect()}
 
 
+@pytest.mark.parametrize("stemmed", (False, True))
+def test_index_in_segments_is_the_rebuilt_index(spark, tmp_path, stemmed):
+    """Replaced, added, emptied and deleted documents, through merges of segments; a fork leaves its origin alone."""
+    import random
+
+    from quire.operators import fulltext as X
+
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice(("alpha", "beta", "gammas", "the", "running", "of", "rare", "delta")) for _ in range(rng.randrange(1, 12)))
+    docs = {i: (f"title {i}", text()) for i in range(400)}
+    frame = lambda some: spark.createDataFrame([(i, *docs[i]) for i in some], "id long, title string, content string")
+    rows = lambda df: sorted((r.id, r.term, r.tf, tuple(r.places)) for r in df.select("id", "term", "tf", "places").collect())
+    index = X.Index.build(frame(docs), f"file://{tmp_path}/i", stemmed)
+    base, first = index.segments[0]["at"], rows(index.postings)
+    fork = index.fork(f"file://{tmp_path}/f").sync(frame([1]).withColumn("content", T.F.lit("only in the fork")))
+    assert fork.segments[0]["at"] == base and len(fork.segments) == 2 and rows(index.postings) == first
+    for step in range(7):
+        changed = [rng.randrange(420) for _ in range(3)] if step != 4 else list(range(120))
+        gone = [rng.choice([d for d in docs if d not in changed])] if step % 2 else []
+        for i in changed:
+            docs[i] = (f"title {i}", text() if rng.random() < 0.8 else None)
+        for i in gone:
+            del docs[i]
+        index = index.sync(frame(set(changed)), delete=spark.createDataFrame([(i,) for i in gone], "id long"))
+        assert step > 2 or index.segments[0]["at"] == base  # the large segment isn't written again for a few documents
+    fresh = (X.stemmed_postings if stemmed else X.postings)(frame(docs))
+    assert rows(index.postings) == rows(fresh) and len(index.segments) <= 4
+    n, mean = X.lengths(fresh).agg(T.F.count("*"), T.F.avg("dl")).first()
+    assert index.stats[0] == n and abs(index.stats[1] - mean) < 1e-9 and index.lengths.count() == n
+    for q in ("alpha", "the AND beta", '"of the" OR rare', "gam* NOT delta", "title"):
+        a, b = ({r.id: round(r.score, 9) for r in x.collect()} for x in (index.search(q), X.bm25(fresh, q, analyse=index.analyse)))
+        assert a == b and {r.id for r in index.match(q).collect()} == set(b)
+    again = X.Index(spark, f"file://{tmp_path}/i", stemmed)
+    assert again.segments == index.segments
+    only = index.sync(None, delete=spark.createDataFrame([(i,) for i in docs], "id long"))
+    assert only.lengths.isEmpty() and only.stats == (0, 1.0) and only.search("alpha").isEmpty()
+    with pytest.raises(FileNotFoundError):
+        X.Index(spark, f"file://{tmp_path}/none")
+
+
+def test_sync_reads_what_has_changed(spark, tmp_path):
+    """One more document: the postings of others are neither read nor written, and a search reads the files of its terms."""
+    from quire.operators import fulltext as X
+
+    docs = spark.range(3000).select("id", T.F.concat(T.F.lit("t"), "id").alias("title"), T.F.concat(T.F.lit("word"), (T.F.col("id") % 50).cast("string")).alias("content"))
+    index = X.Index.build(docs, f"file://{tmp_path}/i")
+    before = {os.path.join(d, f) for d, _, fs in os.walk(tmp_path) for f in fs}
+    index = index.sync(docs.filter("id = 7").withColumn("content", T.F.lit("changed")))
+    new = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(tmp_path) for f in fs if os.path.join(d, f) not in before)
+    assert new < 30_000 and index.stats[0] == 3000 and len(index.segments) == 2
+    plan = index.rows(("changed",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(bucket") == 2 and plan.count("PushedFilters: [IsNotNull(term), EqualTo(term,changed)") == 2
+    assert [r.id for r in index.search("changed").collect()] == [7] and 7 not in {r.id for r in index.search("word7").collect()}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_tools(spark, tmp_path):
     from quire.api import InputError, Tools

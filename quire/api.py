@@ -51,7 +51,8 @@ class Tools:
         if not 1 <= chapter_number <= 1000:
             raise InputError("chapter numbers are 1 to 1000")
         text = T.truncate_tokens(F.col("content"), max_tokens) if max_tokens else F.col("content")
-        row = self.lib.chapters.filter((F.col("book_id") == book_id) & (F.col("chapter_number") == chapter_number)).select(text.alias("t")).first()
+        one = self.lib.numbers.filter((F.col("book_id") == book_id) & (F.col("chapter_number") == chapter_number)).select("id")
+        row = self.lib.chapters_at(one).select(text.alias("t")).first()
         if row is None:
             raise LookupError(f"{book_id} has no chapter {chapter_number}")
         return row.t
@@ -63,13 +64,14 @@ class Tools:
 
     def text_search(self, query: str, limit: int = 10, book_id: str | None = None) -> DataFrame:
         """Stemmed full-text search with snippets; the stored index follows the texts' files."""
-        where = self.lib.chapters.filter(F.col("book_id") == book_id).select("id") if book_id else None
+        where = self.lib.numbers.filter(F.col("book_id") == book_id).select("id") if book_id else None
         index = self.lib.index(stemmed=True)
         try:
             found = index.search(check_query(query), clamp(limit, 1, 50), where)
         except ValueError as e:
             raise InputError(str(e)) from e
-        rows = self.lib.chapters.select("id", "book_id", "chapter_number", "title", "content").join(F.broadcast(found), "id")  # at most 50 rows
+        found = self.spark.createDataFrame(found.collect(), found.schema)  # at most 50 rows, which both joins need
+        rows = self.lib.chapters_at(found).select("id", "book_id", "chapter_number", "title", "content").join(F.broadcast(found), "id")
         terms = [t for leaf, _ in fulltext.Query(query, index.analyse).leaves for t in leaf]
         return fulltext.with_snippets(rows, terms).drop("content").orderBy(F.desc("score"), "id")
 
@@ -81,8 +83,9 @@ class Tools:
         return query
 
     def _named(self, found: DataFrame) -> DataFrame:
-        """Search results (few) with the numbers, titles and texts of their chapters."""
-        c = self.lib.chapters.select(F.col("id").alias("chapter_id"), "chapter_number", F.col("title").alias("chapter_title"), "content")
+        """Search results (at most 100) with the numbers, titles and texts of their chapters."""
+        found = self.spark.createDataFrame(found.collect(), found.schema)
+        c = self.lib.chapters_at(found.select(F.col("chapter_id").alias("id"))).select(F.col("id").alias("chapter_id"), "chapter_number", F.col("title").alias("chapter_title"), "content")
         return c.join(F.broadcast(found), "chapter_id")
 
     def relevant_excerpts(self, found: DataFrame, query: str | list[float], max_chars: int = 500) -> DataFrame:
@@ -187,7 +190,7 @@ class Tools:
     def _chapter(self, book_id: str, chapter_number: int) -> DataFrame:
         if not 1 <= chapter_number <= 1000:
             raise InputError("chapter numbers are 1 to 1000")
-        row = self.lib.chapters.filter((F.col("book_id") == book_id) & (F.col("chapter_number") == chapter_number)).select("book_id", "chapter_number", F.col("id").alias("chapter_id"))
+        row = self.lib.numbers.filter((F.col("book_id") == book_id) & (F.col("chapter_number") == chapter_number)).select("book_id", "chapter_number", F.col("id").alias("chapter_id"))
         if row.isEmpty():
             raise LookupError(f"{book_id} has no chapter {chapter_number}")
         return row

@@ -1,12 +1,18 @@
-"""Column functions on text: all built in, evaluated in the JVM."""
+"""Column functions on text: built in and evaluated in the JVM, but for the scan of JSON."""
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .executors import ship
+
 # Topics and the keywords that mark them, matched as substrings of the lower-cased text.
 TOPICS = {
     "Python": ["python", "django", "flask", "fastapi", "pytest", "pip"],
@@ -48,8 +54,6 @@ def token_estimate(text: Column) -> Column:
 
 def contains_any(text: Column, keywords: list[str]) -> Column:
     """Whether one of the literal keywords stands in the text; one pass of one expression."""
-    import re
-
     return text.rlike("|".join(re.escape(k) for k in keywords))
 
 
@@ -144,14 +148,68 @@ def like_escape(text: str) -> str:
 
 def glob_pattern(glob: str) -> str:
     """A regular expression of a case-sensitive glob with * ? and [...]."""
-    import re
-
     out = re.sub(r"\\\[(.*?)\\\]", lambda m: "[" + m[1].replace("\\", "") + "]", re.escape(glob))
     return "(?s)^" + out.replace(r"\*", ".*").replace(r"\?", ".") + "$"
 
 
+#: What a scan of JSON stops at: whole strings, comments, braces, and the mark of a fence.
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|//[^\n]*|/\*.*?\*/|[{}]|```', re.S)
+
+
+def _objects(text: str) -> Iterator[tuple[int, str]]:
+    """(depth of fences, text without comments) of every balanced pair of braces, in order of where it opens.
+
+    Braces, comments and fences inside strings are part of the strings; quotes outside of braces are prose.
+    """
+    open_at: list[tuple[int, int, bool]] = []
+    parts: list[str] = []
+    found: list[tuple[int, bool, int, int]] = []
+    at, fenced, pos, size = 0, False, 0, 0
+    while m := _JSON_TOKEN.search(text, pos):
+        token, pos = m[0], m.end()
+        if token[0] == '"' and not open_at:
+            pos = m.start() + 1
+        elif token[0] == "/":
+            if open_at:
+                parts.append(text[at : m.start()])
+                size, at = size + m.start() - at, pos
+            else:
+                pos = m.start() + 2
+        elif token == "```":
+            fenced = not fenced and not open_at or fenced and bool(open_at)
+        elif token == "{":
+            open_at.append((m.start(), size + m.start() - at, fenced))
+        elif token == "}" and open_at:
+            start, a, inside = open_at.pop()
+            found.append((start, inside, a, size + pos - at))
+    bare = "".join(parts) + text[at:]
+    for start, inside, a, b in sorted(found):
+        yield (not inside, start), bare[a:b]
+
+
+def first_json_object(text: str | None) -> str | None:
+    """The first balanced object of an answer that is JSON, comments left out; one in a fence counts before others."""
+    for _, found in sorted(_objects(text or "")):
+        try:
+            if isinstance(json.loads(found), dict):
+                return found
+        except ValueError:
+            continue
+    # A brace or quote in the prose before may have hidden the object: look from each brace on.
+    for m in re.finditer(r"\{", text or ""):
+        try:
+            return text[m.start() : json.JSONDecoder().raw_decode(text, m.start())[1]]
+        except ValueError:
+            continue
+    return None
+
+
 def json_object(text: Column) -> Column:
-    """The JSON object in an answer: inside a fence or between the outer braces, without // comments."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
-    body = F.when(fenced != "", fenced).otherwise(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
-    return F.nullif(F.regexp_replace(body, r"(?m)(^|[\s,{])//[^\n]*$", "$1"), F.lit(""))
+    """The JSON object in an answer, or null."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("string")
+    def scanned(t: pd.Series) -> pd.Series:
+        return t.map(first_json_object)
+
+    return scanned(text)

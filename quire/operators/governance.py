@@ -147,13 +147,19 @@ def threshold_sweep(feedback: DataFrame, target: float = 0.95, least: int = 10)
     return feedback.select("book_type").distinct().join(ok.groupBy("book_type").agg(F.max("t").alias("threshold")), "book_type", "left")
 
 
+def effective_threshold(thresholds: DataFrame) -> Column:
+    """The threshold that counts: the one set by hand, else the one learnt from feedback."""
+    return F.coalesce("manual_override", "threshold") if "manual_override" in thresholds.columns else F.col("threshold")
+
+
 def auto_approval(pipelines: DataFrame, thresholds: DataFrame, mode: str, escape_hatch: bool, used_today: int, daily_cap: int) -> DataFrame:
     """id, decision: the first reason that denies automatic approval, else approve.
 
-    pipelines: id, book_type, confidence, valid, needs_review. thresholds: book_type, threshold (an override counts first).
+    pipelines: id, book_type, confidence, valid, needs_review. thresholds: book_type, threshold, and where it has one the
+    column manual_override, which counts before the threshold.
     """
     c = F.col("confidence")
-    p = pipelines.join(thresholds, "book_type", "left")
+    p = pipelines.join(thresholds.select("book_type", effective_threshold(thresholds).alias("threshold")), "book_type", "left")
     known = F.col("book_type").isNotNull() & (F.col("book_type") != "unknown")
     reason: Column = (
         F.when(F.lit(escape_hatch), "escape_hatch").when(F.lit(mode == "supervised"), "supervised").when(c.isNull() | F.isnan(c) | (c < 0) | (c > 1), "invalid_confidence").when(~known, "unknown_type")

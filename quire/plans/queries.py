@@ -529,6 +529,17 @@ def auto_approval_policy(lib):
     return G.auto_approval(rows, G.threshold_sweep(lib.feedback, 0.85), "autonomous", False, 3, 50)
 
 
+@query(
+    "SELECT id, f.book_type, confidence, CASE WHEN toxic = 1 THEN 'validation_failed' WHEN id % 11 = 0 THEN 'needs_review' WHEN t IS NULL THEN 'no_threshold' WHEN confidence < t THEN 'below_threshold' ELSE 'approve' END AS decision "
+    "FROM feedback f LEFT JOIN (SELECT book_type, coalesce(CASE book_type WHEN 'en' THEN 0.97 WHEN 'de' THEN 0.8 END, max(t)) AS t FROM (SELECT DISTINCT book_type FROM feedback) LEFT JOIN ok USING (book_type) GROUP BY book_type) USING (book_type)", _OK,
+)
+def auto_approval_overrides(lib):
+    """Two types have a threshold set by hand, one of them where feedback gives none."""
+    rows = lib.feedback.select("id", "book_type", "confidence", (F.col("toxic") == 0).alias("valid"), (F.col("id") % 11 == 0).alias("needs_review"))
+    t = G.threshold_sweep(lib.feedback, 0.85).withColumn("manual_override", F.when(F.col("book_type") == "en", 0.97).when(F.col("book_type") == "de", 0.8))
+    return G.auto_approval(rows, t, "autonomous", False, 3, 50)
+
+
 @query("SELECT total, round(rejected / total, 4) AS override_rate, total >= 100 AND rejected / total < 0.15 AND rejected > 0 AS partial_ready, total >= 500 AND rejected / total < 0.05 AND rejected > 0 AS full_ready FROM (SELECT count(*) AS total, count(*) FILTER (WHERE decision = 'rejected') AS rejected FROM feedback)")
 def readiness(lib):
     return G.readiness(G.decision_metrics(lib.feedback))

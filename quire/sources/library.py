@@ -62,6 +62,20 @@ class Library:
         number = F.row_number().over(Window.partitionBy("book_id").orderBy("id"))
         return own.select("id", "book_id", number.alias("chapter_number"), "title", "content", "word_count", "content_hash", "lang")
 
+    @cached_property
+    def numbers(self) -> DataFrame:
+        """id, book_id, chapter_number: of all chapters, without reading a text."""
+        own = self.table("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("book_id"))
+        return own.withColumn("chapter_number", F.row_number().over(Window.partitionBy("book_id").orderBy("id")))
+
+    def chapters_at(self, ids: DataFrame) -> DataFrame:
+        """The chapters of a few ids (a column id; the results of a search), with their texts. No other text leaves its
+        place: the ids are broadcast to the texts, and numbers are made of ids alone."""
+        few = F.broadcast(ids.select("id").distinct())
+        own = self.table("documents").withColumnRenamed("doc_id", "id").join(few, "id")
+        own = own.select("id", F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), F.col("text").alias("content"), T.word_count(F.col("text")).alias("word_count"), F.sha2("text", 256).alias("content_hash"), "lang")
+        return own.join(F.broadcast(self.numbers.join(few, "id")), "id").select("id", "book_id", "chapter_number", "title", "content", "word_count", "content_hash", "lang")
+
     def index(self, stemmed: bool = False) -> Index:
         """The stored full-text index of the chapters; built when it is first asked for, and anew when the texts' files have
         changed. It lies in the work folder under a name of its own, where later sessions find it."""

@@ -3,6 +3,7 @@
 import io
 import math
 import os
+import re
 import tempfile
 import zipfile
 
@@ -508,6 +509,48 @@ def test_duplicate_coverage_by_topic(spark):
     assert all(r.title_a == titles[r.chapter_a] and r.a == 10 * r.chapter_a for r in got)
 
 
+def test_json_in_answers(spark):
+    """Against a reference scanner that tries every brace and every end, on answers with all that may stand in strings."""
+    import json
+    import random
+
+    fixed = {
+        "none": None, "": None, None: None, "[1]": None, '{"a": 1': None, '{ see } {"a": {"b": [1]}} ': {"a": {"b": [1]}}, '{"first": 1}\n```json\n{"second": 2}\n```': {"second": 2},
+        '{"a": "}{ // no ``` /* x */"} and {"b": 2}': {"a": "}{ // no ``` /* x */"}, '{"a": 1, // c }\n "b": "x\\"}" /* { */}': {"a": 1, "b": 'x"}'}, 'He said "{" then {"k": 1}': {"k": 1},
+        '```\n{"x": "```"}\n``` {"y": 1}': {"x": "```"}, '{"u": "http://x.y"}': {"u": "http://x.y"}, 'see http://x {"a": 1}': {"a": 1}, '{a {"z": 1}': {"z": 1},
+    }
+    rng, rows = random.Random(3), list(fixed.items())
+    for _ in range(300):
+        value = {rng.choice('ab{"/`'): rng.choice(["}{", "// x", "/* y */", "```", 'q"q', 3, None, [1, {"c": "{"}], {"d": "\\\\"}]) for _ in range(rng.randrange(1, 4))}
+        told = json.dumps(value, indent=rng.choice((None, 2)))
+        if "\n" in told and rng.random() < 0.5:
+            told = told.replace(',\n', ', // and "more" }\n').replace('{\n', '{ /* { */\n', 1)
+        rows.append((rng.choice(("", "Sure, here: ", "```json\n", "It is (no braces) ")) + told + rng.choice(("", "\n```", " done {", " {}")), value))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    got = {r.i: r.j for r in df.select("i", T.json_object(T.F.col("t")).alias("j")).collect()}
+    for i, (t, want) in enumerate(rows):
+        assert (None if got[i] is None else json.loads(got[i])) == want, t
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_searches_leave_texts_where_they_are(spark):
+    """Below no exchange of a search's plan stands a text, but for the broadcast of what was found."""
+    from quire.api import Tools
+
+    t = Tools(spark, DATA, embedder=lambda texts: [[1.0] + [0.0] * 63 for _ in texts])
+    one = [1.0] + [0.0] * 63
+    for df in (t.text_search("the", 5), t.text_search("the", 5, "src1"), t.hybrid_search("the", one, 5)[0], t.relevant_excerpts(t.semantic_search(one, 5, 0.0), one)):
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        deep = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+        for k, line in enumerate(lines):
+            if re.search(r"\bExchange (hash|range|Single)", line):
+                below = lines[k + 1 :]
+                end = next((j for j, x in enumerate(below) if deep(x) <= deep(line)), len(below))
+                scans = [x for x in below[:end] if "FileScan" in x]
+                assert not any(re.search(r"ReadSchema: struct<[^>]*text:", x) for x in scans), line
+    assert t.lib.chapters_at(spark.createDataFrame([(3,), (3,), (-1,)], "id long")).collect() == t.lib.chapters.filter("id = 3").collect()
+
+
 def test_rerank_falls_back(spark):
     rows = spark.createDataFrame([(1, 0.9, "a"), (2, 0.8, "b"), (3, 0.7, "c")], "id long, similarity double, content string")
     ids = lambda model: [r.id for r in search.rerank(rows, model, 2).collect()]

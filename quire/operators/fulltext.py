@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.executors import map_arrow, ship
@@ -205,6 +205,28 @@ def bm25(index: DataFrame | Index, query: str, limit: int | None = None, where:
     return scored if limit is None else scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
+def bm25_each(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, id, score: the k best documents that hold all words of each query (query_id, text), in one job. Queries
+    are plain words: operators and quotes are words or nothing. Scores are rounded to nine places; ties by id."""
+    ship(queries.sparkSession)
+    analyse = index.analyse
+
+    @F.pandas_udf("array<string>")
+    def words(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: list(dict.fromkeys(analyse(t or ""))))
+
+    asked = queries.select("query_id", words("text").alias("w")).select("query_id", F.size("w").alias("need"), F.explode("w").alias("term"))
+    n, mean = F.lit(index.stats[0]), F.lit(float(index.stats[1] or 1.0))
+    held = index.postings.select("term", "id", "tf").join(asked.select("term").distinct(), "term", "left_semi")
+    idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
+    weighed = asked.join(held.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn("idf", idf)
+    hits = weighed.join(held, "term").join(index.lengths, "id")
+    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("got"), F.first("need").alias("need")).filter("got = need")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("_place", place).filter(F.col("_place") <= k).select("query_id", "id", "score")
+
+
 # -- a stored index ------------------------------------------------------------------------------------------------
 
 LOG_NAME = "index"

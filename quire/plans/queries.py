@@ -225,16 +225,6 @@ def mmr_diverse(lib):
     return S.mmr(lib.search_rows.select("id", "embedding").join(F.broadcast(found), "id").withColumn("query_id", F.lit(0).cast("long")), 0.7, 10)  # thirty rows
 
 
-def _blocks(queries: DataFrame, rows: int = 1000) -> Iterator[list[tuple[int, list[float]]]]:
-    """All queries (id, embedding) in order of id, at most so many at a time; one empty block if there are none."""
-    block = queries.select("id", "embedding").orderBy("id").limit(rows).collect()
-    yield [(r[0], list(r[1])) for r in block]
-    while len(block) == rows:
-        block = queries.filter(F.col("id") > block[-1][0]).select("id", "embedding").orderBy("id").limit(rows).collect()
-        if block:
-            yield [(r[0], list(r[1])) for r in block]
-
-
 @query(
     "SELECT count(*) AS n, round(avg(coalesce((place <= 5)::INT::DOUBLE, 0)), 6) AS hit_at_k, round(avg(coalesce(1.0 / place, 0)), 6) AS mrr FROM qs LEFT JOIN f USING (qid)",
     "qs AS (SELECT id AS qid, label, embedding FROM chunks WHERE id % 25 = 0), rk AS (SELECT qid, c.id, c.label = qs.label AS hit, row_number() OVER (PARTITION BY qid ORDER BY list_cosine_similarity(c.embedding, qs.embedding) DESC, c.id) AS place FROM qs JOIN chunks c ON c.id <> qid), f AS (SELECT qid, min(place) AS place FROM rk WHERE hit AND place <= 50 GROUP BY qid)",
@@ -243,13 +233,51 @@ def eval_hit_mrr(lib):
     from pyspark.sql import Window
 
     q = lib.chunks.filter("id % 25 = 0").select("id", "embedding", "label")
-    near = reduce(DataFrame.unionAll, (V.nearest(lib.chunks, block, "id", "embedding", 50) for block in _blocks(q)))
-    place = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).filter("place <= 50")
+    near = V.nearest_each(lib.chunks, q.select(F.col("id").alias("query_id"), "embedding"), 50)
+    place = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")))
     ranked = place.join(lib.chunks.select("id", F.col("label").alias("target")), "id").select("query_id", "target", "place")
     gold = q.select(F.col("id").alias("query_id"), F.col("label").alias("target"))
     return E.hit_mrr(ranked, gold, gold.select("query_id"))
 
 
+_GOLD = r"""gold AS (SELECT k.id AS qid, CASE WHEN k.id % 10 = 0 THEN 'auto' ELSE 'manual' END AS source, CASE WHEN k.id % 10 = 0 THEN chapter_id END AS want, book_id AS book, embedding AS e,
+  list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '')[1:2] AS w FROM chunks k JOIN chapters c ON c.id = k.chapter_id WHERE k.id % 5 = 0),
+sem AS (SELECT qid, chapter_id, row_number() OVER (PARTITION BY qid ORDER BY max(round(list_cosine_similarity(r.embedding, e), 12)) DESC, chapter_id) AS place FROM gold JOIN search_rows r ON r.id <> qid GROUP BY qid, chapter_id QUALIFY place <= 10),
+ask AS (SELECT qid, unnest(list_distinct(w)) AS term, len(list_distinct(w)) AS need FROM gold), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+kw AS (SELECT qid, p.id AS chapter_id, row_number() OVER (PARTITION BY qid ORDER BY round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) DESC, p.id) AS place
+  FROM ask JOIN dfs USING (term) JOIN post p USING (term) JOIN dl USING (id), st GROUP BY qid, p.id HAVING count(*) = any_value(need) QUALIFY place <= 10),
+hyb AS (SELECT qid, chapter_id, hp AS place FROM (SELECT qid, chapter_id, row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(1.0::DOUBLE / (60 + sem.place), 0) + coalesce(1.0::DOUBLE / (60 + kw.place), 0), 12) DESC, chapter_id) AS hp FROM sem FULL JOIN kw USING (qid, chapter_id)) WHERE hp <= 10),
+li AS (SELECT *, 'semantic' AS mode FROM sem UNION ALL SELECT *, 'hybrid' FROM hyb),
+fi AS (SELECT g.qid, g.source, m.mode, min(place) FILTER (WHERE coalesce(li.chapter_id = g.want, d.source = g.book)) AS place FROM gold g CROSS JOIN (SELECT unnest(['semantic', 'hybrid']) AS mode) m
+  LEFT JOIN li ON li.qid = g.qid AND li.mode = m.mode LEFT JOIN documents d ON d.doc_id = li.chapter_id AND d.doc_id IN (SELECT chapter_id FROM search_rows) GROUP BY ALL)"""
+
+
+@query("SELECT source, mode, count(*) AS n, round(avg((coalesce(place, 99) <= 5)::INT::DOUBLE), 6) AS hit_at_k, round(avg(coalesce(1.0 / place, 0)), 6) AS mrr FROM fi GROUP BY source, mode", f"{_TOK}, {_GOLD}")
+def eval_report(lib):
+    """Generated gold queries want a chapter, manual ones any chapter of a book; each is asked by vector, and by vector and words."""
+    return E.run(lib.search_rows, lib.index(), _gold(lib), own=False)
+
+
+def _gold(lib: Library) -> DataFrame:
+    text = F.array_join(F.slice(X.tokens(F.col("content")), 1, 2), " ")
+    c = lib.table("documents").select(F.col("doc_id").alias("chapter_id"), F.col("text").alias("content"))
+    q = lib.search_rows.filter("id % 5 = 0").join(c.select("chapter_id", text.alias("text")), "chapter_id")
+    auto = F.col("id") % 10 == 0
+    return q.select(F.col("id").alias("query_id"), F.when(auto, "auto").otherwise("manual").alias("source"), F.when(auto, F.col("chapter_id")).alias("chapter_id"), "book_id", "text", "embedding")
+
+
+@query(
+    "SELECT round(max(h) FILTER (WHERE source = 'auto'), 6) AS live_auto_hit, round(max(m) FILTER (WHERE source = 'auto'), 6) AS live_auto_mrr, round(max(h) FILTER (WHERE source = 'manual'), 6) AS live_manual_hit, 1.0::DOUBLE AS staged_auto_hit, "
+    "1.0::DOUBLE AS staged_auto_mrr, round(max(h2) FILTER (WHERE source = 'manual'), 6) AS staged_manual_hit, max(h2) FILTER (WHERE source = 'manual') > max(h) FILTER (WHERE source = 'manual') AS passed "
+    "FROM (SELECT source, avg((coalesce(place, 99) <= 5)::INT::DOUBLE) AS h, avg(coalesce(1.0 / place, 0)) AS m, 1.0::DOUBLE AS h2 FROM fi WHERE mode = 'semantic' GROUP BY source)",
+    f"{_TOK}, {_GOLD}",
+)
+def eval_gate(lib):
+    """The chunks as they are against a staged table in which every query finds its own chunk."""
+    run = lambda own: E.run(lib.search_rows, lib.index(), _gold(lib), own=own)
+    return E.passes(run(False), run(True))
+
+
 @query("SELECT id, book_id, turn FROM (SELECT id, book_id, row_number() OVER (PARTITION BY book_id ORDER BY sha256('7:' || id)) AS turn FROM chapters) ORDER BY turn, sha256('7:' || book_id) LIMIT 50")
 def stratified_sample(lib):
     return G.stratified(lib.chapters.select("id", "book_id"), "book_id", 50, 7)

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import zipfile
+from collections import defaultdict
 
 import duckdb
 import numpy as np
@@ -551,6 +552,59 @@ def test_searches_leave_texts_where_they_are(spark):
     assert t.lib.chapters_at(spark.createDataFrame([(3,), (3,), (-1,)], "id long")).collect() == t.lib.chapters.filter("id = 3").collect()
 
 
+def test_nearest_of_many_queries_is_brute_force(spark):
+    """Blocks of a few rows, ties, equal vectors, zeros and nulls; vectors and groups of them."""
+    rng = np.random.default_rng(7)
+    v = [rng.integers(-2, 3, 4).astype(float).tolist() for _ in range(70)] + [[0.0] * 4, None]
+    df = spark.createDataFrame([(i, i // 4, x) for i, x in enumerate(v)], "id long, g long, embedding array<double>")
+    q = df.filter("id % 3 = 0").select(F.col("id").alias("query_id"), "embedding")
+    unit = {i: np.array(x) / max(np.linalg.norm(x), 1e-300) for i, x in enumerate(v) if x is not None}
+    for own in (True, False):
+        near = {a: [(-round(float(unit[a] @ unit[b]), 12) + 0.0, b) for b in unit if own or a != b] for a in unit if a % 3 == 0}
+        for rows in (1024, 5):
+            got = defaultdict(list)
+            for r in V.nearest_each(df, q, 6, own=own, query_rows=rows, vector_rows=2 * rows).collect():
+                got[r.query_id].append((-r.similarity + 0.0, r.id))
+            assert {a: sorted(x) for a, x in got.items()} == {a: sorted(x)[:6] for a, x in near.items()}
+            got = defaultdict(list)
+            for r in V.nearest_each(df, q, 4, own=own, group="g", query_rows=rows, vector_rows=2 * rows).collect():
+                got[r.query_id].append((-r.similarity + 0.0, r.g))
+            best = {a: sorted({g: min(s for s, b in x if b // 4 == g) for g in {b // 4 for _, b in x}}.items(), key=lambda t: (t[1], t[0]))[:4] for a, x in near.items()}
+            assert {a: sorted(x) for a, x in got.items()} == {a: sorted((s, g) for g, s in x) for a, x in best.items()}
+    assert V.nearest_each(df.filter("id < 0"), q, 3).isEmpty() and V.nearest_each(df, q.filter("query_id < 0"), 3).isEmpty()
+    plans = [V.nearest_each(df, x, 3, query_rows=4)._jdf.queryExecution().executedPlan().toString().count("\n") for x in (q, q.unionByName(q).limit(12))]
+    assert plans[0] < 60 and abs(plans[0] - plans[1]) < 20  # one plan, whatever the number of queries
+
+
+@pytest.mark.parametrize("stemmed", (False, True))
+def test_words_of_many_queries(spark, tmp_path, stemmed):
+    import random
+
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, "", " ".join(rng.choices(("alpha", "betas", "gamma", "running", "eps"), k=rng.randrange(1, 9)))) for i in range(50)], "id long, title string, content string")
+    index = fulltext.Index.build(docs, f"file://{tmp_path}/i", stemmed)
+    asked = ["alpha", "alpha betas", "Beta, beta!", "gamma running eps", "none", "", None, "alpha none"]
+    got = defaultdict(list)
+    for r in fulltext.bm25_each(index, spark.createDataFrame(list(enumerate(asked)), "query_id long, text string"), 7).collect():
+        got[r.query_id].append((-r.score, r.id))
+    for i, t in enumerate(asked):
+        words = list(dict.fromkeys(index.analyse(t or "")))
+        want = [(-round(r.score, 9), r.id) for r in index.search(" ".join(words)).collect()] if words else []
+        assert sorted(got[i]) == sorted(want)[:7]
+
+
+def test_evaluation_and_gate(spark):
+    gold = spark.createDataFrame([(1, "auto", 10, "a"), (2, "auto", 11, "a"), (3, "manual", None, "b"), (4, "manual", None, None)], "query_id long, source string, chapter_id long, book_id string")
+    lists = [(1, "semantic", 12, "a", 1), (1, "semantic", 10, "a", 2), (2, "semantic", 11, "a", 7), (3, "semantic", 30, "c", 1), (3, "semantic", 31, "b", 4), (4, "semantic", 5, None, 1), (1, "hybrid", 10, "a", 1)]
+    ranked = spark.createDataFrame(lists, "query_id long, mode string, chapter_id long, book_id string, place int")
+    got = {(r.source, r.mode): (r.n, r.hit_at_k, r.mrr) for r in evaluation.evaluate(gold, ranked).collect()}
+    assert got == {("auto", "semantic"): (2, 0.5, round((1 / 2 + 1 / 7) / 2, 6)), ("manual", "semantic"): (2, 0.5, 0.125), ("auto", "hybrid"): (2, 0.5, 0.5), ("manual", "hybrid"): (2, 0.0, 0.0)}
+    cells = lambda *rows: spark.createDataFrame([(s, "semantic", 9, h, m) for s, h, m in rows], "source string, mode string, n long, hit_at_k double, mrr double")
+    live = cells(("auto", 0.5, 0.4), ("manual", 0.3, 0.2))
+    for staged, passed in ((cells(("auto", 0.5, 0.4), ("manual", 0.4, 0.1)), True), (cells(("auto", 0.5, 0.4), ("manual", 0.3, 0.9)), False), (cells(("auto", 0.5, 0.3), ("manual", 0.9, 0.9)), False), (cells(("auto", 0.9, 0.9)), False)):
+        assert evaluation.passes(live, staged).first().passed is passed
+
+
 def test_rerank_falls_back(spark):
     rows = spark.createDataFrame([(1, 0.9, "a"), (2, 0.8, "b"), (3, 0.7, "c")], "id long, similarity double, content string")
     ids = lambda model: [r.id for r in search.rerank(rows, model, 2).collect()]

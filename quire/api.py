@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import table
 from .functions import text as T
 from .operators import analytics, auditing, excerpts, fulltext, governance, integrity, learning, maintenance, overlap, search, services
 from .operators.embedding import Embedder, HashEmbedder
@@ -273,7 +274,10 @@ class Tools:
         return export.ordered(rows, self.lib.books)
 
     def extract_code_examples(self, chapter_id: int, language: str = "") -> DataFrame:
-        rows = learning.code_blocks(self.lib.chapters.filter(F.col("id") == chapter_id))
+        """at, language, format, code, context, line_count: fenced blocks, Dockerfiles, shell lines and docker commands."""
+        table.register(self.spark)
+        one = self.lib.chapters_at(self.spark.createDataFrame([(chapter_id,)], "id long")).select("content")
+        rows = self.spark.sql("SELECT x.* FROM {one}, LATERAL quire_code(content) x", one=one)
         return rows.filter(F.col("language") == language.lower()) if language else rows
 
     def create_study_guide(self, chapter_id: int) -> str:

@@ -207,14 +207,37 @@ def title_updates(lib):
     return S.retitle(c, new).select("id", "title")
 
 
-@query("SELECT id, CASE id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'sql' ELSE 'text' END AS language, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS n FROM chapters")
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LINES = "ln AS (SELECT id, split_part(content, chr(10), 1) AS a, split_part(content, chr(10), 2) AS b, split_part(content, chr(10), 3) AS c FROM chapters)"
+
+
+@query("SELECT id, CASE id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'sql' ELSE 'text' END AS language, CASE WHEN left(trim(a || chr(10)), 100) <> left(trim(b || chr(10)), 100) THEN 2 ELSE 1 END::BIGINT AS n FROM ln", _LINES)
 def code_language_counts(lib):
+    """The first line of each text as a block twice, the second once."""
     name = F.element_at(F.array(F.lit("Python"), F.lit("sql"), F.lit("")), (F.col("id") % 3 + 1).cast("int"))
-    block = lambda body: F.concat(F.lit("```"), name, F.lit(f"\n{body}\n```\n"))
-    text = F.concat(block("x = 1"), F.lit("between\n"), block("x = 1"), F.when(F.col("id") % 2 == 0, block("y = 2")).otherwise(""))
+    line = lambda k: F.coalesce(F.get(F.split("content", "\n"), F.lit(k)), F.lit(""))
+    block = lambda body: F.concat(F.lit("```"), name, F.lit("\n"), body, F.lit("\n```\n"))
+    text = F.concat(block(line(0)), F.lit("between\n"), block(line(0)), block(line(1)))
     return S.language_counts(L.code_blocks(lib.chapters.select("id", text.alias("content"))))
 
 
+_EX = f"""{_LINES}, pc AS (SELECT id, 0 AS k, 'sql' AS language, 'fenced' AS format, trim(b, {_WS}) AS code, trim(a, {_WS}) AS t, 200 AS n FROM ln
+  UNION ALL SELECT id, 1, 'bash', 'inline', trim('$ ' || c, {_WS}), '', 150 FROM ln WHERE regexp_matches(c, '^\\s*\\S') AND len(trim('$ ' || c, {_WS})) > 10
+  UNION ALL SELECT id, 2, 'bash', 'inline', 'docker run ' || id || chr(10) || '  --name x', 'Then', 150 FROM ln),
+ex AS (SELECT *, row_number() OVER (PARTITION BY id, left(code, 100) ORDER BY k) AS r FROM pc)"""
+
+
+@query("SELECT id, language, format, code, (len(code) - len(replace(code, chr(10), '')) + 1)::INT AS line_count FROM ex WHERE r = 1", _EX)
+def code_examples(lib):
+    """The second line of each text in a fence, the third after a $, and a command over two lines, by SQL with LATERAL."""
+    from ..functions import table
+
+    table.register(lib.spark)
+    line = lambda k: F.coalesce(F.get(F.split("content", "\n"), F.lit(k)), F.lit(""))
+    told = F.concat(line(0), F.lit("\n```SQL\n"), line(1), F.lit("\n```\n$ "), line(2), F.lit("\nThen docker run "), F.col("id").cast("string"), F.lit("\n  --name x\nend."))
+    return lib.spark.sql("SELECT id, x.language, x.format, x.code, x.line_count FROM {docs}, LATERAL quire_code(content) x", docs=lib.chapters.select("id", told.alias("content")))
+
+
 @query("SELECT book_id, words FROM (SELECT book_id, CASE WHEN right(book_id, 1) <> '4' THEN words END AS words FROM roll) ORDER BY words DESC NULLS LAST, book_id LIMIT 19", ROLL)
 def largest_books(lib):
     rollup = A.book_rollup(lib.chapters, lib.chunks.select("chapter_id").distinct())

@@ -605,6 +605,45 @@ def test_evaluation_and_gate(spark):
         assert evaluation.passes(live, staged).first().passed is passed
 
 
+def test_code_examples():
+    from quire.operators import codeblocks as C
+
+    text = "\n".join(["Intro one. Use it so:", "```Python", "x = 1", "FROM nothing", "$ not shell but python", "```", "A file:", "FROM alpine:3", "RUN apk add git", "", "CMD x", "", "Prose goes on.", "$ ls -la /tmp", "$ cd /tmp", "$ ls", "Run docker run -it x", "   --rm y", "z", "```", "open fence"])
+    got = [(e.language, e.format, e.code, e.context, e.line_count, e.at) for e in C.code_examples(text)]
+    assert got == [
+        ("python", "fenced", "x = 1\nFROM nothing\n$ not shell but python", "Use it so:", 3, 1),
+        ("dockerfile", "inline", "FROM alpine:3\nRUN apk add git", "Use it so:\n```Python\nx = 1\nFROM nothing\n$ not shell but python\n```\nA file:", 2, 7),
+        ("bash", "inline", "$ ls -la /tmp\n$ cd /tmp\n$ ls", "", 3, 13),
+        ("bash", "inline", "docker run -it x\n   --rm y", "$ ls -la /tmp\n$ cd /tmp\n$ ls", 2, 16),
+    ]
+    assert C.code_examples(None) == [] and C.code_examples("$ ls") == [] and [e.code for e in C.code_examples("$ ls -la /tmp\n\n$ ls -la /tmp")] == ["$ ls -la /tmp"]
+    assert [e.language for e in C.code_examples(text, "Bash")] == ["bash", "bash"] and C.code_examples("```\n\n```")[0].language == "unknown"
+    assert C.context_before("One. Two three", 200) == "Two three" and C.context_before("x" * 300, 150) == "x" * 150
+
+
+def test_table_functions(spark):
+    """In SQL with LATERAL, against the functions themselves; arguments are checked when the query is analysed."""
+    from pyspark.errors import AnalysisException
+
+    from quire.functions import table
+    from quire.operators.codeblocks import code_examples
+    from quire.operators.maintenance import sections
+
+    table.register(spark)
+    texts = ["para one is here\n\n" * 300, None, "", "## A\n" + "a " * 4000 + "\n## B\n" + "b " * 4000 + "\n## C\n" + "c " * 4000, "```sql\nselect 1\n```\n$ ls -la /tmp"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    rows = lambda sql: [tuple(r) for r in spark.sql(sql, docs=docs).collect()]
+    got = rows("SELECT id, x.chunk_index, x.content FROM {docs}, LATERAL quire_chunks(content, 120) x")
+    assert sorted(got) == sorted((i, k, c) for i, t in enumerate(texts) for k, c in enumerate(chunking.chunk(t or "", 120)))
+    got = rows("SELECT id, x.section, x.title, x.tokens FROM {docs}, LATERAL quire_sections(content) x")
+    assert sorted(got) == sorted((i, k, a, len(b) // 4) for i, t in enumerate(texts) for k, (a, b) in enumerate(sections(t or ""), 1))
+    got = rows("SELECT id, x.* FROM {docs}, LATERAL quire_code(content) x")
+    assert sorted(got) == sorted((i, *e) for i, t in enumerate(texts) for e in code_examples(t))
+    for bad in ("quire_chunks(id)", "quire_chunks(content, 0)", "quire_chunks(content, id)"):
+        with pytest.raises(AnalysisException):
+            rows(f"SELECT x.* FROM {{docs}}, LATERAL {bad} x")
+
+
 def test_rerank_falls_back(spark):
     rows = spark.createDataFrame([(1, 0.9, "a"), (2, 0.8, "b"), (3, 0.7, "c")], "id long, similarity double, content string")
     ids = lambda model: [r.id for r in search.rerank(rows, model, 2).collect()]

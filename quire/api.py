@@ -9,8 +9,8 @@ from .functions import table
 from .functions import text as T
 from .operators import analytics, auditing, excerpts, fulltext, governance, integrity, learning, maintenance, overlap, search, services
 from .operators.embedding import Embedder, HashEmbedder
-from .sources import export, reports
-from .sources.library import NOW, Library
+from .sources import cache, export, reports
+from .sources.library import NOW, Library, files_stamp
 from .sources.store import Store
 
 
@@ -29,6 +29,10 @@ def clamp(value, low, high):
     return max(low, min(high, value))
 
 
+#: Frames that a Tools object keeps persisted at most.
+CACHED_FRAMES = 16
+
+
 class Tools:
     """embedder: turns texts into vectors like those stored; without it, semantic methods take vectors only, and excerpts
     are chosen by hashed words. store: where reading marks, bookmarks, titles and decisions are kept; without it the
@@ -36,6 +40,7 @@ class Tools:
 
     def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None, store: Store | None = None):
         self.spark, self.lib, self.embedder, self.store = spark, Library(spark, folder), embedder, store
+        self.cache = cache.frames(CACHED_FRAMES)
 
     # -- books and chapters
 
@@ -138,7 +143,19 @@ class Tools:
 
     # -- analytics
 
+    def get_cache_stats(self) -> dict:
+        """Hits, misses and what is held of the frames that the analytics share."""
+        return self.cache.stats()
+
+    def clear_cache(self, name: str | None = None) -> int:
+        return self.cache.clear(name)
+
     def _rollup(self) -> DataFrame:
+        """The roll-up by book, which several tools begin with: kept until the files of its tables change."""
+        version = tuple(files_stamp(self.spark, f"{self.lib.folder}/{t}.parquet") for t in ("documents", "embeddings"))
+        return self.cache.get("book_rollup", version, self._made_rollup)
+
+    def _made_rollup(self) -> DataFrame:
         return analytics.book_rollup(self.lib.chapters, self.lib.chunks.select("chapter_id").distinct())
 
     def get_library_statistics(self) -> DataFrame:

@@ -644,6 +644,43 @@ def test_table_functions(spark):
             rows(f"SELECT x.* FROM {{docs}}, LATERAL {bad} x")
 
 
+def test_versioned_caches():
+    from quire.sources.cache import Cache
+
+    now, gone, made = [0.0], [], []
+    c = Cache(most=2, ttl_s=10, release=gone.append, clock=lambda: now[0])
+    get = lambda name, version: c.get(name, version, lambda: made.append((name, version)) or f"{name}{version}")
+    assert [get("a", 1), get("b", 1), get("a", 1), get("c", 1)] == ["a1", "b1", "a1", "c1"] and gone == ["b1"]  # b is the longest unused
+    assert get("a", 2) == "a2" and gone == ["b1", "a1"] and get("c", 1) == "c1"
+    now[0] = 10.0
+    assert get("c", 1) == "c1" and gone[-1] == "c1" and made.count(("c", 1)) == 2
+    s = c.stats()
+    assert (s["size"], s["hits"], s["misses"], s["evicted"], s["outdated"], s["expired"], s["hit_rate"]) == (2, 2, 5, 1, 1, 1, round(2 / 7, 4))
+    assert c.clear("a") == 1 and c.clear("a") == 0 and c.clear() == 1 and c.stats()["size"] == 0
+    with pytest.raises(ValueError):
+        Cache(0)
+    with pytest.raises(KeyError):
+        c.get("x", 1, lambda: {}["missing"])
+    assert c.stats()["size"] == 0  # a value that can't be made leaves nothing
+
+
+def test_cached_frames_follow_the_store(spark, tmp_path):
+    from quire.sources import cache
+    from quire.sources.store import Store
+
+    s, c = Store(spark, f"file://{tmp_path}/s"), cache.frames(4)
+    one = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    s.write("t", one(1))
+    first = cache.stored(c, s, "t", lambda df: df.withColumn("twice", F.col("id") * 2))
+    assert first.is_cached and first is cache.stored(c, s, "t") and cache.data_version(s, "t", "none") == (1, 0)
+    stream = spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.foreachBatch(lambda b, n: s.append("t", one(10 + n), "stream", n)).trigger(once=True).option("checkpointLocation", f"{tmp_path}/c").start()
+    stream.awaitTermination()
+    later = cache.stored(c, s, "t")
+    assert not first.is_cached and ids_of(later) == [1, 10] and c.stats()["outdated"] == 1
+    c.clear()
+    assert not later.is_cached
+
+
 def test_rerank_falls_back(spark):
     rows = spark.createDataFrame([(1, 0.9, "a"), (2, 0.8, "b"), (3, 0.7, "c")], "id long, similarity double, content string")
     ids = lambda model: [r.id for r in search.rerank(rows, model, 2).collect()]
@@ -742,6 +779,8 @@ def test_tools(spark, tmp_path):
     diverse = t.hybrid_search("the", one, 5, diverse=True)[0].collect()
     assert 0 < len(diverse) <= 5 and [r.place for r in diverse] == sorted(r.place for r in diverse)
     assert t.semantic_context("the license", one).startswith(("Relevant context", "No relevant context"))
+    assert t.get_library_statistics().first() == t.get_library_statistics().first() and t.library_status().count() == 20
+    assert t.get_cache_stats()["hits"] == 2 and t.clear_cache() == 1
     assert t.create_study_guide(0).startswith("# ") and t.health().count() == 1 and t.find_related_content(0, 3).count() >= 0
     assert t.summarize_book("src1", 3).count("## ") >= 3 and t.audit_report("table").startswith("book_id")
     t.audit_report("csv", f"file://{tmp_path}/r")

@@ -456,6 +456,34 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert {r.rule_id: r.token for r in filed.collect()}[1] == "example"
 
 
+def test_thousands_of_rules_from_a_table(spark):
+    """Verdicts are those of trying every rule on every url, and a url runs the expressions of a few rules only."""
+    import re
+
+    rng = random.Random(12)
+    name = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    bad, hosts = [name() for _ in range(2000)], [name() for _ in range(40)]
+    rules = [*urls.LISTED, *map(urls.word_rule, bad), *(urls.host_rule(f"{name()}.{rng.choice(hosts)}.org", rng.choice(("/", "/a/", "/a")), rng.choice(("allow", "block"))) for _ in range(2000)), *urls.SHAPES]
+    sites = [r.name.split("/")[0] for r in rules if r.rank and ".org" in r.name]
+    pages = [f"https://{rng.choice((f'{name()}.com', f'www.{rng.choice(sites)}', rng.choice(sites)))}/{rng.choice(('a', 'a/b', rng.choice(bad), 'x-' + rng.choice(bad) + '.html', name(), rng.choice(bad) + 'tail'))}" for _ in range(400)] + [None, "no url", "http://127.0.0.1/a"]
+    table = spark.createDataFrame([(i, r.name, r.pattern, r.action, r.rank, list(r.tokens)) for i, r in enumerate(rules)], "rule_id long, name string, pattern string, action string, rank long, tokens array<string>")
+    docs = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(docs, table).collect()}
+    compiled = [re.compile(r.pattern.replace("(?i)", ""), re.I if "(?i)" in r.pattern else 0) for r in rules]
+    for i, url in enumerate(pages):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        text = "".join(m.groups()) if m else ""
+        fits = [(r.rank, k, r) for k, r in enumerate(rules) if compiled[k].search(text)]
+        won = max((f for f in fits if f[0]), key=lambda f: f[:2], default=None)
+        want = (won[2].name, won[2].action) if won else (None, "block" if any(r.action == "block" for _, _, r in fits) else "allow")
+        assert got[i] == want, url
+    assert sum(v == "block" for _, v in got.values()) > 100 and sum(r is not None for r, _ in got.values()) > 100
+    parts = F.array_union(F.array(F.lit("")), F.split(F.lower(F.concat(urls.host_of("url"), urls.path_of("url"))), urls.SEPARATOR))
+    tokens = docs.select("page_id", F.explode(parts).alias("token"))
+    fetched = tokens.join(urls.file_rules(table, tokens.select("token")), "token").groupBy("page_id").count().agg(F.avg("count"), F.max("count")).first()
+    assert fetched[0] < 10 and fetched[1] < 40, fetched  # of 4,010 rules
+
+
 # -- op 7 --------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
     SELECT id, x.* FROM chapters, LATERAL quire_code(content) x
     SELECT id, x.* FROM chapters, LATERAL quire_chunks(content, 500) x
+    SELECT path, x.* FROM binaryFile.`/books`, LATERAL quire_titles(content) x
 
 `register` makes them known to a session. They run where the row lies: nothing is exchanged.
 """
@@ -18,12 +19,13 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 from ..operators.chunking import TARGET, chunk
 from ..operators.codeblocks import code_examples
 from ..operators.maintenance import sections
+from ..sources.titles import titles
 from .executors import ship
 
 
 def _asked(name: str, text: AnalyzeArgument, number: AnalyzeArgument | None) -> None:
     """Arguments are checked when the query is analysed, not when it runs."""
-    if text.isTable or text.dataType not in (StringType(), None) and text.dataType.typeName() not in ("string", "void"):
+    if text.isTable or text.dataType.typeName() not in ("string", "void"):
         raise ValueError(f"{name}: the first argument is a text")
     if number is not None and (not number.isConstantExpression or not isinstance(number.value, int) or number.value < 1):
         raise ValueError(f"{name}: the second argument is a constant of 1 or more")
@@ -67,7 +69,21 @@ class Code:
         yield from map(tuple, code_examples(text))
 
 
-TABLE_FUNCTIONS = {"quire_chunks": Chunks, "quire_sections": Sections, "quire_code": Code}
+class Titles:
+    """quire_titles(content of an EPUB file): place, level, title, source, error."""
+
+    @staticmethod
+    def analyze(content: AnalyzeArgument) -> AnalyzeResult:
+        if content.dataType.typeName() not in ("binary", "void"):
+            raise ValueError("quire_titles: the argument is the content of a file")
+        schema = StructType().add("place", IntegerType()).add("level", IntegerType()).add("title", StringType()).add("source", StringType()).add("error", StringType())
+        return AnalyzeResult(schema)
+
+    def eval(self, content: bytes | None) -> Iterator[tuple]:
+        yield from map(tuple, titles(content))
+
+
+TABLE_FUNCTIONS = {"quire_chunks": Chunks, "quire_sections": Sections, "quire_code": Code, "quire_titles": Titles}
 
 
 def register(spark: SparkSession) -> None:

@@ -248,6 +248,42 @@ def test_epub_source(spark, tmp_path, nav):
     assert sum(r.error is not None for r in rows) == 1 and S.word_count(epub(nav)) >= 6
 
 
+def test_titles_of_contents(spark, tmp_path):
+    """NCX with points below points, NAV, headings where there is neither, and files that can't be read; from SQL, too."""
+    from quire.functions import table
+    from quire.sources import titles as S
+
+    def book(files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, text in files.items():
+                z.writestr(name, text)
+        return out.getvalue()
+
+    opf = '<package xmlns="http://www.idpf.org/2007/opf"><manifest>{}<item id="a" href="t/a.xhtml"/><item id="b" href="b.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/><itemref idref="none"/></spine></package>'
+    texts = {"O/t/a.xhtml": "<html><h1>First <i>one</i></h1><p>x</p></html>", "O/b.xhtml": "<html><h2>Second</h2></html>"}
+    nav = '<html xmlns="http://www.w3.org/1999/xhtml"><nav></nav><nav><ol><li><a href="a">A &amp; B</a><ol><li><a href="b">Below</a></li></ol></li><li><a> </a></li></ol></nav><nav><a>no</a></nav></html>'
+    ncx = '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint><navLabel><text> One </text></navLabel><navPoint><navLabel><text>One.a</text></navLabel><navPoint><navLabel><text>Deep</text></navLabel></navPoint></navPoint></navPoint><navPoint><navLabel><text/></navLabel></navPoint></navMap></ncx>'
+    item = '<item id="n" href="nav.xhtml" properties="nav"/>'
+    books = {
+        "ncx.epub": book({"O/p.opf": opf.format(item), "O/nav.xhtml": nav, "O/t.ncx": ncx}), "nav.epub": book({"O/p.opf": opf.format(item), "O/nav.xhtml": nav} | texts), "plain.epub": book({"O/p.opf": opf.format("")} | texts),
+        "none.epub": book({"O/p.opf": opf.format("")}), "bad.epub": b"no zip", "broken.epub": book({"O/p.opf": "<package", "O/x.ncx": "<ncx"}), "note.txt": b"x",
+    }
+    for name, data in books.items():
+        (tmp_path / name).write_bytes(data)
+    want = {
+        "ncx.epub": [(1, 1, "One", "ncx"), (2, 2, "One.a", "ncx"), (3, 3, "Deep", "ncx")], "nav.epub": [(1, 1, "A & B", "nav"), (2, 2, "Below", "nav")], "plain.epub": [(1, 1, "First one", "headings"), (2, 1, "Second", "headings")],
+        "bad.epub": [(None, None, None, None)], "broken.epub": [(None, None, None, None)],
+    }
+    table.register(spark)
+    for df in (S.read_titles(spark, str(tmp_path)), spark.sql(f"SELECT path, x.* FROM binaryFile.`{tmp_path}`, LATERAL quire_titles(content) x WHERE path LIKE '%.epub'")):
+        got = defaultdict(list)
+        for r in sorted(df.collect(), key=lambda r: r.place or 0):
+            got[r.path.rsplit("/", 1)[1]].append((r.place, r.level, r.title, r.source))
+            assert (r.error is None) == (r.place is not None)
+        assert got == want
+
+
 def test_store_and_swap(spark, tmp_path):
     from quire.sources.store import Store, swap
 

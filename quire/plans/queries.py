@@ -634,9 +634,15 @@ def title_issues(lib):
     return Q.title_hygiene(lib.chapters)
 
 
-@query(f"SELECT id, title FROM chapters WHERE {_SUSP}")
+_ODD_TITLES = "odd AS (SELECT id, CASE id % 20 WHEN 0 THEN title || '.zip' WHEN 1 THEN 'table ' || id WHEN 2 THEN id::VARCHAR WHEN 3 THEN '/usr/' || title WHEN 4 THEN title || '/c:/x' WHEN 5 THEN 'Zip ' || title ELSE title END AS title FROM chapters)"
+
+
+@query(f"SELECT id, title FROM odd WHERE {_SUSP}", _ODD_TITLES)
 def suspicious_titles(lib):
-    return lib.chapters.filter(Q.suspicious(F.col("title"))).select("id", "title")
+    """Of every twenty titles five get a mark of a file name, a table or a path, and a sixth only looks like it."""
+    i, t = F.col("id") % 20, F.col("title")
+    odd = F.when(i == 0, F.concat(t, F.lit(".zip"))).when(i == 1, F.concat(F.lit("table "), "id")).when(i == 2, F.col("id").cast("string")).when(i == 3, F.concat(F.lit("/usr/"), t)).when(i == 4, F.concat(t, F.lit("/c:/x"))).when(i == 5, F.concat(F.lit("Zip "), t)).otherwise(t)
+    return lib.chapters.select("id", odd.alias("title")).filter(Q.suspicious(F.col("title")))
 
 
 @query("SELECT title, count(*) AS n FROM chapters GROUP BY title HAVING count(*) > 1")
@@ -740,9 +746,11 @@ def bold_terms(lib):
     return L.bold_terms(lib.chapters)
 
 
-@query(r"SELECT id, trim(regexp_extract(x, '^\*\*([^*]+)\*\*', 1)) AS term, rtrim(regexp_extract(x, '^\*\*[^*]+\*\*\s*[:—–-]\s*(.*)$', 1), '. ') AS definition FROM (SELECT id, unnest(list_slice(regexp_extract_all(content, '(\*\*[^*]{2,40}\*\*\s*[:—–-]\s*.{10,120})', 1), 1, 8)) AS x FROM chapters)")
+@query(r"SELECT id, trim(regexp_extract(x, '^\*\*([^*]+)\*\*', 1)) AS term, rtrim(regexp_extract(x, '^\*\*[^*]+\*\*\s*[:—–-]\s*(.*)$', 1), '. ') AS definition FROM (SELECT id, unnest(list_slice(regexp_extract_all(content, '(\*\*[^*]{2,40}\*\*\s*[:—–-]\s*.{10,120})', 1), 1, 8)) AS x FROM voc)", "voc AS (SELECT id, '**' || left(title, 30) || '** - ' || replace(content, chr(10), chr(10) || '**' || (id % 7) || 'th**: ') AS content FROM chapters)")
 def vocabulary(lib):
-    return L.vocabulary(lib.chapters)
+    """The title of each text as a term before its first line, and another term before each of the others."""
+    text = F.concat(F.lit("**"), F.substring("title", 1, 30), F.lit("** - "), F.replace("content", F.lit("\n"), F.concat(F.lit("\n**"), (F.col("id") % 7).cast("string"), F.lit("th**: "))))
+    return L.vocabulary(lib.chapters.select("id", text.alias("content")))
 
 
 @query(r"SELECT id, count(*) AS n, arg_min(x, k) AS first FROM (SELECT id, unnest(a) AS x, generate_subscripts(a, 1) AS k FROM (SELECT id, list_filter(string_split(regexp_replace(trim(content), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS a FROM chapters)) WHERE regexp_matches(lower(x), 'haon|tion of') GROUP BY id")

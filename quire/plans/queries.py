@@ -486,6 +486,16 @@ def state_durations(lib):
     return G.state_durations(lib.history).withColumn("seconds", F.round("seconds", 3))
 
 
+@query("SELECT state, count(*) AS n, quantile_disc(seconds, 0.5) AS median, quantile_disc(seconds, 0.95) AS p95, max(seconds) AS most FROM (SELECT from_state AS state, epoch(created_at) - epoch(since) AS seconds FROM history WHERE from_state IS NOT NULL) GROUP BY state")
+def state_age_sketches(lib):
+    """Sketches of seven parts of the log, merged; large enough to be exact here."""
+    from ..streaming import ingest
+
+    d = G.state_durations(lib.history)
+    parts = [ingest.age_sketches(d.filter(F.pmod("pipeline_id", F.lit(7)) == i), 60_000) for i in range(7)]
+    return ingest.age_statistics(ingest.merged_ages(reduce(DataFrame.unionByName, parts), 60_000))
+
+
 @query("SELECT from_state AS state, count(*) AS n, round(quantile_cont(epoch(created_at) - epoch(since), 0.5), 3) AS median, round(quantile_cont(epoch(created_at) - epoch(since), 0.95), 3) AS p95, round(max(epoch(created_at) - epoch(since)), 3) AS most FROM history WHERE from_state IS NOT NULL GROUP BY from_state")
 def state_duration_percentiles(lib):
     return G.duration_percentiles(lib.history)

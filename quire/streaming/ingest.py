@@ -96,3 +96,40 @@ def daily_approvals(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Automatic approvals of each day, for the daily cap. events: ts timestamp, actor, action."""
     own = events.filter(F.col("actor").startswith("auto:") & (F.col("action") == "approved"))
     return own.withWatermark("ts", late).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "n")
+
+
+#: Size of a quantile sketch: with so many values or fewer it is exact, with more its ranks are off by about 1.5 / SKETCH.
+SKETCH = 4096
+
+
+def age_sketches(durations: DataFrame, k: int = SKETCH) -> DataFrame:
+    """state, n, most, sketch of durations (state, seconds), batch or stream.
+
+    Sketches merge, so that statistics of a stream need no history: as a streaming aggregation (complete or update mode) the
+    state store holds one for each state.
+    """
+    own = durations.filter(F.col("seconds").isNotNull()).groupBy("state")
+    return own.agg(F.count("*").alias("n"), F.max("seconds").alias("most"), F.kll_sketch_agg_double("seconds", k).alias("sketch"))
+
+
+def merged_ages(sketches: DataFrame, k: int = SKETCH) -> DataFrame:
+    """Sketches of the same states put together."""
+    return sketches.groupBy("state").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def age_statistics(sketches: DataFrame) -> DataFrame:
+    """state, n, median, p95, most: from one sketch a state."""
+    at = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(q))
+    return sketches.select("state", "n", at(0.5).alias("median"), at(0.95).alias("p95"), "most")
+
+
+def keep_ages(tracked: DataFrame, store: Store, checkpoint: str, table: str = "state_ages", k: int = SKETCH) -> StreamingQuery:
+    """Store a sketch for each state and batch of the stream that track_states makes; a repeated batch adds nothing, and
+    `Store.update(table, ingest.merged_ages)` puts them together. age_statistics(merged_ages(store.read(table))) reads them."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    durations = tracked.filter("legal").select(F.col("from_state").alias("state"), "seconds")
+
+    def add(batch: DataFrame, number: int) -> None:
+        store.append(table, age_sketches(batch, k), run, number)
+
+    return durations.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

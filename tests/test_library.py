@@ -344,6 +344,37 @@ def test_state_machine_and_windows(spark, tmp_path):
     assert [r.n for r in ingest.daily_approvals(log).collect()] == [1]
 
 
+def test_ages_of_a_stream_without_its_history(spark, tmp_path):
+    """Sketches in the state store and in the table of batches, against the percentiles of all durations."""
+    from quire.sources.store import Store
+    from quire.streaming import ingest
+
+    rng = np.random.default_rng(9)
+    rows = [(k, 3 * k + j, float(j * 100 + rng.integers(1, 90)), s) for k in range(400) for j, s in enumerate(("detected", "hashing", "classifying"))]
+    put = lambda some: spark.createDataFrame(some, "pipeline_id long, event_id long, ts double, to_state string").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    store = Store(spark, f"file://{tmp_path}/s")
+    read = lambda: spark.readStream.schema("pipeline_id long, event_id long, ts double, to_state string").json(f"{tmp_path}/in")
+    for some in (rows[:700], rows[700:]):
+        put(some)
+        ingest.keep_ages(ingest.track_states(read()), store, f"{tmp_path}/c").awaitTermination()
+    spent = defaultdict(list)
+    for (a, _, t, s), (b, _, u, _) in zip(rows, rows[1:]):
+        if a == b:
+            spent[s].append(u - t)
+    exact = lambda x, q: sorted(x)[max(0, math.ceil(q * len(x)) - 1)]
+    want = {s: (len(x), exact(x, 0.5), exact(x, 0.95), max(x)) for s, x in spent.items()}
+    found = lambda df: {r.state: tuple(r)[1:] for r in ingest.age_statistics(df).collect()}
+    assert store.read("state_ages").count() > 2 and found(ingest.merged_ages(store.read("state_ages"))) == want
+    store.update("state_ages", ingest.merged_ages)
+    assert store.read("state_ages").count() == 2 and found(store.read("state_ages")) == want
+    spark.createDataFrame([(s, x) for s, v in spent.items() for x in v], "state string, seconds double").write.json(f"{tmp_path}/d")
+    q = ingest.age_sketches(spark.readStream.schema("state string, seconds double").json(f"{tmp_path}/d"), 64).writeStream.format("memory").queryName("ages").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    for s, (n, median, _, most) in found(spark.table("ages")).items():  # a small sketch: its ranks are a little off
+        x = np.sort(spent[s])
+        assert n == len(x) and most == x[-1] and abs(np.searchsorted(x, median) / n - 0.5) < 0.1
+
+
 def test_only_a_silent_pipeline_is_stuck(spark, tmp_path):
     """Pipeline 1 moves on before its timer, to a final state; pipeline 2 stays. A timer that an arrival has ended reports nothing."""
     import time

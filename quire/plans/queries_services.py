@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
-from ..operators import auditing as Q
 from ..operators import chunking as C
 from ..operators import embedding as B
 from ..operators import excerpts as P
@@ -15,7 +14,7 @@ from ..operators import services as S
 from ..operators import templates as D
 from ..sources import reports as R
 from ..sources.library import NOW
-from .queries import ROLL, _AUD, query
+from .queries import ROLL, _AUD, audited, query
 
 _REQ = """req AS (SELECT id, state0 AS state, CASE id % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'rollback' ELSE 'retry' END AS action, CASE WHEN id % 8 = 0 THEN 'auto:partial' ELSE 'me' END AS actor, confidence, lang
   FROM (SELECT id, CASE WHEN id % 3 = 0 THEN 'pending_approval' ELSE state END AS state0, confidence, CASE WHEN id % 5 = 0 THEN 'en' ELSE 'fr' END AS lang FROM pipelines)),
@@ -152,7 +151,7 @@ def source_coverage(lib):
 
 @query("SELECT severity, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 1) AS share FROM (SELECT ['ok', 'warning', 'bad'][list_max(s) + 1] AS severity FROM i) GROUP BY severity", _AUD)
 def severity_distribution(lib):
-    return S.severity_counts(Q.chapter_audit(lib.chapters.withColumn("word_count", F.col("word_count") * 10), low=(1500, 4000)))
+    return S.severity_counts(audited(lib))
 
 
 @query("SELECT id, CASE id % 4 WHEN 0 THEN '/r/' || id WHEN 1 THEN '/d/books/' || book_id || '/chapters/' || n || '-dir' WHEN 2 THEN '/d/books/' || book_id || '/chapters/' || n || '-a.md' ELSE '/d/processed/' || book_id || '/chapters/' || n || '-b.txt' END AS path, id % 4 = 1 AS is_folder FROM (SELECT *, CASE WHEN chapter_number < 10 THEN '0' ELSE '' END || chapter_number AS n FROM chapters)")

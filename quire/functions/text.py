@@ -86,7 +86,7 @@ def topics(text: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n\n+"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, "\n\n+"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def sentences(text: Column, before_capital: bool = False) -> Column:

@@ -672,6 +672,11 @@ def test_evaluation_and_gate(spark):
         assert evaluation.passes(live, staged).first().passed is passed
 
 
+def test_paragraphs_are_trimmed_of_spaces_alone(spark):
+    """Not of the digits of their own places."""
+    assert one(spark, T.paragraphs(F.col("x")), "007 zero \n\n 11 one 1\n\n\n \n\n3 three 3") == [["007 zero", "11 one 1", "3 three 3"]]
+
+
 def test_code_examples():
     from quire.operators import codeblocks as C
 

@@ -36,6 +36,8 @@ from .common import map_arrow, materialise, small
 GRAM, SHORT, SLACK, MIN_SHARE = 5, 2, 8, 0.8
 #: Arrays of hashes are cut into rows of so many places: a row stays small however long its text is.
 PLACES = 4096
+#: Documents with bands or spans, and how many of these, up to which they are broadcast.
+FEW = (20_000, 200_000)
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -190,6 +192,12 @@ def positions(spark: SparkSession, templates: Sequence[Template]) -> DataFrame:
     return spark.createDataFrame(rows, "width int, hash long, template int, place int, n int")
 
 
+def _few(df: DataFrame, lists: str) -> DataFrame:
+    """df with a broadcast hint if it has at most FEW rows and items in their lists."""
+    rows, items = df.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= FEW[0] and items <= FEW[1] else df
+
+
 class Scan:
     """One scan of a table of documents for templates; intermediate tables lie in the shared folder."""
 
@@ -218,7 +226,7 @@ class Scan:
         # The bands of a document are no more than its own words give.
         bands = self.bands().distinct().groupBy("id", "text_hash").agg(F.collect_list(F.struct("template", "low", "high")).alias("bands"))
         bands = materialise(bands, "license-bands")
-        wanted = small(bands.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "bands"), 20_000)
+        wanted = _few(bands.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "bands"), "bands")
         pairs = self.rows.join(wanted, self.rows.id.eqNullSafe(wanted["_id"]) & (self.rows.text_hash == wanted["_hash"]))
         check = partial(_verify, templates=[words(t.text) for t in self.templates], share=self.share)
         spans = map_arrow(pairs.select("id", "text_hash", "text", "bands"), check, "id long, text_hash long, spans array<struct<template int, start long, length long, matched long>>")
@@ -235,7 +243,7 @@ class Scan:
         label, size = (F.array(*map(F.lit, x)) for x in ([t.label for t in self.templates], [len(words(t.text)) for t in self.templates]))
         of = lambda s: F.get(label, s["template"])
         held = self.found().select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "spans")
-        held = small(held, 20_000)
+        held = _few(held, "spans")
         counted = map_arrow(self.rows, _counted, "id long, text_hash long, n_words long")
         both = counted.join(held, counted.id.eqNullSafe(held["_id"]) & (counted.text_hash == held["_hash"]), "left").withColumn("spans", F.coalesce("spans", F.expr("array()").cast("array<struct<template int, start long, length long, matched long>>")))
         share = F.transform("spans", lambda s: s["matched"] / F.greatest(F.get(size, s["template"]), s["length"]))

@@ -60,7 +60,9 @@ def licensed():
     return texts
 
 
-def test_license_phrases_are_brute_force(spark, licensed, tmp_path):
+@pytest.mark.parametrize("few", (licenses.FEW, (0, 0)))
+def test_license_phrases_are_brute_force(spark, licensed, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(licenses, "FEW", few)
     ids = [*range(len(licensed) - 2), None, None]
     frame(spark, licensed, ids).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op11_license_votes(spark, str(tmp_path)).collect()

@@ -129,20 +129,9 @@ def _dealt(vectors: DataFrame, cells: Cells) -> DataFrame:
     return map_arrow(vectors, deal, f"{kinds}, cell int, home boolean")
 
 
-def similar_pairs(rows: DataFrame, least: float, block_rows: int = BLOCK_ROWS, apart: Sequence[str] = ("book_id",), limit: int | None = None, pivots: int | None = None) -> DataFrame:
-    """a, b, similarity: the pairs of vectors (id, embedding) of cosine `least` or more that differ in every column of `apart`.
-
-    least: above 0, up to 1. limit: only the best so many, by similarity rounded to three places, then by a and b; a task
-    then hands on no more than so many. Rows without vector, or with one of zeros, are in no pair.
-    """
-    if not 0 < least <= 1:
-        raise ValueError("least: above 0, up to 1")
-    ship(rows.sparkSession)
-    vectors = rows.filter(F.exists("embedding", lambda x: x != 0)).select("id", *apart, F.col("embedding").cast("array<float>").alias("embedding"))
-    result = "a long, b long, similarity double"
-    if not (counted := vectors.count()):
-        return rows.sparkSession.createDataFrame([], result)
-    cells = Cells(vectors, counted, pivots, float(np.arccos(least)))
+def _tasks(vectors: DataFrame, cells: Cells, block_rows: int, apart: Sequence[str]) -> DataFrame:
+    """id, the columns of apart, embedding, _side, cell, i, j: each vector in all pairs of blocks (i, j) of a cell that it is
+    in; _side tells in which of the two."""
     dealt = _dealt(vectors, cells)
     visitors = {r[0]: r[1] for r in dealt.filter("NOT home").groupBy("cell").count().collect()}  # a row a cell
     blocks = lambda n: max(1, -(-int(n) // block_rows))
@@ -157,7 +146,27 @@ def similar_pairs(rows: DataFrame, least: float, block_rows: int = BLOCK_ROWS, a
     away = F.transform(upto(F.col("_c.own")), lambda o: F.struct(o.alias("i"), (F.col("_c.own") + F.col("_p")).cast("int").alias("j")))
     tasks = placed.withColumn("_t", F.explode(F.when(F.col("home"), F.concat(home, met)).otherwise(away)))
     side = F.when(~F.col("home"), F.col("_c.own") + F.col("_p")).otherwise(F.col("_p")).cast("int")
-    tasks = tasks.select("id", *apart, "embedding", side.alias("_side"), "cell", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"))
+    return tasks.select("id", *apart, "embedding", side.alias("_side"), "cell", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"))
+
+
+def similar_pairs(rows: DataFrame, least: float, block_rows: int = BLOCK_ROWS, apart: Sequence[str] = ("book_id",), limit: int | None = None, pivots: int | None = None) -> DataFrame:
+    """a, b, similarity: the pairs of vectors (id, embedding) of cosine `least` or more that differ in every column of `apart`.
+
+    least: above 0, up to 1. limit: only the best so many, by similarity rounded to three places, then by a and b; a task
+    then hands on no more than so many. Rows without vector, or with one of zeros, are in no pair.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least: above 0, up to 1")
+    ship(rows.sparkSession)
+    vectors = rows.filter(F.exists("embedding", lambda x: x != 0)).select("id", *apart, F.col("embedding").cast("array<float>").alias("embedding"))
+    result = "a long, b long, similarity double"
+    if not (counted := vectors.count()):
+        return rows.sparkSession.createDataFrame([], result)
+    if pivots is None and counted <= block_rows:  # one block: nothing to rule out
+        one = F.lit(0)
+        tasks = vectors.select("id", *apart, "embedding", one.alias("_side"), one.alias("cell"), one.alias("i"), one.alias("j"))
+    else:
+        tasks = _tasks(vectors, Cells(vectors, counted, pivots, float(np.arccos(least))), block_rows, apart)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         i, j = group.i.iloc[0], group.j.iloc[0]

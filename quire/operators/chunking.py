@@ -74,13 +74,19 @@ def chunk(text: str, target: int = TARGET, least: int = LEAST) -> list[str]:
 
 
 def chunks(docs: DataFrame, target: int = TARGET, id_col: str = "id", text_col: str = "content", max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """chapter_id, chunk_index, content, word_count, content_hash. A chunk of more than max_tokens tokens is split at sentences."""
+    """chapter_id, chunk_index, content, word_count, content_hash. A chunk of more than max_tokens tokens is split at sentences,
+    a longer sentence into as many pieces as it fills: no word is lost."""
+
+    def limited(c: str) -> list[str]:
+        if len(c) <= max_tokens or len(words_as_tokens(c)) <= max_tokens:
+            return [c]
+        return [p for p in token_split(c, max_tokens, whole=True) if p.strip()]
 
     def run(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, index, text = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for k, c in enumerate(p for c in chunk(t.as_py() or "", target) for p in (token_split(c, max_tokens) if len(c) > max_tokens and len(words_as_tokens(c)) > max_tokens else [c])):
+                for k, c in enumerate(p for c in chunk(t.as_py() or "", target) for p in limited(c)):
                     ids.append(i)
                     index.append(k)
                     text.append(c)

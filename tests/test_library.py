@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions import vectors as V
-from quire.operators import auditing, chunking, evaluation, fulltext, governance, integrity, learning, search
+from quire.operators import auditing, chunking, evaluation, excerpts, fulltext, governance, integrity, learning, search
 from quire.plans import queries_more, queries_services  # noqa: F401
 from quire.plans.queries import ORACLE_SQL, QUERIES
 
@@ -110,6 +110,17 @@ def test_rechunk_keeps_every_chunk_and_vector(spark, monkeypatch):
     assert queries_more.staged_rechunk(shelf).first().chapters < 6
 
 
+def test_rechunk_keeps_words_of_sentences_beyond_the_token_limit(spark):
+    """One sentence of more tokens than a chunk may have, alone and after others; a run of spaces that fills a piece of its own."""
+    texts = {1: "Word " * 9000, 2: "A first sentence of it. " + ("long" * 50 + " ") * 400, 3: "a" + " " * 150_000 + "b"}
+    shelf = Shelf(spark, texts)
+    assert queries_more.staged_rechunk(shelf).first().chapters == 3
+    made = chunking.chunks(shelf.chapters).orderBy("chapter_id", "chunk_index").collect()
+    for i, t in texts.items():
+        parts = [r.content for r in made if r.chapter_id == i]
+        assert "".join("".join(parts).split()) == "".join(t.split()) and all(p.strip() and len(excerpts.words_as_tokens(p)) <= chunking.MAX_TOKENS + 1 for p in parts)
+
+
 def test_sync_replaces_all_postings_of_a_document(spark, monkeypatch):
     texts = {1: "the cat and the dog", 2: "a dog", 3: "the old text old", 4: "cat"}
     shelf = Shelf(spark, texts)

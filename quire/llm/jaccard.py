@@ -14,10 +14,11 @@ share two. So each document files itself under its first D + 2 blocks only, and
 strangers may share, are hardly ever filed. A set joins its own band and, if a larger partner could stand
 there, the next. No linked pair is lost.
 
-Join. Equal sets are one class, whatever number of documents holds it. Blocks found in one class only drop out
-in an aggregation. In each other block every class is compared with one pivot, the class whose blocks are the
-most shared: as many pairs as members. Linked classes form components, and only blocks that still hold several
-components go on. There the pivot P is known to each member A by their difference A xor P, and
+Join. Equal sets are one class, whatever number of documents holds it; its first document files the blocks. A count
+of the keys' low bits, which is all that moves of most keys, leaves out those of one class (the few that only these
+bits have in common drop out when whole keys meet), and classes with fewer than two shared blocks link with none.
+In each other block every class is compared with one pivot, the class whose blocks are the most shared: as many
+pairs as members. Linked classes form components, and only blocks that still hold several components go on. There the pivot P is known to each member A by their difference A xor P, and
 
     A xor B = (A xor P) xor (B xor P)
 
@@ -58,11 +59,13 @@ from .components import components
 LISTED = 8
 #: Keys (of 8 bytes) of shared blocks up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Low bits of a key that are counted first. Of n keys, one in 2**40 / n is joined in vain.
+COUNTED = (1 << 40) - 1
 #: Blocks for each block in which linked sets may differ at most.
 SPARE = 1.4
 SETS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("twin", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
-COMPARED = pa.schema([("a", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_()), ("n", pa.int64()), ("delta", pa.list_(pa.int64()))])
+COMPARED = pa.schema([("a", pa.int64()), ("pivot", pa.int64()), ("more", pa.bool_()), ("linked", pa.bool_()), ("n", pa.int64()), ("delta", pa.list_(pa.int64()))])
 
 
 def differ(a: int, b: int, threshold: int) -> int:
@@ -131,9 +134,9 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, threshold: int, seed:
 
 
 def _compared(batches: Iterator[pa.RecordBatch], width: int, threshold: int) -> Iterator[pa.RecordBatch]:
-    """a, pivot, linked, n (size of a's set), delta (hashes of the elements that only one of the two has).
+    """a, pivot, more, linked, n (size of a's set), delta (hashes of the elements that only one of the two has; if `more`).
 
-    The rows are (a, pivot, text of a, text of pivot). Sets are compared by the words themselves.
+    The rows are (a, pivot, more, text of a, text of pivot). Sets are compared by the words themselves.
     """
 
     def whole(text: str) -> set[bytes]:
@@ -143,15 +146,15 @@ def _compared(batches: Iterator[pa.RecordBatch], width: int, threshold: int) ->
     last, kept = None, set()
     for batch in batches:
         linked, n, delta = [], [], []
-        for one, two in zip(batch.column(2), batch.column(3), strict=True):
+        for more, one, two in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
             if (text := two.as_py()) != last:
                 last, kept = text, whole(text)
             own = whole(one.as_py())
             both = len(own & kept)
             linked.append(both > 0 and 100 * both >= threshold * (len(own) + len(kept) - both))
             n.append(len(own))
-            delta.append([xxh3_64_intdigest(e) - (1 << 63) for e in own ^ kept])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], schema=COMPARED)
+            delta.append([xxh3_64_intdigest(e) - (1 << 63) for e in own ^ kept] if more.as_py() else [])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], schema=COMPARED)
 
 
 class NearDuplicates:
@@ -187,12 +190,15 @@ class NearDuplicates:
         return materialise(found.groupBy("cid").agg(F.first("text").alias("text")), "rep-texts")
 
     def _compare(self, pairs: DataFrame) -> DataFrame:
-        """COMPARED for the pairs (a, pivot) of classes, a stored table."""
+        """COMPARED for the pairs (a, pivot, more) of classes, a stored table; and pair, a number of the row."""
         wanted = pairs.select(F.explode(F.array("a", "pivot")).alias("cid")).distinct()
         texts = self._texts(wanted.join(self.classes, "cid"))
         sides = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("pivot"), F.col("text").alias("tp")), "pivot")
         check = partial(_compared, width=self.width, threshold=self.threshold)
-        return materialise(map_arrow(sides.select("a", "pivot", "ta", "tp"), check, "a long, pivot long, linked boolean, n long, delta array<long>"), "compared")
+        compared = map_arrow(sides.select("a", "pivot", "more", "ta", "tp"), check, "a long, pivot long, more boolean, linked boolean, n long, delta array<long>")
+        compared = materialise(compared.withColumn("pair", F.monotonically_increasing_id()), "compared")
+        discard(texts)
+        return compared
 
     def components(self) -> DataFrame:
         """node, label: the component of every class that links with another."""
@@ -200,21 +206,28 @@ class NearDuplicates:
             self._labels = self._components()
         return self._labels
 
+    def _blocks(self) -> DataFrame:
+        """key, cid: the shared blocks, and the few that share the counted bits of a key only."""
+        first = small(self.classes.filter("docs > 1").select("cid", "rep", "rep_hash"))
+        once = self.filed.filter(F.size("keys") > 0).join(first, "cid", "left").filter("rep_hash IS NULL OR (id <=> rep AND text_hash = rep_hash)")
+        filed = once.select("cid", F.explode("keys").alias("key")).withColumn("low", F.col("key").bitwiseAND(F.lit(COUNTED)))
+        shared = materialise(filed.groupBy("low").agg(F.count("*").alias("n")).filter("n > 1").select("low"), "shared-blocks")
+        return materialise(filed.join(small(shared, BROADCAST_KEYS), "low").select("key", "cid").distinct(), "blocks")
+
     def _components(self) -> DataFrame:
-        filed = self.filed.filter(F.size("keys") > 0).select("cid", F.explode("keys").alias("key"))
-        shared = filed.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).filter("first < last").select("key")
-        blocks = materialise(filed.join(small(materialise(shared, "shared-blocks"), BROADCAST_KEYS), "key").distinct(), "blocks")
+        blocks = self._blocks()
         discard(self.filed)
         links = labels = None
         for level in count(1):
-            compared = self._compare(materialise(self._stars(blocks).distinct(), "pairs"))
-            found = compared.filter("linked").select("a", F.col("pivot").alias("b"))
+            compared = self._compare(materialise(self._stars(blocks, 2 if level == 1 else 1), "pairs"))
+            found = materialise(compared.filter("linked").select("a", F.col("pivot").alias("b")), "links")
             if links is None:
                 links, labels = found, components(found)
             elif not self._across(found, labels).isEmpty():
                 links = links.unionByName(found)
                 labels = components(links)
-            blocks = materialise(self._next(compared, labels), "blocks")
+            blocks = self._next(compared, labels)
+            discard(compared)
             size = blocks.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("own"))
             rows, pairs = size.agg(F.sum("n"), F.sum(F.expr("own * n"))).first()
             if not rows:
@@ -234,7 +247,7 @@ class NearDuplicates:
         enough = F.expr(f"2 * (1 + least(size - rank, size2 - rank2)) >= size + size2 - {d('n', 'n2')}")
         found = blocks.join(other, "key").filter((F.col("label") != F.col("other")) & enough)
         found = found.select(F.greatest("cid", "b").alias("a"), F.least("cid", "b").alias("b"))
-        return found.select("a", F.col("b").alias("pivot")).distinct()
+        return found.select("a", F.col("b").alias("pivot"), F.lit(False).alias("more")).distinct()
 
     @staticmethod
     def _across(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -243,42 +256,49 @@ class NearDuplicates:
         return links.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
 
     @staticmethod
-    def _stars(blocks: DataFrame) -> DataFrame:
-        """a, pivot: each member of a block with the one whose blocks have the most members."""
-        size = blocks.groupBy("key").agg(F.count("*").alias("n"))
-        weight = blocks.join(size, "key").groupBy("cid").agg(F.sum("n").alias("weight"))
-        weighed = materialise(blocks.join(weight, "cid"), "weighed")
-        best = weighed.groupBy("key").agg(F.max("weight").alias("weight"))
-        pivot = weighed.join(best, ["key", "weight"]).groupBy("key").agg(F.min("cid").alias("pivot"))
-        return weighed.select("key", "cid").join(pivot, "key").filter("cid <> pivot").select(F.col("cid").alias("a"), "pivot")
+    def _stars(blocks: DataFrame, least: int) -> DataFrame:
+        """a, pivot, more: each member of a block with the one whose blocks have the most members; more if a third one is
+        there. Linked sets share `least` blocks or more."""
+        size = blocks.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        weight = blocks.join(size, "key").groupBy("cid").agg(F.sum("n").alias("weight"), F.count("*").alias("k")).filter(F.col("k") >= least)
+        weighed = materialise(blocks.join(weight.drop("k"), "cid"), "weighed")
+        best = weighed.groupBy("key").agg(F.max("weight").alias("weight"), F.count("*").alias("n"))
+        pivot = weighed.join(best, ["key", "weight"]).groupBy("key").agg(F.min("cid").alias("pivot"), F.max(F.col("n") > 2).alias("more"))
+        found = weighed.select("key", "cid").join(pivot, "key").filter("cid <> pivot")
+        return found.groupBy(F.col("cid").alias("a"), "pivot").agg(F.max("more").alias("more"))
 
     def _next(self, compared: DataFrame, labels: DataFrame) -> DataFrame:
         """key, cid, via (the pivot), own, label, n, size, rank: blocks of the next round, by the first elements of the differences.
 
-        Only pivots whose members are in several components go on, and of their blocks those that hold several.
+        Elements and members move as one number each: the hash of pivot and element, the number of the pair. Only pivots whose members are in several components go on, and of their blocks those that hold several.
         """
         most = F.floor(F.lit(100 - self.threshold) * (F.col("n") + F.floor(F.lit(100) * F.col("n") / self.threshold)) / F.lit(100 + self.threshold))
-        named = compared.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a")).withColumn("d", most)
+        named = compared.filter("more").join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a")).withColumn("d", most)
         mixed = named.groupBy("pivot").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("d").alias("widest")).filter("l1 < l2").select("pivot", "widest")
         mixed = small(materialise(mixed, "mixed"))
         # Of a pair, one at least isn't linked with the pivot: members linked with it are all in one component.
-        named = named.join(mixed, "pivot").select("pivot", "a", "label", "n", "d", "widest", F.size("delta").cast("long").alias("size"), "delta")
-        each = lambda: named.select("pivot", "a", "label", F.explode("delta").alias("element"))
-        many = each().groupBy("pivot", "element").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("times")).filter("l1 < l2").select("pivot", "element", "times")
+        named = named.join(mixed, "pivot").select("pair", "pivot", "a", "label", "n", "d", "widest", F.size("delta").cast("long").alias("size"), "delta")
+        members = small(materialise(named.drop("delta"), "members"))
+        each = lambda: named.select("pair", "pivot", "label", F.explode("delta").alias("e")).select("pair", "label", F.xxhash64("pivot", "e").alias("element"))
+        many = each().groupBy("element").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("times")).filter("l1 < l2").select("element", "times")
         many = small(materialise(many, "shared-elements"), BROADCAST_KEYS)
         # Elements of one component alone come first in the order, then the others, the rarest first.
-        found = each().join(many, ["pivot", "element"]).groupBy("pivot", "a").agg(F.sort_array(F.collect_list(F.struct("times", "element"))).alias("found"))
-        kept = found.join(named.drop("delta"), ["pivot", "a"]).select("pivot", "a", "label", "n", "d", "widest", "size", (F.col("size") - F.size("found")).alias("alone"), F.posexplode("found").alias("rank", "e"))
+        found = each().drop("label").join(many, "element").groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("times", "element"))).alias("found"))
+        kept = found.join(members, "pair").select("pair", "label", "d", "widest", "size", (F.col("size") - F.size("found")).alias("alone"), F.posexplode("found").alias("rank", "e"))
         kept = kept.withColumn("rank", F.col("alone") + F.col("rank") + 1).withColumn("element", F.col("e.element"))
         # The smaller of two differences, of sizes x <= y, is filed under its size class by (d + x - y) / 2 + 1 elements or
         # more, the larger by (d + y - x) / 2 + 1, under each class where a smaller one may be.
         kept = kept.withColumn("step", F.greatest(F.lit(1).cast("long"), F.expr("widest div 8"))).withColumn("low", F.expr("greatest(0, size - d) div step"))
         high = F.expr("least(size div step, (size + d - 2 * (rank - 1)) div step)")
         kept = kept.withColumn("class", F.explode(F.when(F.col("rank") <= F.col("d") + 1, F.sequence("low", F.greatest("low", high)))))
-        kept = kept.select(F.xxhash64("pivot", "class", "element").alias("key"), F.col("a").alias("cid"), F.col("pivot").alias("via"), "label", F.expr("class = size div step").alias("own"), "n", "size", "rank")
+        kept = kept.select(F.xxhash64("class", "element").alias("key"), "pair", "label", F.expr("class = size div step").alias("own"), "rank")
         kept = materialise(kept, "filed-elements")
         several = kept.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.bool_or("own").alias("any_own")).filter("l1 < l2 AND any_own").select("key")
-        return kept.join(several, "key")
+        several = small(materialise(several, "shared-keys"), BROADCAST_KEYS)
+        shared = kept.select("key", "pair", "own", "rank").join(several, "key").join(members, "pair")
+        blocks = materialise(shared.select("key", F.col("a").alias("cid"), F.col("pivot").alias("via"), "label", "own", "n", "size", "rank"), "blocks")
+        discard(kept)
+        return blocks
 
     def _placed(self) -> DataFrame:
         """id, text_hash, n, rep, component, first_id, first_hash (of the component's first document), copies: one row for

@@ -536,6 +536,44 @@ def test_near_duplicates_around_the_threshold(spark, monkeypatch, listed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(list(enumerate(docs)), 4, 85)
 
 
+def shuffled(spark, since=-1):
+    """(bytes that stages of larger ids than `since` wrote to shuffles, the largest id)."""
+    jvm, stages = spark.sparkContext._jvm, spark._jsc.sc().statusStore()
+    found = stages.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    rows = [(found.apply(i).stageId(), found.apply(i).shuffleWriteBytes()) for i in range(found.size())]
+    return sum(n for i, n in rows if i > since), max((i for i, _ in rows), default=-1)
+
+
+def test_keys_of_one_set_move_once_and_short(spark):
+    """Of documents without a partner, each filed key moves as less than twelve bytes, its hash and the set's were sixteen."""
+    rng = random.Random(6)
+    near = jaccard.NearDuplicates(frame(spark, [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(2000)]), 5, 80)
+    keys, since = near.filed.selectExpr("sum(size(keys))").first()[0], shuffled(spark)[1]
+    assert near.components().isEmpty() and keys > 50_000
+    assert shuffled(spark, since)[0] < 12 * keys
+
+
+def test_differences_are_kept_for_those_that_may_meet(spark):
+    """Pairs whose blocks hold no third set are compared, and keep no differences."""
+    rng = random.Random(7)
+    docs = [[f"w{rng.randrange(10**6)}" for _ in range(150)] for _ in range(40)]
+    stored, real = [], jaccard.NearDuplicates._next
+    near = jaccard.NearDuplicates(frame(spark, [" ".join(w) for d in docs for w in (d, [*d[:-12], *(f"x{rng.randrange(10**6)}" for _ in range(12))])]), 5, 80)
+    near._next = lambda compared, labels: stored.extend(compared.select("linked", "delta").collect()) or real(near, compared, labels)
+    assert near.components().count() == 80
+    assert len(stored) == 40 and all(r.linked and not r.delta for r in stored)
+
+
+@pytest.mark.parametrize("listed", [8, 0])
+def test_near_duplicates_beyond_the_broadcasts(spark, monkeypatch, texts, listed):
+    """Keys that are joined by shuffles, and of which the first count sees four bits only."""
+    monkeypatch.setattr(jaccard, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(jaccard, "COUNTED", 15)
+    monkeypatch.setattr(jaccard, "LISTED", listed)
+    got = jaccard.NearDuplicates(frame(spark, texts), 4, 85).clusters()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(list(enumerate(texts)), 4, 85)
+
+
 def test_near_duplicates_edges(spark):
     docs = frame(spark, ["a b c d e f", "a b c d e f", "A B C D E F", None, "", "a b", "a b"], [4, 4, 2, 1, None, 9, None])
     got = jaccard.NearDuplicates(docs, 5, 80).clusters().collect()

@@ -150,9 +150,10 @@ def synced(lib):
 
 @query("SELECT count(DISTINCT id) AS documents FROM chapters")
 def fts_sync(lib):
-    """Documents all of whose words are in the index after the sync, and no others."""
-    own = renewed(lib.chapters).select("id", F.size(X.tokens(F.concat_ws(" ", "title", "content"))).alias("n"))
-    return synced(lib).lengths.join(own, "id").filter("dl = n").agg(F.count("*").alias("documents"))
+    """Documents all of whose words are in the index after the sync, and no others. Those without words have no postings, and
+    rows of one id are one document."""
+    own = renewed(lib.chapters).select("id", F.size(X.tokens(F.concat_ws(" ", "title", "content"))).alias("n")).groupBy("id").agg(F.sum("n").alias("n"))
+    return own.join(synced(lib).lengths, "id", "left").filter("coalesce(dl, 0) = n").agg(F.count("id").alias("documents"))
 
 
 @query("SELECT term, count(*) AS documents, sum(tf)::BIGINT AS tf FROM post GROUP BY term", _TOK.replace("content), '", "CASE WHEN id = 3 THEN 'a renewed text of the document' ELSE content END), '"))

@@ -162,6 +162,22 @@ def test_sync_replaces_all_postings_of_a_document(spark, monkeypatch):
     assert queries_more.fts_sync(shelf).first().documents == 1
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("ids", [(), (2, 3, 5, 90), (None,)])
+def test_sync_counts_documents_without_words(spark, tmp_path, ids):
+    """Empty texts and those of marks alone count as in SQL; so do ids that stand in two rows, or in none."""
+    assert same_as_sql(spark, tmp_path, "fts_sync", [*enumerate(ODD_TEXTS), (90, "more words"), *((i, f"again {i}") for i in ids)])
+
+
+def test_sync_finds_words_that_should_be_gone(spark, monkeypatch):
+    """A document that has no words any more must have none in the index."""
+    shelf = Shelf(spark, {1: "the cat", 2: "a dog", 3: "the old text"})
+    made = queries_more.renewed
+    kept = F.col("id") != 2
+    monkeypatch.setattr(queries_more, "renewed", lambda c: made(c).select("id", F.when(kept, F.col("title")).alias("title"), F.when(kept, F.col("content")).alias("content")))
+    assert queries_more.fts_sync(shelf).first().documents == 2
+
+
 def one(spark, column, *values):
     return [r[0] for r in spark.createDataFrame([(v,) for v in values], "x string").select(column).collect()]
 
